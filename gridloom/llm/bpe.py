@@ -1,38 +1,40 @@
 """Byte-level BPE: ranked merges folded over the byte arrays of distinct words.
 
-Shape of the job: one scan, no shuffle.  The JVM cuts texts into words, an Arrow
-step packs a block of documents into its distinct words plus word numbers, a
-higher-order fold in the JVM merges each distinct word once against a literal
-rank table, and a second Arrow step puts the documents of the block together
-again.  Blocks are bounded by bytes, so memory does not grow with the input, and
-a lost executor costs only its own blocks.
-
-Rules: a null text is the empty text (no ids, empty bytes).  Repeated rows and
-null ids pass through unchanged, one output row per input row.  A word longer
-than LONG_WORD bytes is merged with a heap in the second Arrow step instead of the
-fold, whose cost grows with the square of a word's length; the ids are the same.
+Shape of the job: one scan, no shuffle.  The JVM cuts texts into words; an Arrow step
+takes documents in blocks of bounded size, finds the distinct words of a block, folds
+the ranked merges over all their byte arrays at once (each round merges the
+lowest-ranked, leftmost pair of every word that still has one) and puts the ids of the
+documents together.  Memory does not grow with the input, and a lost executor costs
+only its own blocks.  Decoding concatenates the binary pieces of the ids.
+
+The merges were first written as Spark higher-order functions against a literal rank
+table; README.md has the figures that led to this form.
+
+Rules: a null text is the empty text (no ids, empty bytes).  Repeated rows and null
+ids pass through unchanged, one output row per input row; other columns are dropped
+unless named in `keep`.  A word longer than LONG_WORD bytes is merged with a heap,
+n log n for any length; the ids are the same.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
-import json
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Documents are packed until their text reaches this many bytes.
+#: Documents are taken until their words reach this many bytes.
 BLOCK_BYTES = 24 << 20
 LONG_WORD = 96
 NO_PAIR = 2**31 - 1
-EDGE = 65535  # stands before the first and behind the last piece; in no pair
-PRIMES = (131_071, 131_101)
+PRIMES = (262_147, 262_151)
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -47,233 +49,221 @@ def default_ranks() -> tuple[dict[bytes, int], str]:
     return load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
 
 
-def _pairs(ranks: dict[bytes, int]) -> dict[int, int]:
-    """Key left * 65536 + right of each split of a piece into two pieces -> rank of the whole."""
-    found = {}
-    for piece, rank in ranks.items():
-        for cut in range(1, len(piece)):
-            left, right = ranks.get(piece[:cut]), ranks.get(piece[cut:])
-            if left is not None and right is not None:
-                found[left * 65536 + right] = rank
-    return found
-
-
-def _cuckoo(pairs: dict[int, int]) -> list[list[int]]:
-    """Two tables; each key sits at key % prime in one of them, so a lookup is two reads."""
-    size = 1
-    while True:
-        primes = PRIMES if size == 1 else [next(p for p in range(q * size, 2 * q * size) if all(p % d for d in range(2, int(p**0.5) + 1))) for q in PRIMES]
-        tables: list[dict[int, int]] = [{}, {}]
-        for key in pairs:
-            side, moves = 0, 0
-            while key is not None and moves < 200:
-                slot = key % primes[side]
-                tables[side][slot], key = key, tables[side].get(slot)
-                side, moves = 1 - side, moves + 1
-            if key is not None:
-                break
-        else:
-            out = []
-            for table, prime in zip(tables, primes):
-                cells = [0] * prime
-                for slot, key in table.items():
-                    cells[slot] = (key << 17) + pairs[key] + 1
-                out.append(cells)
-            return out
-        size += 1
-
-
-def _literal(values: list, kind: str) -> Column:
-    """A constant array; the optimizer folds the parse into one literal."""
-    return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), kind)
-
-
-def _let(value: Column, body) -> Column:
-    """Evaluate `value` once and hand it to `body`."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-class Tables:
-    """The rank file as literal columns."""
+class Merges:
+    """The rank map as arrays: pair of ranks -> rank of the joined piece."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        if max(ranks.values()) >= EDGE or any(bytes([b]) not in ranks for b in range(256)):
-            raise ValueError("ranks must cover all single bytes and stay below 65535")
+        if max(ranks.values()) >= 2**17 or any(bytes([b]) not in ranks for b in range(256)):
+            raise ValueError("ranks must cover all single bytes and stay below 131072")
         self.ranks = ranks
-        self.cells = _cuckoo(_pairs(ranks))
-        self.first, self.second = (_literal(x, "array<bigint>") for x in self.cells)
-        self.piece_hex = [b""] * (max(ranks.values()) + 1)
+        self.vocabulary, self.ids = pa.array(list(ranks), pa.binary()), np.array(list(ranks.values()), np.int32)
+        self.byte_ranks = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        pairs = {}
         for piece, rank in ranks.items():
-            self.piece_hex[rank] = piece
-
-    def pair_rank(self, left: Column, right: Column) -> Column:
-        key = left.cast("bigint") * 65536 + right
-        reads = [F.get(t, (key % len(c)).cast("int")) for t, c in zip((self.first, self.second), self.cells)]
-        hits = [F.shiftright(x, 17) == key for x in reads]
-        out = F.lit(NO_PAIR)
-        for hit, read in zip(reversed(hits), reversed(reads)):
-            out = F.when(hit, (read.bitwiseAND(131_071) - 1).cast("int")).otherwise(out)
+            for cut in range(1, len(piece)):
+                left, right = ranks.get(piece[:cut]), ranks.get(piece[cut:])
+                if left is not None and right is not None:
+                    pairs[left << 17 | right] = rank
+        order = np.array(sorted(pairs), np.int64)
+        ranked = np.array([pairs[k] for k in order.tolist()], np.int32)
+        # each key sits in the first table if its slot was free there, else in the second, else in the rest
+        self.keys, self.values, left = [], [], np.arange(len(order))
+        for prime in PRIMES:
+            slots, first = np.unique(order[left] % prime, return_index=True)
+            keys, values = np.full(prime, -1, np.int64), np.full(prime, NO_PAIR, np.int32)
+            keys[slots], values[slots] = order[left[first]], ranked[left[first]]
+            self.keys.append(keys)
+            self.values.append(values)
+            left = np.delete(left, first)
+        self.rest_keys, self.rest_values = order[left], ranked[left]
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left.astype(np.int64) << 17 | right
+        slot = key % PRIMES[0]
+        out = np.where(self.keys[0][slot] == key, self.values[0][slot], NO_PAIR).astype(np.int32)
+        at = np.flatnonzero(out == NO_PAIR)
+        slot = key[at] % PRIMES[1]
+        out[at] = np.where(self.keys[1][slot] == key[at], self.values[1][slot], NO_PAIR)
+        if len(self.rest_keys):
+            at = at[out[at] == NO_PAIR]
+            near = np.minimum(np.searchsorted(self.rest_keys, key[at]), len(self.rest_keys) - 1)
+            out[at] = np.where(self.rest_keys[near] == key[at], self.rest_values[near], NO_PAIR)
         return out
 
-    def merge(self, word: Column) -> Column:
-        """array<int> of single-byte ranks -> array<int> of token ids: the lowest-ranked, leftmost pair first."""
-        edge = F.lit(EDGE)
-        ids = F.concat(F.array(edge), word, F.array(edge))
-        start = _let(ids, lambda p: F.struct(p.alias("p"), F.transform(F.slice(p, F.lit(1), F.size(p) - 1), lambda x, i: self.pair_rank(x, F.get(p, i + 1))).alias("r")))
-
-        def at(p: Column, r: Column, i: Column, rank: Column) -> Column:
-            rest = F.size(p)
-            return F.struct(
-                F.concat(F.slice(p, F.lit(1), i - 1), F.array(rank), F.slice(p, i + 2, rest)).alias("p"),
-                F.concat(F.slice(r, F.lit(1), i - 2), F.array(self.pair_rank(F.get(p, i - 2), rank), self.pair_rank(rank, F.get(p, i + 1))), F.slice(r, i + 2, rest)).alias("r"),
-            )
-
-        def step(state: Column, _: Column) -> Column:
-            return _let(F.array_min(state["r"]), lambda rank: F.when(rank == NO_PAIR, state).otherwise(_let(F.array_position(state["r"], rank).cast("int"), lambda i: at(state["p"], state["r"], i, rank))))
-
-        return F.aggregate(word, start, step, lambda s: F.slice(s["p"], F.lit(2), F.size(s["p"]) - 2))
-
-    def decode(self, ids: Column) -> Column:
-        """Token ids -> bytes, by concatenating the pieces; ids outside the vocabulary give nothing."""
-        pieces = _literal([x.hex() for x in self.piece_hex], "array<string>")
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""))
-
-    def little_endian(self, ids: Column) -> Column:
-        """Token ids as one binary of unsigned 32-bit little-endian integers."""
-        cells = _literal([i.to_bytes(4, "little").hex() for i in range(len(self.piece_hex))], "array<string>")
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(cells, i)), ""))
+    def fold(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words as runs of byte ranks (no empty word) -> runs of token ids and their sizes."""
+        done_ids, done_sizes, done_words = [], [], []
+        words = np.arange(len(sizes))
+        ranks = np.empty(len(ids), np.int32)
+        ranks[:-1] = self.rank(ids[:-1], ids[1:])
+        ranks[np.cumsum(sizes) - 1] = NO_PAIR
+        while len(words):
+            starts = np.cumsum(sizes) - sizes
+            least = np.minimum.reduceat(ranks, starts)
+            live = least < NO_PAIR
+            if not live.all():
+                spread = np.repeat(live, sizes)
+                done_ids.append(ids[~spread])
+                done_sizes.append(sizes[~live])
+                done_words.append(words[~live])
+                ids, ranks, sizes, words, least = ids[spread], ranks[spread], sizes[live], words[live], least[live]
+                if not len(words):
+                    break
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            hits = np.flatnonzero(ranks == least[owner])
+            at = hits[np.concatenate([[True], owner[hits[1:]] != owner[hits[:-1]]])]  # leftmost of each word
+            ids[at] = least
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            ids, ranks, sizes = ids[keep], ranks[keep], sizes - 1
+            at -= np.arange(len(at))
+            ends = np.cumsum(sizes)
+            last = at == ends - 1
+            ranks[at] = NO_PAIR
+            ranks[at[~last]] = self.rank(ids[at[~last]], ids[at[~last] + 1])
+            inner = at[at > ends - sizes]
+            ranks[inner - 1] = self.rank(ids[inner - 1], ids[inner])
+        if not done_words:
+            return ids, sizes
+        order = np.argsort(np.concatenate(done_words), kind="stable")
+        ids, sizes = np.concatenate(done_ids), np.concatenate(done_sizes)
+        starts = np.cumsum(sizes) - sizes
+        return ids[runs(starts[order], sizes[order])], sizes[order]
+
+    def encode_words(self, words: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct words -> (ids of all words in a row, number of ids of each)."""
+        offsets, raw = binary_parts(words)
+        sizes = np.diff(offsets)
+        whole = pc.fill_null(pc.index_in(words, value_set=self.vocabulary), -1).to_numpy(zero_copy_only=False)
+        short = np.flatnonzero((whole < 0) & (sizes <= LONG_WORD) & (sizes > 0))
+        counts = (whole >= 0).astype(np.int64)
+        folded, counts[short] = self.fold(self.byte_ranks[raw[runs(offsets[short], sizes[short])]], sizes[short])
+        long = {int(i): merge_long(words[int(i)].as_py(), self.ranks) for i in np.flatnonzero((whole < 0) & (sizes > LONG_WORD))}
+        for i, ids in long.items():
+            counts[i] = len(ids)
+        starts = np.cumsum(counts) - counts
+        out = np.empty(int(counts.sum()), np.int32)
+        out[starts[whole >= 0]] = self.ids[whole[whole >= 0]]
+        out[runs(starts[short], counts[short])] = folded
+        for i, ids in long.items():
+            out[starts[i] : starts[i] + len(ids)] = ids
+        return out, counts
+
+
+def binary_parts(values: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets from 0 and the bytes of a binary array without nulls."""
+    if not len(values):
+        return np.zeros(1, np.int64), np.zeros(0, np.uint8)
+    offsets = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64)
+    raw = np.frombuffer(values.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return offsets - offsets[0], raw
+
+
+def runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Positions start, start + 1, ... of each run, one run after another."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The same merges with a heap over a linked list: n log n for words of any length."""
     n = len(word)
-    start, after, before, alive = list(range(n)), list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-    end = lambda i: start[after[i]] if after[i] < n else n
+    after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
     heap = [(ranks[word[i : i + 2]], i, i + 2) for i in range(n - 1) if word[i : i + 2] in ranks]
     heapq.heapify(heap)
     while heap:
         _, i, stop = heapq.heappop(heap)
         j = after[i] if alive[i] else n
-        if j >= n or end(j) != stop:
+        if j >= n or after[j] != stop:
             continue
         alive[j], after[i] = False, after[j]
         if after[i] < n:
             before[after[i]] = i
         for k in (before[i], i):
-            if k >= 0 and after[k] < n and (rank := ranks.get(word[start[k] : end(after[k])])) is not None:
-                heapq.heappush(heap, (rank, k, end(after[k])))
+            if k >= 0 and after[k] < n and (rank := ranks.get(word[k : after[after[k]]])) is not None:
+                heapq.heappush(heap, (rank, k, after[after[k]]))
     out, i = [], 0
     while i < n:
-        out.append(ranks[word[i : end(i)]])
+        out.append(ranks[word[i : after[i]]])
         i = after[i]
     return out
 
 
-def _pack(ranks: dict[bytes, int], keep: int):
-    """Documents with word lists -> one row a block: distinct words as byte ranks, word numbers by document."""
+def _encoder(ranks: dict[bytes, int], names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merges = Merges(ranks)
+
+        def block(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            lists = [b.column(len(names)) for b in held]
+            coded = pc.dictionary_encode(pa.concat_arrays([x.flatten().cast(pa.binary()) for x in lists]))
+            values, sizes = merges.encode_words(coded.dictionary)
+            starts, each, done = np.cumsum(sizes) - sizes, np.asarray(coded.indices), 0
+            for batch, x in zip(held, lists):
+                ends = np.asarray(x.offsets).astype(np.int64)
+                ends = ends - ends[0]
+                mine = each[done : done + ends[-1]]
+                done += ends[-1]
+                bounds = np.concatenate([[0], np.cumsum(sizes[mine])])[ends]
+                ids = pa.array(values[runs(starts[mine], sizes[mine])])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), ids)], names=[*names, "ids"])
 
-    def block(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(held).combine_chunks()
-        lists = table.column(keep).chunk(0) if table.num_rows else table.column(keep)
-        coded = pc.dictionary_encode(lists.flatten().cast(pa.binary()))
-        words = coded.dictionary
-        offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
-        raw = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if len(words) else np.zeros(0, np.uint8)
-        offsets = offsets - offsets[0] if len(words) else np.zeros(1, np.int32)
-        whole = pc.fill_null(pc.index_in(words, value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
-        sizes = np.diff(offsets)
-        ends = np.where((whole >= 0) | (sizes > LONG_WORD), 1, sizes)
-        values = np.empty(int(ends.sum()), np.int32)
-        at = np.concatenate([[0], np.cumsum(ends)]).astype(np.int32)
-        spread = np.repeat((whole < 0) & (sizes <= LONG_WORD), sizes)
-        alone = (whole >= 0) | (sizes > LONG_WORD)
-        mask = np.ones(len(values), bool)
-        mask[at[:-1][alone]] = False
-        values[mask] = byte_ranks[raw[spread]]
-        values[at[:-1][alone]] = np.where(whole >= 0, ids[np.maximum(whole, 0)], EDGE)[alone]
-        long = [words[int(i)].as_py() for i in np.flatnonzero((whole < 0) & (sizes > LONG_WORD))]
-        numbers = pa.ListArray.from_arrays(pa.array(np.asarray(lists.offsets) - lists.offsets[0].as_py(), pa.int32()), coded.indices.cast(pa.int32()))
-        rest = pa.StructArray.from_arrays([*(table.column(i).combine_chunks() if not isinstance(table.column(i), pa.ChunkedArray) else pa.concat_arrays(table.column(i).chunks) for i in range(keep)), numbers], names=[*table.schema.names[:keep], "numbers"])
-        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-        return pa.RecordBatch.from_arrays([one(pa.ListArray.from_arrays(pa.array(at), pa.array(values))), one(pa.array(long, pa.binary())), one(rest)], names=["words", "long_words", "docs"])
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            held.append(batch)
-            size += batch.nbytes
-            if size >= BLOCK_BYTES:
-                yield block(held)
-                held, size = [], 0
+            for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
+                held.append(part)
+                size += part.get_total_buffer_size() if batch.num_rows <= 1000 else part.nbytes
+                if size >= BLOCK_BYTES:
+                    yield from block(held)
+                    held, size = [], 0
         if held:
-            yield block(held)
-
-    vocabulary = pa.array(list(ranks), pa.binary())
-    ids = np.array(list(ranks.values()), np.int32)
-    byte_ranks = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-    return pack
+            yield from block(held)
 
+    return run
 
-def _unpack(ranks: dict[bytes, int], names: list[str]):
-    """Blocks with merged words -> one row a document with its ids."""
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                merged, long, docs = (batch.column(i)[row].values for i in range(3))
-                offsets, values = np.asarray(merged.offsets), np.asarray(merged.flatten())
-                offsets = offsets - offsets[0]
-                if len(long):
-                    parts = np.split(values, offsets[1:-1])
-                    at = [i for i, x in enumerate(parts) if len(x) == 1 and x[0] == EDGE]
-                    for i, word in zip(at, long):
-                        parts[i] = np.array(merge_long(word.as_py(), ranks), np.int32)
-                    offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
-                    values = np.concatenate(parts)
-                sizes = np.diff(offsets)
-                numbers = docs.field(docs.type.num_fields - 1)
-                first, each = np.asarray(numbers.offsets), np.asarray(numbers.flatten())
-                first = first - first[0]
-                step = 2000
-                for i in range(0, len(docs), step):
-                    n = min(step, len(docs) - i)
-                    mine = each[first[i] : first[i + n]]
-                    count = sizes[mine]
-                    ends = np.concatenate([[0], np.cumsum(count)])
-                    where = np.repeat(offsets[mine] - ends[:-1], count) + np.arange(ends[-1])
-                    bounds = ends[first[i : i + n + 1] - first[i]]
-                    ids = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values[where].astype(np.int32)))
-                    yield pa.RecordBatch.from_arrays([*(docs.field(k).slice(i, n) for k in range(docs.type.num_fields - 1)), ids], names=names)
-
-    return unpack
-
-
-def encode(df: DataFrame, text: str, keep: list[str], ranks: dict[bytes, int], pattern: str, into: str = "ids", tables: Tables | None = None) -> DataFrame:
+def encode(df: DataFrame, text: str, keep: list[str], ranks: dict[bytes, int], pattern: str, into: str = "ids") -> DataFrame:
     """Columns `keep` plus `into` array<int>: the ids of each whole text, without special tokens."""
-    tables = tables or Tables(ranks)
     words = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(f"(?U){pattern}"), F.lit(0))
     names = [f"k{i}" for i in range(len(keep))]
     cut = df.select(*[F.col(k).alias(n) for k, n in zip(keep, names)], words.alias("words"))
-    kept = T.StructType([T.StructField(n, cut.schema[n].dataType) for n in names])
-    document = T.StructType([*kept.fields, T.StructField("numbers", T.ArrayType(T.IntegerType()))])
-    packed = cut.mapInArrow(_pack(ranks, len(keep)), T.StructType([T.StructField("words", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("long_words", T.ArrayType(T.BinaryType())), T.StructField("docs", T.ArrayType(document))]))
-    merged = packed.select(F.transform("words", tables.merge).alias("words"), "long_words", "docs")
-    ids = T.StructType([*kept.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    out = merged.mapInArrow(_unpack(ranks, [*names, "ids"]), ids)
+    out = cut.mapInArrow(_encoder(ranks, names), T.StructType([*[T.StructField(n, cut.schema[n].dataType) for n in names], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
     return out.select(*[F.col(n).alias(k) for k, n in zip(keep, names)], F.col("ids").alias(into))
 
 
+def decode(df: DataFrame, ids: str, keep: list[str], ranks: dict[bytes, int], into: str = "bytes") -> DataFrame:
+    """Columns `keep` plus `into` binary: the pieces of the ids one after another; a null list gives null.
+
+    An id outside the vocabulary fails the job, as it has no bytes."""
+    names = [f"k{i}" for i in range(len(keep))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = {rank: piece for piece, rank in ranks.items()}
+        for batch in batches:
+            out = [None if x.values is None else b"".join(map(pieces.__getitem__, x.values.to_pylist())) for x in batch.column(len(names))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(out, pa.binary())], names=[*names, "bytes"])
+
+    cut = df.select(*[F.col(k).alias(n) for k, n in zip(keep, names)], F.col(ids).alias("ids"))
+    out = cut.mapInArrow(run, T.StructType([*[T.StructField(n, cut.schema[n].dataType) for n in names], T.StructField("bytes", T.BinaryType())]))
+    return out.select(*[F.col(n).alias(k) for k, n in zip(keep, names)], F.col("bytes").alias(into))
+
+
+def little_endian(ids: str) -> Column:
+    """Ids as one binary of unsigned 32-bit little-endian integers."""
+
+    @F.pandas_udf("binary")
+    def run(lists: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else np.asarray(x, "<u4").tobytes() for x in lists])
+
+    return run(ids)
+
+
 def encoded_digests(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Encode, decode again, and digest both: n_tokens, ids_sha256, decoded_sha256."""
     ranks, pattern = default_ranks()
-    tables = Tables(ranks)
-    out = encode(df, text, list(keep), ranks, pattern, tables=tables)
-    return out.select(
-        *keep,
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(tables.little_endian(F.col("ids")), 256).alias("ids_sha256"),
-        F.sha2(tables.decode(F.col("ids")), 256).alias("decoded_sha256"),
-    )
+    encoded = encode(df, text, list(keep), ranks, pattern).select(*keep, "ids", little_endian("ids").alias("le"))
+    digests = encoded.select(*keep, F.size("ids").cast("long").alias("n_tokens"), F.sha2("le", 256).alias("ids_sha256"), "ids")
+    decoded = decode(digests, "ids", [*keep, "n_tokens", "ids_sha256"], ranks)
+    return decoded.select(*keep, "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

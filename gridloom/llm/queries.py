@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 from .bpe import op8_byte_bpe
+from .quality import OP2_SQL, op2_quality_rules
+from .simhash import op7_simhash
 
 QUERIES = {
+    "op2_quality_rules": op2_quality_rules,
+    "op7_simhash": op7_simhash,
     "op8_byte_bpe": op8_byte_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_quality_rules": OP2_SQL,
+}

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Separator class of the word rule: a word is a run of other characters.
 SEPARATORS = r"\x20\x09-\x0D"
@@ -46,3 +50,33 @@ def sampled(df: DataFrame, rows: int, available: int, *key: str) -> DataFrame:
         return df
     share = int(rows / available * 1_000_000)
     return df.filter(F.pmod(F.xxhash64(*[F.col(k) for k in key], F.lit("sample")), F.lit(1_000_000)) < share)
+
+
+def named(column: str) -> Column:
+    """A column by its exact name, dots included."""
+    return F.col(f"`{column}`")
+
+
+def with_text_columns(df: DataFrame, text: str, new: str, compute: Callable[[], Callable], keep: Sequence[str] | None = None) -> DataFrame:
+    """Columns `keep` (default: all) plus the columns `new` (DDL) computed from whole texts.
+
+    `compute()` is called once a task; what it returns maps a batch's texts (bytes or
+    None) to one sequence per new column.  New columns replace kept ones of the same name."""
+    fields = T.StructType.fromDDL(new).fields
+    clash = {f.name for f in fields}
+    names = [c for c in (df.columns if keep is None else keep) if c not in clash]
+    inner = [f"k{i}" for i in range(len(names))]
+    cut = df.select(*[named(c).alias(k) for c, k in zip(names, inner)], *([] if text in names else [named(text).alias("t")]))
+    at = names.index(text) if text in names else len(names)
+    schema = T.StructType([*[T.StructField(k, cut.schema[k].dataType) for k in inner], *[T.StructField(f"n{i}", f.dataType) for i, f in enumerate(fields)]])
+    kinds = [to_arrow_type(f.dataType) for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready = compute()
+        for batch in batches:
+            texts = batch.column(at).cast(pa.binary()).to_pylist()
+            made = [pa.array(x, kind) for x, kind in zip(ready(texts), kinds)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(inner))), *made], names=schema.names)
+
+    out = cut.mapInArrow(run, schema)
+    return out.select(*[F.col(k).alias(c) for c, k in zip(names, inner)], *[F.col(f"n{i}").alias(f.name) for i, f in enumerate(fields)])

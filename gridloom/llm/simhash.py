@@ -18,33 +18,32 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import SEPARATORS, materialise
+from .shared import materialise, with_text_columns
 
 WIDTH = 64
 CHUNK = 2048  # codes in a chunk of the index
 FANOUT = 8  # children of an index node
 FULL = np.uint64(2**64 - 1)
 
-FINGERPRINT_BITS = ((np.arange(256, dtype=np.uint16)[:, None] >> np.arange(8)) & 1).astype(np.uint16)
+BYTE_BITS = ((np.arange(256, dtype=np.uint16)[:, None] >> np.arange(8)) & 1).astype(np.uint16)
 
 
-def fingerprint_text(text: str | None, shingle: int = 4) -> int:
-    """Bit i is 1 if it is set in over half of the XXH64 hashes of the word shingles."""
-    import re
+def fingerprint_text(text: bytes | None, shingle: int = 4) -> int:
+    """Bit i is 1 if it is set in over half of the XXH64 hashes of the word shingles.
 
-    import xxhash
-
-    words = re.findall(rf"[^{SEPARATORS}]+", (text or "").translate(LOWER))
+    On UTF-8 bytes, lower() changes A-Z only and split() cuts at x20 and x09-x0D only."""
+    words = (text or b"").lower().split()
     if not words:
         return 0
-    line = " ".join(words).encode("utf-8", "surrogatepass")
+    line = b" ".join(words)
     raw = np.frombuffer(line, np.uint8)
     gaps = np.flatnonzero(raw == 32)
     starts, ends = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(raw)]])
@@ -52,26 +51,17 @@ def fingerprint_text(text: str | None, shingle: int = 4) -> int:
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(line[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[-n:].tolist())], np.uint64)
     lanes = hashes.view(np.uint8).reshape(-1, 8)
-    counts = np.concatenate([np.bincount(lanes[:, k], minlength=256) @ FINGERPRINT_BITS for k in range(8)])
+    counts = np.concatenate([np.bincount(lanes[:, k], minlength=256) @ BYTE_BITS for k in range(8)])
     return int(sum(1 << i for i in np.flatnonzero(counts * 2 > len(hashes)).tolist()))
 
 
-LOWER = {c: c + 32 for c in range(65, 91)}
-
-
-def fingerprints(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), shingle: int = 4) -> DataFrame:
-    """Columns `keep` plus `fp` (bigint holding the 64 bits)."""
-    names = list(keep)
+def fingerprints(df: DataFrame, text: str = "text", keep: Sequence[str] | None = ("doc_id",), shingle: int = 4, into: str = "fp") -> DataFrame:
+    """Columns `keep` (None: all) plus `into`, a bigint that holds the 64 bits."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codes = np.array([fingerprint_text(x.as_py(), shingle) for x in batch.column(len(names))], np.uint64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(codes.view(np.int64))], names=[*(f"k{i}" for i in range(len(names))), "fp"])
+    def compute():
+        return lambda texts: [np.array([fingerprint_text(x, shingle) for x in texts], np.uint64).view(np.int64)]
 
-    source = df.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(names)], F.col(text).alias("t"))
-    fields = ", ".join(f"k{i} {source.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(names)))
-    out = source.mapInArrow(run, f"{fields}, fp bigint")
-    return out.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(names)], "fp")
+    return with_text_columns(df, text, f"`{into}` bigint", compute, keep)
 
 
 def gray_rank(code: Column) -> Column:
