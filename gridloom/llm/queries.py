@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 from .bpe import op8_byte_bpe
+from .langid import op3_language_id
 from .quality import OP2_SQL, op2_quality_rules
 from .simhash import op7_simhash
+from .topk import OP1_SQL, op1_pivot_topk
+from .toxicity import op9_toxicity
 
 QUERIES = {
+    "op1_pivot_topk": op1_pivot_topk,
     "op2_quality_rules": op2_quality_rules,
+    "op3_language_id": op3_language_id,
     "op7_simhash": op7_simhash,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_pivot_topk": OP1_SQL,
     "op2_quality_rules": OP2_SQL,
 }
