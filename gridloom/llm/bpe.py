@@ -19,19 +19,21 @@ n log n for any length; the ids are the same.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import named
+
 #: Documents are taken until their words reach this many bytes.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 8 << 20
 LONG_WORD = 96
 NO_PAIR = 2**31 - 1
 PRIMES = (262_147, 262_151)
@@ -58,6 +60,8 @@ class Merges:
         self.ranks = ranks
         self.vocabulary, self.ids = pa.array(list(ranks), pa.binary()), np.array(list(ranks.values()), np.int32)
         self.byte_ranks = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        by_rank = {rank: piece for piece, rank in ranks.items()}
+        self.pieces = pa.array([by_rank.get(i, b"") for i in range(max(by_rank) + 1)], pa.binary())
         pairs = {}
         for piece, rank in ranks.items():
             for cut in range(1, len(piece)):
@@ -189,12 +193,27 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def _encoder(ranks: dict[bytes, int], names: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges = Merges(ranks)
+def _blocks(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[list[pa.RecordBatch]]:
+    """Slices of batches whose word column `at` comes to BLOCK_BYTES."""
+    held, size = [], 0
+    for batch in batches:
+        for start in range(0, batch.num_rows, 500):
+            part = batch.slice(start, 500)
+            held.append(part)
+            size += part.column(at).nbytes
+            if size >= BLOCK_BYTES:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
 
-        def block(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            lists = [b.column(len(names)) for b in held]
+def _encoder(merges: Merges, keep: int, names: list[str], finish=lambda ids, offsets, _: [pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))]):
+    """Arrow step: `keep` columns and a column of word lists -> the kept columns and what `finish` makes of the ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _blocks(batches, keep):
+            lists = [b.column(keep) for b in held]
             coded = pc.dictionary_encode(pa.concat_arrays([x.flatten().cast(pa.binary()) for x in lists]))
             values, sizes = merges.encode_words(coded.dictionary)
             starts, each, done = np.cumsum(sizes) - sizes, np.asarray(coded.indices), 0
@@ -203,67 +222,61 @@ def _encoder(ranks: dict[bytes, int], names: list[str]):
                 ends = ends - ends[0]
                 mine = each[done : done + ends[-1]]
                 done += ends[-1]
-                bounds = np.concatenate([[0], np.cumsum(sizes[mine])])[ends]
-                ids = pa.array(values[runs(starts[mine], sizes[mine])])
-                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), ids)], names=[*names, "ids"])
-
-        held, size = [], 0
-        for batch in batches:
-            for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
-                held.append(part)
-                size += part.get_total_buffer_size() if batch.num_rows <= 1000 else part.nbytes
-                if size >= BLOCK_BYTES:
-                    yield from block(held)
-                    held, size = [], 0
-        if held:
-            yield from block(held)
+                bounds = np.concatenate([[0], np.cumsum(sizes[mine])])[ends].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(keep)), *finish(values[runs(starts[mine], sizes[mine])], bounds, merges)], names=names)
 
     return run
 
 
-def encode(df: DataFrame, text: str, keep: list[str], ranks: dict[bytes, int], pattern: str, into: str = "ids") -> DataFrame:
+def _cut(df: DataFrame, text: str, keep: Sequence[str], pattern: str) -> DataFrame:
+    """Kept columns as k0, k1, ... and the words of each whole text."""
+    words = F.regexp_extract_all(F.coalesce(named(text), F.lit("")), F.lit(f"(?U){pattern}"), F.lit(0))
+    return df.select(*[named(k).alias(f"k{i}") for i, k in enumerate(keep)], words.alias("words"))
+
+
+def encode(df: DataFrame, text: str, keep: Sequence[str], ranks: dict[bytes, int], pattern: str, into: str = "ids") -> DataFrame:
     """Columns `keep` plus `into` array<int>: the ids of each whole text, without special tokens."""
-    words = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(f"(?U){pattern}"), F.lit(0))
-    names = [f"k{i}" for i in range(len(keep))]
-    cut = df.select(*[F.col(k).alias(n) for k, n in zip(keep, names)], words.alias("words"))
-    out = cut.mapInArrow(_encoder(ranks, names), T.StructType([*[T.StructField(n, cut.schema[n].dataType) for n in names], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
-    return out.select(*[F.col(n).alias(k) for k, n in zip(keep, names)], F.col("ids").alias(into))
+    cut = _cut(df, text, keep, pattern)
+    schema = T.StructType([*cut.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    out = cut.mapInArrow(_encoder(Merges(ranks), len(keep), schema.names), schema)
+    return out.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keep)], F.col("ids").alias(into))
 
 
-def decode(df: DataFrame, ids: str, keep: list[str], ranks: dict[bytes, int], into: str = "bytes") -> DataFrame:
+def decode(df: DataFrame, ids: str, keep: Sequence[str], ranks: dict[bytes, int], into: str = "bytes") -> DataFrame:
     """Columns `keep` plus `into` binary: the pieces of the ids one after another; a null list gives null.
 
     An id outside the vocabulary fails the job, as it has no bytes."""
-    names = [f"k{i}" for i in range(len(keep))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = {rank: piece for piece, rank in ranks.items()}
         for batch in batches:
-            out = [None if x.values is None else b"".join(map(pieces.__getitem__, x.values.to_pylist())) for x in batch.column(len(names))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(out, pa.binary())], names=[*names, "bytes"])
-
-    cut = df.select(*[F.col(k).alias(n) for k, n in zip(keep, names)], F.col(ids).alias("ids"))
-    out = cut.mapInArrow(run, T.StructType([*[T.StructField(n, cut.schema[n].dataType) for n in names], T.StructField("bytes", T.BinaryType())]))
-    return out.select(*[F.col(n).alias(k) for k, n in zip(keep, names)], F.col("bytes").alias(into))
-
-
-def little_endian(ids: str) -> Column:
-    """Ids as one binary of unsigned 32-bit little-endian integers."""
+            out = [None if x.values is None else b"".join(map(pieces.__getitem__, x.values.to_pylist())) for x in batch.column(len(keep))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(out, pa.binary())], names=schema.names)
 
-    @F.pandas_udf("binary")
-    def run(lists: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else np.asarray(x, "<u4").tobytes() for x in lists])
+    cut = df.select(*[named(k).alias(f"k{i}") for i, k in enumerate(keep)], named(ids).alias("ids"))
+    schema = T.StructType([*cut.schema.fields[:-1], T.StructField("bytes", T.BinaryType())])
+    out = cut.mapInArrow(run, schema)
+    return out.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keep)], F.col("bytes").alias(into))
 
-    return run(ids)
 
+def encoded_digests(df: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """Encode, decode the ids again, and digest both: n_tokens, ids_sha256, decoded_sha256.
 
-def encoded_digests(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Encode, decode again, and digest both: n_tokens, ids_sha256, decoded_sha256."""
+    The digests are taken where the ids are made, so that the ids need not travel."""
     ranks, pattern = default_ranks()
-    encoded = encode(df, text, list(keep), ranks, pattern).select(*keep, "ids", little_endian("ids").alias("le"))
-    digests = encoded.select(*keep, F.size("ids").cast("long").alias("n_tokens"), F.sha2("le", 256).alias("ids_sha256"), "ids")
-    decoded = decode(digests, "ids", [*keep, "n_tokens", "ids_sha256"], ranks)
-    return decoded.select(*keep, "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
+    made = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    hexed = lambda x: hashlib.sha256(x).hexdigest()
+
+    def finish(ids: np.ndarray, offsets: np.ndarray, merges: Merges) -> list[pa.Array]:
+        plain, pieces = ids.astype("<u4"), merges.pieces.take(pa.array(ids))
+        ends, raw = binary_parts(pieces)
+        spans = list(zip(offsets[:-1].tolist(), offsets[1:].tolist()))
+        return [pa.array(np.diff(offsets).astype(np.int64)), pa.array([hexed(plain[a:b]) for a, b in spans]), pa.array([hexed(raw[ends[a] : ends[b]]) for a, b in spans])]
+
+    cut = _cut(df, text, keep, pattern)
+    schema = T.StructType([*cut.schema.fields[:-1], *T.StructType.fromDDL(made).fields])
+    out = cut.mapInArrow(_encoder(Merges(ranks), len(keep), schema.names, finish), schema)
+    return out.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keep)], "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
