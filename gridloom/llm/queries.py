@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 from .bpe import op8_byte_bpe
+from .chat import op10_chat_format
+from .cotraining import op5_cotraining
 from .langid import op3_language_id
+from .licenses import OP6_SQL, op6_license_scan
+from .mixing import op4_pfair_mix
 from .quality import OP2_SQL, op2_quality_rules
 from .simhash import op7_simhash
 from .topk import OP1_SQL, op1_pivot_topk
@@ -13,12 +17,17 @@ QUERIES = {
     "op1_pivot_topk": op1_pivot_topk,
     "op2_quality_rules": op2_quality_rules,
     "op3_language_id": op3_language_id,
+    "op4_pfair_mix": op4_pfair_mix,
+    "op5_cotraining": op5_cotraining,
+    "op6_license_scan": op6_license_scan,
     "op7_simhash": op7_simhash,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_toxicity": op9_toxicity,
+    "op10_chat_format": op10_chat_format,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_pivot_topk": OP1_SQL,
     "op2_quality_rules": OP2_SQL,
+    "op6_license_scan": OP6_SQL,
 }
