@@ -33,8 +33,9 @@ from .shared import crc_part, materialise, sampled, table, with_text_columns
 
 #: Labelled documents used for fitting, and terms kept, at most (about).
 EXAMPLES, TERMS = 16_000, 4_096
-#: A term needs this many sampled documents of label 1 and this z score of its log odds.
-LEAST_DOCS, LEAST_Z = 4, 3.0
+#: A term needs this many sampled documents of label 1, this z score of its log odds, and
+#: to be so many times as frequent among them as among the others.
+LEAST_DOCS, LEAST_Z, LEAST_RATIO = 4, 3.0, 12.0
 BEGINNINGS = (4, 5, 6)  # bytes of a word's beginning that form a term of their own
 NEIGHBOURS, BLOCK = 15, 64
 #: Everything in ASCII but letters is a gap; capitals become small.
@@ -183,7 +184,7 @@ def fit(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms
     counted = spread.groupBy("term").agg(F.sum("toxic").alias("a"), F.count("*").alias("df")).filter(F.col("a") >= LEAST_DOCS).withColumn("b", F.col("df") - F.col("a"))
     odds = F.log((F.col("a") + 0.5) / (n1 - F.col("a") + 0.5)) - F.log((F.col("b") + 0.5) / (n0 - F.col("b") + 0.5))
     z = odds / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    kept = counted.withColumn("z", z).filter((F.col("z") >= LEAST_Z) & (F.col("a") * n0 > 4 * F.col("b") * n1)).orderBy(F.desc("z"), "term").limit(terms).select("term", "df").collect()
+    kept = counted.withColumn("z", z).filter((F.col("z") >= LEAST_Z) & (F.col("a") * n0 > LEAST_RATIO * F.col("b") * n1)).orderBy(F.desc("z"), "term").limit(terms).select("term", "df").collect()
     names = [bytes(r["term"]) for r in kept]
     idf = np.array([math.log((1 + n) / (1 + r["df"])) + 1 for r in kept])
     blank = Model.build(names, idf, [])
