@@ -1,9 +1,14 @@
-"""All registered queries of the reference's operators."""
+"""All registered queries of the library's own operators."""
+
+from __future__ import annotations
+
+from . import aggregation, lookup  # noqa: F401
+from .registry import ORACLES, QUERIES
 
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(ORACLES)
