@@ -95,9 +95,9 @@ def xlookup(df: DataFrame, key: str, table: DataFrame, table_key: str, value: st
         special = F.regexp_replace(F.col(key), r"([\\\[\]{}().+^$|])", r"\\$1")
         pattern = F.concat(F.lit("(?i)^"), F.regexp_replace(F.regexp_replace(special, r"\*", ".*"), r"\?", "."), F.lit("$"))
         keys = df.select(F.col(key).alias("_key"), pattern.alias("_pattern")).distinct()
-        values = table.groupBy(table_key).agg((F.max if last else F.min)(F.struct(F.col(order_by), F.col(value))).alias("_row"))
+        values = table.groupBy(table_key).agg((F.max if last else F.min)(F.struct(F.col(order_by).alias("o"), F.col(value).alias("v"))).alias("_row"))
         hits = values.join(keys, F.regexp_like(F.col(table_key), F.col("_pattern"))).groupBy("_key").agg((F.max if last else F.min)("_row").alias("_row"))
-        out = df.join(hits.select("_key", F.col(f"_row.{value}").alias(into)), F.col(key) == F.col("_key"), "left").drop("_key")
+        out = df.join(hits.select("_key", F.col("_row.v").alias(into)), F.col(key) == F.col("_key"), "left").drop("_key")
     return out if if_missing is None else out.withColumn(into, F.coalesce(F.col(into), F.lit(if_missing)))
 
 

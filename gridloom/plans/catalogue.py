@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregation, lookup  # noqa: F401
+from . import aggregation, lookup, scalar  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
