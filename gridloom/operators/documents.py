@@ -10,11 +10,12 @@ from itertools import groupby
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .ordered import slug_dedupe
 
 SUMMARY_CHARS, MAP_NODES = 180, 400
-BLOCKS = "array<struct<block_type:string,md:string>>"
+BLOCKS = T.ArrayType(T.StructType([T.StructField("block_type", T.StringType()), T.StructField("md", T.StringType())]))
 #: Line kinds by pattern, the first that fits.
 LINE_KINDS = [
     ("heading", re.compile(r"#{1,6}[ \t]+\S")),
@@ -179,7 +180,7 @@ def outline(blocks: DataFrame, id_column: str = "doc_id") -> DataFrame:
     return slug_dedupe(heads.withColumn("slug", anchor_slug(F.col("title"))), "slug", [id_column], "pos").select(id_column, "pos", "level", "title", "anchor")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
