@@ -11,6 +11,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import pinned
+
 LAST_COLUMN, LAST_ROW = 16_384, 1_048_576
 SHEET = ["project_id", "sheet_id"]
 #: Labels of rows that add up others.
@@ -210,10 +212,11 @@ def circular_cells(edges: DataFrame) -> DataFrame:
     Rounds drop cells that nothing reads or that read nothing; each round is written to the
     checkpoint folder so that the plan stays short."""
     at = lambda s, r, c: F.concat_ws("!", F.col("project_id"), F.lower(F.col(s)), F.col(r).cast("string"), F.col(c).cast("string"))
-    left = edges.select(at("sheet_id", "row", "col").alias("a"), at("to_sheet", "to_row", "to_col").alias("b")).distinct().checkpoint()
+    left = edges.select(at("sheet_id", "row", "col").alias("a"), at("to_sheet", "to_row", "to_col").alias("b")).distinct()
+    left = pinned(left)
     count = left.count()
     while count:
-        left = left.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(left.select(F.col("a").alias("b")).distinct(), "b", "left_semi").checkpoint()
+        left = pinned(left.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(left.select(F.col("a").alias("b")).distinct(), "b", "left_semi"))
         now = left.count()
         if now == count:
             break

@@ -1,17 +1,19 @@
 """Lookups and joins by key, position and range.
 
 Order comes from an explicit column.  Nearest matches are unions with a window over the
-lookup key, not range joins, so they sort and stream; where there is no partition key, rows are
-cut into ranges first and only the last value before each range is carried over.
+lookup key, not range joins, so they sort and stream; rows are cut into ranges first and
+only the last value before each range is carried over.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import pinned
+
 
 def first_rows(table: DataFrame, key: str, order_by: str, last: bool = False) -> DataFrame:
     """One row a key: the first (or last) in order.  Aggregated before the shuffle, so a hot key is no hot task."""
@@ -29,31 +31,44 @@ def vlookup(df: DataFrame, key: str, table: DataFrame, table_key: str, value: st
     return df.join(found, F.lower(F.col(key).cast("string")) == F.lower(F.col("_key").cast("string")) if dict(df.dtypes)[key] == "string" else F.col(key) == F.col("_key"), "left").drop("_key")
 
 
-def nearest(df: DataFrame, key: str, table: DataFrame, table_key: str, value: str, into: str, side: str = "below", by: Sequence[str] = (), parts: int = 64) -> DataFrame:
-    """Value of the table row whose key is the largest not above (`below`) or the smallest not below (`above`).
+def in_ranges(df: DataFrame, order_by: Sequence[str | Column], part: str = "_part") -> DataFrame:
+    """Rows in range partitions of the given order, with the number of the partition; pinned, so
+    that the partitions are the same wherever the frame is used."""
+    return pinned(df.repartitionByRange(*order_by).withColumn(part, F.spark_partition_id()))
+
+
+def carried(ranges: DataFrame, by: Sequence[str], value: Column, into: str) -> DataFrame:
+    """(_part, *by, into): for keys that span partitions, an aggregate carried over from those before.
+
+    Ranges are contiguous, so at most one key spans each border: the frame has at most two
+    rows a partition and may be broadcast.  `value` is an aggregate; structs compare by position."""
+    per = ranges.groupBy("_part", *by).agg(value.alias("_value"))
+    mine = Window.partitionBy(*by).orderBy("_part")
+    before = F.last("_value", ignorenulls=True).over(mine.rowsBetween(Window.unboundedPreceding, -1))
+    spans = F.count("*").over(Window.partitionBy(*by)) > 1
+    return per.withColumn(into, before).withColumn("_spans", spans).filter("_spans").select("_part", *by, into)
 
-    With `by`, within each partition key.  Without, rows are range-partitioned by the key and
-    each range takes over the last table row of the ranges before it."""
+
+def nearest(df: DataFrame, key: str, table: DataFrame, table_key: str, value: str, into: str, side: str = "below", by: Sequence[str] = ()) -> DataFrame:
+    """Value of the table row whose key is the largest not above (`below`) or the smallest not below
+    (`above`), within the columns `by` if given; equal table keys give the smallest value.
+
+    Both sides are laid out in ranges of (by, key), so neither a hot key nor the lack of one puts
+    all rows into one task; each range takes over the last table row of the ranges before it."""
     kinds = dict(df.dtypes)
     sign = 1 if side == "below" else -1
-    left = df.withColumn("_k", F.col(key).cast("double")).withColumn("_side", F.lit(1)).withColumn("_v", F.lit(None).cast(dict(table.dtypes)[value]))
-    right = table.filter(F.col(table_key).isNotNull()).select(*by, F.col(table_key).cast("double").alias("_k"), F.col(value).alias("_v")).groupBy(*by, "_k").agg(F.min("_v").alias("_v")).withColumn("_side", F.lit(0))
+    left = df.withColumn("_o", F.col(key).cast("double") * sign).withColumn("_side", F.lit(1)).withColumn("_v", F.lit(None).cast(dict(table.dtypes)[value]))
+    right = table.filter(F.col(table_key).isNotNull()).select(*by, (F.col(table_key).cast("double") * sign).alias("_o"), F.col(value).alias("_v")).groupBy(*by, "_o").agg(F.min("_v").alias("_v")).withColumn("_side", F.lit(0))
     for c in df.columns:
         if c not in by:
             right = right.withColumn(c, F.lit(None).cast(kinds[c]))
-    both = left.select(*df.columns, "_k", "_side", "_v").unionByName(right.select(*df.columns, "_k", "_side", "_v"))
-    both = both.withColumn("_o", F.col("_k") * sign).withColumn("_has", F.when(F.col("_side") == 0, F.struct("_v")))
-    if by:
-        w = Window.partitionBy(*by).orderBy("_o", "_side").rowsBetween(Window.unboundedPreceding, 0)
-        out = both.withColumn("_f", F.last("_has", ignorenulls=True).over(w))
-    else:
-        ranges = both.repartitionByRange(parts, "_o").withColumn("_part", F.spark_partition_id())
-        last = ranges.filter("_side = 0").groupBy("_part").agg(F.max_by("_has", "_o").alias("_last"))
-        carry = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-        every = ranges.select("_part").distinct().join(last, "_part", "left").withColumn("_before", F.last("_last", ignorenulls=True).over(carry)).select("_part", "_before")  # `parts` rows
-        w = Window.partitionBy("_part").orderBy("_o", "_side").rowsBetween(Window.unboundedPreceding, 0)
-        out = ranges.join(F.broadcast(every), "_part", "left").withColumn("_f", F.coalesce(F.last("_has", ignorenulls=True).over(w), F.col("_before")))
-    return out.filter("_side = 1").select(*df.columns, F.when(F.col("_k").isNotNull(), F.col("_f._v")).alias(into))
+    names = [*df.columns, "_o", "_side", "_v"]
+    both = left.select(*names).unionByName(right.select(*names)).withColumn("_has", F.when(F.col("_side") == 0, F.struct("_v")))
+    ranges = in_ranges(both, [*by, "_o"])
+    over = carried(ranges, by, F.max_by("_has", F.when(F.col("_side") == 0, F.col("_o"))), "_before")
+    w = Window.partitionBy("_part", *by).orderBy("_o", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    out = ranges.join(F.broadcast(over), ["_part", *by], "left").withColumn("_f", F.coalesce(F.last("_has", ignorenulls=True).over(w), F.col("_before")))
+    return out.filter("_side = 1").select(*df.columns, F.when(F.col("_o").isNotNull(), F.col("_f._v")).alias(into))
 
 
 def hlookup(df: DataFrame, key: str, table: DataFrame, row_column: str, row: object, into: str) -> DataFrame:
@@ -65,9 +80,9 @@ def hlookup(df: DataFrame, key: str, table: DataFrame, row_column: str, row: obj
 
 def positions(table: DataFrame, order_by: Sequence[str]) -> DataFrame:
     """Adds `position`, 1-based in the given order, numbered by ranges rather than in one task."""
-    ordered = table.repartitionByRange(*order_by).withColumn("_part", F.spark_partition_id())
+    ordered = in_ranges(table, order_by)
     sizes = ordered.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")  # a row a partition
     inner = F.row_number().over(Window.partitionBy("_part").orderBy(*order_by))
     return ordered.join(F.broadcast(before), "_part").withColumn("position", F.col("_before") + inner).drop("_part", "_before")
 
@@ -79,8 +94,12 @@ def match_position(df: DataFrame, key: str, vector: DataFrame, value: str, posit
         return df.join(found, F.col(key) == F.col("_key"), "left").drop("_key")
     # the answer per distinct value is a running maximum of positions in value order
     top = vector.filter(F.col(value).isNotNull()).groupBy(value).agg(F.max(position).alias("_p"))
-    order = F.asc(value) if kind == 1 else F.desc(value)
-    running = top.withColumn("_p", F.max("_p").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    order = F.col(value).cast("double") * (1 if kind == 1 else -1)
+    ranges = in_ranges(top.withColumn("_o", order), ["_o"])
+    ends = ranges.groupBy("_part").agg(F.max("_p").alias("_end"))
+    before = ends.select("_part", F.max("_end").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))  # a row a partition
+    w = Window.partitionBy("_part").orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)
+    running = ranges.join(F.broadcast(before), "_part").withColumn("_p", F.greatest(F.max("_p").over(w), "_before"))
     return nearest(df, key, running, value, "_p", into, "below" if kind == 1 else "above")
 
 

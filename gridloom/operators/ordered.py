@@ -8,12 +8,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.typed import mixed_key
+from .lookups import in_ranges
 
 
 def rank_eq(df: DataFrame, column: str, by: Sequence[str], ascending: bool = False, into: str = "rank") -> DataFrame:
-    """1 + number of better values."""
-    order = F.asc(column) if ascending else F.desc(column)
-    return df.withColumn(into, F.when(F.col(column).isNotNull(), F.rank().over(Window.partitionBy(*by).orderBy(order))))
+    """1 + number of better values, within `by`; NULL for a blank.
+
+    Without `by`, values are counted first and ranked by ranges, so no task sees all rows."""
+    if by:
+        order = F.asc(column) if ascending else F.desc(column)
+        return df.withColumn(into, F.when(F.col(column).isNotNull(), F.rank().over(Window.partitionBy(*by).orderBy(order))))
+    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_n"))
+    ranges = in_ranges(counts.withColumn("_o", F.col(column).cast("double") * (1 if ascending else -1)), ["_o"])
+    sizes = ranges.groupBy("_part").agg(F.sum("_n").alias("_s"))
+    before = sizes.select("_part", F.coalesce(F.sum("_s").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))  # a row a partition
+    inner = F.coalesce(F.sum("_n").over(Window.partitionBy("_part").orderBy("_o").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = ranges.join(F.broadcast(before), "_part").select(column, (F.col("_b") + inner + 1).cast("int").alias(into))
+    return df.join(ranked, column, "left").select(*df.columns, into)
 
 
 def nth(df: DataFrame, column: str, k: int, by: Sequence[str], largest: bool = True) -> DataFrame:

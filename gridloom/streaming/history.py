@@ -30,10 +30,30 @@ def accept_step(version: pd.Timestamp | None, rows: pd.DataFrame) -> tuple[pd.Ti
     return version, out
 
 
+def fold_projects(saves: DataFrame, step, start: tuple, schema: str) -> DataFrame:
+    """Run a step function over each project's saves in time order, batch by batch.
+
+    Rows are sorted within partitions and read as a stream with the state of one project at
+    a time, so a project of any size needs the memory of one batch."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state = None, start
+        for batch in batches:
+            out = []
+            for project, rows in batch.groupby("project", sort=False, dropna=False):
+                state = state if last == (project,) else start
+                *state, made = step(*state, rows)
+                last = (project,)
+                out += made
+            yield pd.DataFrame(out, columns=names)
+
+    return saves.repartition("project").sortWithinPartitions("project", "saved_at", "event_id").mapInPandas(run, schema)
+
+
 def accept_saves(saves: DataFrame) -> DataFrame:
-    """saves(event_id, project, saved_at, base) -> each save with accepted or conflict.  One project is one group."""
-    names = [x.split()[0] for x in ACCEPT.split(", ")]
-    return saves.groupBy("project").applyInPandas(lambda rows: pd.DataFrame(accept_step(None, rows)[1], columns=names), ACCEPT)
+    """saves(event_id, project, saved_at, base) -> each save with accepted or conflict."""
+    return fold_projects(saves, accept_step, (None,), ACCEPT)
 
 
 def accept_stream(saves: DataFrame) -> DataFrame:
@@ -65,8 +85,7 @@ def keep_step(kept: tuple | None, current: tuple | None, rows: pd.DataFrame) ->
 
 def snapshot_trail(saves: DataFrame, versions: int = VERSIONS) -> DataFrame:
     """saves(event_id, project, saved_at, content, forced) -> kept versions, the newest `versions` of each project."""
-    names = [x.split()[0] for x in TRAIL.split(", ")]
-    kept = saves.groupBy("project").applyInPandas(lambda rows: pd.DataFrame(keep_step(None, None, rows)[2], columns=names), TRAIL)
+    kept = fold_projects(saves, keep_step, (None, None), TRAIL)
     newest = Window.partitionBy("project").orderBy(F.desc("saved_at"), F.desc("event_id"))
     return kept.withColumn("version_no", F.row_number().over(newest)).filter(F.col("version_no") <= versions)
 
