@@ -37,7 +37,7 @@ def normal(frame):
     """Rows as sorted tuples of text, numbers to nine digits."""
 
     def cell(x):
-        if x is None or x != x:
+        if x is None or type(x).__name__ in ("NAType", "NaTType") or x != x:
             return "NULL"
         if isinstance(x, bool) or type(x).__name__ == "bool_":
             return str(bool(x))
