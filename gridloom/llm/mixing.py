@@ -34,8 +34,9 @@ from .shared import named, table
 
 CYCLE = 1_000
 BLOCK_ROWS = 16
-#: Rows numbered in one task, about.
-PART_ROWS = 50_000
+#: Rows of a source numbered together, about; small sources and tables get up to PARTS
+#: parts of at least LEAST_ROWS, so that a large source is dealt evenly over tasks.
+PART_ROWS, LEAST_ROWS, PARTS = 50_000, 500, 256
 
 
 def let(value: Column, body) -> Column:
@@ -75,7 +76,7 @@ def shares_of(weights: Column, cycle: int = CYCLE) -> Column:
 def numbered(df: DataFrame, source: str, key: Sequence[str], part_rows: int = PART_ROWS) -> DataFrame:
     """Adds `_n`: the row's number from 0 within its source, in the order of a hash of `key`."""
     largest = df.groupBy(named(source)).count().agg(F.max("count")).first()[0] or 0
-    parts = max(1, -(-largest // part_rows))
+    parts = max(1, -(-largest // part_rows), min(PARTS, largest // LEAST_ROWS))
     order = F.xxhash64(*[named(k) for k in key])
     marked = df.withColumn("_h", order).withColumn("_part", (F.shiftrightunsigned("_h", 33) * F.lit(parts) / F.lit(2**31)).cast("int"))
     marked = marked.withColumn("_source", F.coalesce(F.concat(F.lit("="), named(source).cast("string")), F.lit("")))
