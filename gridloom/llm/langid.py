@@ -30,6 +30,8 @@ from .shared import crc_part, table, with_text_columns
 #: Sampled documents, and n-grams in the filter, per language.
 SAMPLE, GRAMS = 2_000, 6_000
 GRAM, HASHES = 4, 3
+#: Up to this many languages their counts are broadcast (some 100 bytes each).
+BROADCAST_LANGS = 20_000
 CELLS = 1 << 18
 NOT_LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -110,7 +112,9 @@ def fit(documents: DataFrame, sample: int = SAMPLE, grams: int = GRAMS) -> Filte
     rows = documents.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (crc_part("doc_id", 4) != 2))
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
     chance = F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1_000_000))
-    chosen = rows.select("doc_id", "lang", "text").join(sizes, "lang").filter(chance < F.lit(1_000_000.0) * sample / F.col("n")).select("lang", "text")
+    # a row a language: sent to all tasks where their number is small, so that texts are not shuffled by language
+    few = sizes.count() <= BROADCAST_LANGS
+    chosen = rows.select("doc_id", "lang", "text").join(F.broadcast(sizes) if few else sizes, "lang").filter(chance < F.lit(1_000_000.0) * sample / F.col("n")).select("lang", "text")
 
     def count(batches):
         held: dict[str, list[np.ndarray]] = {}
