@@ -90,8 +90,8 @@ def anchored_regions(docs: DataFrame, id_column: str = "doc_id", text: str = "te
     fenced = F.sum(F.col("line").rlike(r"^[ \t]{0,3}(```|~~~)").cast("int")).over(doc) % 2 == 1
     anchor = F.col("line").rlike(ANCHOR) & ~fenced
     marked = lines.withColumn("is_anchor", anchor).withColumn("region", F.sum(F.col("is_anchor").cast("int")).over(doc))
-    head = F.max(F.when("is_anchor", F.regexp_extract("line", ANCHOR, 1)))
-    options = F.max(F.when("is_anchor", F.regexp_extract("line", ANCHOR, 3)))
+    head = F.max(F.when(F.col("is_anchor"), F.regexp_extract("line", ANCHOR, 1)))
+    options = F.max(F.when(F.col("is_anchor"), F.regexp_extract("line", ANCHOR, 3)))
     body = F.array_sort(F.collect_list(F.when(~F.col("is_anchor"), F.struct("no", "line"))))
     regions = marked.groupBy(id_column, "region").agg(head.alias("block_id"), options.alias("_o"), F.array_join(F.transform(body, lambda x: x["line"]), "\n").alias("md"))
     kept = regions.filter(F.col("block_id").isNotNull() | (F.trim("md") != ""))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregation, lookup, scalar, sheet  # noqa: F401
+from . import aggregation, lookup, more, scalar, sheet  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
