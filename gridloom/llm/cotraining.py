@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .quality import measure
-from .shared import crc_part, sampled, table, with_text_columns
+from .shared import crc_part, sampled, set_apart, table, with_text_columns
 
 LABELLED, UNLABELLED = 6_000, 6_000
 ROUNDS, SURE, RIGHT = 5, 0.95, 0.97
@@ -146,7 +146,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> Views | float:
     rows = sorted(lab.unionByName(unl).collect(), key=lambda r: (r["doc_id"], r["quality"]))
     y = np.array([r["quality"] for r in rows], int)
     labelled = y >= 0
-    apart = labelled & (np.array([r["doc_id"] * 2654435761 % 4 == 0 for r in rows], bool) if rows else labelled)
+    apart = labelled & (np.array([set_apart(r["doc_id"], 4, "co-training") for r in rows], bool) if rows else labelled)
     if len(set(y[labelled & ~apart])) < 2 or len(set(y[apart])) < 2:
         return float(y[labelled].mean()) if labelled.any() else 0.5
     text = np.array([r["_text"] for r in rows], float)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -44,6 +45,11 @@ def crc_part(id_column: str, modulus: int) -> Column:
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % modulus
 
 
+def set_apart(row_id: int, one_in: int, salt: str) -> bool:
+    """Whether a fitting row is kept for calibration: about one row in `one_in`, whatever the ids look like."""
+    return zlib.crc32(f"{salt}:{row_id}".encode()) % one_in == 0
+
+
 def sampled(df: DataFrame, rows: int, available: int, *key: str) -> DataFrame:
     """About `rows` of `available` rows, chosen by a hash of `key`, the same on every run."""
     if available <= rows:

@@ -29,13 +29,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import crc_part, materialise, sampled, table, with_text_columns
+from .shared import crc_part, materialise, sampled, set_apart, table, with_text_columns
 
 #: Labelled documents used for fitting, and terms kept, at most (about).
 EXAMPLES, TERMS = 16_000, 4_096
 #: A term needs this many sampled documents of label 1, this z score of its log odds, and
 #: to be so many times as frequent among them as among the others.
-LEAST_DOCS, LEAST_Z, LEAST_RATIO = 4, 3.0, 12.0
+LEAST_DOCS, LEAST_Z, LEAST_RATIO = 4, 3.3, 25.0
 BEGINNINGS = (4, 5, 6)  # bytes of a word's beginning that form a term of their own
 NEIGHBOURS, BLOCK = 15, 64
 #: Everything in ASCII but letters is a gap; capitals become small.
@@ -199,8 +199,8 @@ def fit(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms
     found = with_text_columns(sample, "text", "t array<int>, w array<double>", vectors, ["doc_id", "toxic"])
     rows = [(r["doc_id"], r["toxic"], dict(zip(r["t"], r["w"]))) for r in found.filter(F.size("t") > 0).collect()]
     free = found.filter(F.size("t") == 0).agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("n1")).first()
-    held = [x for x in rows if x[0] * 2654435761 % 5 == 0]
-    index = Model.build(names, idf, [x for x in rows if x[0] * 2654435761 % 5 != 0])
+    held = [x for x in rows if set_apart(x[0], 5, "toxicity")]
+    index = Model.build(names, idf, [x for x in rows if not set_apart(x[0], 5, "toxicity")])
     votes = np.array([index.vote(index.nearest(v)) for _, _, v in held] + [0.0])
     index.slope, index.offset = _platt(votes, np.array([y for _, y, _ in held] + [0.0]))
     index.empty = (free["n1"] + 0.5) / (free["n"] + 5)
