@@ -131,7 +131,7 @@ def harmean(x: Column) -> Column:
 def avedev(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     """Mean distance from the mean: two passes joined by group."""
     means = df.groupBy(*by).agg(F.avg(column).alias("_mean"))
-    joined = df.join(means, list(by)) if by else df.crossJoin(F.broadcast(means))  # one row
+    joined = df.join(means, list(by)) if by else df.withColumn("_mean", means.scalar())
     return joined.groupBy(*by).agg(F.avg(F.abs(F.col(column) - F.col("_mean"))).alias("avedev"))
 
 
@@ -238,9 +238,9 @@ def table_profile(df: DataFrame) -> DataFrame:
 def fold_series(df: DataFrame, series: str, order_by: str, value: str, by: Sequence[str], keep: int = 8, rest: str = "기타") -> DataFrame:
     """More than `keep` series: the first keep - 1 stay, the others are added up; missing counts as 0."""
     first = df.groupBy(series).agg(F.min(order_by).alias("_first"))
-    ranked = first.orderBy("_first", series).limit(keep + 1).select(series)
-    numbered = ranked.withColumn("_no", F.row_number().over(Window.orderBy(F.lit(1))))  # keep + 1 rows at most
-    many = numbered.agg((F.count("*") > keep).alias("_many"))
-    kept = numbered.crossJoin(F.broadcast(many)).filter(~F.col("_many") | (F.col("_no") < keep)).select(series, F.lit(True).alias("_kept"))
+    ranked = first.orderBy("_first", series).limit(keep + 1)
+    numbered = ranked.withColumn("_no", F.row_number().over(Window.orderBy("_first", series)))  # keep + 1 rows at most
+    many = ranked.agg(F.count("*") > keep)
+    kept = numbered.withColumn("_many", many.scalar()).filter(~F.col("_many") | (F.col("_no") < keep)).select(series, F.lit(True).alias("_kept"))
     named = df.join(F.broadcast(kept), series, "left").withColumn(series, F.when(F.col("_kept"), F.col(series)).otherwise(F.lit(rest)))
     return named.groupBy(*by, series).agg(F.sum(F.coalesce(F.col(value), F.lit(0.0))).alias(value))
