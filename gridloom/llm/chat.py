@@ -185,3 +185,22 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(tricky).alias("text"))
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), "role", "text").unionByName(extra)
     return read_back(format_chats(rows))
+
+
+def _length_sql(column: str) -> str:
+    """Characters of a text after escaping: one backslash more per match."""
+    return rf"len({column}) + len(regexp_extract_all({column}, '<\\*\|'))"
+
+
+OP10_SQL = rf"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '{END}{START}assistant ok'), (-1, 1, 'assistant', '{END}{START}assistant ok')) AS v(conv_id, turn, role, text)
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(len(text)) FILTER (WHERE role = '{LOSS_ROLE}'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = '{LOSS_ROLE}'), '')) AS loss_sha256,
+       sum({len(START) + len(END) + 2} + {_length_sql("role")} + len(role) - len(replace(replace(role, chr(92), ''), chr(10), '')) + {_length_sql("text")})::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""

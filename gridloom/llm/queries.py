@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op8_byte_bpe
-from .chat import op10_chat_format
+from .chat import OP10_SQL, op10_chat_format
 from .cotraining import op5_cotraining
 from .langid import op3_language_id
 from .licenses import OP6_SQL, op6_license_scan
@@ -30,4 +30,5 @@ ORACLE_SQL: dict[str, str] = {
     "op1_pivot_topk": OP1_SQL,
     "op2_quality_rules": OP2_SQL,
     "op6_license_scan": OP6_SQL,
+    "op10_chat_format": OP10_SQL,
 }
