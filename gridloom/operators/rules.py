@@ -30,8 +30,9 @@ def criteria(column: Column, spec: float | str, numeric: bool | None = None) ->
     """Predicate of a criterion: a number equals; `< > <= >= <> =` compare; `*` and `?`
     match without case; other text equals without case; an empty operand means blank.
     Never NULL.  `numeric` says whether the column holds numbers (guessed from the operand)."""
+    # NULL-free by null tests rather than coalesce, so that filters still reach the scan
     if not isinstance(spec, str):
-        return F.coalesce(column == F.lit(spec), F.lit(False))
+        return column.isNotNull() & (column == F.lit(spec))
     sign = next((s for s in COMPARE if spec.startswith(s)), "")
     rest = spec[len(sign) :]
     try:
@@ -42,20 +43,21 @@ def criteria(column: Column, spec: float | str, numeric: bool | None = None) ->
     if rest == "":
         return ~blank if sign == "<>" else blank
     if number is not None and numeric is not False:
-        found = COMPARE[sign or "="](column.cast("double"), F.lit(number))
-        return F.coalesce(found, F.lit(sign == "<>"))
+        value = column.cast("double")
+        found = COMPARE[sign or "="](value, F.lit(number))
+        return value.isNull() | found if sign == "<>" else value.isNotNull() & found
     text = F.lower(column.cast("string"))
     if sign in ("", "=", "<>") and re.search(r"[*?]", rest):
         found = column.cast("string").rlike(wildcard(rest))
         found = ~found if sign == "<>" else found
     else:
         found = COMPARE[sign or "="](text, F.lit(rest.lower()))
-    return F.coalesce(found, F.lit(sign == "<>"))
+    return column.isNull() | found if sign == "<>" else column.isNotNull() & found
 
 
 def filter_rows(df: DataFrame, mask: Column, if_empty: Sequence | None = None) -> DataFrame:
     """Rows whose mask is true; if there are none, the fallback row when one is given."""
-    kept = df.filter(F.coalesce(mask, F.lit(False)))
+    kept = df.filter(mask)  # NULL is not kept
     if if_empty is None:
         return kept
     fallback = df.sparkSession.createDataFrame([tuple(if_empty)], df.schema)
