@@ -250,7 +250,6 @@ def components(links: DataFrame) -> DataFrame:
             break
         both = links.select(F.col("a").alias("node"), F.col("b").alias("low")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("low")))
         low = both.groupBy("node").agg(F.min("low").alias("low")).select("node", F.least("node", "low").alias("low"))
-        # a node whose smallest neighbour is larger stays its own root; chains of `low` only go down
         jump = low.alias("x").join(low.alias("y"), F.col("x.low") == F.col("y.node"), "left").select(F.col("x.node").alias("node"), F.coalesce("y.low", "x.low").alias("low"))
         jump = materialise(jump)
         steps.append(jump)
@@ -273,8 +272,10 @@ def with_components(marked: DataFrame, bits: int = 4) -> DataFrame:
     linked = components(near_links(codes, bits))
     labels = codes.join(linked, codes.fp == linked.node, "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     labels = materialise(labels)
-    least = labels.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = labels.join(least, "label").select("fp", "component_id")
+    # a written table of the components of several codes: both sides of the join are then plain
+    # exchanges, of which Spark can split a hot label's partition
+    several = materialise(labels.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("n")).filter("n > 1").select("label", "component_id", F.lit(True).alias("several")))
+    named = labels.join(several, "label", "left").select("fp", F.when(F.col("several"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
     return marked.join(named, "fp", "left")
 
 
