@@ -238,11 +238,14 @@ def near_links(codes: DataFrame, bits: int = 4) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """Links (a, b) between bigints -> (node, label): the smallest node of each node's component.
+    """Links (a, b) between bigints -> (node, label), both hashed: xxhash64 of a node, and one label a component.
 
     Each round gives every node the smallest label among its own and its neighbours'
-    and then jumps to that label's label.  The edges are replaced by edges between
-    labels, so they shrink, and rounds grow with the logarithm of the longest chain."""
+    and then jumps to that label's label; links become links between labels.  Nodes
+    are compared by their hash, which is one to one on bigints: in a random order a
+    constant share of the nodes falls away each round, so rounds grow with the logarithm of
+    the number of nodes, also along chains of neighbouring numbers."""
+    links = links.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
     links = materialise(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     steps = []
     while True:
@@ -270,7 +273,8 @@ def with_components(marked: DataFrame, bits: int = 4) -> DataFrame:
     of null ids only has a null id."""
     codes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     linked = components(near_links(codes, bits))
-    labels = codes.join(linked, codes.fp == linked.node, "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
+    hashed = codes.withColumn("node", F.xxhash64("fp"))
+    labels = hashed.join(linked, "node", "left").select("fp", "least", F.coalesce("label", "node").alias("label"))
     labels = materialise(labels)
     # a written table of the components of several codes: both sides of the join are then plain
     # exchanges, of which Spark can split a hot label's partition

@@ -242,6 +242,13 @@ def test_components_of_many_close_codes(spark, monkeypatch):
     assert [got[i] for i in range(300)] == brute_components(codes, 4)
 
 
+def test_components_of_a_chain(spark):
+    links = spark.range(400).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).unionByName(spark.createDataFrame([(-5, -6), (7, 7)], "a long, b long"))
+    got = simhash.components(links)
+    assert got.select("label").distinct().count() == 2 and got.count() == 403
+    assert got.groupBy("label").count().orderBy("count").first()["count"] == 2
+
+
 def test_gray_rank(spark):
     rows = spark.range(256).select(F.col("id").bitwiseXOR(F.shiftright("id", 1)).alias("g"), "id").select((simhash.gray_rank(F.col("g")).bitwiseXOR(F.lit(-(2**63)))).alias("r"), "id").collect()
     assert all(r.r == r.id for r in rows)
