@@ -138,10 +138,11 @@ def features(documents: DataFrame, keep: list[str]) -> DataFrame:
 def fit(documents: DataFrame, labels: DataFrame) -> Views | float:
     """Fitted views, or the share of label 1 where there is nothing to learn."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (crc_part("doc_id", 5) != 0)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    some = sampled(known, LABELLED, known.count(), "doc_id").withColumn("_kind", F.lit(1))
+    some = sampled(known, LABELLED, known.count(), "doc_id")
     there = documents.filter(F.col("doc_id").isNotNull() & (crc_part("doc_id", 5) != 0))
     rest = sampled(there, UNLABELLED, there.count(), "doc_id").join(known, "doc_id", "left_anti")
-    lab = features(documents.join(some.select("doc_id", "quality"), "doc_id"), ["doc_id", "quality"])
+    # about LABELLED rows of two numbers at most go to all tasks; texts are not shuffled for them
+    lab = features(documents.join(F.broadcast(some.select("doc_id", "quality")), "doc_id"), ["doc_id", "quality"])
     unl = features(rest.withColumn("quality", F.lit(-1)), ["doc_id", "quality"])
     rows = sorted(lab.unionByName(unl).collect(), key=lambda r: (r["doc_id"], r["quality"]))
     y = np.array([r["quality"] for r in rows], int)

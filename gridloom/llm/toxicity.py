@@ -160,7 +160,8 @@ def labelled(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES)
     """doc_id, text, toxic of a hash sample of the labelled rows that may be learned from."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (crc_part("doc_id", 5) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = sampled(known, examples, known.count(), "doc_id")
-    return documents.select("doc_id", "text").join(chosen, "doc_id").dropDuplicates(["doc_id"])
+    # `chosen` has about `examples` rows of two numbers at most, so it may go to all tasks
+    return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
 
 
 def fit(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS) -> Model:
