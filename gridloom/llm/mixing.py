@@ -36,7 +36,7 @@ CYCLE = 1_000
 BLOCK_ROWS = 16
 #: Rows of a source numbered together, about; small sources and tables get up to PARTS
 #: parts of at least LEAST_ROWS, so that a large source is dealt evenly over tasks.
-PART_ROWS, LEAST_ROWS, PARTS = 50_000, 500, 256
+PART_ROWS, LEAST_ROWS, PARTS = 50_000, 50, 256
 
 
 def let(value: Column, body) -> Column:
