@@ -36,25 +36,35 @@ FULL = np.uint64(2**64 - 1)
 BYTE_BITS = ((np.arange(256, dtype=np.uint16)[:, None] >> np.arange(8)) & 1).astype(np.uint16)
 
 
-def fingerprint_text(text: bytes | None, shingle: int = 4) -> int:
-    """Bit i is 1 if it is set in over half of the XXH64 hashes of the word shingles.
+def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
+    """XXH64 of every word shingle, a shorter text being one; none of a wordless text.
 
     On UTF-8 bytes, lower() changes A-Z only and split() cuts at x20 and x09-x0D only."""
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
     raw = np.frombuffer(line, np.uint8)
     gaps = np.flatnonzero(raw == 32)
     starts, ends = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(raw)]])
     n = max(1, len(words) - shingle + 1)
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[-n:].tolist())], np.uint64)
+    return np.array([digest(line[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[-n:].tolist())], np.uint64)
+
+
+def code_of(hashes: np.ndarray) -> int:
+    """Bit i is 1 if it is set in over half of the hashes."""
     lanes = hashes.view(np.uint8).reshape(-1, 8)
     counts = np.concatenate([np.bincount(lanes[:, k], minlength=256) @ BYTE_BITS for k in range(8)])
     return int(sum(1 << i for i in np.flatnonzero(counts * 2 > len(hashes)).tolist()))
 
 
+def fingerprint_text(text: bytes | None, shingle: int = 4) -> int:
+    """The code of the text's word shingles; 0 of a wordless text."""
+    hashes = shingle_hashes(text, shingle)
+    return code_of(hashes) if len(hashes) else 0
+
+
 def fingerprints(df: DataFrame, text: str = "text", keep: Sequence[str] | None = ("doc_id",), shingle: int = 4, into: str = "fp") -> DataFrame:
     """Columns `keep` (None: all) plus `into`, a bigint that holds the 64 bits."""
 
