@@ -36,7 +36,7 @@ RULES = {
 POLICIES = {
     "base": ("too_few_words", "repeated_words"),
     "v1": ("too_few_words", "repeated_words", "symbols", "duplicate_lines"),
-    "v2": tuple(RULES),
+    "v2": tuple(r for r in RULES if r != "too_many_words"),  # length alone is measured, never a reason to drop
 }
 
 
