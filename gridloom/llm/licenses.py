@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from .shared import named, table
 
 #: A line that states whose copyright it is: no part of a licence's text.
-COPYRIGHT_LINE = r"(^|\n)[ \t#*/;-]*((copyright[ \t]*(\(c\)|©|[0-9]{4}|by )|\(c\)|©)[^\n]*|all rights reserved[. \t]*)($|\n)"
+COPYRIGHT_LINE = r"(^|(?<=\n))[ \t#*/;-]*((copyright[ \t]*(\(c\)|©|[0-9]{4}|by )|\(c\)|©)[^\n]*|all rights reserved[. \t]*\r?)(?=\n|\z)"
+#: The SQL's form, which takes the newline after a line with it: of adjacent lines only every other one goes.
+SQL_COPYRIGHT_LINE = r"(^|\n)[ \t#*/;-]*((copyright[ \t]*(\(c\)|©|[0-9]{4}|by )|\(c\)|©)[^\n]*|all rights reserved[. \t]*)($|\n)"
 NOT_WORD = r"[^\p{L}\p{N}]+"
 #: Spellings that count as equal, after public matching guidelines for licence texts.
 SPELLINGS = {
@@ -109,7 +111,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _canonical_sql(text: str) -> str:
-    out = f"regexp_replace(lower(coalesce({text}, '')), '{COPYRIGHT_LINE}', chr(10), 'g')"
+    out = f"regexp_replace(lower(coalesce({text}, '')), '{SQL_COPYRIGHT_LINE}', chr(10), 'g')"
     out = f"' ' || trim(regexp_replace({out}, '{NOT_WORD}', ' ', 'g')) || ' '"
     for old, new in SPELLINGS.items():
         if old != new:
