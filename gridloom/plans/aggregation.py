@@ -48,6 +48,14 @@ def product_sumsq_sumproduct(spark, sf_dir):
     return rows.groupBy("l_linestatus").agg(F.round(A.product(1 + c("l_discount")), 6).alias("growth"), F.round(A.sum_squares(c("l_tax")), 6).alias("squares"), F.round(A.sumproduct(c("l_extendedprice"), 1 - c("l_discount"), c("l_returnflag") == "N"), 2).alias("net"))
 
 
+@query("""SELECT l_suppkey, l_linestatus, round(exp(sum(ln(1 + l_discount))), 6) AS growth, round(sum(l_tax * l_tax), 6) AS squares, round(sum(l_extendedprice * (1 - l_discount) * (l_returnflag = 'N')::INT), 2) AS net
+FROM lineitem GROUP BY 1, 2""")
+def product_sumsq_sumproduct_all(spark, sf_dir):
+    """The same over every row, by supplier, as a product over the whole table exceeds a double."""
+    c = F.col
+    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_linestatus").agg(F.round(A.product(1 + c("l_discount")), 6).alias("growth"), F.round(A.sum_squares(c("l_tax")), 6).alias("squares"), F.round(A.sumproduct(c("l_extendedprice"), 1 - c("l_discount"), c("l_returnflag") == "N"), 2).alias("net"))
+
+
 @query("""SELECT l_shipmode_key, median(l_quantity) AS median, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90, round(quantile_cont(l_extendedprice, 0.25), 4) AS q1, round(quantile_cont(l_extendedprice, 0.75), 4) AS q3
 FROM (SELECT *, l_linenumber AS l_shipmode_key FROM lineitem) GROUP BY 1""")
 def percentiles(spark, sf_dir):

@@ -91,6 +91,15 @@ def version_counts(spark, sf_dir):
     return every.join(kept, "user_id", "left").select("user_id", F.lit(1).cast("bigint").alias("kind"), (F.coalesce("n", F.lit(0)) + 1).alias("n"))
 
 
+@query("""SELECT user_id, count(*) AS n FROM events GROUP BY ALL""")
+def version_counts_all(spark, sf_dir):
+    """The same over the saves of every event."""
+    saves = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("project"), F.col("ts").cast("timestamp").alias("saved_at"), F.col("event_id").cast("string").alias("content"), F.lit(True).alias("forced"))
+    kept = T.snapshot_trail(saves, 1_000_000).groupBy(F.col("project").alias("user_id")).agg(F.count("*").alias("n"))
+    every = saves.select(F.col("project").alias("user_id")).distinct()
+    return every.join(kept, "user_id", "left").select("user_id", (F.coalesce("n", F.lit(0)) + 1).alias("n"))
+
+
 @query("""SELECT o_orderkey, least(6, greatest(1, (o_custkey % 6) + 1)) BETWEEN 1 AND 6 AS inside FROM orders""")
 def random_between(spark, sf_dir):
     dice = X.rand_between(1, 6, 7)

@@ -324,6 +324,13 @@ def reading_orders(spark, sf_dir):
     return D.reading_order(blocks, "user_id", "event_id").select("user_id", "event_id", "place")
 
 
+@query("""SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 10, event_id)::INTEGER - 1 AS place FROM events""")
+def reading_orders_all(spark, sf_dir):
+    """The same for the blocks of every user."""
+    blocks = table(spark, sf_dir, "events").select("user_id", "event_id", ((F.col("event_id") % 10) * 100.0).alias("y"), F.col("event_id").cast("double").alias("x"))
+    return D.reading_order(blocks, "user_id", "event_id").select("user_id", "event_id", "place")
+
+
 @query("""SELECT event_id, user_id AS project, CASE WHEN event_type IN ('click', 'view') THEN 'accepted' ELSE 'conflict' END AS outcome FROM events""")
 def accepted_saves(spark, sf_dir):
     """Clicks and views save without a base, the rest with one that never was a version."""
