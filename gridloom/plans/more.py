@@ -54,6 +54,12 @@ def findings(spark, sf_dir):
     return D.verify(blocks, boxes).select("path", "message")
 
 
+@query()
+def document_findings(spark, sf_dir):
+    """The structure rules on the blocks of all documents."""
+    return D.verify(D.split_blocks(table(spark, sf_dir, "documents"))).select("path", "level", "message")
+
+
 @query("""SELECT 'p!' || lower(o_orderstatus) || '!' || (o_orderkey % 6) || '!' || c AS cell FROM (SELECT DISTINCT o_orderstatus, o_orderkey % 6 AS o_orderkey FROM orders WHERE o_orderkey % 6 IN (1, 2)), (VALUES (1), (2), (3)) v(c)""")
 def cells_on_cycles(spark, sf_dir):
     """Rows 1 and 2 of each sheet hold A -> B -> C -> A; other rows a chain."""

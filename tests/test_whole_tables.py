@@ -14,3 +14,10 @@ def test_all_rows_take_part(spark):
     squares = queries["product_sumsq_sumproduct_all"](spark, SF).agg(F.sum("squares")).first()[0]
     whole = spark.read.parquet(f"{SF}/lineitem.parquet").agg(F.sum(F.col("l_tax") * F.col("l_tax"))).first()[0]
     assert abs(squares - whole) < 1e-3
+
+
+def test_document_findings(spark, tmp_path):
+    texts = ["# a\n\n### b\n\ntext", "# a\n\n## b\n\n# c", "```chart\n{broken\n```", '```chart\n{"type": "bar"}\n```', "| a | b |\n|---|---|\n", "| a | b |\n|---|---|\n| 1 | 2 |\n", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.path.split("/")[1], r.message) for r in catalogue.queries()["document_findings"](spark, str(tmp_path)).collect()}
+    assert got == {("0", "heading skips from 1 to 3"), ("2", "unreadable chart"), ("4", "empty table")}
