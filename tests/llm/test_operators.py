@@ -12,7 +12,7 @@ import xxhash
 from conftest import SF, normal
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, chat, cotraining, langid, licenses, mixing, quality, queries, simhash, topk, toxicity
+from gridloom.llm import bpe, chat, cotraining, langid, licenses, mixing, quality, queries, simhash, topk
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -286,44 +286,6 @@ def test_long_words(reference_encoding):
     assert bpe.merge_long(word.encode(), ranks) == reference_encoding.encode_ordinary(word)
 
 
-# 9 ---------------------------------------------------------------------------------
-
-
-def test_nearest_is_exact():
-    random.seed(4)
-    terms = [f"t{i}".encode() for i in range(30)]
-    made = []
-    for i in range(400):
-        v = {t: random.random() for t in random.sample(range(30), random.choice([1, 2, 5]))}
-        norm = sum(x * x for x in v.values()) ** 0.5
-        made.append((i, i % 2, {t: x / norm for t, x in v.items()}))
-    model = toxicity.Model.build(terms, np.ones(30), made)
-    for _, _, query in made[::7]:
-        scores = sorted((-round(sum(x * v.get(t, 0) for t, x in query.items()), 12), i) for i, _, v in made)
-        want = [(i, -s) for s, i in scores if s < 0][:15]
-        assert model.nearest(dict(sorted(query.items()))) == want
-
-
-def test_toxicity(spark):
-    calm, rude = ["the river runs by the old mill and the trees", "we walked over the hill to see the sea today"], ["idiot", "moron", "scum"]
-    random.seed(5)
-    texts = []
-    for i in range(300):
-        words = " ".join(random.choice(calm) for _ in range(6)).split()
-        random.shuffle(words)
-        if i % 5 == 0:
-            words[3:3] = random.sample(rude, 2)
-        texts.append(" ".join(words))
-    frame = docs_of(spark, texts + ODD_TEXTS, extra=True)
-    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(300)] + [(None, 1), (1, None)], "doc_id long, toxic int")
-    model = toxicity.fit(frame, labels)
-    got = {r.doc_id: r for r in toxicity.score(frame, model).collect()}
-    assert all(got[i].predicted == int(i % 5 == 0) for i in range(300)) and set(got[0].evidence) & {"idiot", "moron", "scum"}
-    assert all(0 <= r.score <= 1 for r in got.values()) and not any(got[300 + k].predicted for k in range(len(ODD_TEXTS)))
-    none = toxicity.score(frame, toxicity.fit(frame, labels.limit(0)))
-    assert none.filter("score <> 0").count() == 0
-
-
 # 10 --------------------------------------------------------------------------------
 
 
