@@ -2,10 +2,10 @@
 
 1. Fingerprint every text (Arrow step, no shuffle); equal fingerprints are grouped
    first, so copies never meet each other as rows.
-2. Two fingerprints with at most `bits` differing bits agree on one of `bits + 1`
-   bands.  Each fingerprint is dealt once per band; rows are range-partitioned by
-   (band, band value, Gray rank), so even a hot band value is spread over tasks, and
-   cut into chunks of bounded size.
+2. Two fingerprints with at most `bits` differing bits agree on one of some masks
+   (`bits + 1` bands, or combinations of more and narrower ones in large tables).  Each
+   fingerprint is dealt once per mask; rows are range-partitioned by (mask, value, Gray
+   rank), so even a hot value is spread over tasks, and cut into chunks of bounded size.
 3. A chunk is a tree: codes are sorted by Gray rank, each node holds the masked bit
    pattern that its codes share.  Two nodes are compared by adding the differences
    of the bits first fixed at their level to those found above; groups beyond `bits`
@@ -19,6 +19,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -81,14 +82,23 @@ def gray_rank(code: Column) -> Column:
     return code.bitwiseXOR(F.lit(-(2**63)))
 
 
-def bands(bits: int) -> list[tuple[int, int]]:
-    """(shift, width) of `bits + 1` bands that cover the fingerprint."""
-    cuts = [round(WIDTH * i / (bits + 1)) for i in range(bits + 2)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+def band_masks(bits: int, codes: int) -> list[int]:
+    """Masks of which two fingerprints within `bits` agree on at least one.
 
+    The fingerprint is cut into `bits + c` pieces, and c of them make a mask: at most
+    `bits` pieces differ, so some c agree.  With c = 1 a mask has 64 / (bits + 1) bits; c
+    grows until a mask value holds no more than a chunk of `codes` codes spread evenly, so that the
+    work of a value does not grow with the table.  Links are the same for every c."""
+    c = 1
+    while codes > CHUNK << (WIDTH * c // (bits + c)) and c < WIDTH - bits:
+        c += 1
+    cuts = [round(WIDTH * i / (bits + c)) for i in range(bits + c + 1)]
+    pieces = [(1 << hi) - (1 << lo) for lo, hi in zip(cuts, cuts[1:])]
+    return [sum(chosen) for chosen in combinations(pieces, c)]
 
-def band_value(fp: Column, shift: int, width: int) -> Column:
-    return F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit(2**width - 1))
+
+def signed(code: int) -> int:
+    return code - 2**64 if code >= 2**63 else code
 
 
 class Tree:
@@ -231,9 +241,8 @@ def _across(bits: int):
 def near_links(codes: DataFrame, bits: int = 4) -> DataFrame:
     """Distinct codes (`fp`) -> (a, b): links whose components are those of all pairs within `bits`.
 
-    `codes` is read once per band and should be a written table."""
-    dealt = None
-    parts = [F.struct(F.lit(k).alias("band"), band_value(F.col("fp"), *place).alias("value")) for k, place in enumerate(bands(bits))]
+    `codes` is read twice and should be a written table."""
+    parts = [F.struct(F.lit(k).alias("band"), F.col("fp").bitwiseAND(F.lit(signed(mask)).cast("bigint")).alias("value")) for k, mask in enumerate(band_masks(bits, codes.count()))]
     dealt = codes.select("fp", F.explode(F.array(*parts)).alias("p")).select("p.band", "p.value", "fp", gray_rank(F.col("fp")).alias("rank"))
     ordered = dealt.repartitionByRange("band", "value", "rank").sortWithinPartitions("band", "value", "rank").select("band", "value", "fp")
     chunks = materialise(ordered.mapInArrow(_chunks, "band int, value bigint, codes array<bigint>, mask bigint, pattern bigint").withColumn("chunk", F.monotonically_increasing_id()))
@@ -258,9 +267,7 @@ def components(links: DataFrame) -> DataFrame:
     links = links.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
     links = materialise(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     steps = []
-    while True:
-        if links.isEmpty():
-            break
+    while not links.isEmpty():
         both = links.select(F.col("a").alias("node"), F.col("b").alias("low")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("low")))
         low = both.groupBy("node").agg(F.min("low").alias("low")).select("node", F.least("node", "low").alias("low"))
         jump = low.alias("x").join(low.alias("y"), F.col("x.low") == F.col("y.node"), "left").select(F.col("x.node").alias("node"), F.coalesce("y.low", "x.low").alias("low"))
@@ -270,9 +277,10 @@ def components(links: DataFrame) -> DataFrame:
         links = materialise(moved.filter("la <> lb").select(F.greatest("la", "lb").alias("a"), F.least("la", "lb").alias("b")).distinct())
     if not steps:
         return links.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    # the nodes of a step are labels of the step before, so each table stands in the plan once
     out = steps[-1].select("node", F.col("low").alias("label"))
     for step in reversed(steps[:-1]):
-        out = step.join(out.select(F.col("node").alias("low"), "label"), "low", "left").select("node", F.coalesce("label", "low").alias("label")).unionByName(out.join(step.select("node"), "node", "left_anti"))
+        out = step.join(out.select(F.col("node").alias("low"), "label"), "low", "left").select("node", F.coalesce("label", "low").alias("label"))
     return out
 
 

@@ -226,9 +226,12 @@ def test_simhash(spark, documents):
     assert simhash.near_duplicates(docs_of(spark, ["a"]).limit(0)).count() == 0
 
 
-def test_components_of_many_close_codes(spark, monkeypatch):
-    """Chunks of one band value, chains, and codes whose top bit is set."""
+@pytest.mark.parametrize("together", [1, 3])
+def test_components_of_many_close_codes(spark, monkeypatch, together):
+    """Chunks of one mask value, chains, codes whose top bit is set; bands and combinations of bands."""
     monkeypatch.setattr(simhash, "CHUNK", 16)
+    masks = simhash.band_masks
+    monkeypatch.setattr(simhash, "band_masks", lambda bits, codes: masks(bits, 0 if together == 1 else 16 << 25))
     random.seed(2)
     codes = [random.getrandbits(64)]
     while len(codes) < 300:
