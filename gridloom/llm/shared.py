@@ -63,6 +63,12 @@ def named(column: str) -> Column:
     return F.col(f"`{column}`")
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of the whole row, by which rows of equal key are put in order; columns that hold maps or variants have no hash and are left out."""
+    whole = [named(f.name) for f in df.schema.fields if not any(kind in f.dataType.simpleString() for kind in ("map<", "variant"))]
+    return F.xxhash64(*whole) if whole else F.lit(0).cast("bigint")
+
+
 def with_text_columns(df: DataFrame, text: str, new: str, compute: Callable[[], Callable], keep: Sequence[str] | None = None) -> DataFrame:
     """Columns `keep` (default: all) plus the columns `new` (DDL) computed from whole texts.
 

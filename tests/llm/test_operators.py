@@ -12,7 +12,7 @@ import xxhash
 from conftest import SF, normal
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, chat, cotraining, langid, licenses, mixing, quality, queries, simhash, topk
+from gridloom.llm import bpe, chat, cotraining, langid, licenses, quality, queries, simhash, topk
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -114,44 +114,6 @@ def test_language_filter_counts():
     assert mask[0] == 3 and mask[1] & 1
 
 
-# 4 ---------------------------------------------------------------------------------
-
-
-def pfair_worst(rows, weights, cycle, until_first_end=True):
-    """Largest distance between blocks run and target share, while no source has ended."""
-    slots = {}
-    for r in rows:
-        assert slots.setdefault(r.mix_slot, r.source) == r.source
-    assert sorted(slots) == list(range(len(slots)))
-    left = collections.Counter(slots.values())
-    total = sum(weights.values())
-    shares = {s: max(1, round(w / total * cycle)) for s, w in weights.items()}
-    whole, run, worst, n = sum(shares.values()), collections.Counter(), 0.0, 0
-    for t in range(len(slots)):
-        run[slots[t]] += 1
-        left[slots[t]] -= 1
-        worst, n = max([worst, *(abs(run[s] - (t + 1) * shares[s] / whole) for s in shares)]), n + 1
-        if not left[slots[t]]:
-            break
-    return worst, n
-
-
-def test_mixing(spark):
-    rows = [(i, s) for s, n in (("a", 4000), ("b", 900), ("c", 300), (None, 37)) for i in range(n)]
-    df = spark.createDataFrame([(i, s) for i, (_, s) in enumerate(rows)], "doc_id long, source string").withColumn("mix", F.lit(1))
-    out = mixing.mix(df, weights={"a": 0.7, "b": 0.2, "c": 0.1}, block_rows=4, cycle=100, part_rows=300).collect()
-    assert len(out) == len(rows) and len({r.mix_position for r in out}) == len(rows)
-    weighted = [r for r in out if r.source]
-    worst, n = pfair_worst(weighted, {"a": 0.7, "b": 0.2, "c": 0.1}, 100)
-    assert worst < 1 and n >= 700
-    assert min(r.mix_slot for r in out if r.source is None) > max(r.mix_slot for r in weighted)
-    blocks = collections.Counter((r.source, r.mix_block) for r in out)
-    assert max(blocks.values()) == 4 and all(n == 4 or b == max(x for y, x in blocks if y == s) for (s, b), n in blocks.items())
-    assert mixing.mix(df.limit(0)).count() == 0
-    twice = df.limit(10).unionByName(df.limit(10))
-    assert mixing.mix(twice, block_rows=2).count() == 20
-
-
 # 5 ---------------------------------------------------------------------------------
 
 
