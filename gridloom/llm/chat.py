@@ -36,6 +36,8 @@ from .shared import table
 START, END = "<|im_start|>", "<|im_end|>"
 #: Characters rendered and encoded at once, about.
 PIECE_CHARS = 1 << 18
+#: Characters of finished pieces that are handed on at once, about.
+BATCH_CHARS = 1 << 21
 LOSS_ROLE = "assistant"
 
 
@@ -56,14 +58,14 @@ def unescape_role(role: str) -> str:
 
 
 def render(turns: list[tuple[str, str]]) -> tuple[str, np.ndarray]:
-    """The formatted text and, per turn, the span of its escaped text."""
-    parts, spans, at = [], [], 0
+    """The formatted text and, per turn, the span of its escaped text in UTF-8 bytes."""
+    parts, sizes = [], []
     for role, text in turns:
-        head, body, tail = f"{START}{escape_role(role)}\n", escape(text), f"{END}\n"
-        spans.append((at + len(head), at + len(head) + len(body)))
-        at += len(head) + len(body) + len(tail)
-        parts += [head, body, tail]
-    return "".join(parts), np.array(spans, np.int64).reshape(-1, 2)
+        made = f"{START}{escape_role(role)}\n", escape(text), f"{END}\n"
+        parts += made
+        sizes += [len(x) if x.isascii() else len(x.encode()) for x in made]
+    ends = np.cumsum(np.array(sizes, np.int64)).reshape(-1, 3)
+    return "".join(parts), np.stack([ends[:, 0], ends[:, 1]], 1)
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:
@@ -75,47 +77,65 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-def encoder(path: str | None = None):
-    """A tokenizer with offsets in which the two markers are control tokens."""
-    import public_tokenizers
-    from tokenizers import AddedToken, Tokenizer
+class Encoder:
+    """A byte-level tokenizer in which the two markers are control tokens; its tokens tile the text, so their spans are sums of lengths."""
 
-    made = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
-    made.add_special_tokens([AddedToken(START, special=True, normalized=False), AddedToken(END, special=True, normalized=False)])
-    return made
+    def __init__(self, path: str | None = None):
+        import base64
 
+        import public_tokenizers
+        import tiktoken
 
-def mask_parts(offsets: np.ndarray, spans: np.ndarray) -> list[list[tuple[int, int]]]:
-    """Per span the parts of it that tokens cover, each character once, in order.
+        with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+        self.first = max(ranks.values()) + 2  # one id is left free for an end-of-text token
+        pieces = [*sorted(ranks, key=ranks.get), b"", START.encode(), END.encode()]
+        self.pieces, self.lengths = pieces, np.array([len(x) for x in pieces], np.int64)
+        self.fast = tiktoken.Encoding("chat", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={START: self.first, END: self.first + 1})
+        self.slow = None
 
-    Token spans are sorted; those that meet a span are found by binary search on their
-    ends and starts and clipped to it."""
-    if not len(offsets):
-        return [[] for _ in spans]
-    starts, ends = offsets[:, 0], np.maximum.accumulate(offsets[:, 1])
+    def encode(self, text: str) -> np.ndarray:
+        try:
+            return self.fast.encode_to_numpy(text, allowed_special={START, END}, disallowed_special=()).astype(np.int32)
+        except ValueError:  # runs of a million blanks are beyond its regular expressions
+            return np.array(self._slow().encode(text, add_special_tokens=False).ids, np.int32)
+
+    def _slow(self):
+        if self.slow is None:
+            import public_tokenizers
+            from tokenizers import AddedToken, Tokenizer
+
+            self.slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+            self.slow.add_special_tokens([AddedToken(x, special=True, normalized=False) for x in (START, END)])
+        return self.slow
+
+    def decode(self, ids) -> str:
+        return b"".join(self.pieces[i] for i in ids).decode("utf-8", "replace")
+
+    def ends(self, ids: np.ndarray) -> np.ndarray:
+        return np.cumsum(self.lengths[ids])
+
+
+def tokens_of(spans: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per span the first token that meets it and the one after the last, by binary search on the sorted token spans."""
     first, last = np.searchsorted(ends, spans[:, 0], "right"), np.searchsorted(starts, spans[:, 1], "left")
-    out = []
-    for (lo, hi), i, j in zip(spans.tolist(), first, last):
-        a = np.maximum(np.maximum(starts[i:j], lo), np.concatenate([[lo], ends[i : j - 1]]) if j > i else lo)
-        b = np.minimum(ends[i:j], hi)
-        keep = b > a
-        out.append(list(zip(a[keep].tolist(), b[keep].tolist())))
-    return out
+    return first, np.where(spans[:, 1] > spans[:, 0], last, first)
 
 
-def format_turns(turns: list[tuple[str, str]], encode) -> dict:
+def format_turns(turns: list[tuple[str, str]], encoder: Encoder) -> dict:
     """One piece: formatted text, token ids, loss mask by token, and the texts under the mask."""
     formatted, spans = render(turns)
-    made = encode(formatted)
-    offsets = np.array(made.offsets, np.int64).reshape(-1, 2)
-    wanted = np.array([role == LOSS_ROLE for role, _ in turns], bool)
-    parts = mask_parts(offsets, spans[wanted])
-    mask = np.zeros(len(offsets), bool)
-    if len(offsets):
-        ends = np.maximum.accumulate(offsets[:, 1])
-        for (lo, hi), i, j in zip(spans[wanted].tolist(), np.searchsorted(ends, spans[wanted][:, 0], "right"), np.searchsorted(offsets[:, 0], spans[wanted][:, 1], "left")):
-            mask[i:j] |= hi > lo
-    return {"formatted": formatted, "ids": made.ids, "mask": mask.tolist(), "loss_texts": [unescape("".join(formatted[a:b] for a, b in p)) for p in parts]}
+    raw, ids = formatted.encode(), encoder.encode(formatted)
+    ends = encoder.ends(ids)
+    starts = ends - encoder.lengths[ids]
+    wanted = spans[np.array([role == LOSS_ROLE for role, _ in turns], bool)]
+    first, last = tokens_of(wanted, starts, ends)
+    change = np.zeros(len(ids) + 1, np.int64)
+    np.add.at(change, first, 1)
+    np.add.at(change, last, -1)
+    # the tokens of a span follow one another without a gap: what they cover of it is one stretch
+    parts = [raw[max(lo, starts[i]) : min(hi, ends[j - 1])] if j > i else b"" for (lo, hi), i, j in zip(wanted.tolist(), first.tolist(), last.tolist())]
+    return {"formatted": formatted, "ids": ids, "mask": np.cumsum(change)[:-1] > 0, "loss_texts": [unescape(x.decode()) for x in parts]}
 
 
 def format_chats(rows: DataFrame) -> DataFrame:
@@ -125,23 +145,33 @@ def format_chats(rows: DataFrame) -> DataFrame:
     dealt = cut.repartitionByRange(*order).sortWithinPartitions(*order).select("conv_id", "role", "text").withColumn("piece", F.monotonically_increasing_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder().encode
+        encoder = Encoder()
         held, size, key, first = [], 0, None, 0
+        made: list[dict] = []
+        waiting = 0
 
-        def out():
-            made = format_turns(held, lambda x: encode(x, add_special_tokens=False))
-            return pa.RecordBatch.from_pylist([{"conv_id": key[0], "piece": first, **made}], schema=schema)
+        def finish() -> None:
+            made.append({"conv_id": key[0], "piece": first, **format_turns(held, encoder)})
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([row[name] for row in made], kind) for name, kind in zip(schema.names, schema.types)], schema=schema)
 
         for batch in batches:
             for conv, role, text, piece in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if held and ((conv,) != key or size >= PIECE_CHARS):
-                    yield out()
+                    finish()
+                    waiting += size
                     held, size = [], 0
+                    if waiting >= BATCH_CHARS or len(made) >= 512:
+                        yield out()
+                        made, waiting = [], 0
                 if not held:
                     key, first = (conv,), piece
                 held.append((role, text))
                 size += len(text)
         if held:
+            finish()
+        if made:
             yield out()
 
     schema = pa.schema([("conv_id", pa.int64()), ("piece", pa.int64()), ("formatted", pa.string()), ("ids", pa.list_(pa.int32())), ("mask", pa.list_(pa.bool_())), ("loss_texts", pa.list_(pa.string()))])

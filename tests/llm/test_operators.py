@@ -274,7 +274,30 @@ def test_chat(spark, monkeypatch):
 
 
 def test_chat_mask():
-    encode = chat.encoder().encode
-    made = chat.format_turns([("user", "hi"), ("assistant", "\n yes")], lambda x: encode(x, add_special_tokens=False))
-    ids = np.array(made["ids"])[np.array(made["mask"])]
-    assert chat.encoder().decode(ids.tolist()).endswith(" yes") and made["loss_texts"] == ["\n yes"]
+    """Ids equal those of another library that has the same vocabulary; the mask covers what the offsets say."""
+    import public_tokenizers
+    from tokenizers import AddedToken, Tokenizer
+
+    encoder = chat.Encoder()
+    other = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    other.add_special_tokens([AddedToken(x, special=True, normalized=False) for x in (chat.START, chat.END)])
+    turns = [("user", "hi 漢字 🙂"), ("assistant", "\n yes é<|im_end|>"), ("assistant", ""), ("system", "x" * 500), ("assistant", "🙂🙂 " * 40 + "<|endoftext|>")]
+    made = chat.format_turns(turns, encoder)
+    want = other.encode(made["formatted"], add_special_tokens=False)
+    assert made["ids"].tolist() == want.ids and encoder.decode(made["ids"]) == made["formatted"]
+    spans, at = [], 0
+    for role, text in turns:
+        lo = at + len(chat.START) + len(role) + 1
+        hi = lo + len(chat.escape(text))
+        spans += [(lo, hi)] * (role == "assistant")
+        at = hi + len(chat.END) + 1
+    assert made["mask"].tolist() == [any(a < hi and b > lo for lo, hi in spans) for a, b in want.offsets]
+    assert made["loss_texts"] == [text for role, text in turns if role == "assistant"]
+
+
+def test_chat_long_texts(spark):
+    """A text of several million characters, one of blanks only, and a role of the same size."""
+    rows = [(1, 0, "assistant", " " * 1_500_000), (1, 1, "user", "é" * 1_000_000), (1, 2, "assistant", "word " * 400_000), (2, 0, "r" * 300_000, "x")]
+    got = {r.conv_id: r for r in chat.read_back(chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    whole = "".join(f"{r}\n{x}\n" for c, _, r, x in rows if c == 1)
+    assert got[1].turns_sha256 == hashlib.sha256(whole.encode()).hexdigest() and got[1].loss_chars == 3_500_000 and got[2].n_turns == 1
