@@ -179,12 +179,15 @@ def forecast(at: Column | float, y: Column, x: Column) -> Column:
 
 
 def subtotal(code: int, x: Column, skip_error: Column | None = None, k: float | None = None) -> Column:
-    """Function by number: 1 to 11, and 12 to 17 of the wider form; `skip_error` is the error column to leave out."""
+    """Function by number: 1 to 11, and 12 to 17 of the wider form; `skip_error` is the error column to leave out.
+
+    13 is the most frequent value that occurs twice or more, of several the smallest (`mode_first_seen`
+    takes an order instead).  14 and 15 gather a group's values; `ordered.nth` keeps k a task."""
     v = x if skip_error is None else F.when(skip_error.isNull(), x)
     table = {
         1: lambda: average(v), 2: lambda: count_numbers(v), 3: lambda: count_filled(v), 4: lambda: largest(v), 5: lambda: smallest(v),
         6: lambda: product(v), 7: lambda: F.stddev_samp(v), 8: lambda: F.stddev_pop(v), 9: lambda: total(v), 10: lambda: F.var_samp(v), 11: lambda: F.var_pop(v),
-        12: lambda: median(v), 14: lambda: F.get(F.sort_array(F.collect_list(v), asc=False), F.lit(int(k or 1) - 1)), 15: lambda: F.get(F.sort_array(F.collect_list(v)), F.lit(int(k or 1) - 1)),
+        12: lambda: median(v), 13: lambda: F.when(F.count(v) > F.count_distinct(v), F.mode(v, True)), 14: lambda: F.get(F.sort_array(F.collect_list(v), asc=False), F.lit(int(k or 1) - 1)), 15: lambda: F.get(F.sort_array(F.collect_list(v)), F.lit(int(k or 1) - 1)),
         16: lambda: percentile(v, float(k or 0)), 17: lambda: quartile(v, int(k or 0)),
     }
     return table[code % 100]()

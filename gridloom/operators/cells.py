@@ -206,22 +206,84 @@ def function_usage(cells: DataFrame, known: DataFrame | None = None) -> DataFram
     return used.join(known.select("name", F.lit(True).alias("_k")).distinct(), "name", "left").withColumn("known", F.col("_k").isNotNull()).drop("_k")
 
 
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Without edges whose cell nothing reads or whose target reads nothing: they lie on no cycle."""
+    read = edges.select(F.col("b").alias("a")).distinct()
+    reading = edges.select(F.col("a").alias("b")).distinct()
+    return edges.join(read, "a", "left_semi").join(reading, "b", "left_semi").select("a", "b")
+
+
+def _shortened(edges: DataFrame, salt: int) -> tuple[DataFrame, DataFrame]:
+    """(edges, passed): cells of one edge in and one out are passed over, if they come first in a
+    random order among their neighbours, so that chains shrink by a constant share.
+
+    `passed` (v, u, w): u -> v -> w has become u -> w."""
+    ins = edges.groupBy(F.col("b").alias("v")).agg(F.count("*").alias("n"), F.any_value("a").alias("u")).filter("n = 1")
+    outs = edges.groupBy(F.col("a").alias("v")).agg(F.count("*").alias("n"), F.any_value("b").alias("w")).filter("n = 1")
+    rank = lambda c: F.xxhash64(c, F.lit(salt))
+    thin = ins.select("v", "u").join(outs.select("v", "w"), "v").filter("u <> v")
+    passed = pinned(thin.filter((rank("v") < rank("u")) & (rank("v") < rank("w"))))
+    gone = passed.select("v")
+    rest = edges.join(gone.select(F.col("v").alias("a")), "a", "left_anti").join(gone.select(F.col("v").alias("b")), "b", "left_anti").select("a", "b")
+    return pinned(rest.unionByName(passed.select(F.col("u").alias("a"), F.col("w").alias("b"))).distinct()), passed
+
+
+def _spread(labels: DataFrame, edges: DataFrame, within: bool) -> DataFrame:
+    """Labels (v, label) carried along edges a -> b to a fixed point; each cell keeps its smallest.
+
+    `within`: edges are those of one label's own cells, and cells without a label get one."""
+    while True:
+        sent = edges.join(labels.select(F.col("v").alias("a"), "label"), "a").select(F.col("b").alias("v"), "label")
+        if within:
+            sent = sent.filter("v IS NOT NULL")
+        new = pinned(labels.unionByName(sent).groupBy("v").agg(F.min("label").alias("label")))
+        if not new.join(labels.withColumnRenamed("label", "_was"), "v", "left").filter("_was IS NULL OR label < _was").limit(1).count():
+            return new
+        labels = new
+
+
 def circular_cells(edges: DataFrame) -> DataFrame:
-    """Cells on or leading only into reference cycles, trimmed to those on one.
+    """Cells on reference cycles: those of a strongly connected component of several cells, or that read themselves.
 
-    Rounds drop cells that nothing reads or that read nothing; each round is written to the
-    checkpoint folder so that the plan stays short."""
+    Ends are trimmed and chains shortened in turn, so rounds grow with the logarithm of a chain's
+    length.  What is left is labelled with the smallest cell that reaches it, and the cells of a label
+    that reach its namesake are a component; the rest is done again.  Each round is written to
+    the checkpoint folder so that the plan stays short.  Cells passed over lie on a cycle
+    if both their neighbours lie in one component."""
     at = lambda s, r, c: F.concat_ws("!", F.col("project_id"), F.lower(F.col(s)), F.col(r).cast("string"), F.col(c).cast("string"))
-    left = edges.select(at("sheet_id", "row", "col").alias("a"), at("to_sheet", "to_row", "to_col").alias("b")).distinct()
-    left = pinned(left)
-    count = left.count()
+    left = pinned(edges.select(at("sheet_id", "row", "col").alias("a"), at("to_sheet", "to_row", "to_col").alias("b")).distinct())
+    own = left.filter("a = b").select(F.col("a").alias("cell"))
+    left = left.filter("a <> b")
+    loops, trail, count = [own], [], left.count()
     while count:
-        left = pinned(left.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(left.select(F.col("a").alias("b")).distinct(), "b", "left_semi"))
+        left, passed = _shortened(_trimmed(left), len(trail))
+        loops.append(left.filter("a = b").select(F.col("a").alias("v"), F.col("a").alias("label")))
+        left = left.filter("a <> b")
+        trail.append(passed)
         now = left.count()
         if now == count:
             break
         count = now
-    return left.select(F.col("a").alias("cell")).distinct()
+    found = [x for x in loops[1:]]
+    while count:
+        cells = left.select(F.col("a").alias("v")).unionByName(left.select(F.col("b").alias("v"))).distinct()
+        colour = _spread(pinned(cells.select("v", F.col("v").alias("label"))), left, False)
+        same = left.join(colour.select(F.col("v").alias("a"), F.col("label").alias("x")), "a").join(colour.select(F.col("v").alias("b"), F.col("label").alias("y")), "b")
+        inner = pinned(same.filter("x = y").select(F.col("b").alias("a"), F.col("a").alias("b")))
+        back = _spread(pinned(colour.filter("v = label")), inner, True)
+        several = back.join(back.groupBy("label").count().filter("count > 1").select("label"), "label", "left_semi").select("v", "label")
+        found.append(several)
+        left = pinned(_trimmed(left.join(back.select(F.col("v").alias("a")), "a", "left_anti").join(back.select(F.col("v").alias("b")), "b", "left_anti").select("a", "b")))
+        count = left.count()
+    spark = edges.sparkSession
+    labels = spark.createDataFrame([], "v string, label string")
+    for part in found:
+        labels = labels.unionByName(part)
+    for passed in reversed(trail):
+        labels = pinned(labels.groupBy("v").agg(F.min("label").alias("label")))
+        between = passed.join(labels.select(F.col("v").alias("u"), F.col("label").alias("x")), "u").join(labels.select(F.col("v").alias("w"), F.col("label").alias("y")), "w")
+        labels = labels.unionByName(between.filter("x = y").select("v", F.col("x").alias("label")))
+    return labels.select(F.col("v").alias("cell")).unionByName(own).distinct()
 
 
 def formula_runs(cells: DataFrame, least: int = 4) -> DataFrame:

@@ -108,6 +108,24 @@ def cashflow_returns(flows: DataFrame, by: str, order_by: str, amount: str) -> D
     return flows.select(by, order_by, amount).groupBy(by).applyInPandas(solve, f"{by} {dict(flows.dtypes)[by]}, irr double")
 
 
+def rate(nper: Column, payment: Column, present: Column, future: Column | float = 0.0, due: Column | int = 0, low: float = -0.999999, high: float = 10.0) -> Column:
+    """Rate a period at which a loan of `present` is paid by `nper` payments; NULL (#NUM!) where none lies in low .. high.
+
+    Bisection folded over a fixed number of halvings, in native expressions."""
+    future, due = (x if isinstance(x, Column) else F.lit(float(x)) for x in (future, due))
+
+    def value(r: Column) -> Column:
+        grown = F.pow(1 + r, nper)
+        annuity = F.when(F.abs(r) < 1e-12, nper.cast("double")).otherwise((grown - 1) / F.when(F.abs(r) < 1e-12, F.lit(1.0)).otherwise(r))
+        return present * grown + payment * (1 + r * due) * annuity + future
+
+    a, b = F.lit(low), F.lit(high)
+    middle = lambda s: (s["a"] + s["b"]) / 2
+    halve = lambda s, _: F.when(F.signum(value(middle(s))) == F.signum(value(s["a"])), F.struct(middle(s).alias("a"), s["b"].alias("b"))).otherwise(F.struct(s["a"].alias("a"), middle(s).alias("b")))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(80)), F.struct(a.alias("a"), b.alias("b")), halve, middle)
+    return F.when(F.signum(value(a)) * F.signum(value(b)) <= 0, found)
+
+
 def business_calendar(spark: SparkSession, first: str, last: str, holidays: DataFrame | None = None) -> DataFrame:
     """(day, is_open, open_no): one row a day with the running number of business days."""
     days = spark.sql(f"SELECT explode(sequence(date'{first}', date'{last}')) AS day")

@@ -1,5 +1,6 @@
 """Lookups and joins by key, position and range.
 
+Keys are compared alike everywhere: texts without regard to case, other types as they are.
 Order comes from an explicit column.  Nearest matches are unions with a window over the
 lookup key, not range joins, so they sort and stream; rows are cut into ranges first and
 only the last value before each range is carried over.
@@ -15,11 +16,22 @@ from pyspark.sql import functions as F
 from ..functions.lineage import pinned
 
 
-def first_rows(table: DataFrame, key: str, order_by: str, last: bool = False) -> DataFrame:
-    """One row a key: the first (or last) in order.  Aggregated before the shuffle, so a hot key is no hot task."""
-    packed = F.struct(*table.columns)
-    chosen = (F.max_by if last else F.min_by)(packed, F.col(order_by))
-    return table.groupBy(F.col(key).alias("_key")).agg(chosen.alias("_row"))
+def folded(df: DataFrame, column: str) -> Column:
+    """A key as lookups compare it."""
+    return F.lower(F.col(column)) if dict(df.dtypes)[column] == "string" else F.col(column)
+
+
+def first_rows(table: DataFrame, key: str, order_by: str, value: str, into: str, last: bool = False) -> DataFrame:
+    """(_key, into): the value of the first (or last) row of each folded key, reading these columns only.
+
+    Aggregated before the shuffle, so a hot key is no hot task."""
+    chosen = (F.max_by if last else F.min_by)(F.struct(F.col(value).alias("v")), F.col(order_by))
+    return table.groupBy(folded(table, key).alias("_key")).agg(chosen["v"].alias(into))
+
+
+def with_found(df: DataFrame, key: str, found: DataFrame) -> DataFrame:
+    """Left join with (_key, ...), one row a folded key at most: no row of `df` is multiplied."""
+    return df.join(found, folded(df, key) == F.col("_key"), "left").drop("_key")
 
 
 def vlookup(df: DataFrame, key: str, table: DataFrame, table_key: str, value: str, order_by: str, into: str | None = None, exact: bool = True) -> DataFrame:
@@ -27,8 +39,7 @@ def vlookup(df: DataFrame, key: str, table: DataFrame, table_key: str, value: st
     into = into or value
     if not exact:
         return nearest(df, key, table, table_key, value, into, "below")
-    found = first_rows(table, table_key, order_by).select("_key", F.col(f"_row.{value}").alias(into))
-    return df.join(found, F.lower(F.col(key).cast("string")) == F.lower(F.col("_key").cast("string")) if dict(df.dtypes)[key] == "string" else F.col(key) == F.col("_key"), "left").drop("_key")
+    return with_found(df, key, first_rows(table, table_key, order_by, value, into))
 
 
 def in_ranges(df: DataFrame, order_by: Sequence[str | Column], part: str = "_part") -> DataFrame:
@@ -37,14 +48,16 @@ def in_ranges(df: DataFrame, order_by: Sequence[str | Column], part: str = "_par
     return pinned(df.repartitionByRange(*order_by).withColumn(part, F.spark_partition_id()))
 
 
-def carried(ranges: DataFrame, by: Sequence[str], value: Column, into: str) -> DataFrame:
+def carried(ranges: DataFrame, by: Sequence[str], value: Column, into: str, added: bool = False) -> DataFrame:
     """(_part, *by, into): for keys that span partitions, an aggregate carried over from those before.
 
     Ranges are contiguous, so at most one key spans each border: the frame has at most two
-    rows a partition and may be broadcast.  `value` is an aggregate; structs compare by position."""
+    rows a partition and may be broadcast.  `value` is an aggregate; of those before the last is
+    taken, or, if `added`, their sum."""
     per = ranges.groupBy("_part", *by).agg(value.alias("_value"))
     mine = Window.partitionBy(*by).orderBy("_part")
-    before = F.last("_value", ignorenulls=True).over(mine.rowsBetween(Window.unboundedPreceding, -1))
+    earlier = mine.rowsBetween(Window.unboundedPreceding, -1)
+    before = F.sum("_value").over(earlier) if added else F.last("_value", ignorenulls=True).over(earlier)
     spans = F.count("*").over(Window.partitionBy(*by)) > 1
     return per.withColumn(into, before).withColumn("_spans", spans).filter("_spans").select("_part", *by, into)
 
@@ -53,29 +66,36 @@ def nearest(df: DataFrame, key: str, table: DataFrame, table_key: str, value: st
     """Value of the table row whose key is the largest not above (`below`) or the smallest not below
     (`above`), within the columns `by` if given; equal table keys give the smallest value.
 
+    Keys are ordered in their own type: whole numbers of any size, times and texts (folded) alike.
     Both sides are laid out in ranges of (by, key), so neither a hot key nor the lack of one puts
     all rows into one task; each range takes over the last table row of the ranges before it."""
     kinds = dict(df.dtypes)
-    sign = 1 if side == "below" else -1
-    left = df.withColumn("_o", F.col(key).cast("double") * sign).withColumn("_side", F.lit(1)).withColumn("_v", F.lit(None).cast(dict(table.dtypes)[value]))
-    right = table.filter(F.col(table_key).isNotNull()).select(*by, (F.col(table_key).cast("double") * sign).alias("_o"), F.col(value).alias("_v")).groupBy(*by, "_o").agg(F.min("_v").alias("_v")).withColumn("_side", F.lit(0))
+    below = side == "below"
+    order = F.asc("_o") if below else F.desc("_o")
+    left = df.withColumn("_o", folded(df, key)).withColumn("_side", F.lit(1)).withColumn("_v", F.lit(None).cast(dict(table.dtypes)[value]))
+    right = table.filter(F.col(table_key).isNotNull()).select(*by, folded(table, table_key).alias("_o"), F.col(value).alias("_v")).groupBy(*by, "_o").agg(F.min("_v").alias("_v")).withColumn("_side", F.lit(0))
     for c in df.columns:
         if c not in by:
             right = right.withColumn(c, F.lit(None).cast(kinds[c]))
     names = [*df.columns, "_o", "_side", "_v"]
     both = left.select(*names).unionByName(right.select(*names)).withColumn("_has", F.when(F.col("_side") == 0, F.struct("_v")))
-    ranges = in_ranges(both, [*by, "_o"])
-    over = carried(ranges, by, F.max_by("_has", F.when(F.col("_side") == 0, F.col("_o"))), "_before")
-    w = Window.partitionBy("_part", *by).orderBy("_o", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    ranges = in_ranges(both, [*by, order])
+    over = carried(ranges, by, (F.max_by if below else F.min_by)("_has", F.when(F.col("_side") == 0, F.col("_o"))), "_before")
+    w = Window.partitionBy("_part", *by).orderBy(order, "_side").rowsBetween(Window.unboundedPreceding, 0)
     out = ranges.join(F.broadcast(over), ["_part", *by], "left").withColumn("_f", F.coalesce(F.last("_has", ignorenulls=True).over(w), F.col("_before")))
     return out.filter("_side = 1").select(*df.columns, F.when(F.col("_o").isNotNull(), F.col("_f._v")).alias(into))
 
 
 def hlookup(df: DataFrame, key: str, table: DataFrame, row_column: str, row: object, into: str) -> DataFrame:
-    """Table whose column names are the searched row; value from the row where `row_column` equals `row`."""
-    names = [c for c in table.columns if c != row_column]
-    long = table.filter(F.col(row_column) == row).unpivot([], names, "_name", "_value").groupBy("_name").agg(F.first("_value").alias(into))
-    return df.join(long, F.lower(F.col(key)) == F.lower(F.col("_name")), "left").drop("_name")
+    """Table whose column names are the searched row; value from the row where `row_column` equals `row`.
+
+    Of column names that differ in case only, the first counts."""
+    names: dict[str, str] = {}
+    for c in table.columns:
+        if c != row_column:
+            names.setdefault(c.lower(), c)
+    long = table.filter(F.col(row_column) == row).unpivot([], list(names.values()), "_name", "_value").groupBy(F.lower("_name").alias("_key")).agg(F.first("_value").alias(into))
+    return with_found(df, key, long)
 
 
 def positions(table: DataFrame, order_by: Sequence[str]) -> DataFrame:
@@ -90,24 +110,22 @@ def positions(table: DataFrame, order_by: Sequence[str]) -> DataFrame:
 def match_position(df: DataFrame, key: str, vector: DataFrame, value: str, position: str, kind: int = 1, into: str = "matched") -> DataFrame:
     """0: first equal value; 1: last position of a value not above the key; -1: last of one not below."""
     if kind == 0:
-        found = vector.groupBy(F.col(value).alias("_key")).agg(F.min(position).alias(into))
-        return df.join(found, F.col(key) == F.col("_key"), "left").drop("_key")
+        return with_found(df, key, vector.groupBy(folded(vector, value).alias("_key")).agg(F.min(position).alias(into)))
     # the answer per distinct value is a running maximum of positions in value order
-    top = vector.filter(F.col(value).isNotNull()).groupBy(value).agg(F.max(position).alias("_p"))
-    order = F.col(value).cast("double") * (1 if kind == 1 else -1)
-    ranges = in_ranges(top.withColumn("_o", order), ["_o"])
+    top = vector.filter(F.col(value).isNotNull()).groupBy(folded(vector, value).alias("_k")).agg(F.max(position).alias("_p"))
+    order = F.asc("_k") if kind == 1 else F.desc("_k")
+    ranges = in_ranges(top, [order])
     ends = ranges.groupBy("_part").agg(F.max("_p").alias("_end"))
     before = ends.select("_part", F.max("_end").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))  # a row a partition
-    w = Window.partitionBy("_part").orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     running = ranges.join(F.broadcast(before), "_part").withColumn("_p", F.greatest(F.max("_p").over(w), "_before"))
-    return nearest(df, key, running, value, "_p", into, "below" if kind == 1 else "above")
+    return nearest(df, key, running, "_k", "_p", into, "below" if kind == 1 else "above")
 
 
 def xlookup(df: DataFrame, key: str, table: DataFrame, table_key: str, value: str, order_by: str, into: str, mode: int = 0, if_missing: object = None, last: bool = False) -> DataFrame:
     """Modes: 0 exact, -1 exact or next smaller, 1 exact or next larger, 2 wildcard (the key is a pattern)."""
     if mode == 0:
-        found = first_rows(table, table_key, order_by, last).select("_key", F.col(f"_row.{value}").alias(into))
-        out = df.join(found, F.col(key) == F.col("_key"), "left").drop("_key")
+        out = with_found(df, key, first_rows(table, table_key, order_by, value, into, last))
     elif mode in (-1, 1):
         out = nearest(df, key, table, table_key, value, into, "below" if mode == -1 else "above")
     else:

@@ -8,35 +8,45 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.typed import mixed_key
-from .lookups import in_ranges
+from .lookups import carried, in_ranges
 
 
-def rank_eq(df: DataFrame, column: str, by: Sequence[str], ascending: bool = False, into: str = "rank") -> DataFrame:
-    """1 + number of better values, within `by`; NULL for a blank.
+def _below(df: DataFrame, column: str, by: Sequence[str], ascending: bool) -> DataFrame:
+    """(*by, column, _before): rows of better values within `by`, one row a value.
+
+    Values are counted first and summed up by ranges of (by, value), so no task sees all rows
+    of a group; blanks have no place."""
+    counts = df.filter(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("_n"))
+    order = F.asc(column) if ascending else F.desc(column)
+    ranges = in_ranges(counts, [*by, order])
+    over = carried(ranges, by, F.sum("_n"), "_over", added=True)
+    inner = F.sum("_n").over(Window.partitionBy("_part", *by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    zero = F.lit(0)
+    return ranges.join(F.broadcast(over), ["_part", *by], "left").select(*by, column, (F.coalesce(inner, zero) + F.coalesce("_over", zero)).alias("_before"))
 
-    Without `by`, values are counted first and ranked by ranges, so no task sees all rows."""
-    if by:
-        order = F.asc(column) if ascending else F.desc(column)
-        return df.withColumn(into, F.when(F.col(column).isNotNull(), F.rank().over(Window.partitionBy(*by).orderBy(order))))
-    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_n"))
-    ranges = in_ranges(counts.withColumn("_o", F.col(column).cast("double") * (1 if ascending else -1)), ["_o"])
-    sizes = ranges.groupBy("_part").agg(F.sum("_n").alias("_s"))
-    before = sizes.select("_part", F.coalesce(F.sum("_s").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))  # a row a partition
-    inner = F.coalesce(F.sum("_n").over(Window.partitionBy("_part").orderBy("_o").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = ranges.join(F.broadcast(before), "_part").select(column, (F.col("_b") + inner + 1).cast("int").alias(into))
-    return df.join(ranked, column, "left").select(*df.columns, into)
+
+def rank_eq(df: DataFrame, column: str, by: Sequence[str], ascending: bool = False, into: str = "rank") -> DataFrame:
+    """1 + number of better values, within `by`; NULL for a blank or a blank key."""
+    ranked = _below(df, column, by, ascending).select(*by, column, (F.col("_before") + 1).cast("int").alias(into))
+    return df.join(ranked, [*by, column], "left").select(*df.columns, into)
 
 
 def nth(df: DataFrame, column: str, k: int, by: Sequence[str], largest: bool = True) -> DataFrame:
-    """k-th value with repeats; groups with fewer values are left out (#NUM!)."""
+    """k-th value with repeats; groups with fewer values are left out (#NUM!).
+
+    The bound on the row number lets each task keep k rows a group before the shuffle."""
     order = F.desc(column) if largest else F.asc(column)
     w = Window.partitionBy(*by).orderBy(order)
-    return df.filter(F.col(column).isNotNull()).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == k).select(*by, column)
+    return df.filter(F.col(column).isNotNull()).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).filter(F.col("_r") == k).select(*by, column)
 
 
 def percent_rank(df: DataFrame, column: str, by: Sequence[str], into: str = "percent_rank") -> DataFrame:
-    """Values below, over n - 1."""
-    return df.withColumn(into, F.percent_rank().over(Window.partitionBy(*by).orderBy(column)))
+    """Values below, over n - 1, blanks left out; 0 for a value alone."""
+    share = F.when(F.col("_size") > 1, F.col("_before") / (F.col("_size") - 1)).otherwise(F.lit(0.0))
+    below, size = _below(df, column, by, True), F.count(column).alias("_size")
+    sized = below.join(df.groupBy(*by).agg(size), list(by)) if by else below.withColumn("_size", df.agg(size).scalar())
+    ranked = sized.select(*by, column, share.alias(into))
+    return df.join(ranked, [*by, column], "left").select(*df.columns, into)
 
 
 def extend_series(df: DataFrame, value: str, order_by: str, by: Sequence[str], n: int) -> DataFrame:
@@ -90,7 +100,7 @@ def cap_rows(df: DataFrame, by: Sequence[str], n: int, order_by: str) -> DataFra
 
 
 def unique_values(df: DataFrame, key: Column, order_by: str) -> DataFrame:
-    """The first row of each key; give a key without case to compare texts so."""
+    """The first row of each key; give a key without case to compare texts so.  Select the columns wanted first: all are carried."""
     packed = F.struct(*df.columns)
     return df.groupBy(key.alias("_k")).agg(F.min_by(packed, order_by).alias("_row")).select("_row.*")
 

@@ -105,6 +105,15 @@ def subtotal_codes(spark, sf_dir):
     return rows.select("o_orderstatus", F.inline(F.array(*[F.struct(F.lit(code).alias("code"), F.col(f"c{code}").alias("value")) for code in SUBTOTALS])))
 
 
+@query("""WITH c AS (SELECT o_orderpriority, floor(o_totalprice / 5000) AS x, count(*) AS n FROM orders GROUP BY 1, 2), m AS (SELECT *, max(n) OVER (PARTITION BY o_orderpriority) AS most FROM c),
+e AS (SELECT o_orderpriority, floor(o_totalprice / 5000) AS x, row_number() OVER (PARTITION BY o_orderpriority ORDER BY floor(o_totalprice / 5000) DESC) AS down, row_number() OVER (PARTITION BY o_orderpriority ORDER BY floor(o_totalprice / 5000)) AS up FROM orders)
+SELECT o_orderpriority, min(m.x) FILTER (WHERE n = most AND most > 1)::DOUBLE AS most_frequent, (SELECT x FROM e WHERE e.o_orderpriority = m.o_orderpriority AND down = 4)::DOUBLE AS fourth_largest, (SELECT x FROM e WHERE e.o_orderpriority = m.o_orderpriority AND up = 4)::DOUBLE AS fourth_smallest FROM m GROUP BY 1""")
+def subtotal_of_repeats(spark, sf_dir):
+    """Codes 13 to 15: the most frequent value, and the k-th largest and smallest with repeats."""
+    x = F.floor(F.col("o_totalprice") / 5000).cast("double")
+    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(A.subtotal(13, x).alias("most_frequent"), A.subtotal(14, x, None, 4).alias("fourth_largest"), A.subtotal(15, x, None, 4).alias("fourth_smallest"))
+
+
 @query("""WITH s AS (SELECT DISTINCT p_brand, (p_size * 6)::BIGINT AS v FROM part WHERE p_size <= 6), l AS (SELECT p_brand, list(v) AS vs FROM s GROUP BY 1)
 SELECT p_brand, list_reduce(list_prepend(0::BIGINT, vs), lambda a, b: greatest_common_divisor(a, b)) AS gcd, list_reduce(vs, lambda a, b: least_common_multiple(a, b)) AS lcm FROM l""")
 def gcd_and_lcm(spark, sf_dir):

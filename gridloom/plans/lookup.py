@@ -156,7 +156,7 @@ def capped_orders(spark, sf_dir):
 
 @query("""SELECT min(event_id) AS event_id, lower(event_type) AS kind FROM events GROUP BY 2""")
 def unique_event_types(spark, sf_dir):
-    return O.unique_values(table(spark, sf_dir, "events"), F.lower("event_type"), "event_id").select("event_id", F.lower("event_type").alias("kind"))
+    return O.unique_values(table(spark, sf_dir, "events").select("event_id", "event_type"), F.lower("event_type"), "event_id").select("event_id", F.lower("event_type").alias("kind"))
 
 
 @query("""SELECT p_partkey, p_name FROM part ORDER BY p_size DESC NULLS LAST, p_name, p_partkey""")
@@ -176,3 +176,35 @@ def extended_months(spark, sf_dir):
 def deduped_slugs(spark, sf_dir):
     rows = table(spark, sf_dir, "nation").withColumn("s", F.lower(F.left("n_name", F.lit(2)))).withColumn("all", F.lit(1))
     return O.slug_dedupe(rows, "s", ["all"], "n_nationkey").select("n_name", "anchor")
+
+
+@query("""SELECT event_id, min(n_nationkey) AS nation, min(CASE WHEN lower(left(event_type, 1)) = lower(left(n_name, 1)) THEN n_nationkey END) AS same FROM events LEFT JOIN nation ON lower(left(n_name, 1)) = lower(left(event_type, 1)) GROUP BY 1""")
+def lookups_without_case(spark, sf_dir):
+    """Small and capital first letters; several nations share a letter, so rows must not multiply."""
+    events = table(spark, sf_dir, "events").select("event_id", F.left("event_type", F.lit(1)).alias("letter"))
+    mixed = F.when(F.col("n_nationkey") % 2 == 0, F.upper(F.left("n_name", F.lit(1)))).otherwise(F.lower(F.left("n_name", F.lit(1))))
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", mixed.alias("initial"))
+    found = J.vlookup(events, "letter", nation, "initial", "n_nationkey", "n_nationkey", "nation")
+    return J.xlookup(found, "letter", nation, "initial", "n_nationkey", "n_nationkey", "same").select("event_id", "nation", "same")
+
+
+@query("""SELECT p_partkey, (SELECT max(lower(n_name)) FROM nation WHERE lower(n_name) <= lower(p_name)) AS below, (SELECT min(lower(n_name)) FROM nation WHERE lower(n_name) >= lower(p_name)) AS above FROM part""")
+def nearest_texts(spark, sf_dir):
+    """Approximate lookup on text keys, without case, from both sides."""
+    nation = table(spark, sf_dir, "nation").select("n_name", F.lower("n_name").alias("low"))
+    one = J.vlookup(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", nation, "n_name", "low", "n_name", "below", exact=False)
+    return J.xlookup(one, "p_name", nation, "n_name", "low", "n_name", "above", 1).select("p_partkey", "below", "above")
+
+
+@query("""SELECT o_orderkey, 9007199254740993 + o_orderkey - o_orderkey % 3 AS low FROM orders""")
+def nearest_large_numbers(spark, sf_dir):
+    """Whole numbers beyond 2^53, which doubles cannot tell apart."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", (F.lit(9007199254740993) + F.col("o_orderkey")).alias("big"))
+    steps = orders.select((F.col("big") - F.col("o_orderkey") % 3).alias("low")).distinct()
+    return J.nearest(orders, "big", steps, "low", "low", "low").select("o_orderkey", "low")
+
+
+@query("""SELECT c_custkey, rank() OVER (PARTITION BY c_mktsegment ORDER BY b)::INTEGER AS rank, round(percent_rank() OVER (PARTITION BY c_mktsegment ORDER BY b), 10) AS percent_rank FROM (SELECT *, floor(c_acctbal / 1000) AS b FROM customer)""")
+def ranks_with_ties(spark, sf_dir):
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", F.floor(F.col("c_acctbal") / 1000).alias("b"))
+    return O.percent_rank(O.rank_eq(customers, "b", ["c_mktsegment"], True), "b", ["c_mktsegment"]).select("c_custkey", "rank", F.round("percent_rank", 10).alias("percent_rank"))

@@ -70,6 +70,16 @@ def cells_on_cycles(spark, sf_dir):
     return K.circular_cells(K.formula_edges(cells.withColumn("f", formula)))
 
 
+@query("""SELECT 'p!' || lower(o_orderstatus) || '!' || r || '!' || c AS cell FROM (SELECT DISTINCT o_orderstatus FROM orders), (VALUES (1), (2), (3)) k(r), (VALUES (1), (2), (4), (5)) v(c)
+UNION ALL SELECT 'p!' || lower(o_orderstatus) || '!9!1' FROM (SELECT DISTINCT o_orderstatus FROM orders)""")
+def cells_between_cycles(spark, sf_dir):
+    """A <-> B -> C -> D <-> E in three rows: C lies between two cycles, on none; row 9 reads itself, rows 10 to 60 are one long chain into it."""
+    sheets = table(spark, sf_dir, "orders").select(F.lit("p").alias("project_id"), F.col("o_orderstatus").alias("sheet_id")).distinct()
+    pairs = [(r, a, r, b) for r in (1, 2, 3) for a, b in ((1, 2), (2, 1), (2, 3), (3, 4), (4, 5), (5, 4))] + [(9, 1, 9, 1)] + [(r, 1, r - 1, 1) for r in range(10, 61)]
+    edges = spark.createDataFrame(pairs, "row int, col int, to_row int, to_col int")
+    return K.circular_cells(sheets.join(F.broadcast(edges)).withColumn("to_sheet", F.col("sheet_id")))
+
+
 @query("""SELECT c.k AS "column", count(*) FILTER (WHERE r_name = 'AFRICA')::BIGINT AS n FROM region, (VALUES ('r_regionkey'), ('r_comment')) c(k) WHERE c.k = 'r_regionkey' GROUP BY 1""")
 def transposed_table(spark, sf_dir):
     region = table(spark, sf_dir, "region")

@@ -168,7 +168,12 @@ def depreciation_schedules(spark, sf_dir):
     return N.depreciation_schedule(assets).select("asset_id", "period", *[F.round(c, 6).alias(c) for c in ("sln", "syd", "ddb")])
 
 
-@query()
+@query("""WITH RECURSIVE n AS (SELECT o_custkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS no FROM orders),
+f AS (SELECT o_custkey, list(CASE WHEN no = 1 THEN -o_totalprice ELSE o_totalprice / 4 END ORDER BY no) AS v FROM n GROUP BY 1),
+b AS (SELECT o_custkey, v, -0.999999::DOUBLE AS lo, 10.0::DOUBLE AS hi, 0 AS i FROM f WHERE len(v) > 1
+  UNION ALL SELECT o_custkey, v, CASE WHEN list_sum(list_transform(v, lambda x, k: x / power(1 + (lo + hi) / 2, k - 1))) > 0 THEN (lo + hi) / 2 ELSE lo END,
+    CASE WHEN list_sum(list_transform(v, lambda x, k: x / power(1 + (lo + hi) / 2, k - 1))) > 0 THEN hi ELSE (lo + hi) / 2 END, i + 1 FROM b WHERE i < 60)
+SELECT o_custkey, round(lo, 8) AS irr FROM f LEFT JOIN (SELECT o_custkey, lo FROM b WHERE i = 60) USING (o_custkey)""")
 def cashflow_rates(spark, sf_dir):
     """Each customer pays the first order's price and gets back parts of the later ones."""
     from pyspark.sql import Window
@@ -176,3 +181,15 @@ def cashflow_rates(spark, sf_dir):
     no = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
     flows = table(spark, sf_dir, "orders").select("o_custkey", no.alias("no"), "o_totalprice").withColumn("amount", F.when(F.col("no") == 1, -F.col("o_totalprice")).otherwise(F.col("o_totalprice") / 4))
     return N.cashflow_returns(flows, "o_custkey", "no", "amount").withColumn("irr", F.round("irr", 8))
+
+
+@query("""WITH RECURSIVE f AS (SELECT o_orderkey, o_totalprice AS pv, 6 + o_orderkey % 54 AS n FROM orders), p AS (SELECT *, -pv * (1.2 + (o_orderkey % 7) / 10.0) / n AS pmt FROM f),
+b AS (SELECT o_orderkey, pv, n, pmt, 1e-9::DOUBLE AS lo, 10.0::DOUBLE AS hi, 0 AS i FROM p
+  UNION ALL SELECT o_orderkey, pv, n, pmt, CASE WHEN pv + pmt * (1 - power(1 + (lo + hi) / 2, -n)) / ((lo + hi) / 2) < 0 THEN (lo + hi) / 2 ELSE lo END,
+    CASE WHEN pv + pmt * (1 - power(1 + (lo + hi) / 2, -n)) / ((lo + hi) / 2) < 0 THEN hi ELSE (lo + hi) / 2 END, i + 1 FROM b WHERE i < 70)
+SELECT o_orderkey, round(lo, 8) AS rate FROM b WHERE i = 70""")
+def loan_rates(spark, sf_dir):
+    """Each order is paid off in instalments that add up to more than its price: at what rate?"""
+    price, n = F.col("o_totalprice"), 6 + F.col("o_orderkey") % 54
+    payment = -price * (1.2 + (F.col("o_orderkey") % 7) / 10) / n
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(N.rate(n, payment, price), 8).alias("rate"))
