@@ -78,7 +78,7 @@ def _platt(votes: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 def word_weights(bags: Sequence[np.ndarray], words: int, labels: np.ndarray, groups: np.ndarray) -> np.ndarray:
     """idf times emphasis of each word, from the distinct words of each text; a word counts once for a group of copies."""
     number = np.unique(groups, return_inverse=True)[1]
-    word, owner, label = np.concatenate(bags), np.repeat(number, [len(x) for x in bags]), np.repeat(labels, [len(x) for x in bags])
+    word, owner, label = np.concatenate(bags).astype(np.int64), np.repeat(number, [len(x) for x in bags]), np.repeat(labels, [len(x) for x in bags])
     per_word = lambda mask: np.bincount(np.unique(owner[mask] * words + word[mask]) % words, minlength=words).astype(float)
     df, a = per_word(label >= 0), per_word(label == 1)
     n, n1 = len(np.unique(groups)), len(np.unique(groups[labels == 1]))
@@ -134,8 +134,11 @@ class Model:
 
     def vector(self, words: Sequence[bytes]) -> Vector:
         """Unit TF-IDF weights; words of no example are no dimensions."""
-        number = np.array([self.words.get(w, -1) for w in words], np.int64)
-        word, tf = np.unique(number[number >= 0], return_counts=True)
+        number = np.array([self.words.get(w, -1) for w in words], np.int32)
+        return self.weighted(number[number >= 0])
+
+    def weighted(self, number: np.ndarray) -> Vector:
+        word, tf = np.unique(number, return_counts=True)
         raw = (1 + np.log(tf)) * self.weight[word]
         return word, raw / math.sqrt((raw * raw).sum() or 1.0)
 
@@ -174,6 +177,17 @@ class Model:
         keep = keep[np.lexsort((self.ids[rows[keep]], -best[keep]))][:k]
         return list(zip(rows[keep].tolist(), best[keep].tolist()))
 
+    def __getstate__(self) -> dict:
+        """What tasks are sent: words as one string and long lists without their zeros."""
+        at = np.flatnonzero(self.long)
+        return {**self.__dict__, "words": b" ".join(self.words), "long": (self.long.shape, at.astype(np.int32), self.long.reshape(-1)[at])}
+
+    def __setstate__(self, state: dict) -> None:
+        shape, at, weights = state["long"]
+        long = np.zeros(math.prod(shape))
+        long[at] = weights
+        self.__dict__.update(state, words={w: i for i, w in enumerate(state["words"].split(b" "))} if state["words"] else {}, long=long.reshape(shape))
+
     def vote(self, near: list[tuple[int, float]]) -> float:
         """Cosine-weighted share of label 1; far neighbours count for little."""
         total = sum(s * s for _, s in near)
@@ -191,13 +205,17 @@ def fit_rows(rows: Sequence[tuple[int, int, bytes | None]]) -> Model:
         model = Model.build({}, np.zeros(0), [])
         model.offset = 30.0 if labels.any() else -30.0
         return model
-    texts = [words_of(r[2]) for r in rows]
-    groups = np.array([copy_key(w) for w in texts], np.int64)
     words: dict[bytes, int] = {}
-    bags = [np.unique([words.setdefault(w, len(words)) for w in text]).astype(np.int64) for text in texts]
+    texts, keys = [], []  # word numbers only: a text is let go before the next is cut
+    for *_, text in rows:
+        cut = words_of(text)
+        keys.append(copy_key(cut))
+        texts.append(np.array([words.setdefault(w, len(words)) for w in cut], np.int32))
+    groups = np.array(keys, np.int64)
+    bags = [np.unique(x) for x in texts]
     weight = word_weights(bags, len(words), labels, groups)
     blank = Model.build(words, weight, [])
-    vectors = [blank.vector(text) for text in texts]
+    vectors = [blank.weighted(x) for x in texts]
     model = Model.build(words, weight, [(r[0], r[1], g, v) for r, g, v in zip(rows, groups.tolist(), vectors)])
     apart = [i for i, r in enumerate(rows) if set_apart(r[0], APART, "toxicity")]
     votes = [model.vote(model.nearest(vectors[i], without=groups[i])) for i in apart]
