@@ -11,8 +11,10 @@ number of languages.  Scoring is one scan over whole texts.
 
 Rules: a null text or one without a letter is `und` with score 0; a text with letters
 but without any known n-gram gets the first learned language in name order and score
-1 / languages.  Rows with null lang, text or doc_id are not learned from.  Repeated
-rows are scored alike; other columns play no part.
+1 / languages; of equal counts the first in name order wins.  Rows with null lang, text or
+doc_id are not learned from.  More than LANGS languages are refused.  Repeated rows are
+scored alike; an empty table gives no rows; other columns play no part, and kept ones named
+like a new column are replaced.
 """
 
 from __future__ import annotations
@@ -30,8 +32,8 @@ from .shared import crc_part, table, with_text_columns
 #: Sampled documents, and n-grams in the filter, per language.
 SAMPLE, GRAMS = 2_000, 6_000
 GRAM, HASHES = 4, 3
-#: Up to this many languages their counts are broadcast (some 100 bytes each).
-BROADCAST_LANGS = 20_000
+#: Languages that may be learned; the filter has CELLS bits for each, so more are refused.
+LANGS = 1_000
 CELLS = 1 << 18
 NOT_LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -109,12 +111,14 @@ class Filter:
 
 def fit(documents: DataFrame, sample: int = SAMPLE, grams: int = GRAMS) -> Filter:
     """Learn the filter from text and lang of about `sample` documents per language."""
-    rows = documents.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (crc_part("doc_id", 4) != 2))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    rows = documents.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (crc_part("doc_id", 4) != 2))
+    # counted without reading texts; a row a language, so that the counts may go to all tasks
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGS + 1).collect()
+    if len(sizes) > LANGS:
+        raise ValueError(f"more than {LANGS} languages: the filter would not stay bounded")
+    counted = documents.sparkSession.createDataFrame([(r["lang"], r["n"]) for r in sizes], "lang string, n bigint")
     chance = F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1_000_000))
-    # a row a language: sent to all tasks where their number is small, so that texts are not shuffled by language
-    few = sizes.count() <= BROADCAST_LANGS
-    chosen = rows.select("doc_id", "lang", "text").join(F.broadcast(sizes) if few else sizes, "lang").filter(chance < F.lit(1_000_000.0) * sample / F.col("n")).select("lang", "text")
+    chosen = rows.select("doc_id", "lang", "text").join(F.broadcast(counted), "lang").filter(F.col("text").isNotNull() & (chance < F.lit(1_000_000.0) * sample / F.col("n"))).select("lang", "text")
 
     def count(batches):
         held: dict[str, list[np.ndarray]] = {}
