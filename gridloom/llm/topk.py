@@ -3,8 +3,9 @@
 Distances of every vector to PIVOTS fixed vectors are computed once and kept with it.
 For a query q and a vector x, max over pivots of |d(q, p) - d(x, p)| is a lower bound
 of d(q, x), so (|q|^2 + |x|^2 - bound^2) / 2 is an upper bound of their inner product.
-Candidates are evaluated in the order of that bound until the k-th score rules out the
-rest; on integers this is exact, ties included.
+Candidates are evaluated in waves in the order of that bound until the k-th score rules out
+the rest; on integers this is exact, ties included.  How many the bound rules out depends on the
+vectors: of evenly spread directions hardly any (see the README).
 
 Queries and vectors are dealt to blocks by a hash of the row and met block by block
 (QUERIES x ROWS at most), so a task holds two blocks whatever the table's size; the
@@ -30,7 +31,7 @@ PIVOTS = 24
 #: Vectors from which the pivots are chosen (a bound on what is collected).
 PIVOT_POOL = 1_024
 ROWS, QUERIES = 16_384, 2_048
-STEP = 256  # candidates evaluated at once
+STEP = 512  # candidates evaluated at first
 
 
 def integer_vectors(df: DataFrame, id_column: str, vector: str, scale: int) -> DataFrame:
@@ -74,9 +75,20 @@ def with_distances(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
     return vectors.withColumn("d", distances("v"))
 
 
+def _best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k highest scores, ties to the smaller id."""
+    if len(score) > k and score.dtype != object:
+        at = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
+        score, ids = score[at], ids[at]
+    keep = np.lexsort((ids, -score))[:k]
+    return score[keep], ids[keep]
+
+
 def search_block(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> list[tuple[int, int, int]]:
-    """(query id, row id, score): the best k rows of this block for each query."""
-    rows = rows.sort_values("id", kind="stable")
+    """(query id, row id, score): the best k rows of this block for each query.
+
+    The candidates of the highest bounds are evaluated first, and then in waves those whose bound
+    is not below the k-th score so far, until none is left."""
     width = max(len(x) for part in (queries, rows) for x in part["v"])
     x, q = _matrix(rows["v"], width), _matrix(queries["v"], width)
     ids, dx, dq = rows["id"].to_numpy(), np.stack(rows["d"].to_list()).T.copy(), np.stack(queries["d"].to_list())
@@ -84,30 +96,27 @@ def search_block(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> list[tupl
     exact = width * high * high < 2**53  # else floats would round the products
     if not exact:
         x, q = _integers(rows["v"], width), _integers(queries["v"], width)
-    xx, qq = (x * x).sum(1), (q * q).sum(1)
+    xx, qq = (x * x).sum(1).astype(float), (q * q).sum(1).astype(float)
+    gap, low = np.empty(len(ids)), np.empty(len(ids))
     out = []
     for number, query in enumerate(queries["id"].to_numpy()):
-        low = np.abs(dx - dq[number][:, None]).max(0, initial=0)
-        bound = (xx.astype(float) + float(qq[number]) - low * low) / 2
-        bound += 1e-6 + 1e-9 * (xx.astype(float) + float(qq[number]))
-        if exact:
-            bound = np.floor(bound)
-        order = np.argsort(-bound, kind="stable")  # ties by id
-        best_score, best_id = np.zeros(0), np.zeros(0, np.int64)
-        for start in range(0, len(order), STEP):
-            at = order[start : start + STEP]
-            if len(best_id) >= k:
-                last = (best_score[k - 1], best_id[k - 1])
-                if bound[at[0]] < last[0]:
-                    break
-                if exact and bound[at[0]] == last[0] and start and ids[at[0]] > last[1]:
-                    break
-                at = at[bound[at] >= last[0]]
-            at = at[ids[at] != query]
-            score = np.concatenate([best_score, x[at] @ q[number]])
-            found = np.concatenate([best_id, ids[at]])
-            keep = np.lexsort((found, -score))[:k]
-            best_score, best_id = score[keep], found[keep]
+        low[:] = 0
+        for at_pivot, own in zip(dx, dq[number]):
+            np.maximum(low, np.abs(np.subtract(at_pivot, own, out=gap), out=gap), out=low)
+        sizes = xx + qq[number]
+        bound = (sizes - low * low) / 2 + 1e-6 + 1e-9 * sizes
+        bound[ids == query] = -np.inf
+        size = min(STEP, len(ids))
+        wave = np.argpartition(-bound, size - 1)[:size]
+        best_score, best_id = np.zeros(0, x.dtype), np.zeros(0, np.int64)
+        while len(wave := wave[bound[wave] > -np.inf]):
+            # a product over the whole block is cheaper than gathering most of it
+            score = (x @ q[number])[wave] if len(wave) * 4 > len(ids) else x[wave] @ q[number]
+            best_score, best_id = _best(np.concatenate([best_score, score]), np.concatenate([best_id, ids[wave]]), k)
+            bound[wave] = -np.inf
+            open_rows = np.flatnonzero(bound >= float(best_score[-1])) if len(best_id) == k else np.flatnonzero(bound > -np.inf)
+            size = min(size * 8, len(open_rows))
+            wave = open_rows[np.argpartition(-bound[open_rows], size - 1)[:size]] if size else open_rows
         out += [(int(query), int(i), int(s)) for i, s in zip(best_id, best_score)]
     return out
 
