@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the session names none (tests)."""
+    """The folder all executors share, named by the session; on one machine, where it names none, one of our own."""
     context = spark.sparkContext
     folder = context._jsc.sc().getCheckpointDir()
     if folder.isDefined():
         return folder.get()
     named = context.getConf().get("spark.checkpoint.dir", "")
+    if not named and not context.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(named or f"/tmp/gridloom-{uuid.uuid4().hex}")
     return context._jsc.sc().getCheckpointDir().get()
 

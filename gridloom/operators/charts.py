@@ -21,6 +21,24 @@ def chart_data(cells: DataFrame, area: str, orientation: str = "columns") -> Dat
     return values.join(labels, ["sheet_id", "p"], "left").join(names, ["sheet_id", "s"], "left").select("sheet_id", F.col("s").alias("series_no"), "name", F.col("p").alias("point_no"), F.coalesce("label", F.col("p").cast("string")).alias("label"), "value")
 
 
+def charts_from_ranges(charts: DataFrame, cells: DataFrame) -> DataFrame:
+    """charts(chart_id, sheet_id, range, labels, series) -> points read from each chart's own range.
+
+    A range that is no address, or that holds no number, is unusable: such a chart keeps its stored numbers."""
+    from .cells import shown
+    from .documents import parse_area
+
+    placed = charts.select("chart_id", "sheet_id", parse_area(F.col("range")).alias("a")).filter("a IS NOT NULL")
+    inside = cells.join(placed, "sheet_id").filter("row BETWEEN a.r0 AND a.r1 AND col BETWEEN a.c0 AND a.c1")
+    marked = inside.select("chart_id", (F.col("row") - F.col("a.r0")).alias("r"), (F.col("col") - F.col("a.c0")).alias("c"), shown().alias("said"), F.when(F.col("t") == "n", F.col("v_num")).alias("number"))
+    labels = marked.filter("c = 0 AND r > 0").select("chart_id", "r", F.col("said").alias("label"))
+    names = marked.filter("r = 0 AND c > 0").select("chart_id", "c", F.col("said").alias("name"))
+    values = marked.filter("r > 0 AND c > 0").join(labels, ["chart_id", "r"], "left").join(names, ["chart_id", "c"], "left")
+    read = values.select("chart_id", (F.col("c") - 1).alias("series_no"), "name", (F.col("r") - 1).alias("point_no"), F.coalesce("label", F.col("r").cast("string")).alias("label"), F.col("number").alias("value"))
+    usable = read.filter("value IS NOT NULL").select("chart_id").distinct()
+    return read.join(usable, "chart_id", "left_semi").unionByName(chart_points(charts.join(usable, "chart_id", "left_anti")))
+
+
 def chart_points(charts: DataFrame) -> DataFrame:
     """charts(chart_id, labels, series array<struct<name, values>>) -> one row a point; a missing label is the point number."""
     series = charts.select("chart_id", "labels", F.posexplode("series").alias("series_no", "s"))

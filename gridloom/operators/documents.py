@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .cells import column_name, column_profile, filled, find_regions, parse_ref, records, region_profile, shown
 from .ordered import slug_dedupe
 
+#: Characters of a summary, nodes of a map.
 SUMMARY_CHARS, MAP_NODES = 180, 400
 BLOCKS = T.ArrayType(T.StructType([T.StructField("block_type", T.StringType()), T.StructField("md", T.StringType())]))
 #: Line kinds by pattern, the first that fits.
@@ -81,26 +83,51 @@ def split_blocks(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
 ANCHOR = r"^\s*<!--\s*block:([A-Za-z0-9_-]+)\s*(\|([^>]*?))?\s*-->\s*$"
 
 
+REGIONS = T.ArrayType(T.StructType([T.StructField("block_id", T.StringType()), T.StructField("options", T.StringType()), T.StructField("md", T.StringType())]))
+
+
+def cut_regions(text: str | None) -> list[dict]:
+    """Regions of a text at its anchor lines; a fence is closed by its own mark only."""
+    lines = (text or "").split("\n")
+    out, head, body = [], (None, None), []
+    for line, kind in [*zip(lines, line_kinds(lines)), (None, "")]:
+        anchor = None if line is None or kind.startswith("code") else re.match(ANCHOR, line)
+        if line is None or anchor:
+            md = "\n".join(body)
+            if head[0] is not None or md.strip(" "):
+                out.append({"block_id": head[0], "options": head[1], "md": md})
+            head, body = (anchor[1], anchor[3]) if anchor else head, []
+        else:
+            body.append(line)
+    return out
+
+
+@F.pandas_udf(REGIONS)
+def _regions(texts: pd.Series) -> pd.Series:
+    return texts.map(cut_regions)
+
+
 def anchored_regions(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, region, block_id, options, md: texts between `<!-- block:id | k=v -->` lines; such
-    lines inside fences count as text; a second equal id gets a suffix."""
-    lines = docs.select(F.col(id_column), F.posexplode(F.split(text, "\n")).alias("no", "line"))
-    doc = Window.partitionBy(id_column).orderBy("no")
-    # inside a fence: an odd number of fence lines so far
-    fenced = F.sum(F.col("line").rlike(r"^[ \t]{0,3}(```|~~~)").cast("int")).over(doc) % 2 == 1
-    anchor = F.col("line").rlike(ANCHOR) & ~fenced
-    marked = lines.withColumn("is_anchor", anchor).withColumn("region", F.sum(F.col("is_anchor").cast("int")).over(doc))
-    head = F.max(F.when(F.col("is_anchor"), F.regexp_extract("line", ANCHOR, 1)))
-    options = F.max(F.when(F.col("is_anchor"), F.regexp_extract("line", ANCHOR, 3)))
-    body = F.array_sort(F.collect_list(F.when(~F.col("is_anchor"), F.struct("no", "line"))))
-    regions = marked.groupBy(id_column, "region").agg(head.alias("block_id"), options.alias("_o"), F.array_join(F.transform(body, lambda x: x["line"]), "\n").alias("md"))
-    kept = regions.filter(F.col("block_id").isNotNull() | (F.trim("md") != ""))
-    pairs = F.when(F.trim("_o") != "", F.str_to_map(F.trim("_o"), F.lit(r"\s+"), F.lit("=")))
-    named = slug_dedupe(kept.withColumn("options", pairs).drop("_o"), "block_id", [id_column], "region", "_id")
+    lines inside fences count as text; a second equal id gets a suffix; text before the first has no id."""
+    cut = docs.select(F.col(id_column), F.posexplode(_regions(F.col(text))).alias("at", "r"))
+    # numbered from 0 if the text begins before the first anchor, else from 1
+    bare = F.max(F.col("r.block_id").isNull().cast("int")).over(Window.partitionBy(id_column))
+    kept = cut.select(id_column, (F.col("at") + 1 - bare).alias("region"), "r.block_id", "r.options", "r.md")
+    pairs = F.when(F.trim("options") != "", F.str_to_map(F.trim("options"), F.lit(r"\s+"), F.lit("=")))
+    named = slug_dedupe(kept.withColumn("options", pairs), "block_id", [id_column], "region", "_id")
     return named.withColumn("block_id", F.when(F.col("block_id").isNotNull(), F.col("_id"))).drop("_id")
 
 
-#: The rewrites that turn Markdown into plain text, in their fixed order.
+def region_blocks(regions: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """Regions cut into blocks: the id and the options stay with a region's first block."""
+    cut = regions.select(id_column, "region", "block_id", "options", F.posexplode(_blocks(F.col("md"))).alias("at", "b"))
+    own = lambda c: F.when(F.col("at") == 0, F.col(c)).alias(c)
+    place = F.row_number().over(Window.partitionBy(id_column).orderBy("region", "at")) - 1
+    return cut.select(id_column, place.alias("pos"), "region", own("block_id"), own("options"), "b.block_type", "b.md")
+
+
+#: The patterns that turn Markdown into plain text, in their fixed order.
 PLAIN_REWRITES = [
     (r"(?s)```.*?```", " "),
     (r"`([^`]*)`", "$1"),
@@ -108,7 +135,7 @@ PLAIN_REWRITES = [
     (r"\[([^\]]*)\]\([^)]*\)", "$1"),
     (r"(?m)^[ \t]*#{1,6}[ \t]+", ""),
     (r"(?m)^[ \t]*>[ \t]?", ""),
-    (r"(?m)^[ \t]*(?:[-+*]|[0-9]+[.)])[ \t]+", ""),
+    (r"(?m)^[ \t]*(?:[-+*]|\p{Nd}+[.)])[ \t]+", ""),
     (r"\*\*([^*]*)\*\*", "$1"),
     (r"\*([^*]*)\*", "$1"),
     (r"~~([^~]*)~~", "$1"),
@@ -128,7 +155,7 @@ def plain_text(md: Column) -> Column:
     return out
 
 
-#: Characters that are words of their own: Hangul, kana, CJK marks and ideographs.
+#: Characters that are words of their own: Hangul, kana, CJK marks and ideographs.
 CJK = r"[\x{1100}-\x{11FF}\x{3000}-\x{30FF}\x{3130}-\x{318F}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7A3}]"
 
 
@@ -143,21 +170,24 @@ def heading_level(md: Column) -> Column:
 
 
 def block_label(md: Column, limit: int) -> Column:
-    """First heading or line, cleaned and cut."""
-    t = F.trim(md)
-    heading = F.regexp_extract(t, r"(?m)^#{1,6}[ \t]+(.+)$", 1)
-    raw = F.when(heading != "", heading).otherwise(F.regexp_extract(t, r"(?m)^[ \t]*(\S.*)$", 1))
-    plain = F.regexp_replace(F.regexp_replace(raw, r"!\[([^\]]*)\]\([^)]*\)", "$1"), r"\[([^\]]*)\]\([^)]*\)", "$1")
-    plain = F.trim(F.regexp_replace(F.regexp_replace(plain, r"[*_`>#]", ""), r"^[-+*]\s+", ""))
+    """The plain text of the first heading, else of the first line that is not blank, cut to the limit."""
+    lines = F.filter(F.split(md, "\n"), lambda x: F.trim(x) != "")
+    heads = F.filter(lines, lambda x: heading_level(x) > 0)
+    plain = plain_text(F.coalesce(F.get(heads, F.lit(0)), F.get(lines, F.lit(0))))
     return F.when(F.length(plain) > limit, F.concat(F.substring(plain, 1, limit - 1), F.lit("…"))).otherwise(plain)
 
 
-def infer_kind(md: Column) -> Column:
-    t = F.trim(md)
-    return (
-        F.when(t.rlike(r"^```chart"), "chart").when(t.rlike(r"^!\[[^\]]*\]\([^)]*\)$"), "image")
-        .when(t.rlike(r"(?m)^[ \t]*\|.*\|[ \t]*$") & t.rlike(r"(?m)^[ \t]*\|?[ \t:|-]*-[ \t:|-]*\|?[ \t]*$"), "table").otherwise("text")
-    )
+def infer_kind(block_type: Column, md: Column) -> Column:
+    """text, table, image or chart, from the type that `split_blocks` gives."""
+    return F.when((block_type == "code") & F.ltrim(md).startswith("```chart"), "chart").when(block_type.isin("table", "image"), block_type).otherwise("text")
+
+
+def parse_area(area: Column) -> Column:
+    """struct(r0, c0, r1, c1) of an address such as B2 or B2:D9; NULL if it is none."""
+    ends = F.split(F.upper(F.replace(area, F.lit("$"), F.lit(""))), ":")
+    a, b = parse_ref(F.get(ends, F.lit(0))), parse_ref(F.coalesce(F.get(ends, F.lit(1)), F.get(ends, F.lit(0))))
+    box = F.struct(F.least(a["row"], b["row"]).alias("r0"), F.least(a["col"], b["col"]).alias("c0"), F.greatest(a["row"], b["row"]).alias("r1"), F.greatest(a["col"], b["col"]).alias("c1"))
+    return F.when((F.size(ends) <= 2) & a.isNotNull() & b.isNotNull(), box)
 
 
 def table_shape(md: Column) -> Column:
@@ -218,13 +248,20 @@ def reading_order(blocks: DataFrame, by: str, id_column: str, tolerance: float =
 
 
 def heading_parents(blocks: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """parent_pos: a plain block's nearest heading above; a heading's nearest earlier shallower heading."""
+    """parent_pos: a plain block's nearest heading above; a heading's nearest earlier shallower heading.
+
+    depth: 1 and one more for every heading around it."""
     levelled = blocks.withColumn("level", heading_level(F.col("md")))
     before = Window.partitionBy(id_column).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     last = {k: F.last(F.when(F.col("level") == k, F.col("pos")), ignorenulls=True).over(before) for k in range(1, 7)}
     marked = levelled.withColumns({f"_h{k}": c for k, c in last.items()})
     shallower = [F.when((F.col("level") == 0) | (F.col("level") > k), F.col(f"_h{k}")) for k in range(1, 7)]
-    return marked.withColumn("parent_pos", F.greatest(*shallower)).drop(*[f"_h{k}" for k in range(1, 7)])
+    depth = F.lit(1)
+    for k in range(1, 7):
+        # a heading is still open unless a shallower one came after it
+        outer = F.coalesce(F.greatest(F.lit(-1), *[F.col(f"_h{j}") for j in range(1, k)]) if k > 1 else F.lit(-1), F.lit(-1))
+        depth = depth + F.when(F.coalesce(shallower[k - 1] > outer, F.lit(False)), 1).otherwise(0)
+    return marked.withColumn("parent_pos", F.greatest(*shallower)).withColumn("depth", depth).drop(*[f"_h{k}" for k in range(1, 7)])
 
 
 def level_skips(blocks: DataFrame, id_column: str = "doc_id") -> DataFrame:
@@ -246,11 +283,28 @@ def summary(text: Column, limit: int = SUMMARY_CHARS) -> Column:
     return F.when(F.length(flat) > limit, F.concat(F.substring(flat, 1, limit - 1), F.lit("…"))).otherwise(flat)
 
 
+NODE = ["path", "parent_path", "depth", "ord", "kind", "title", "summary", "chars", "content", "source"]
+
+
+def node(path: Column, parent: Column | None, depth: Column | int, order: Column | int, kind: Column | str, title: Column, text: Column, content: Column | None, source: Column) -> list[Column]:
+    """The columns of a node; the summary is the bounded text."""
+    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+    none = F.lit(None).cast("string")
+    made = [path, none if parent is None else parent, lit(depth).cast("int"), lit(order).cast("int"), lit(kind), title, summary(F.coalesce(text, F.lit(""))), F.length(F.coalesce(none if content is None else content, F.lit(""))), none if content is None else content, source]
+    return [c.alias(n) for c, n in zip(made, NODE)]
+
+
+def with_counts(nodes: DataFrame) -> DataFrame:
+    """Adds child_count."""
+    counts = nodes.filter("parent_path IS NOT NULL").groupBy(F.col("parent_path").alias("path")).agg(F.count("*").alias("child_count"))
+    return nodes.join(counts, "path", "left").withColumn("child_count", F.coalesce("child_count", F.lit(0)))
+
+
 def build_nodes(projects: DataFrame, blocks: DataFrame) -> DataFrame:
-    """projects(doc_id, title) and blocks(doc_id, pos, block_type, md) -> the addressed tree.
+    """projects(doc_id, title) and blocks(doc_id, pos, block_type, md) -> the addressed tree of documents.
 
     path, parent_path, depth, ord, kind, title, summary, chars, child_count, content, source.  Headings
-    are addressed by anchor, other blocks by position below their heading."""
+    are addressed by anchor, other blocks by position below their heading; depth is that of the tree."""
     root = F.concat(F.lit("doc/"), F.col("doc_id").cast("string"))
     placed = heading_parents(blocks)
     anchors = outline(blocks).select("doc_id", "pos", "anchor")
@@ -258,14 +312,47 @@ def build_nodes(projects: DataFrame, blocks: DataFrame) -> DataFrame:
     own = F.concat(root, F.lit("/"), F.coalesce(F.concat(F.lit("h/"), F.col("anchor")), F.concat(F.lit("b/"), F.col("pos").cast("string"))))
     body = named.withColumn("path", own)
     parents = body.select("doc_id", F.col("pos").alias("parent_pos"), F.col("path").alias("_parent"))
-    body = body.join(parents, ["doc_id", "parent_pos"], "left").withColumn("parent_path", F.coalesce("_parent", root))
+    body = body.join(parents, ["doc_id", "parent_pos"], "left").withColumn("_parent", F.coalesce("_parent", root))
+    md = F.col("md")
     kind = F.when(F.col("level") > 0, "heading").otherwise(F.col("block_type"))
-    depth = F.when(F.col("parent_pos").isNull(), 1).otherwise(2)
-    rows = body.select("path", "parent_path", depth.alias("depth"), F.col("pos").alias("ord"), kind.alias("kind"), block_label(F.col("md"), 60).alias("title"), summary(plain_text(F.col("md"))).alias("summary"), F.length("md").alias("chars"), F.col("md").alias("content"), root.alias("source"))
-    heads = projects.select(root.alias("path"), F.lit(None).cast("string").alias("parent_path"), F.lit(0).alias("depth"), F.lit(0).alias("ord"), F.lit("document").alias("kind"), "title", summary(F.coalesce("title", F.lit(""))).alias("summary"), F.lit(0).alias("chars"), F.lit(None).cast("string").alias("content"), root.alias("source"))
-    every = heads.unionByName(rows)
-    counts = rows.groupBy(F.col("parent_path").alias("path")).agg(F.count("*").alias("child_count"))
-    return every.join(counts, "path", "left").withColumn("child_count", F.coalesce("child_count", F.lit(0)))
+    rows = body.select(*node(F.col("path"), F.col("_parent"), F.col("depth"), F.col("pos"), kind, block_label(md, 60), plain_text(md), md, root))
+    heads = projects.select(*node(root, None, 0, 0, "document", F.col("title"), F.col("title"), None, root))
+    return with_counts(heads.unionByName(rows))
+
+
+def slide_nodes(slides: DataFrame, blocks: DataFrame, groups: str = "group") -> DataFrame:
+    """slides(slide_id, title) and blocks(slide_id, block_id, pos, md, group array<string>) -> slides, their drawn groups and blocks.
+
+    A block lies below its innermost group, a group below the one around it."""
+    root = F.concat(F.lit("slide/"), F.col("slide_id").cast("string"))
+    at = lambda depth: F.concat(root, F.lit("/group/"), F.array_join(F.slice(F.col(groups), F.lit(1), depth), "/"))
+    size, md = F.greatest(F.coalesce(F.size(groups), F.lit(0)), F.lit(0)), F.col("md")
+    heads = slides.select(*node(root, None, 0, 0, "slide", F.col("title"), F.col("title"), None, root))
+    steps = blocks.filter(F.size(groups) > 0).select("slide_id", "pos", groups, F.posexplode(groups).alias("k", "name"))
+    inner = steps.select("pos", at(F.col("k") + 1).alias("path"), F.when(F.col("k") == 0, root).otherwise(at(F.col("k"))).alias("up"), (F.col("k") + 1).alias("deep"), "name", root.alias("root"))
+    boxes = inner.groupBy("path", "up", "deep", "name", "root").agg(F.min("pos").alias("first"))
+    drawn = boxes.select(*node(F.col("path"), F.col("up"), F.col("deep"), F.col("first"), "group", F.col("name"), F.col("name"), None, F.col("root")))
+    body = blocks.select(*node(F.concat(root, F.lit("/block/"), F.col("block_id").cast("string")), F.when(size > 0, at(size)).otherwise(root), size + 1, F.col("pos"), "block", block_label(md, 60), plain_text(md), md, root))
+    return with_counts(heads.unionByName(drawn).unionByName(body))
+
+
+def sheet_nodes(cells: DataFrame, sheets: DataFrame, names: DataFrame | None = None, charts: DataFrame | None = None) -> DataFrame:
+    """Sheets, their regions with columns, and names(sheet_id, name, target) and charts(sheet_id, chart_id, title, range) of a sheet.
+
+    A region's summary says its address, a column's its type and figures."""
+    root = F.concat(F.lit("sheet/"), F.col("sheet_id").cast("string"))
+    region = F.concat(root, F.lit("/region/"), F.col("region").cast("string"))
+    heads = sheets.select(*node(root, None, 0, 0, "sheet", F.col("name"), F.col("name"), None, root))
+    parts = find_regions(cells).select(*node(region, root, 1, F.col("region"), "region", F.col("address"), F.col("address"), None, root))
+    figures = F.when(F.col("type") == "number", F.concat_ws(", ", F.concat(F.lit("count "), F.col("filled").cast("string")), F.concat(F.lit("sum "), F.col("total").cast("string")), F.concat(F.lit("average "), F.col("average").cast("string"))))
+    title = F.coalesce("header", column_name(F.col("col")))
+    columns = region_profile(cells).select(*node(F.concat(region, F.lit("/column/"), column_name(F.col("col"))), region, 2, F.col("col"), "column", title, F.concat_ws(": ", "type", figures), None, root))
+    out = heads.unionByName(parts).unionByName(columns)
+    if names is not None:
+        out = out.unionByName(names.select(*node(F.concat(root, F.lit("/name/"), F.col("name")), root, 1, 0, "name", F.col("name"), F.col("target"), F.col("target"), root)))
+    if charts is not None:
+        out = out.unionByName(charts.select(*node(F.concat(root, F.lit("/chart/"), F.col("chart_id").cast("string")), root, 1, 0, "chart", F.col("title"), F.concat_ws(" ", "title", "range"), F.col("range"), root)))
+    return with_counts(out)
 
 
 def subtree(nodes: DataFrame, path: str, depth: int = 6) -> DataFrame:
@@ -278,53 +365,110 @@ def subtree(nodes: DataFrame, path: str, depth: int = 6) -> DataFrame:
     return nodes.join(found, "path")
 
 
-def resolve(nodes: DataFrame, path: str, depth: int = 1) -> DataFrame:
-    """An address with its children to a depth; a last step `#n` is the n-th child by order; unknown addresses give no rows."""
+def cell_node(cells: DataFrame, sheet: str, ref: str) -> DataFrame:
+    """The node of one cell: what it shows, and its formula."""
+    here = cells.filter((F.col("sheet_id").cast("string") == sheet) & (F.upper("ref") == ref.upper()))
+    root, said = F.lit(f"sheet/{sheet}"), shown()
+    text = F.when(F.col("f").isNotNull(), F.concat(F.lit("`"), F.col("f"), F.lit("` → "), F.coalesce(said, F.lit("")))).when(F.coalesce(said, F.lit("")) == "", F.lit("(빈 값)")).otherwise(said)
+    return here.select(*node(F.lit(f"sheet/{sheet}/cell/{ref.upper()}"), root, 1, 0, "cell", F.lit(ref.upper()), text, F.coalesce(said, F.lit("")), root)).withColumn("child_count", F.lit(0).cast("bigint"))
+
+
+def resolve(nodes: DataFrame, path: str, depth: int = 1, cells: DataFrame | None = None) -> DataFrame:
+    """An address with its children to a depth and `found`, true.
+
+    A last step `#n` is the n-th child by order; `.../cell/B4` is a single cell of `cells`.  An unknown
+    address gives one row that holds nothing but the path and `found`, false."""
     if match := re.fullmatch(r"(.*)/#(\d+)", path):
         ranked = nodes.filter(F.col("parent_path") == match[1]).withColumn("_n", F.row_number().over(Window.partitionBy("parent_path").orderBy("ord"))).filter(F.col("_n") == int(match[2]))
-        return ranked.drop("_n")
-    return subtree(nodes, path, depth)
+        hit = ranked.drop("_n").withColumn("below", F.lit(0))
+    elif cells is not None and (match := re.fullmatch(r"sheet/([^/]+)/cell/([A-Za-z]{1,3}[0-9]+)", path)):
+        hit = cell_node(cells, match[1], match[2]).withColumn("below", F.lit(0))
+    else:
+        hit = subtree(nodes, path, depth)
+    asked = nodes.sparkSession.createDataFrame([(path,)], "asked string")
+    out = asked.join(hit.withColumn("found", F.lit(True)), F.lit(True), "left")  # one row on the left
+    return out.withColumn("path", F.coalesce("path", "asked")).withColumn("found", F.coalesce("found", F.lit(False))).select(*hit.columns, "found")
 
 
 def map_lines(nodes: DataFrame, cap: int = MAP_NODES) -> DataFrame:
     """Per source: indented `- path — summary` lines in tree order, at most `cap` of them."""
-    w = Window.partitionBy("source").orderBy("depth_key", "ord")
+    # documents and slides in the order of their blocks, sheets by address
+    at = F.when(F.col("path").startswith("sheet/"), F.lit(0)).otherwise(F.col("ord"))
+    w = Window.partitionBy("source").orderBy("depth_key", at, "path")
     line = F.concat(F.repeat(F.lit("  "), F.col("depth")), F.lit("- "), F.col("path"), F.lit(" — "), F.coalesce("summary", F.lit("")))
     kept = nodes.withColumn("depth_key", F.when(F.col("depth") == 0, 0).otherwise(1)).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= cap)
     packed = kept.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("_n", line.alias("line")))).alias("s"), F.count("*").alias("shown"))
     return packed.select("source", "shown", F.array_join(F.transform("s", lambda x: x["line"]), "\n").alias("map"))
 
 
-def verify(blocks: DataFrame, boxes: DataFrame | None = None, cells: DataFrame | None = None, width: float = 1280.0, height: float = 720.0) -> DataFrame:
-    """Findings (path, level, message), one frame a rule."""
-    found = [level_skips(blocks).select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit("/b/"), F.col("pos").cast("string")).alias("path"), F.lit("warn").alias("level"), F.concat(F.lit("heading skips from "), F.col("previous").cast("string"), F.lit(" to "), F.col("level").cast("string")).alias("message"))]
-    tables = blocks.filter("block_type = 'table'").withColumn("s", table_shape(F.col("md")))
+def verify(blocks: DataFrame, boxes: DataFrame | None = None, cells: DataFrame | None = None, width: float = 1280.0, height: float = 720.0, slides: DataFrame | None = None, sections: DataFrame | None = None, merges: DataFrame | None = None, names: DataFrame | None = None, charts: DataFrame | None = None) -> DataFrame:
+    """Findings (path, level, message), one frame a rule.
+
+    Optional tables: boxes(slide_id, block_id, x, y, w, h), slides(slide_id), sections(doc_id), cells,
+    merges(sheet_id, range) of sheets or (doc_id, pos, range) of a document's tables, names(sheet_id, name, target)
+    and charts(sheet_id, chart_id, range)."""
+    finding = lambda level, message: [F.lit(level).alias("level"), (message if isinstance(message, Column) else F.lit(message)).alias("message")]
     at = F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit("/b/"), F.col("pos").cast("string")).alias("path")
-    found.append(tables.filter("s.rows < 1").select(at, F.lit("warn").alias("level"), F.lit("empty table").alias("message")))
-    found.append(tables.filter("NOT s.header").select(at, F.lit("info").alias("level"), F.lit("table without a header rule").alias("message")))
-    charts = blocks.filter(F.col("md").rlike(r"^```chart")).withColumn("_c", F.try_parse_json(F.regexp_extract("md", r"(?s)^```chart[^\n]*\n(.*?)\n?```", 1)))
-    found.append(charts.filter("_c IS NULL").select(at, F.lit("error").alias("level"), F.lit("unreadable chart").alias("message")))
+    found = [level_skips(blocks).select(at, *finding("warn", F.concat(F.lit("heading skips from "), F.col("previous").cast("string"), F.lit(" to "), F.col("level").cast("string"))))]
+    tables = blocks.filter("block_type = 'table'").withColumn("s", table_shape(F.col("md")))
+    found.append(tables.filter("s.rows < 1").select(at, *finding("warn", "empty table")))
+    found.append(tables.filter("NOT s.header").select(at, *finding("info", "table without a header rule")))
+    piped = blocks.filter((F.col("block_type") == "table") & (F.regexp_count("md", F.lit(r"(?m)^[ \t]*\|")) < 2))
+    found.append(piped.select(at, *finding("error", "unreadable table")))
+    drawn = blocks.filter(F.col("md").rlike(r"^```chart")).withColumn("_c", F.try_parse_json(F.regexp_extract("md", r"(?s)^```chart[^\n]*\n(.*?)\n?```", 1)))
+    found.append(drawn.filter("_c IS NULL").select(at, *finding("error", "unreadable chart")))
+    if sections is not None:
+        there = blocks.select("doc_id").distinct()
+        found.append(sections.join(there, "doc_id", "left_anti").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), *finding("warn", "empty section")))
     if boxes is not None:
         path = F.concat(F.lit("slide/"), F.col("slide_id").cast("string"), F.lit("/"), F.col("block_id").cast("string")).alias("path")
         off = (F.col("x") >= width) | (F.col("y") >= height) | (F.col("x") + F.col("w") <= 0) | (F.col("y") + F.col("h") <= 0)
-        found.append(boxes.filter(off).select(path, F.lit("warn").alias("level"), F.lit("off the canvas").alias("message")))
-        found.append(boxes.filter("w <= 0 OR h <= 0").select(path, F.lit("warn").alias("level"), F.lit("no size").alias("message")))
+        found.append(boxes.filter(off).select(path, *finding("warn", "off the canvas")))
+        found.append(boxes.filter("w <= 0 OR h <= 0").select(path, *finding("warn", "no size")))
+        if slides is not None:
+            empty = slides.join(boxes.select("slide_id").distinct(), "slide_id", "left_anti")
+            found.append(empty.select(F.concat(F.lit("slide/"), F.col("slide_id").cast("string")).alias("path"), *finding("warn", "empty slide")))
+    if merges is not None:
+        area = parse_area(F.col("range"))
+        if "pos" in merges.columns:
+            shaped = merges.join(tables.select("doc_id", "pos", "s"), ["doc_id", "pos"]).withColumn("a", area)
+            outside = F.col("a").isNull() | (F.col("a.r1") > F.col("s.rows") + F.col("s.header").cast("int")) | (F.col("a.c1") > F.col("s.columns"))
+            found.append(shaped.filter(outside).select(at, *finding("error", F.concat(F.lit("merge outside the table: "), F.coalesce("range", F.lit(""))))))
+        else:
+            bad = merges.withColumn("a", area).filter("a IS NULL OR (a.r0 = a.r1 AND a.c0 = a.c1)")
+            found.append(bad.select(F.concat(F.lit("sheet/"), F.col("sheet_id").cast("string")).alias("path"), *finding("error", F.concat(F.lit("bad merge: "), F.coalesce("range", F.lit(""))))))
     if cells is not None:
         path = F.concat_ws("/", F.lit("sheet"), "sheet_id", F.lit("cell"), "ref").alias("path")
-        found.append(cells.filter("t = 'e'").select(path, F.lit("error").alias("level"), F.concat(F.lit("error cell "), F.coalesce("v_str", F.lit(""))).alias("message")))
+        found.append(cells.filter("t = 'e'").select(path, *finding("error", F.concat(F.lit("error cell "), F.coalesce("v_str", F.lit("")))))) 
+        full = cells.filter(filled()).select(F.col("sheet_id").cast("string").alias("_sheet")).distinct()
+        if charts is not None:
+            path = F.concat_ws("/", F.lit("sheet"), F.col("sheet_id").cast("string"), F.lit("chart"), F.col("chart_id").cast("string")).alias("path")
+            found.append(charts.join(full, F.col("sheet_id").cast("string") == F.col("_sheet"), "left_anti").select(path, *finding("warn", "chart on an empty sheet")))
+    if names is not None:
+        path = F.concat_ws("/", F.lit("sheet"), F.col("sheet_id").cast("string"), F.lit("name"), "name").alias("path")
+        bare = F.regexp_replace("target", r"^=?(?:'[^']+'|[^!']+)!|^=", "")
+        found.append(names.filter(parse_area(bare).isNull()).select(path, *finding("error", F.concat(F.lit("bad target: "), F.coalesce("target", F.lit(""))))))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
     return out
 
 
-def corpus_stats(blocks: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Blocks, words, characters that are no blanks, headings, and blocks by type."""
+def corpus_stats(blocks: DataFrame, by: Sequence[str], slides: DataFrame | None = None, cells: DataFrame | None = None) -> DataFrame:
+    """Blocks, words, characters that are no blanks, headings, and blocks by type.
+
+    With slides (by, note): slides and those with a note; with cells (by, f): filled cells and formulas."""
     kinds = ("heading", "paragraph", "list", "table", "quote", "code", "image", "hr")
-    return blocks.groupBy(*by).agg(
+    out = blocks.groupBy(*by).agg(
         F.count("*").alias("blocks"), F.sum(count_words(F.col("md"))).alias("words"), F.sum(F.length(F.regexp_replace("md", r"\s", ""))).alias("characters"),
         *[F.count_if(F.col("block_type") == k).alias(f"n_{k}") for k in kinds],
     )
+    if slides is not None:
+        noted = F.count_if(F.trim(F.coalesce("note", F.lit(""))) != "")
+        out = out.join(slides.groupBy(*by).agg(F.count("*").alias("slides"), noted.alias("noted_slides")), list(by), "full_outer")
+    if cells is not None:
+        out = out.join(cells.groupBy(*by).agg(F.count_if(filled()).alias("cells"), F.count("f").alias("formulas")), list(by), "full_outer")
+    return out.select(*by, *[F.coalesce(c, F.lit(0)).alias(c) for c in out.columns if c not in by])
 
 
 def digest(nodes: DataFrame, blocks: DataFrame, findings: DataFrame | None = None, cap: int = 50) -> DataFrame:
@@ -332,12 +476,40 @@ def digest(nodes: DataFrame, blocks: DataFrame, findings: DataFrame | None = Non
     root = F.concat(F.lit("doc/"), F.col("doc_id").cast("string"))
     body = blocks.groupBy(root.alias("source")).agg(F.array_sort(F.collect_list(F.struct("pos", "md"))).alias("s")).select("source", F.array_join(F.transform("s", lambda x: x["md"]), "\n\n").alias("body"))
     stats = corpus_stats(blocks.withColumn("source", root), ["source"]).select("source", F.format_string("blocks %d, words %d, characters %d, headings %d", "blocks", "words", "characters", "n_heading").alias("stats"))
-    title = nodes.filter("depth = 0").select("source", F.coalesce("title", F.col("source")).alias("title"))
-    out = title.join(map_lines(nodes).select("source", "map"), "source", "left").join(body, "source", "left").join(stats, "source", "left")
-    parts = [F.concat(F.lit("# "), F.col("title")), F.concat(F.lit("## map\n"), F.col("map")), F.concat(F.lit("## body\n"), F.col("body")), F.concat(F.lit("## statistics\n"), F.col("stats"))]
+    sections = [("map", map_lines(nodes).select("source", F.col("map").alias("text"))), ("body", body.select("source", F.col("body").alias("text"))), ("statistics", stats.select("source", F.col("stats").alias("text")))]
+    return joined_sections(nodes, sections, findings, cap)
+
+
+def joined_sections(nodes: DataFrame, sections: Sequence[tuple[str, DataFrame]], findings: DataFrame | None = None, cap: int = 50) -> DataFrame:
+    """source, digest: a title and the sections (name, (source, text)) of each root node in their order, findings last; a section without text is left out."""
+    out = nodes.filter("depth = 0").select("source", F.coalesce("title", F.col("source")).alias("title"))
+    parts = [F.concat(F.lit("# "), F.col("title"))]
     if findings is not None:
         mine = findings.withColumn("source", F.substring_index("path", "/", 2)).withColumn("_n", F.row_number().over(Window.partitionBy("source").orderBy("path", "message"))).filter(F.col("_n") <= cap)
-        lines = mine.groupBy("source").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(": ", "path", "message"))), "\n").alias("found"))
-        out = out.join(lines, "source", "left")
-        parts.append(F.concat(F.lit("## findings\n"), F.col("found")))
+        sections = [*sections, ("findings", mine.groupBy("source").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(": ", "path", "message"))), "\n").alias("text")))]
+    for k, (name, texts) in enumerate(sections):
+        out = out.join(texts.select("source", F.col("text").alias(f"_s{k}")), "source", "left")
+        parts.append(F.concat(F.lit(f"## {name}\n"), F.col(f"_s{k}")))
     return out.select("source", F.concat_ws("\n\n", *parts).alias("digest"))
+
+
+def sheet_digest(cells: DataFrame, sheets: DataFrame, names: DataFrame | None = None, charts: DataFrame | None = None, findings: DataFrame | None = None, cap: int = 50) -> DataFrame:
+    """One retrieval text per sheet: title, map, column profile, records, formulas, charts, names, statistics, findings."""
+    nodes = sheet_nodes(cells, sheets, names, charts)
+    root = F.concat(F.lit("sheet/"), F.col("sheet_id").cast("string")).alias("source")
+
+    def lines(df: DataFrame, order: Column, line: Column) -> DataFrame:
+        packed = df.groupBy(root).agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), line.alias("l")))).alias("s"))
+        return packed.select("source", F.array_join(F.transform("s", lambda x: x["l"]), "\n").alias("text"))
+
+    figure = lambda c: F.concat(F.lit(f"{c} "), F.col(c).cast("string"))
+    profile = lines(column_profile(cells, sheets), F.col("col"), F.concat(F.lit("- "), F.coalesce("header", column_name(F.col("col"))), F.lit(": "), F.concat_ws(", ", "type", figure("filled"), figure("total"), figure("average"))))
+    rows = lines(records(cells, sheets), F.col("row"), F.col("record"))
+    formulas = lines(cells.filter(F.col("f").isNotNull()), F.struct("row", "col"), F.concat(F.lit("- "), F.col("ref"), F.lit(" "), F.col("f")))
+    counted = cells.groupBy(root).agg(F.count_if(filled()).alias("n"), F.count("f").alias("f")).select("source", F.format_string("cells %d, formulas %d", "n", "f").alias("text"))
+    sections = [("map", map_lines(nodes).select("source", F.col("map").alias("text"))), ("profile", profile), ("records", rows), ("formulas", formulas)]
+    if charts is not None:
+        sections.append(("charts", lines(charts, F.col("chart_id").cast("string"), F.concat_ws(" ", F.lit("-"), "title", "range"))))
+    if names is not None:
+        sections.append(("names", lines(names, F.col("name"), F.concat_ws(" ", F.lit("-"), "name", "target"))))
+    return joined_sections(nodes, [*sections, ("statistics", counted)], findings, cap)

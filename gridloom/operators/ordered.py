@@ -71,9 +71,13 @@ def extend_series(df: DataFrame, value: str, order_by: str, by: Sequence[str], n
     return ahead.select(*by, "step_no", out.alias(value))
 
 
-def sort_rows(df: DataFrame, keys: Sequence[tuple[str, bool]], order_by: str) -> DataFrame:
-    """Whole rows by (column, ascending); blanks last both ways; ties keep their order."""
-    order = [F.asc_nulls_last(c) if up else F.desc_nulls_last(c) for c, up in keys]
+def sort_rows(df: DataFrame, keys: Sequence[tuple[str, bool]], order_by: str, locale: str | None = "ko") -> DataFrame:
+    """Whole rows by (column, ascending); blanks last both ways; ties keep their order.
+
+    Texts are in the order of the locale's alphabet (Korean by default; None: by code point)."""
+    texts = {c for c, kind in df.dtypes if kind == "string" and locale}
+    place = lambda c: F.collate(F.col(c), locale) if c in texts else F.col(c)
+    order = [F.asc_nulls_last(place(c)) if up else F.desc_nulls_last(place(c)) for c, up in keys]
     return df.orderBy(*order, order_by)
 
 

@@ -40,12 +40,11 @@ def basic_aggregates(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.round(A.total(x), 2).alias("total"), F.round(A.average(x), 4).alias("average"), A.smallest(x).alias("smallest"), A.largest(x).alias("largest"), A.count_numbers(x).alias("numbers"), A.count_filled(F.col("o_orderpriority")).alias("filled"), A.count_blank(F.col("o_orderpriority")).alias("blank"))
 
 
-@query("""SELECT l_linestatus, round(exp(sum(ln(1 + l_discount))), 6) AS growth, round(sum(l_tax * l_tax), 6) AS squares, round(sum(l_extendedprice * (1 - l_discount) * (l_returnflag = 'N')::INT), 2) AS net
-FROM lineitem WHERE l_orderkey % 50 = 0 GROUP BY 1""")
+@query("""SELECT l_partkey, round(exp(sum(ln(1 + l_discount))), 6) AS growth, round(sum(l_tax * l_tax), 6) AS squares, round(sum(l_extendedprice * (1 - l_discount) * (l_returnflag = 'N')::INT), 2) AS net
+FROM lineitem GROUP BY 1""")
 def product_sumsq_sumproduct(spark, sf_dir):
     c = F.col
-    rows = table(spark, sf_dir, "lineitem").filter("l_orderkey % 50 = 0")
-    return rows.groupBy("l_linestatus").agg(F.round(A.product(1 + c("l_discount")), 6).alias("growth"), F.round(A.sum_squares(c("l_tax")), 6).alias("squares"), F.round(A.sumproduct(c("l_extendedprice"), 1 - c("l_discount"), c("l_returnflag") == "N"), 2).alias("net"))
+    return table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.round(A.product(1 + c("l_discount")), 6).alias("growth"), F.round(A.sum_squares(c("l_tax")), 6).alias("squares"), F.round(A.sumproduct(c("l_extendedprice"), 1 - c("l_discount"), c("l_returnflag") == "N"), 2).alias("net"))
 
 
 @query("""SELECT l_suppkey, l_linestatus, round(exp(sum(ln(1 + l_discount))), 6) AS growth, round(sum(l_tax * l_tax), 6) AS squares, round(sum(l_extendedprice * (1 - l_discount) * (l_returnflag = 'N')::INT), 2) AS net
@@ -114,11 +113,11 @@ def subtotal_of_repeats(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(A.subtotal(13, x).alias("most_frequent"), A.subtotal(14, x, None, 4).alias("fourth_largest"), A.subtotal(15, x, None, 4).alias("fourth_smallest"))
 
 
-@query("""WITH s AS (SELECT DISTINCT p_brand, (p_size * 6)::BIGINT AS v FROM part WHERE p_size <= 6), l AS (SELECT p_brand, list(v) AS vs FROM s GROUP BY 1)
+@query("""WITH s AS (SELECT DISTINCT p_brand, ((p_size % 6 + 1) * 6)::BIGINT AS v FROM part), l AS (SELECT p_brand, list(v) AS vs FROM s GROUP BY 1)
 SELECT p_brand, list_reduce(list_prepend(0::BIGINT, vs), lambda a, b: greatest_common_divisor(a, b)) AS gcd, list_reduce(vs, lambda a, b: least_common_multiple(a, b)) AS lcm FROM l""")
 def gcd_and_lcm(spark, sf_dir):
-    gcd, lcm = A.gcd_lcm(F.col("p_size") * 6)
-    return table(spark, sf_dir, "part").filter("p_size <= 6").groupBy("p_brand").agg(gcd.alias("gcd"), lcm.alias("lcm"))
+    gcd, lcm = A.gcd_lcm((F.col("p_size") % 6 + 1) * 6)
+    return table(spark, sf_dir, "part").groupBy("p_brand").agg(gcd.alias("gcd"), lcm.alias("lcm"))
 
 
 @query("""SELECT n_regionkey, string_agg(n_name, '/' ORDER BY n_nationkey) AS names FROM nation GROUP BY 1""")

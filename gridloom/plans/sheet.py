@@ -103,10 +103,11 @@ def profiled_columns(spark, sf_dir):
 
 @query(f"""WITH {PART_SQL}, x AS (SELECT sheet_id, row, p_size FROM b UNION ALL SELECT DISTINCT sheet_id, 1, NULL FROM p), i AS (SELECT *, row - row_number() OVER (PARTITION BY sheet_id ORDER BY row) AS k FROM x),
 g AS (SELECT sheet_id, dense_rank() OVER (PARTITION BY sheet_id ORDER BY k) AS region, row, min(row) OVER (PARTITION BY sheet_id, k) AS r0, p_size FROM i)
-SELECT sheet_id, region::INTEGER AS region, count(p_size) FILTER (WHERE row > r0) AS filled, sum(p_size) FILTER (WHERE row > r0) AS total FROM g GROUP BY 1, 2""")
+SELECT sheet_id, region::INTEGER AS region, c.col, CASE WHEN count(p_size) FILTER (WHERE row > r0) = 0 THEN 'empty' WHEN c.col = 1 THEN 'text' ELSE 'number' END AS type, count(p_size) FILTER (WHERE row > r0) AS filled,
+CASE c.col WHEN 2 THEN sum(p_size) FILTER (WHERE row > r0) WHEN 3 THEN round(sum(p_retailprice) FILTER (WHERE row > r0), 4) END AS total FROM g, (VALUES (1), (2), (3)) c(col) GROUP BY 1, 2, 3""".replace("p_size FROM b UNION ALL SELECT DISTINCT sheet_id, 1, NULL FROM p)", "p_size, p_retailprice FROM b UNION ALL SELECT DISTINCT sheet_id, 1, NULL, NULL FROM p)").replace("AS r0, p_size FROM i)", "AS r0, p_size, p_retailprice FROM i)"))
 def profiled_regions(spark, sf_dir):
-    out = K.region_profile(part_cells(spark, sf_dir)).filter("col = 2")
-    return out.select("sheet_id", "region", F.coalesce("filled", F.lit(0)).alias("filled"), "total")
+    out = K.region_profile(part_cells(spark, sf_dir))
+    return out.select("sheet_id", "region", "col", "type", F.coalesce("filled", F.lit(0)).alias("filled"), F.round("total", 4).alias("total"))
 
 
 @query(f"""WITH {PART_SQL} SELECT sheet_id, 1 AS header_row, 2 AS first_row, least(9, max(row))::INTEGER AS last_row, 0::BIGINT AS left_out, max(row) > 9 AS cut_off FROM b GROUP BY 1""")
@@ -115,9 +116,12 @@ def summary_scopes(spark, sf_dir):
     return K.summary_scope(cells, no_frozen(cells)).select("sheet_id", "header_row", "first_row", "last_row", "left_out", "cut_off")
 
 
-@query(f"""WITH {PART_SQL} SELECT DISTINCT sheet_id, true AS is_header FROM p""")
+@query(f"""WITH {PART_SQL} SELECT DISTINCT sheet_id, false AS is_header FROM p UNION ALL SELECT DISTINCT sheet_id || '#', true FROM p""")
 def header_guess(spark, sf_dir):
-    return K.looks_like_header(part_cells(spark, sf_dir).filter("col > 1")).select("sheet_id", "is_header")
+    """Each sheet as it is (a column of texts under a text), and again without that column."""
+    cells = part_cells(spark, sf_dir)
+    numbers = cells.filter("col > 1").withColumn("sheet_id", F.concat("sheet_id", F.lit("#")))
+    return K.looks_like_header(cells.unionByName(numbers)).select("sheet_id", "is_header")
 
 
 @query(f"""WITH {PART_SQL} SELECT sheet_id, row::INTEGER AS row, row || '행: name=' || regexp_replace(p_name, '([*_`])', '\\\\\\1', 'g') || ', size=' || p_size::BIGINT || ', price=' || CASE WHEN p_retailprice = floor(p_retailprice) THEN p_retailprice::BIGINT::VARCHAR ELSE p_retailprice::VARCHAR END AS record FROM b""")
@@ -126,13 +130,16 @@ def row_records(spark, sf_dir):
     return K.records(cells, no_frozen(cells)).select("sheet_id", "row", "record")
 
 
-@query("""SELECT o_orderpriority AS a, count(*) AS n FROM orders GROUP BY 1""")
+@query("""SELECT o_orderpriority AS a, n, 'st' || row_number() OVER (ORDER BY n DESC, o_orderpriority) AS style_id FROM (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1)""")
 def shared_styles(spark, sf_dir):
     """Style dictionary of a sheet whose cells carry one style per order priority, by use."""
     orders = table(spark, sf_dir, "orders")
     cells = orders.select(F.lit("p").alias("project_id"), F.lit("s").alias("sheet_id"), "o_orderkey", F.create_map(F.lit("a"), F.col("o_orderpriority")).alias("style"))
     coded, known = K.encode_styles(cells)
-    return K.decode_styles(coded, known).groupBy(F.col("style")["a"].alias("a")).agg(F.count("*").alias("n"))
+    ids = coded.groupBy("style_id").agg(F.count("*").alias("coded"))
+    back = K.decode_styles(coded, known).groupBy(F.col("style")["a"].alias("a")).agg(F.count("*").alias("n"))
+    named = known.select("style_id", F.col("style")["a"].alias("a")).join(ids, "style_id")
+    return back.join(named, "a").filter("n = coded").select("a", "n", "style_id")
 
 
 FORMULAS = "(SELECT p_brand AS sheet, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) + 1 AS r FROM part)"
@@ -197,25 +204,25 @@ def segment_charts(spark, sf_dir):
     """One chart a market segment: years as labels, a series per order status."""
     rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     sums = rows.groupBy(F.col("c_mktsegment").alias("chart_id"), F.year("o_orderdate").alias("y"), F.col("o_orderstatus").alias("name")).agg(F.round(F.sum("o_totalprice"), 2).alias("value"))
-    years = [1995, 1996, 1997, 1998]
+    years = sorted(r["y"] for r in sums.select("y").distinct().collect())  # a row a year
     wide = sums.groupBy("chart_id", "name").pivot("y", years).agg(F.first("value"))
     series = wide.groupBy("chart_id").agg(F.array_sort(F.collect_list(F.struct("name", F.array(*[F.col(str(y)) for y in years]).alias("values")))).alias("series"))
     return series.select("chart_id", F.lit("column").alias("type"), F.col("chart_id").alias("title"), F.array(*[F.lit(str(y)) for y in years]).alias("labels"), "series", F.lit(None).cast("string").alias("range"), F.lit("columns").alias("orientation"))
 
 
-@query(f"""WITH {CHARTS} SELECT chart_id, y::VARCHAR AS label, max(value) FILTER (WHERE name = 'F') AS "F", max(value) FILTER (WHERE name = 'O') AS "O", max(value) FILTER (WHERE name = 'P') AS "P" FROM c WHERE y BETWEEN 1995 AND 1998 GROUP BY 1, 2""")
+@query(f"""WITH {CHARTS} SELECT chart_id, y::VARCHAR AS label, max(value) FILTER (WHERE name = 'F') AS "F", max(value) FILTER (WHERE name = 'O') AS "O", max(value) FILTER (WHERE name = 'P') AS "P" FROM c GROUP BY 1, 2""")
 def charts_as_tables(spark, sf_dir):
     return C.chart_table(segment_charts(spark, sf_dir), ["F", "O", "P"]).select("chart_id", "label", "F", "O", "P")
 
 
-@query(f"""WITH {CHARTS}, f AS (SELECT * FROM c WHERE y BETWEEN 1995 AND 1998 AND value IS NOT NULL) SELECT chart_id, y::VARCHAR AS label, name, round(CASE WHEN name = min(name) OVER (PARTITION BY chart_id) THEN value / sum(value) FILTER (WHERE name = 'F') OVER (PARTITION BY chart_id) END, 8) AS share,
+@query(f"""WITH {CHARTS}, f AS (SELECT * FROM c WHERE value IS NOT NULL) SELECT chart_id, y::VARCHAR AS label, name, round(CASE WHEN name = min(name) OVER (PARTITION BY chart_id) THEN value / sum(value) FILTER (WHERE name = 'F') OVER (PARTITION BY chart_id) END, 8) AS share,
 round(sum(value) OVER (PARTITION BY chart_id, y ORDER BY name), 2) AS "end" FROM f""")
 def chart_shares_and_stacks(spark, sf_dir):
     out = C.chart_measures(C.chart_points(segment_charts(spark, sf_dir))).filter("value IS NOT NULL")
     return out.select("chart_id", "label", "name", F.round("share", 8).alias("share"), F.round("end", 2).alias("end"))
 
 
-@query("""SELECT c_mktsegment AS chart_id, 'column "' || c_mktsegment || '", series: F, O, P, 4 points' AS description FROM customer GROUP BY c_mktsegment""")
+@query("""SELECT c_mktsegment AS chart_id, 'column "' || c_mktsegment || '", series: F, O, P, ' || (SELECT count(DISTINCT year(o_orderdate)) FROM orders) || ' points' AS description FROM customer GROUP BY c_mktsegment""")
 def chart_descriptions(spark, sf_dir):
     return C.describe_charts(segment_charts(spark, sf_dir))
 
@@ -292,11 +299,27 @@ def node_counts(spark, sf_dir):
     return tree(spark, sf_dir)[0].groupBy("source").agg(F.count("*").alias("nodes"))
 
 
-@query()
+TREE_SQL = """t AS (SELECT conv_id, turn, role, CASE WHEN turn = 0 THEN 1 WHEN role = 'user' THEN 2 ELSE 4 END AS level, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS r,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, max(CASE WHEN turn > 0 AND role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS asked FROM conversations),
+h AS (SELECT *, 'doc/' || conv_id || '/h/' || CASE WHEN r = 1 THEN role ELSE role || '-' || r END AS path, CASE WHEN level = 1 THEN NULL WHEN level = 4 AND asked IS NOT NULL THEN asked ELSE 0 END AS up, CASE WHEN level = 1 THEN 1 WHEN level = 4 AND asked IS NOT NULL THEN 3 ELSE 2 END AS depth FROM t),
+nodes AS (SELECT conv_id, 'doc/' || conv_id AS path, NULL AS parent_path, 0 AS depth, 'document' AS kind FROM conversations GROUP BY conv_id
+  UNION ALL SELECT h.conv_id, h.path, coalesce(p.path, 'doc/' || h.conv_id), h.depth, 'heading' FROM h LEFT JOIN h p ON p.conv_id = h.conv_id AND p.turn = h.up
+  UNION ALL SELECT conv_id, 'doc/' || conv_id || '/b/' || (2 * i + 1), path, depth + 1, 'quote' FROM h),
+counted AS (SELECT n.*, (SELECT count(*) FROM nodes c WHERE c.parent_path = n.path) AS child_count FROM nodes n)"""
+
+
+@query(f"WITH {TREE_SQL} SELECT path, parent_path, depth::INTEGER AS depth, kind, child_count FROM counted")
+def node_tree(spark, sf_dir):
+    """The addressed tree of every conversation: parents, true depth and children."""
+    return tree(spark, sf_dir)[0].select("path", "parent_path", "depth", "kind", "child_count")
+
+
+@query(f"WITH {TREE_SQL} SELECT path, kind, depth::INTEGER AS depth, child_count, true AS found FROM counted WHERE conv_id = 1 AND depth <= 3 UNION ALL SELECT 'doc/none', NULL, NULL, NULL, false")
 def resolved_address(spark, sf_dir):
-    """Every conversation tree's node below the first document's address."""
+    """One conversation's address with all below it, and an address that is not there."""
     nodes, _ = tree(spark, sf_dir)
-    return D.resolve(nodes, "doc/1", 3).select("path", "kind", "title", "child_count")
+    found = D.resolve(nodes, "doc/1", 3).unionByName(D.resolve(nodes, "doc/none", 3))
+    return found.select("path", "kind", "depth", "child_count", "found")
 
 
 @query()
@@ -310,17 +333,18 @@ def slugs_of_urls(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", D.slugify(F.col("url"), F.lit("untitled")).alias("slug"))
 
 
-@query("""SELECT event_id, CASE WHEN cx < 0.3 THEN '좌측' WHEN cx < 0.7 THEN '중앙' ELSE '우측' END AS h FROM (SELECT event_id, (event_id % 1280 + 50) / 1280.0 AS cx FROM events)""")
+@query("""WITH b AS (SELECT event_id, event_id % 1280 AS x, event_id % 720 AS y, event_id % 1291 AS w FROM events), c AS (SELECT *, (x + w / 2.0) / 1280 AS cx, (y + 25) / 720.0 AS cy, floor(w / 1280.0 * 100 + 0.5)::INTEGER AS share FROM b),
+p AS (SELECT *, CASE WHEN cy < 0.28 THEN '상단' WHEN cy < 0.68 THEN '중앙' ELSE '하단' END AS v, CASE WHEN cx < 0.3 THEN '좌측' WHEN cx < 0.7 THEN '중앙' ELSE '우측' END AS h FROM c)
+SELECT event_id, CASE WHEN v = '중앙' AND h = '중앙' THEN '정중앙' ELSE v || ' ' || h END || ', ' || CASE WHEN share >= 85 THEN '전체 폭' WHEN share <= 35 THEN '좁은 폭' ELSE '폭 ' || share || '%' END AS phrase FROM p""")
 def positions_in_words(spark, sf_dir):
-    x = F.col("event_id") % 1280
-    phrase = D.position_phrase(x, F.lit(10.0), F.lit(100.0), F.lit(50.0))
-    return table(spark, sf_dir, "events").select("event_id", F.regexp_extract(phrase, "^상단 (..),", 1).alias("h"))
+    n = F.col("event_id")
+    return table(spark, sf_dir, "events").select("event_id", D.position_phrase(n % 1280, n % 720, n % 1291, F.lit(50)).alias("phrase"))
 
 
-@query("""SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 10, event_id)::INTEGER - 1 AS place FROM events WHERE user_id % 10 = 0""")
+@query("""SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 10, event_id)::INTEGER - 1 AS place FROM events""")
 def reading_orders(spark, sf_dir):
     """Blocks in bands 100 apart read by band, then by x."""
-    blocks = table(spark, sf_dir, "events").filter("user_id % 10 = 0").select("user_id", "event_id", ((F.col("event_id") % 10) * 100.0).alias("y"), F.col("event_id").cast("double").alias("x"))
+    blocks = table(spark, sf_dir, "events").select("user_id", "event_id", ((F.col("event_id") % 10) * 100.0).alias("y"), F.col("event_id").cast("double").alias("x"))
     return D.reading_order(blocks, "user_id", "event_id").select("user_id", "event_id", "place")
 
 
@@ -339,13 +363,32 @@ def accepted_saves(spark, sf_dir):
     return T.accept_saves(saves).select("event_id", "project", "outcome")
 
 
-@query()
-def kept_versions(spark, sf_dir):
+TRAIL_SQL = """RECURSIVE s AS (SELECT user_id AS project, event_id, epoch_us(ts) AS us, round(value, 0)::VARCHAR AS content, event_type = 'purchase' AS forced, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+f AS (SELECT project, i, event_id, us, content, NULL::BIGINT AS k_id, NULL::BIGINT AS k_at, NULL::VARCHAR AS k_text, false AS made FROM s WHERE i = 1
+  UNION ALL SELECT project, i, event_id, us, content, CASE WHEN keep THEN o_id ELSE k_id END, CASE WHEN keep THEN o_at ELSE k_at END, CASE WHEN keep THEN o_text ELSE k_text END, keep FROM (
+    SELECT s.*, f.event_id AS o_id, f.us AS o_at, f.content AS o_text, f.k_id, f.k_at, f.k_text, f.k_id IS NULL OR (f.content <> f.k_text AND (s.forced OR s.us - f.k_at >= 120000000)) AS keep FROM f JOIN s ON s.project = f.project AND s.i = f.i + 1)),
+trail AS (SELECT project, k_id AS event_id, k_at AS saved_us, k_text AS content FROM f WHERE made QUALIFY row_number() OVER (PARTITION BY project ORDER BY k_at DESC, k_id DESC) <= 30)"""
+
+
+def trail(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     saves = events.select("event_id", F.col("user_id").alias("project"), F.col("ts").cast("timestamp").alias("saved_at"), F.round("value", 0).cast("string").alias("content"), (F.col("event_type") == "purchase").alias("forced"))
     return T.snapshot_trail(saves)
 
 
+@query(f"WITH {TRAIL_SQL} SELECT project, event_id, saved_us, content, row_number() OVER (PARTITION BY project ORDER BY saved_us DESC, event_id DESC)::INTEGER AS version_no FROM trail")
+def kept_versions(spark, sf_dir):
+    return trail(spark, sf_dir).select("project", "event_id", F.unix_micros("saved_at").alias("saved_us"), "content", "version_no")
+
+
+@query(f"WITH {TRAIL_SQL}, m AS (SELECT median(epoch_us(ts))::BIGINT // 1000000 AS middle FROM events) SELECT project, arg_max(event_id, (saved_us, event_id)) AS event_id, arg_max(content, (saved_us, event_id)) AS content FROM trail, m WHERE saved_us <= middle * 1000000 GROUP BY project")
+def versions_at_the_middle(spark, sf_dir):
+    """What each project's newest kept version was at the median of all saves."""
+    middle = table(spark, sf_dir, "events").agg(F.floor(F.median(F.unix_micros(F.col("ts").cast("timestamp"))) / 1_000_000)).first()[0]
+    at = spark.range(1).select(F.timestamp_seconds(F.lit(int(middle))).cast("string").alias("t")).first()["t"]
+    return T.versions_at(trail(spark, sf_dir), at).select("project", "event_id", "content")
+
+
 @query("""SELECT doc_id, count(*) AS rows, max(len(string_split(line, '|')) - 2) AS width FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM (SELECT s_suppkey AS doc_id, '| a | b | c |' || chr(10) || '|---|---|---|' || chr(10) || repeat('| 1 | 2 | 3 |' || chr(10), (1 + s_suppkey % 5)::INTEGER) AS text FROM supplier)) WHERE line LIKE '|%' AND line NOT LIKE '|---%' GROUP BY 1""")
 def markdown_tables(spark, sf_dir):
     """Each supplier's document holds one table with some rows."""

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.typed import infer
-from ..operators.cells import parse_ref
+from ..operators.cells import column_number, parse_ref
 
 CELL = "struct<f:string,v:string,t:string,fmt:string,style:string,st:string,note:string>"
 #: Project kinds by folder suffix (fixed values).
@@ -18,8 +18,9 @@ def read_tables(spark: SparkSession, folder: str, *names: str) -> dict[str, Data
 
 
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text), one row a file."""
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    """(path, text), one row a file; the path as it is named, not as a URI writes it."""
+    named = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return spark.read.text(path, wholetext=True).select(named.alias("path"), F.col("value").alias("text"))
 
 
 def scan_cells(spark: SparkSession, path: str) -> DataFrame:
@@ -89,6 +90,14 @@ def file_inventory(spark: SparkSession, path: str) -> DataFrame:
     return files.filter(~F.col("path").contains("/.history/")).withColumn("project", F.regexp_extract("path", rf"([^/]+\.(?:{suffixes}))/", 1)).groupBy("project").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"), F.count_if(F.col("path").contains("/assets/")).alias("assets"))
 
 
+def asset_list(spark: SparkSession, path: str) -> DataFrame:
+    """project, asset (its path below the assets folder), bytes; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    found = rf"([^/]+\.(?:{'|'.join(s.lstrip('.') for s in SUFFIXES)}))/(?:.*/)?assets/(.+)$"
+    kept = files.filter(~F.col("path").contains("/.history/") & F.col("path").rlike(found))
+    return kept.select(F.regexp_extract("path", found, 1).alias("project"), F.regexp_extract("path", found, 2).alias("asset"), F.col("length").alias("bytes"))
+
+
 def resolve_items(listed: DataFrame, files: DataFrame) -> DataFrame:
     """listed(project_id, item_no, md_path) and files(project_id, md_path) -> items in the listed order
     without missing files, then unlisted files by name."""
@@ -133,6 +142,24 @@ def extract_md_tables(docs: DataFrame, id_column: str = "doc_id", text: str = "t
     return sized.select(id_column, F.dense_rank().over(Window.partitionBy(id_column).orderBy("_i")).alias("table_no"), F.when(F.col("_n") == 0, 0).otherwise(F.col("_n") - 1).alias("row_no"), padded.alias("values"))
 
 
+def md_table_cells(tables: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """Tables of `extract_md_tables` as cells: doc_id, table_no, row, col, value; empty cells are left out.
+
+    A table with a blank corner, column letters above and row numbers (bold or not) at the side says
+    itself where its cells are; any other lies at A1 with its header in row 1."""
+    number = r"^\*{0,2}([0-9]+)\*{0,2}$"
+    own = Window.partitionBy(id_column, "table_no")
+    rest = F.slice("values", F.lit(2), F.greatest(F.size("values") - 1, F.lit(0)))
+    lettered = (F.get("values", F.lit(0)) == "") & (F.size("values") > 1) & F.forall(rest, lambda x: x.rlike("^[A-Z]{1,3}$"))
+    fits = F.when(F.col("row_no") == 0, lettered).otherwise(F.get("values", F.lit(0)).rlike(number))
+    marked = tables.withColumn("_placed", F.bool_and(fits).over(own)).withColumn("_letters", F.max(F.when(F.col("row_no") == 0, F.col("values"))).over(own))
+    each = marked.select(id_column, "table_no", "row_no", "_placed", "_letters", F.get("values", F.lit(0)).alias("_side"), F.posexplode("values").alias("_at", "value"))
+    row = F.when(F.col("_placed"), F.regexp_extract("_side", number, 1).try_cast("int")).otherwise(F.col("row_no") + 1)
+    col = F.when(F.col("_placed"), column_number(F.get("_letters", F.col("_at")))).otherwise(F.col("_at") + 1)
+    kept = each.filter((F.col("value") != "") & (~F.col("_placed") | ((F.col("row_no") > 0) & (F.col("_at") > 0))))
+    return kept.select(id_column, "table_no", row.alias("row"), col.alias("col"), "value")
+
+
 CHART_KINDS = ("column", "bar", "line", "area", "pie", "donut", "scatter")
 CHART = "struct<type:string,title:string,labels:array<string>,categories:array<string>,series:array<struct<name:string,values:array<string>>>,range:string,orientation:string>"
 

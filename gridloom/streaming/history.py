@@ -114,6 +114,12 @@ def version_at(trail: DataFrame, project: int, at: str) -> DataFrame:
     return trail.filter((F.col("project") == project) & (F.col("saved_at") <= F.lit(at).cast("timestamp"))).orderBy(F.desc("saved_at"), F.desc("event_id")).limit(1)
 
 
+def versions_at(trail: DataFrame, at: str) -> DataFrame:
+    """The same for every project: its newest kept version at a time."""
+    before = trail.filter(F.col("saved_at") <= F.lit(at).cast("timestamp"))
+    return before.groupBy("project").agg(F.max_by(F.struct("event_id", "saved_at", "content"), F.struct("saved_at", "event_id")).alias("v")).select("project", "v.*")
+
+
 def restore(trail: DataFrame, current: DataFrame, project: int, version_no: int) -> DataFrame:
     """Saves to append for a restore: the current state first (forced), then the chosen version."""
     chosen = trail.filter((F.col("project") == project) & (F.col("version_no") == version_no)).select("project", "content")
@@ -124,12 +130,13 @@ def restore(trail: DataFrame, current: DataFrame, project: int, version_no: int)
 def stream_cells(changes: DataFrame, profile, target: str, checkpoint: str):
     """Changed sheets -> their cells and profiles, rewritten for the touched sheets only.
 
-    changes is a stream of cells with sheet_id; `profile(cells)` gives the rows to keep per sheet."""
+    changes is a stream of cells with project_id and sheet_id; `profile(cells)` gives the rows to keep per
+    project and sheet, with both columns.  Sheets of one id in two projects are two sheets."""
 
     def refresh(batch: DataFrame, _: int) -> None:
         batch = batch.persist()
-        batch.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("sheet_id").parquet(f"{target}/cells")
-        profile(batch).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("sheet_id").parquet(f"{target}/profiles")
+        batch.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("project_id", "sheet_id").parquet(f"{target}/cells")
+        profile(batch).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("project_id", "sheet_id").parquet(f"{target}/profiles")
         batch.unpersist()
 
     return changes.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

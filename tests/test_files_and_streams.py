@@ -74,9 +74,9 @@ def test_history(spark, tmp_path):
 
 def test_stream_cells(spark, tmp_path):
     schema = "project_id string, sheet_id string, row int, col int, v_num double"
-    spark.createDataFrame([("p", "a", 1, 1, 1.0), ("p", "b", 1, 1, 2.0)], schema).coalesce(1).write.parquet(f"{tmp_path}/in/0")
-    start = lambda: T.stream_cells(spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in"), lambda c: c.groupBy("sheet_id").agg(F.sum("v_num").alias("total")), f"{tmp_path}/out", f"{tmp_path}/cp")
+    spark.createDataFrame([("p", "a", 1, 1, 1.0), ("p", "b", 1, 1, 2.0), ("q", "b", 1, 1, 7.0)], schema).coalesce(1).write.parquet(f"{tmp_path}/in/0")
+    start = lambda: T.stream_cells(spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in"), lambda c: c.groupBy("project_id", "sheet_id").agg(F.sum("v_num").alias("total")), f"{tmp_path}/out", f"{tmp_path}/cp")
     start().awaitTermination()
     spark.createDataFrame([("p", "b", 1, 1, 5.0)], schema).coalesce(1).write.parquet(f"{tmp_path}/in/1")
     start().awaitTermination()
-    assert {r.sheet_id: r.total for r in spark.read.parquet(f"{tmp_path}/out/profiles").collect()} == {"a": 1.0, "b": 5.0}
+    assert {(r.project_id, r.sheet_id): r.total for r in spark.read.parquet(f"{tmp_path}/out/profiles").collect()} == {("p", "a"): 1.0, ("p", "b"): 5.0, ("q", "b"): 7.0}
