@@ -148,10 +148,23 @@ PLAIN_REWRITES = [
 ]
 
 
+#: What a text must hold for the rewrite at the same place to change it; None: not told so easily.
+NEEDED = ("```", "`", "![", "](", "#", ">", None, "**", "*", "~~", "<", "|", "\\", "|", None, None)
+
+
+def bound(value: Column, body) -> Column:
+    """Evaluate a column once and use it in `body`."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def plain_text(md: Column) -> Column:
+    """Markdown without its marks; rewrites that cannot change a text are skipped."""
     out = F.coalesce(md, F.lit(""))
-    for pattern, new in PLAIN_REWRITES:
-        out = F.regexp_replace(out, pattern, new)
+    for (pattern, new), mark in zip(PLAIN_REWRITES, NEEDED):
+        if mark is None:
+            out = F.regexp_replace(out, pattern, new)
+        else:
+            out = bound(out, lambda t: F.when(t.contains(mark), F.regexp_replace(t, pattern, new)).otherwise(t))  # noqa: B023
     return out
 
 
@@ -160,8 +173,7 @@ CJK = r"[\x{1100}-\x{11FF}\x{3000}-\x{30FF}\x{3130}-\x{318F}\x{4E00}-\x{9FFF}\x{
 
 
 def count_words(md: Column) -> Column:
-    t = plain_text(md)
-    return F.regexp_count(t, F.lit(CJK)) + F.regexp_count(t, F.lit(r"[A-Za-z0-9'’-]+"))
+    return bound(plain_text(md), lambda t: F.regexp_count(t, F.lit(CJK)) + F.regexp_count(t, F.lit(r"[A-Za-z0-9'’-]+")))
 
 
 def heading_level(md: Column) -> Column:
