@@ -4,8 +4,10 @@ Every rule is evaluated once.  The ledger keeps the measurements and one bit per
 failed rule, so that versioned policies (masks over the rules) and ablations (a policy
 without one rule) are bitwise operations on a few distinct masks, not new scans.
 
-Rules: a null text has no words, so every count is 0 and `too_few_words` fails.  Other
-columns play no part; repeated rows each get their own ledger row.
+Rules: a null text has no words, so every count is 0 and `too_few_words` fails.  Repeated
+rows each get their own ledger row; other columns play no part, and kept ones named like a
+measure or `failed` are replaced; texts of any length are measured whole; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -148,7 +150,7 @@ m AS (
 )
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
        n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
-       (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, failed_rules = 0 AS kept,
+       (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, (failed_rules & {mask_of(POLICIES["v2"])}) = 0 AS kept,
        failed_rules::BIGINT AS failed_rules
 FROM f
 """

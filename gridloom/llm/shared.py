@@ -22,20 +22,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the session names none (tests)."""
+    """The folder all executors share, named by the session; on one machine, where it names none, one of our own."""
     context = spark.sparkContext
     folder = context._jsc.sc().getCheckpointDir()
     if folder.isDefined():
         return folder.get()
     named = context.getConf().get("spark.checkpoint.dir", "")
+    if not named and not context.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(named or f"/tmp/gridloom-{uuid.uuid4().hex}")
     return context._jsc.sc().getCheckpointDir().get()
 
 
+#: Tables written by `materialise` in this process.
+WRITTEN: list[str] = []
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete the intermediate tables written so far, once no frame made from them is needed any more; their number."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(WRITTEN.pop()) for _ in range(len(WRITTEN))]
+    return sum(path.getFileSystem(conf).delete(path, True) for path in paths)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write a frame once as Parquet in the shared folder and read it back: cuts the lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
