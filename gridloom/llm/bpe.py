@@ -12,7 +12,7 @@ table; README.md has the figures that led to this form.
 
 Rules: a null text is the empty text (no ids, empty bytes).  Repeated rows and null
 ids pass through unchanged, one output row per input row; other columns are dropped
-unless named in `keep`.  A word longer than LONG_WORD bytes is merged with a heap,
+unless named in `keep`, whatever their names; an empty table gives no rows.  A word longer than LONG_WORD bytes is merged with a heap,
 n log n for any length; the ids are the same.
 """
 

@@ -14,6 +14,11 @@
    differ by more than `bits`.
 5. Each comparison yields a spanning forest of its links rather than all pairs, and
    the forests are joined to components by label propagation with pointer jumping.
+
+Rules: null and wordless texts have fingerprint zero, linked like any other; texts of any
+length are read whole; repeated rows and ids each get a row; a component of null ids only
+has a null id; an empty table gives no rows.  Other columns play no part, whatever their
+names.
 """
 
 from __future__ import annotations
