@@ -53,20 +53,23 @@ def extend_series(df: DataFrame, value: str, order_by: str, by: Sequence[str], n
     """n values on from each series.  Two or more numbers go on by the average step, one number repeats;
     texts that end in digits count up and keep their width; other texts repeat in a cycle."""
     kind = dict(df.dtypes)[value]
-    packed = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order_by).alias("o"), F.col(value).alias("v")))).alias("s")).withColumn("s", F.transform("s", lambda x: x["v"]))
-    ahead = packed.withColumn("step_no", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    size, last = F.size("s"), F.element_at("s", -1)
+    held = F.struct(F.col(value).alias("v"))
+    kept = [F.min_by(held, order_by)["v"].alias("first"), F.max_by(held, order_by)["v"].alias("last"), F.count("*").alias("size")]
+    if kind == "string":  # texts that repeat in a cycle are needed one by one
+        kept.append(F.array_sort(F.collect_list(F.struct(F.col(order_by).alias("o"), F.col(value).alias("v")))).alias("s"))
+    ahead = df.groupBy(*by).agg(*kept).withColumn("step_no", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    size, first, last = F.col("size"), F.col("first"), F.col("last")
     if kind == "date":
-        step = F.when(size > 1, F.round(F.datediff(last, F.get("s", F.lit(0))) / F.nullif(size - 1, F.lit(0)))).otherwise(F.lit(1)).cast("int")
+        step = F.when(size > 1, F.round(F.datediff(last, first) / F.nullif(size - 1, F.lit(0)))).otherwise(F.lit(1)).cast("int")
         out = F.date_add(last, step * F.col("step_no"))
     elif kind == "string":
         digits = F.regexp_extract(last, r"([0-9]+)$", 1)
         stem = F.substring(last, F.lit(1), F.length(last) - F.length(digits))
         count = (digits.try_cast("bigint") + F.col("step_no")).cast("string")
         counted = F.concat(stem, F.when(F.length(count) < F.length(digits), F.lpad(count, F.length(digits), F.lit("0"))).otherwise(count))
-        out = F.when(digits != "", counted).otherwise(F.get("s", F.pmod(F.col("step_no") - 1, size)))
+        out = F.when(digits != "", counted).otherwise(F.get("s", F.pmod(F.col("step_no") - 1, size).cast("int"))["v"])
     else:
-        step = F.when(size > 1, (last - F.get("s", F.lit(0))) / F.nullif(size - 1, F.lit(0))).otherwise(F.lit(0.0))
+        step = F.when(size > 1, (last - first) / F.nullif(size - 1, F.lit(0))).otherwise(F.lit(0.0))
         out = last + step * F.col("step_no")
     return ahead.select(*by, "step_no", out.alias(value))
 
