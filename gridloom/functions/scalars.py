@@ -110,19 +110,17 @@ def dollar(x: Column, decimals: int = 2) -> Column:
 
 
 def text(x: Column, pattern: str) -> Column:
-    """A fixed list of patterns: 0, 0.00, #,##0, #,##0.00, 0%, 0.0%, 0.00%, yyyy-mm-dd and money signs before numbers."""
+    """A fixed list of patterns: 0, 0.00, #,##0, #,##0.00, 0%, 0.0%, 0.00%, yyyy-mm-dd and money signs before numbers.
+
+    A number below 0 keeps its minus where it is rounded to 0."""
     if pattern.startswith("yyyy"):
         return F.date_format(x, pattern.replace("mm", "MM"))
     sign = pattern[0] if pattern[0] in "₩$€£¥" else ""
     bare = pattern.removeprefix(sign)
     decimals = len(bare.rstrip("%").partition(".")[2])
     value = x * 100 if bare.endswith("%") else x
-    shown = fixed(value, decimals, "," in bare)
-    if bare.endswith("%"):
-        shown = F.concat(shown, F.lit("%"))
-    if not sign:
-        return shown
-    return F.when(shown.startswith("-"), F.concat(F.lit(f"-{sign}"), F.substring(shown, F.lit(2), F.length(shown)))).otherwise(F.concat(F.lit(sign), shown))
+    shown = F.concat(fixed(F.abs(value), decimals, "," in bare), F.lit("%" if bare.endswith("%") else ""))
+    return F.concat(F.when(x < 0, F.lit(f"-{sign}")).otherwise(F.lit(sign)), shown)
 
 
 def format_stat(x: Column, is_percent: Column | bool = False) -> Column:

@@ -40,11 +40,11 @@ def basic_aggregates(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.round(A.total(x), 2).alias("total"), F.round(A.average(x), 4).alias("average"), A.smallest(x).alias("smallest"), A.largest(x).alias("largest"), A.count_numbers(x).alias("numbers"), A.count_filled(F.col("o_orderpriority")).alias("filled"), A.count_blank(F.col("o_orderpriority")).alias("blank"))
 
 
-@query("""SELECT l_partkey, round(exp(sum(ln(1 + l_discount))), 6) AS growth, round(sum(l_tax * l_tax), 6) AS squares, round(sum(l_extendedprice * (1 - l_discount) * (l_returnflag = 'N')::INT), 2) AS net
+@query("""SELECT l_partkey, round(exp(sum(ln(1 + l_discount))), 6) AS growth, round(sum(l_tax * l_tax), 6) AS squares, round(sum(l_extendedprice * (1 - l_discount) * (l_returnflag = 'N')::INT), 4) AS net
 FROM lineitem GROUP BY 1""")
 def product_sumsq_sumproduct(spark, sf_dir):
     c = F.col
-    return table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.round(A.product(1 + c("l_discount")), 6).alias("growth"), F.round(A.sum_squares(c("l_tax")), 6).alias("squares"), F.round(A.sumproduct(c("l_extendedprice"), 1 - c("l_discount"), c("l_returnflag") == "N"), 2).alias("net"))
+    return table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.round(A.product(1 + c("l_discount")), 6).alias("growth"), F.round(A.sum_squares(c("l_tax")), 6).alias("squares"), F.round(A.sumproduct(c("l_extendedprice"), 1 - c("l_discount"), c("l_returnflag") == "N"), 4).alias("net"))
 
 
 @query("""SELECT l_suppkey, l_linestatus, round(exp(sum(ln(1 + l_discount))), 6) AS growth, round(sum(l_tax * l_tax), 6) AS squares, round(sum(l_extendedprice * (1 - l_discount) * (l_returnflag = 'N')::INT), 2) AS net

@@ -171,7 +171,7 @@ def depreciation_schedules(spark, sf_dir):
 
 @query("""WITH RECURSIVE n AS (SELECT o_custkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS no FROM orders),
 f AS (SELECT o_custkey, list(CASE WHEN no = 1 THEN -o_totalprice ELSE o_totalprice / 4 END ORDER BY no) AS v FROM n GROUP BY 1),
-b AS (SELECT o_custkey, v, -0.999999::DOUBLE AS lo, 10.0::DOUBLE AS hi, 0 AS i FROM f WHERE len(v) > 1
+b AS (SELECT o_custkey, v, -0.999999::DOUBLE AS lo, 10.0::DOUBLE AS hi, 0 AS i FROM f WHERE len(v) > 1 AND list_sum(list_transform(v, lambda x, k: x / power(11.0, k - 1))) < 0
   UNION ALL SELECT o_custkey, v, CASE WHEN list_sum(list_transform(v, lambda x, k: x / power(1 + (lo + hi) / 2, k - 1))) > 0 THEN (lo + hi) / 2 ELSE lo END,
     CASE WHEN list_sum(list_transform(v, lambda x, k: x / power(1 + (lo + hi) / 2, k - 1))) > 0 THEN hi ELSE (lo + hi) / 2 END, i + 1 FROM b WHERE i < 60)
 SELECT o_custkey, round(lo, 8) AS irr FROM f LEFT JOIN (SELECT o_custkey, lo FROM b WHERE i = 60) USING (o_custkey)""")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import errors as E
+from ..functions.lineage import pinned
 from ..operators import cells as K
 from ..operators import charts as C
 from ..operators import documents as D
@@ -317,7 +318,7 @@ def node_tree(spark, sf_dir):
 @query(f"WITH {TREE_SQL} SELECT path, kind, depth::INTEGER AS depth, child_count, true AS found FROM counted WHERE conv_id = 1 AND depth <= 3 UNION ALL SELECT 'doc/none', NULL, NULL, NULL, false")
 def resolved_address(spark, sf_dir):
     """One conversation's address with all below it, and an address that is not there."""
-    nodes, _ = tree(spark, sf_dir)
+    nodes = pinned(tree(spark, sf_dir)[0])  # written once, then asked by address
     found = D.resolve(nodes, "doc/1", 3).unionByName(D.resolve(nodes, "doc/none", 3))
     return found.select("path", "kind", "depth", "child_count", "found")
 
