@@ -127,7 +127,8 @@ def region_blocks(regions: DataFrame, id_column: str = "doc_id") -> DataFrame:
     return cut.select(id_column, place.alias("pos"), "region", own("block_id"), own("options"), "b.block_type", "b.md")
 
 
-#: The patterns that turn Markdown into plain text, in their fixed order.
+#: The patterns that turn Markdown into plain text, in their fixed order.  Digits are
+#: any decimal digits, written as a class since `\\d` means ASCII digits to some engines.
 PLAIN_REWRITES = [
     (r"(?s)```.*?```", " "),
     (r"`([^`]*)`", "$1"),
@@ -168,8 +169,9 @@ def plain_text(md: Column) -> Column:
     return out
 
 
-#: Characters that are words of their own: Hangul, kana, CJK marks and ideographs.
-CJK = r"[\x{1100}-\x{11FF}\x{3000}-\x{30FF}\x{3130}-\x{318F}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7A3}]"
+#: Characters that are words of their own, in this order: Hangul jamo, CJK
+#: punctuation, kana, Hangul compatibility jamo, Hangul syllables, CJK unified ideographs.
+CJK = r"[\x{1100}-\x{11FF}\x{3000}-\x{303F}\x{3040}-\x{30FF}\x{3130}-\x{318F}\x{AC00}-\x{D7A3}\x{4E00}-\x{9FFF}]"
 
 
 def count_words(md: Column) -> Column:
