@@ -128,7 +128,7 @@ def region_blocks(regions: DataFrame, id_column: str = "doc_id") -> DataFrame:
 
 
 #: The patterns that turn Markdown into plain text, in their fixed order.  Digits are
-#: any decimal digits, written as a class since `\\d` means ASCII digits to some engines.
+#: any decimal digits, written as a class since `\d` means ASCII digits to some engines.
 PLAIN_REWRITES = [
     (r"(?s)```.*?```", " "),
     (r"`([^`]*)`", "$1"),
