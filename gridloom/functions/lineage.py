@@ -14,7 +14,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if folder.isDefined():
         return folder.get()
     named = context.getConf().get("spark.checkpoint.dir", "")
-    if not named and not context.master.startswith("local["):
+    if not named and context.master.split("[")[0] != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(named or f"/tmp/gridloom-{uuid.uuid4().hex}")
     return context._jsc.sc().getCheckpointDir().get()
