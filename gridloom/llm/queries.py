@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op8_byte_bpe
 from .chat import OP10_SQL, op10_chat_format
 from .cotraining import op5_cotraining
+from .interactions import OP11_SQL, op11_filter_interactions
 from .langid import op3_language_id
 from .licenses import OP6_SQL, op6_license_scan
 from .mixing import op4_pfair_mix
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_toxicity": op9_toxicity,
     "op10_chat_format": op10_chat_format,
+    "op11_filter_interactions": op11_filter_interactions,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -31,4 +33,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": OP2_SQL,
     "op6_license_scan": OP6_SQL,
     "op10_chat_format": OP10_SQL,
+    "op11_filter_interactions": OP11_SQL,
 }
