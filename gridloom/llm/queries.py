@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op8_byte_bpe
 from .chat import OP10_SQL, op10_chat_format
+from .codes import OP13_SQL, op13_vector_codes
 from .cotraining import op5_cotraining
 from .interactions import OP11_SQL, op11_filter_interactions
 from .langid import op3_language_id
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_chat_format": op10_chat_format,
     "op11_filter_interactions": op11_filter_interactions,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -34,4 +36,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_license_scan": OP6_SQL,
     "op10_chat_format": OP10_SQL,
     "op11_filter_interactions": OP11_SQL,
+    "op13_vector_codes": OP13_SQL,
 }
