@@ -14,6 +14,7 @@ from .quality import OP2_SQL, op2_quality_rules
 from .simhash import op7_simhash
 from .topk import OP1_SQL, op1_pivot_topk
 from .toxicity import op9_toxicity
+from .urlrules import OP12_SQL, op12_url_filters
 
 QUERIES = {
     "op1_pivot_topk": op1_pivot_topk,
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_chat_format": op10_chat_format,
     "op11_filter_interactions": op11_filter_interactions,
+    "op12_url_filters": op12_url_filters,
     "op13_vector_codes": op13_vector_codes,
 }
 
@@ -36,5 +38,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_license_scan": OP6_SQL,
     "op10_chat_format": OP10_SQL,
     "op11_filter_interactions": OP11_SQL,
+    "op12_url_filters": OP12_SQL,
     "op13_vector_codes": OP13_SQL,
 }
