@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import checkpoint_dir
 from ..operators import documents as D
 from ..sources import files as S
 from ..streaming import history as T
+from ..streaming import store
 from .registry import query, table
 from .sheet import part_cells
 
@@ -95,8 +97,32 @@ def streamed_profiles(spark, sf_dir):
     cells = part_cells(spark, sf_dir).filter("col = 2 AND t = 'n'").select("project_id", "sheet_id", "row", "col", "v_num")
     cells.write.parquet(f"{path}/in")
     profile = lambda c: c.groupBy("project_id", "sheet_id").agg(F.count("v_num").alias("numbers"), F.sum("v_num").alias("total"))
-    T.stream_cells(spark.readStream.schema(cells.schema).parquet(f"{path}/in"), profile, f"{path}/out", f"{path}/state").awaitTermination()
-    return spark.read.parquet(f"{path}/out/profiles").select("sheet_id", "numbers", "total")
+    store.stream_cells(spark.readStream.schema(cells.schema).parquet(f"{path}/in"), profile, f"{path}/out", f"{path}/state").awaitTermination()
+    return store.stored(spark, f"{path}/out", "profiles").select("sheet_id", "numbers", "total")
+
+
+@query(f"""SELECT p_brand AS sheet_id, row::BIGINT AS row, (CASE WHEN p_partkey % 3 = 0 THEN p_size + 100 ELSE p_size END)::DOUBLE AS v_num,
+count(*) OVER (PARTITION BY p_brand) AS numbers, (sum(CASE WHEN p_partkey % 3 = 0 THEN p_size + 100 ELSE p_size END) OVER (PARTITION BY p_brand))::DOUBLE AS total
+FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS row FROM part) WHERE p_partkey % 5 > 0""")
+def streamed_updates(spark, sf_dir):
+    """All parts' sizes as cells, then every third changed, every fifth deleted and every seventh sent again as it was
+    long ago, a file a batch: stored cells with the count and sum of their sheet's profile."""
+    path = folder(spark)
+    row = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
+    cells = table(spark, sf_dir, "part").select(F.lit("p").alias("project_id"), F.col("p_brand").alias("sheet_id"), row.cast("bigint").alias("row"), F.lit(2).alias("col"), F.col("p_size").cast("double").alias("v_num"), F.lit(1).alias("version"), F.lit(False).alias("deleted"), "p_partkey")
+    changes = [
+        cells,
+        cells.filter("p_partkey % 3 = 0").withColumns({"v_num": F.col("v_num") + 100, "version": F.lit(3)}),
+        cells.filter("p_partkey % 5 = 0").withColumns({"version": F.lit(4), "deleted": F.lit(True)}),
+        cells.filter("p_partkey % 7 = 0").withColumn("version", F.lit(0)),
+    ]
+    for part in changes:
+        part.drop("p_partkey").write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(cells.drop("p_partkey").schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    profile = lambda c: c.groupBy("project_id", "sheet_id").agg(F.count("v_num").alias("numbers"), F.sum("v_num").alias("total"))
+    store.stream_cells(stream, profile, f"{path}/out", f"{path}/state", ["version"], 8).awaitTermination()
+    sheets = store.stored(spark, f"{path}/out", "profiles").select("project_id", "sheet_id", "numbers", "total")
+    return store.stored(spark, f"{path}/out").join(sheets, ["project_id", "sheet_id"]).select("sheet_id", "row", "v_num", "numbers", "total")
 
 
 @query("""SELECT doc_id, 1 + row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS row, chr(65 + (i % 3)::INTEGER) AS col_name, word FROM (SELECT s_suppkey AS doc_id, unnest([s_name, s_nationkey::VARCHAR]) AS word, unnest([0, 1]) AS i FROM supplier) WHERE i = 0

@@ -1,4 +1,4 @@
-"""Change history, in batch and as a stream: accepted saves, kept versions, touched sheets.
+"""Change history, in batch and as a stream: accepted saves and kept versions.
 
 The stateful stream and the batch form share one step function per project, so both give
 the same rows for events in time order.
@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: Seconds between kept versions, versions kept.
@@ -90,23 +91,44 @@ def snapshot_trail(saves: DataFrame, versions: int = VERSIONS) -> DataFrame:
     return kept.withColumn("version_no", F.row_number().over(newest)).filter(F.col("version_no") <= versions)
 
 
-def snapshot_stream(saves: DataFrame) -> DataFrame:
-    """Versions as they are kept, with the last kept and the current state of each project as state."""
-    names = [x.split()[0] for x in TRAIL.split(", ")]
-    stored = "k_id long, k_at timestamp, k_text string, c_id long, c_at timestamp, c_text string"
+def snapshot_stream(saves: DataFrame, versions: int = VERSIONS) -> DataFrame:
+    """Versions as they are kept (change `kept`) and as they leave the newest `versions` of their project (change `dropped`).
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = current = None
-        if state.exists:
-            s = state.get
-            kept = None if s[0] is None else (s[0], pd.Timestamp(s[1]), s[2])
-            current = None if s[3] is None else (s[3], pd.Timestamp(s[4]), s[5])
-        kept, current, out = keep_step(kept, current, pd.concat(list(batches), ignore_index=True))
-        flat = lambda x: (None, None, None) if x is None else (int(x[0]), x[1].to_pydatetime(), x[2])
-        state.update((*flat(kept), *flat(current)))
-        yield pd.DataFrame(out, columns=names)
+    The state of a project is the current save and a list of its kept versions, never longer than
+    `versions`; what is kept and not dropped is what `snapshot_trail` gives.  Needs the RocksDB state
+    store, which the session is set to."""
+    saves.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return saves.groupBy("project").transformWithStateInPandas(KeptVersions(versions), f"{TRAIL}, change string", "append", "none")
+
+
+class KeptVersions(StatefulProcessor):
+    """The versions of one project: a list, oldest first, and the save that is current."""
+
+    SAVE = "event_id long, saved_at timestamp, content string"
+
+    def __init__(self, versions: int) -> None:
+        self.versions = versions
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.kept = handle.getListState("kept", self.SAVE)
+        self.current = handle.getValueState("current", self.SAVE)
 
-    return saves.groupBy("project").applyInPandasWithState(step, TRAIL, stored, "append", GroupStateTimeout.NoTimeout)
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        read = lambda s: (s[0], pd.Timestamp(s[1]), s[2])
+        kept = [read(s) for s in self.kept.get()]
+        current = read(self.current.get()) if self.current.exists() else None
+        _, current, made = keep_step(kept[-1] if kept else None, current, pd.concat(list(rows), ignore_index=True))
+        kept += [m[1:] for m in made]
+        gone, kept = kept[: max(0, len(kept) - self.versions)], kept[max(0, len(kept) - self.versions) :]
+        flat = lambda s: (int(s[0]), s[1].to_pydatetime(), s[2])
+        if made:
+            self.kept.put([flat(s) for s in kept])
+        self.current.update(flat(current))
+        out = [(*m, "kept") for m in made] + [(key[0], *s, "dropped") for s in gone]
+        yield pd.DataFrame(out, columns=["project", "event_id", "saved_at", "content", "change"])
+
+    def close(self) -> None:
+        pass
 
 
 def version_at(trail: DataFrame, project: int, at: str) -> DataFrame:
@@ -125,18 +147,3 @@ def restore(trail: DataFrame, current: DataFrame, project: int, version_no: int)
     chosen = trail.filter((F.col("project") == project) & (F.col("version_no") == version_no)).select("project", "content")
     now = current.filter(F.col("project") == project).select("project", "content")
     return now.withColumn("step", F.lit(1)).unionByName(chosen.withColumn("step", F.lit(2)))
-
-
-def stream_cells(changes: DataFrame, profile, target: str, checkpoint: str):
-    """Changed sheets -> their cells and profiles, rewritten for the touched sheets only.
-
-    changes is a stream of cells with project_id and sheet_id; `profile(cells)` gives the rows to keep per
-    project and sheet, with both columns.  Sheets of one id in two projects are two sheets."""
-
-    def refresh(batch: DataFrame, _: int) -> None:
-        batch = batch.persist()
-        batch.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("project_id", "sheet_id").parquet(f"{target}/cells")
-        profile(batch).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("project_id", "sheet_id").parquet(f"{target}/profiles")
-        batch.unpersist()
-
-    return changes.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

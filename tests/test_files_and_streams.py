@@ -2,10 +2,12 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from gridloom.sources import files as S
 from gridloom.streaming import history as T
+from gridloom.streaming import store
 
 
 def test_sheets_and_projects(spark, tmp_path):
@@ -72,11 +74,61 @@ def test_history(spark, tmp_path):
     assert {r.content for r in drain(T.snapshot_stream(read()), "kept_stream").filter("project = 1").collect()} == {"a", "c", "d"}
 
 
+TOTALS = lambda c: c.groupBy("project_id", "sheet_id").agg(F.sum("v_num").alias("total"), F.count("*").alias("n"))
+CELLS = "project_id string, sheet_id string, row int, col int, v_num double"
+
+
 def test_stream_cells(spark, tmp_path):
-    schema = "project_id string, sheet_id string, row int, col int, v_num double"
-    spark.createDataFrame([("p", "a", 1, 1, 1.0), ("p", "b", 1, 1, 2.0), ("q", "b", 1, 1, 7.0)], schema).coalesce(1).write.parquet(f"{tmp_path}/in/0")
-    start = lambda: T.stream_cells(spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in"), lambda c: c.groupBy("project_id", "sheet_id").agg(F.sum("v_num").alias("total")), f"{tmp_path}/out", f"{tmp_path}/cp")
+    """Sheets of one id in two projects are two; a later file of a sheet adds to it and changes it."""
+    put = lambda k, rows: spark.createDataFrame(rows, CELLS).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    start = lambda: store.stream_cells(spark.readStream.schema(CELLS).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"), TOTALS, f"{tmp_path}/out", f"{tmp_path}/cp", buckets=3)
+    profiles = lambda: {(r.project_id, r.sheet_id): (r.total, r.n) for r in store.stored(spark, f"{tmp_path}/out", "profiles").collect()}
+    put(0, [("p", "a", 1, 1, 1.0), ("p", "a", 2, 1, 4.0), ("p", "b", 1, 1, 2.0), ("q", "b", 1, 1, 7.0), (None, None, 1, 1, 9.0)])
     start().awaitTermination()
-    spark.createDataFrame([("p", "b", 1, 1, 5.0)], schema).coalesce(1).write.parquet(f"{tmp_path}/in/1")
+    put(1, [("p", "b", 1, 1, 5.0), ("p", "a", 2, 1, 5.0), ("p", "a", 3, 1, 10.0), (None, None, 1, 1, 8.0), (None, None, 1, 2, 1.0)])
     start().awaitTermination()
-    assert {(r.project_id, r.sheet_id): r.total for r in spark.read.parquet(f"{tmp_path}/out/profiles").collect()} == {("p", "a"): 1.0, ("p", "b"): 5.0, ("q", "b"): 7.0}
+    assert profiles() == {("p", "a"): (16.0, 3), ("p", "b"): (5.0, 1), ("q", "b"): (7.0, 1), (None, None): (9.0, 2)}
+    assert {(r.row, r.v_num) for r in store.stored(spark, f"{tmp_path}/out").filter("project_id = 'p' AND sheet_id = 'a'").collect()} == {(1, 1.0), (2, 5.0), (3, 10.0)}
+    start().awaitTermination()  # nothing new
+    assert len(profiles()) == 4
+
+
+def test_replays_and_broken_batches(spark, tmp_path):
+    target = f"{tmp_path}/t"
+    schema = f"{CELLS}, version int, deleted boolean"
+    of = lambda rows: spark.createDataFrame(rows, schema)
+    cells = lambda: sorted((r.sheet_id, r.row, r.v_num) for r in store.stored(spark, target).collect())
+    first = of([("p", "a", 1, 1, 1.0, 1, False), ("p", "a", 2, 1, 2.0, 1, None), ("p", "b", 1, 1, 3.0, 1, False), ("p", "a", 1, 1, 1.5, 2, False)])
+    assert store.merge_batch(first, 0, TOTALS, target, ["version"], 2)
+    assert cells() == [("a", 1, 1.5), ("a", 2, 2.0), ("b", 1, 3.0)]
+    assert not store.merge_batch(of([("p", "a", 1, 1, 99.0, 9, False)]), 0, TOTALS, target, ["version"], 2) and cells()[0] == ("a", 1, 1.5)
+
+    def dies(_):
+        raise RuntimeError("lost")
+
+    change = of([("p", "a", 1, 1, 7.0, 3, False), ("p", "a", 2, 1, None, 3, True), ("p", "c", 5, 1, 4.0, 1, False)])
+    with pytest.raises(RuntimeError):
+        store.merge_batch(change, 1, dies, target, ["version"], 2)
+    assert cells() == [("a", 1, 1.5), ("a", 2, 2.0), ("b", 1, 3.0)]  # written in part, not committed
+    assert store.merge_batch(change, 1, TOTALS, target, ["version"], 2)
+    late = of([("p", "a", 2, 1, 2.5, 2, False), ("p", "a", 1, 1, 0.0, 1, False)])
+    assert store.merge_batch(late, 2, TOTALS, target, ["version"], 2)
+    assert cells() == [("a", 1, 7.0), ("b", 1, 3.0), ("c", 5, 4.0)]
+    assert store.merge_batch(late.limit(0), 3, TOTALS, target, ["version"], 2)
+    profiles = lambda: {r.sheet_id: (r.total, r.n) for r in store.stored(spark, target, "profiles").collect()}
+    assert profiles() == {"a": (7.0, 1), "b": (3.0, 1), "c": (4.0, 1)}
+    assert store.vacuum(spark, target) > 0 and profiles()["b"] == (3.0, 1) and len(cells()) == 3
+
+
+def test_versions_leave_the_stream(spark, tmp_path):
+    """More versions than are kept: what is kept and not dropped is the batch form's trail."""
+    rows = [(i, i % 2, 1_000 + 130 * i, f"t{i // 2}", i % 11 == 0) for i in range(160)] + [(900, None, 5_000, "n", False), (901, None, 9_000, "m", False)]
+    batch = spark.createDataFrame(rows, "event_id long, project long, s long, content string, forced boolean").select("event_id", "project", F.timestamp_seconds("s").alias("saved_at"), "content", "forced")
+    for k in range(3):
+        batch.filter(f"event_id >= {60 * k} AND ({k} = 2 OR event_id < {60 * k + 60})").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    read = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    seen = drain(T.snapshot_stream(read), "versions_stream")
+    of = lambda change: {(r.project, r.event_id) for r in seen.collect() if r.change == change}
+    want = [(r.project, r.event_id) for r in T.snapshot_trail(batch).collect()]
+    assert of("kept") - of("dropped") == set(want) and len(set(want)) == len(want)
+    assert of("dropped") and sum(p == 0 for p, _ in want) == T.VERSIONS
