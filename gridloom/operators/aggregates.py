@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.typed import to_number
+from . import orderstats
 
 
 def total(x: Column) -> Column:
@@ -144,10 +145,7 @@ def mode(df: DataFrame, column: str, order_by: str, by: Sequence[str] = ()) -> D
 
 def trimmean(df: DataFrame, column: str, share: float, by: Sequence[str]) -> DataFrame:
     """Mean without floor(n share / 2) values at each end."""
-    w = Window.partitionBy(*by)
-    ranked = df.filter(F.col(column).isNotNull()).withColumn("_r", F.row_number().over(w.orderBy(column))).withColumn("_n", F.count("*").over(w))
-    cut = F.floor(F.col("_n") * share / 2)
-    return ranked.filter((F.col("_r") > cut) & (F.col("_r") <= F.col("_n") - cut)).groupBy(*by).agg(F.avg(column).alias("trimmean"))
+    return orderstats.trimmean(df, column, share, by)
 
 
 def pairwise(y: Column, x: Column) -> tuple[Column, Column]:
@@ -182,7 +180,7 @@ def subtotal(code: int, x: Column, skip_error: Column | None = None, k: float |
     """Function by number: 1 to 11, and 12 to 17 of the wider form; `skip_error` is the error column to leave out.
 
     13 is the most frequent value that occurs twice or more, of several the smallest (`mode_first_seen`
-    takes an order instead).  14 and 15 gather a group's values; `ordered.nth` keeps k a task."""
+    takes an order instead).  12 and 14 to 17 gather a group's values; `orderstats.subtotal` does not."""
     v = x if skip_error is None else F.when(skip_error.isNull(), x)
     table = {
         1: lambda: average(v), 2: lambda: count_numbers(v), 3: lambda: count_filled(v), 4: lambda: largest(v), 5: lambda: smallest(v),
@@ -193,18 +191,50 @@ def subtotal(code: int, x: Column, skip_error: Column | None = None, k: float |
     return table[code % 100]()
 
 
-def gcd_lcm(x: Column) -> tuple[Column, Column]:
-    """Over the distinct whole numbers of a group; any negative gives NULL (#NUM!), an empty list 0."""
+def _gcd(a: Column, b: Column) -> Column:
+    """Greatest common divisor of two whole numbers of at least 0: 90 steps of Euclid cover every long."""
+    zero = F.lit(0).cast("bigint")
+    step = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % F.nullif(s["b"], zero)).alias("b")))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(90)), F.struct(a.alias("a"), b.alias("b")), step, lambda s: s["a"])
+
+
+def whole_quotient(a: Column, b: Column) -> Column:
+    """a div b of whole numbers; doubles would round large ones."""
+    return F.call_function("div", a, b)
+
+
+def _folds(values: Column) -> tuple[Column, Column]:
+    """GCD and LCM of an array of whole numbers: of none 0, LCM 0 with a 0 among them and NULL beyond the range of long."""
     zero = F.lit(0).cast("bigint")
-    values = F.collect_set(F.floor(x).cast("bigint"))
+    # once beyond long an LCM stays there: NULL goes through the rest of the fold
+    lcm = F.aggregate(F.filter(values, lambda v: v > 0), F.lit(1).cast("bigint"), lambda a, v: F.try_multiply(a, whole_quotient(v, _gcd(a, v))))
+    return F.aggregate(values, zero, _gcd), F.when((F.size(values) == 0) | F.array_contains(values, zero), zero).otherwise(lcm)
+
+
+def gcd_lcm(x: Column) -> tuple[Column, Column]:
+    """Over the distinct whole numbers of a group; any negative gives NULL (#NUM!), an empty list 0.
+
+    The numbers of a group meet in one task; `gcd_lcm_of` folds them where they are."""
     ok = F.coalesce(F.min(x), F.lit(0.0)) >= 0
+    gcd, lcm = _folds(F.collect_set(F.floor(x).cast("bigint")))
+    return F.when(ok, gcd), F.when(ok, lcm)
+
 
-    def gcd(a: Column, b: Column) -> Column:
-        step = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % F.nullif(s["b"], zero)).alias("b")))
-        return F.aggregate(F.sequence(F.lit(1), F.lit(90)), F.struct(a.alias("a"), b.alias("b")), step, lambda s: s["a"])
+def gcd_lcm_of(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
+    """(*by, gcd, lcm): the same for groups of any size.
 
-    lcm = F.aggregate(values, zero, lambda a, v: F.when(a == 0, v).when(v == 0, zero).otherwise(F.floor(a / F.nullif(gcd(a, v), zero)) * v))
-    return F.when(ok, F.aggregate(values, zero, gcd)), F.when(ok, lcm)
+    Both can be folded in parts: first the numbers of each partition, then one value a partition and group."""
+    spread = df.withColumn("_part", F.spark_partition_id()).groupBy(*by, "_part").agg(F.collect_set(F.floor(F.col(column)).cast("bigint")).alias("_set"), F.min(column).alias("_least"))
+    there = F.size("_set") > 0
+    first = _folds(F.col("_set"))
+    parts = spread.select(*by, "_least", F.when(there, first[0]).alias("_gcd"), F.when(there, first[1]).alias("_lcm"), there.alias("_there"))
+    whole = parts.groupBy(*by).agg(F.collect_list("_gcd").alias("_g"), F.collect_list("_lcm").alias("_l"), F.count_if("_there").alias("_n"), F.min("_least").alias("_least"))
+    zero = F.lit(0).cast("bigint")
+    gcd, lcm = _folds(F.col("_g"))[0], _folds(F.col("_l"))[1]
+    # a part whose LCM is beyond long is missing from the list
+    known = F.when((F.col("_n") == 0) | F.array_contains("_l", zero), zero).when(F.size("_l") == F.col("_n"), lcm)
+    ok = F.coalesce(F.col("_least"), F.lit(0)) >= 0
+    return whole.select(*by, F.when(ok, gcd).alias("gcd"), F.when(ok, known).alias("lcm"))
 
 
 def textjoin(x: str, order_by: str, separator: str = ",", skip_blank: bool = True) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import pinned
+from .lookups import in_areas
 
 LAST_COLUMN, LAST_ROW = 16_384, 1_048_576
 SHEET = ["project_id", "sheet_id"]
@@ -184,15 +185,32 @@ def region_profile(cells: DataFrame) -> DataFrame:
 REFERENCE = r"(?<![A-Za-z0-9_.])(?:('[^']+'|[A-Za-z_][A-Za-z0-9_]*)!)?(\$?[A-Za-z]{1,3}\$?[0-9]{1,7})(?::(\$?[A-Za-z]{1,3}\$?[0-9]{1,7}))?(?![A-Za-z0-9_(])"
 
 
-def formula_edges(cells: DataFrame) -> DataFrame:
-    """Cell -> cells its formula reads: ranges expanded, `$` dropped, quoted text ignored, in order of mention."""
+def formula_areas(cells: DataFrame) -> DataFrame:
+    """Cell -> areas its formula reads (to_sheet, r0, c0, r1, c1, mention): `$` dropped, quoted text ignored, in order of mention."""
     bare = F.regexp_replace("f", '"[^"]*"', '""')
     found = cells.filter(F.col("f").isNotNull()).select(*SHEET, "row", "col", F.posexplode(F.regexp_extract_all(bare, F.lit(REFERENCE), F.lit(0))).alias("mention", "m"))
     sheet = F.regexp_extract("m", r"^(?:'([^']+)'|([A-Za-z_][A-Za-z0-9_]*))!", 1)
     plain = F.regexp_extract("m", r"^([A-Za-z_][A-Za-z0-9_]*)!", 1)
     area = F.split(F.regexp_replace("m", r"^(?:'[^']+'|[A-Za-z_][A-Za-z0-9_]*)!", ""), ":")
     ends = found.withColumn("to_sheet", F.coalesce(F.nullif(sheet, F.lit("")), F.nullif(plain, F.lit("")), F.col("sheet_id"))).withColumn("a", parse_ref(F.get(area, F.lit(0)))).withColumn("b", parse_ref(F.coalesce(F.get(area, F.lit(1)), F.get(area, F.lit(0)))))
-    spread = ends.filter("a IS NOT NULL AND b IS NOT NULL").withColumn("to_row", F.explode(F.sequence(F.least("a.row", "b.row"), F.greatest("a.row", "b.row")))).withColumn("to_col", F.explode(F.sequence(F.least("a.col", "b.col"), F.greatest("a.col", "b.col"))))
+    box = [F.least("a.row", "b.row").alias("r0"), F.least("a.col", "b.col").alias("c0"), F.greatest("a.row", "b.row").alias("r1"), F.greatest("a.col", "b.col").alias("c1")]
+    return ends.filter("a IS NOT NULL AND b IS NOT NULL").select(*SHEET, "row", "col", "to_sheet", "mention", *box)
+
+
+def formula_edges(cells: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """Cell -> cells its formula reads, each once, with its first mention.
+
+    Without `targets` every cell of an area counts, blank or not: for small areas.  With `targets`(project_id, sheet_id,
+    row, col) only these count, met by tiles, so an area costs what lies in it and not what it covers;
+    sheet names compare without case.  For `circular_cells` the cells with a formula are enough."""
+    areas = formula_areas(cells)
+    if targets is None:
+        spread = areas.withColumn("to_row", F.explode(F.sequence("r0", "r1"))).withColumn("to_col", F.explode(F.sequence("c0", "c1")))
+    else:
+        there = targets.select("project_id", F.lower("sheet_id").alias("_sheet"), F.col("sheet_id").alias("_own"), "row", "col")
+        asked = areas.withColumnsRenamed({"row": "_row", "col": "_col"}).withColumn("_sheet", F.lower("to_sheet"))
+        met = in_areas(asked, there, ["project_id", "_sheet"])
+        spread = met.select(*SHEET, F.col("_row").alias("row"), F.col("_col").alias("col"), F.col("_own").alias("to_sheet"), F.col("row").alias("to_row"), F.col("col").alias("to_col"), "mention")
     return spread.groupBy(*SHEET, "row", "col", "to_sheet", "to_row", "to_col").agg(F.min("mention").alias("mention"))
 
 

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .cells import column_name, column_profile, filled, find_regions, parse_ref, records, region_profile, shown
+from .lookups import positions
 from .ordered import slug_dedupe
 
 #: Characters of a summary, nodes of a map.
@@ -183,12 +185,24 @@ def heading_level(md: Column) -> Column:
     return F.length(F.regexp_extract(F.trim(md), r"^(#{1,6})[ \t]+", 1))
 
 
+#: Characters a label does without, and the mark of a list at its beginning.
+LABEL_MARKS, LABEL_BULLET = r"[*_`>#]", r"(?U)^[-+*]\s+"
+#: Blanks of any alphabet at both ends; lines end at line feeds only.
+OUTER_BLANKS = r"(?U)^\s+|\s+$"
+
+
 def block_label(md: Column, limit: int) -> Column:
-    """The plain text of the first heading, else of the first line that is not blank, cut to the limit."""
-    lines = F.filter(F.split(md, "\n"), lambda x: F.trim(x) != "")
-    heads = F.filter(lines, lambda x: heading_level(x) > 0)
-    plain = plain_text(F.coalesce(F.get(heads, F.lit(0)), F.get(lines, F.lit(0))))
-    return F.when(F.length(plain) > limit, F.concat(F.substring(plain, 1, limit - 1), F.lit("…"))).otherwise(plain)
+    """What an outline shows of a block: the text of its first heading, else its first line that is not blank.
+
+    Images and links give their text, characters of markup go wherever they stand (also inside a word), a
+    bullet at the beginning goes, a number stays; longer than the limit, the last character is an ellipsis."""
+    trimmed = F.regexp_replace(F.coalesce(md, F.lit("")), OUTER_BLANKS, "")
+    heading = F.regexp_extract(trimmed, r"(?md)^#{1,6}[ \t]+(.+)$", 1)
+    first = F.regexp_extract(trimmed, r"(?d)^.*", 0)
+    linked = F.regexp_replace(F.regexp_replace(F.when(heading != "", heading).otherwise(first), r"!\[([^\]]*)\]\([^)]*\)", "$1"), r"\[([^\]]*)\]\([^)]*\)", "$1")
+    # a bullet `*` is gone with the other marks, the blank behind it by the trim
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(linked, LABEL_MARKS, ""), LABEL_BULLET, ""), OUTER_BLANKS, "")
+    return bound(plain, lambda t: F.when(F.length(t) > limit, F.concat(F.substring(t, 1, limit - 1), F.lit("…"))).otherwise(t))
 
 
 def infer_kind(block_type: Column, md: Column) -> Column:
@@ -248,34 +262,49 @@ def position_phrase(x: Column, y: Column, w: Column, h: Column, width: float = 1
 
 
 def reading_order(blocks: DataFrame, by: str, id_column: str, tolerance: float = 40.0) -> DataFrame:
-    """Row bands by y (a band begins more than the tolerance below the first y of the one before), then x; folded per slide."""
-    rows = blocks.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("y", "x", F.col(id_column).alias("id")))).alias("s"))
-    start = F.struct(F.lit(None).cast("double").alias("top"), F.lit(-1).alias("band"), F.array().cast(f"array<struct<band:int,x:double,y:double,id:{dict(blocks.dtypes)[id_column]}>>").alias("out"))
-
-    def step(state: Column, b: Column) -> Column:
-        new = state["top"].isNull() | (b["y"] > state["top"] + tolerance)
-        band = F.when(new, state["band"] + 1).otherwise(state["band"])
-        return F.struct(F.when(new, b["y"].cast("double")).otherwise(state["top"]).alias("top"), band.alias("band"), F.concat(state["out"], F.array(F.struct(band.alias("band"), b["x"].cast("double").alias("x"), b["y"].cast("double").alias("y"), b["id"].alias("id")))).alias("out"))
-
-    folded = rows.select(by, F.posexplode(F.aggregate("s", start, step, lambda s: F.array_sort(s["out"]))).alias("place", "b"))
-    return folded.select(by, F.col("b.id").alias(id_column), "place", "b.band")
+    """Row bands by y (a band begins more than the tolerance below the first y of the one before), then x.
+
+    The heights of a slide's blocks are read as a sorted stream that holds the top of the current band only, so a
+    slide of any size needs the memory of a batch.  Blocks without y come first, in a band of their own."""
+    kind = blocks.schema[by].dataType.simpleString()
+    tops = blocks.select(F.col(by).alias("s"), F.col("y").cast("double").alias("y")).filter("y IS NOT NULL").distinct()
+
+    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slide, top, number = object(), 0.0, 0
+        for batch in batches:
+            out = []
+            for s, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if s != slide:
+                    slide, top, number = s, y, 0
+                elif y > top + tolerance:
+                    top, number = y, number + 1
+                out.append(number)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], names=["s", "y", "band"])
+
+    found = tops.repartition("s").sortWithinPartitions("s", "y").mapInArrow(bands, f"s {kind}, y double, band int")
+    placed = blocks.select(F.col(by), F.col(id_column), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    met = placed.join(found.select(F.col("s").alias("_s"), F.col("y").alias("_y"), "band"), F.col(by).eqNullSafe(F.col("_s")) & (F.col("y") == F.col("_y")), "left").withColumn("band", F.coalesce("band", F.lit(0)))
+    place = F.row_number().over(Window.partitionBy(by).orderBy("band", "x", "y", id_column)) - 1
+    return met.select(by, id_column, place.alias("place"), "band")
 
 
 def heading_parents(blocks: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """parent_pos: a plain block's nearest heading above; a heading's nearest earlier shallower heading.
 
-    depth: 1 and one more for every heading around it."""
+    depth: 1 and one more for every heading around it; order_key: their positions, outermost first, and the own one."""
     levelled = blocks.withColumn("level", heading_level(F.col("md")))
     before = Window.partitionBy(id_column).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     last = {k: F.last(F.when(F.col("level") == k, F.col("pos")), ignorenulls=True).over(before) for k in range(1, 7)}
     marked = levelled.withColumns({f"_h{k}": c for k, c in last.items()})
     shallower = [F.when((F.col("level") == 0) | (F.col("level") > k), F.col(f"_h{k}")) for k in range(1, 7)]
-    depth = F.lit(1)
+    around = []
     for k in range(1, 7):
         # a heading is still open unless a shallower one came after it
         outer = F.coalesce(F.greatest(F.lit(-1), *[F.col(f"_h{j}") for j in range(1, k)]) if k > 1 else F.lit(-1), F.lit(-1))
-        depth = depth + F.when(F.coalesce(shallower[k - 1] > outer, F.lit(False)), 1).otherwise(0)
-    return marked.withColumn("parent_pos", F.greatest(*shallower)).withColumn("depth", depth).drop(*[f"_h{k}" for k in range(1, 7)])
+        around.append(F.when(F.coalesce(shallower[k - 1] > outer, F.lit(False)), F.col(f"_h{k}")))
+    key = F.concat(F.filter(F.array(*around), lambda x: x.isNotNull()), F.array("pos")).cast("array<bigint>")
+    marked = marked.withColumn("order_key", key).withColumn("depth", F.size("order_key"))
+    return marked.withColumn("parent_pos", F.greatest(*shallower)).drop(*[f"_h{k}" for k in range(1, 7)])
 
 
 def level_skips(blocks: DataFrame, id_column: str = "doc_id") -> DataFrame:
@@ -297,14 +326,17 @@ def summary(text: Column, limit: int = SUMMARY_CHARS) -> Column:
     return F.when(F.length(flat) > limit, F.concat(F.substring(flat, 1, limit - 1), F.lit("…"))).otherwise(flat)
 
 
-NODE = ["path", "parent_path", "depth", "ord", "kind", "title", "summary", "chars", "content", "source"]
+NODE = ["path", "parent_path", "depth", "ord", "kind", "title", "summary", "chars", "content", "source", "order_key"]
 
 
-def node(path: Column, parent: Column | None, depth: Column | int, order: Column | int, kind: Column | str, title: Column, text: Column, content: Column | None, source: Column) -> list[Column]:
-    """The columns of a node; the summary is the bounded text."""
+def node(path: Column, parent: Column | None, depth: Column | int, order: Column | int, kind: Column | str, title: Column, text: Column, content: Column | None, source: Column, key: Column | None = None) -> list[Column]:
+    """The columns of a node; the summary is the bounded text.
+
+    order_key holds the ordinals from below the root (which has none) down to the node: arrays in
+    their own order are the tree in pre-order, whatever the kind of source."""
     lit = lambda x: x if isinstance(x, Column) else F.lit(x)
     none = F.lit(None).cast("string")
-    made = [path, none if parent is None else parent, lit(depth).cast("int"), lit(order).cast("int"), lit(kind), title, summary(F.coalesce(text, F.lit(""))), F.length(F.coalesce(none if content is None else content, F.lit(""))), none if content is None else content, source]
+    made = [path, none if parent is None else parent, lit(depth).cast("int"), lit(order).cast("int"), lit(kind), title, summary(F.coalesce(text, F.lit(""))), F.length(F.coalesce(none if content is None else content, F.lit(""))), none if content is None else content, source, (F.array() if key is None else key).cast("array<bigint>")]
     return [c.alias(n) for c, n in zip(made, NODE)]
 
 
@@ -317,7 +349,7 @@ def with_counts(nodes: DataFrame) -> DataFrame:
 def build_nodes(projects: DataFrame, blocks: DataFrame) -> DataFrame:
     """projects(doc_id, title) and blocks(doc_id, pos, block_type, md) -> the addressed tree of documents.
 
-    path, parent_path, depth, ord, kind, title, summary, chars, child_count, content, source.  Headings
+    path, parent_path, depth, ord, kind, title, summary, chars, child_count, content, source, order_key.  Headings
     are addressed by anchor, other blocks by position below their heading; depth is that of the tree."""
     root = F.concat(F.lit("doc/"), F.col("doc_id").cast("string"))
     placed = heading_parents(blocks)
@@ -329,7 +361,7 @@ def build_nodes(projects: DataFrame, blocks: DataFrame) -> DataFrame:
     body = body.join(parents, ["doc_id", "parent_pos"], "left").withColumn("_parent", F.coalesce("_parent", root))
     md = F.col("md")
     kind = F.when(F.col("level") > 0, "heading").otherwise(F.col("block_type"))
-    rows = body.select(*node(F.col("path"), F.col("_parent"), F.col("depth"), F.col("pos"), kind, block_label(md, 60), plain_text(md), md, root))
+    rows = body.select(*node(F.col("path"), F.col("_parent"), F.col("depth"), F.col("pos"), kind, block_label(md, 60), plain_text(md), md, root, F.col("order_key")))
     heads = projects.select(*node(root, None, 0, 0, "document", F.col("title"), F.col("title"), None, root))
     return with_counts(heads.unionByName(rows))
 
@@ -343,10 +375,16 @@ def slide_nodes(slides: DataFrame, blocks: DataFrame, groups: str = "group") ->
     size, md = F.greatest(F.coalesce(F.size(groups), F.lit(0)), F.lit(0)), F.col("md")
     heads = slides.select(*node(root, None, 0, 0, "slide", F.col("title"), F.col("title"), None, root))
     steps = blocks.filter(F.size(groups) > 0).select("slide_id", "pos", groups, F.posexplode(groups).alias("k", "name"))
-    inner = steps.select("pos", at(F.col("k") + 1).alias("path"), F.when(F.col("k") == 0, root).otherwise(at(F.col("k"))).alias("up"), (F.col("k") + 1).alias("deep"), "name", root.alias("root"))
-    boxes = inner.groupBy("path", "up", "deep", "name", "root").agg(F.min("pos").alias("first"))
-    drawn = boxes.select(*node(F.col("path"), F.col("up"), F.col("deep"), F.col("first"), "group", F.col("name"), F.col("name"), None, F.col("root")))
-    body = blocks.select(*node(F.concat(root, F.lit("/block/"), F.col("block_id").cast("string")), F.when(size > 0, at(size)).otherwise(root), size + 1, F.col("pos"), "block", block_label(md, 60), plain_text(md), md, root))
+    inner = steps.select("slide_id", "pos", at(F.col("k") + 1).alias("path"), F.when(F.col("k") == 0, root).otherwise(at(F.col("k"))).alias("up"), (F.col("k") + 1).alias("deep"), "name", root.alias("root"))
+    boxes = inner.groupBy("slide_id", "path", "up", "deep", "name", "root").agg(F.min("pos").alias("first"))
+    # where each group around stands: the first positions of a slide's groups, by path (a row a group)
+    firsts = boxes.groupBy("slide_id").agg(F.map_from_entries(F.collect_set(F.struct("path", "first"))).alias("firsts"))
+    keyed = lambda depth: F.transform(F.sequence(F.lit(1), depth), lambda d: F.element_at("firsts", at(d)))
+    named_groups = blocks.filter(F.size(groups) > 0).select("slide_id", groups, F.explode(F.sequence(F.lit(1), F.size(groups))).alias("deep")).select("slide_id", at(F.col("deep")).alias("path"), F.slice(F.col(groups), F.lit(1), F.col("deep")).alias(groups), "deep").dropDuplicates(["slide_id", "path"])
+    keys = named_groups.join(firsts, "slide_id").select("path", keyed(F.col("deep")).alias("key"))
+    drawn = boxes.join(keys, "path").select(*node(F.col("path"), F.col("up"), F.col("deep"), F.col("first"), "group", F.col("name"), F.col("name"), None, F.col("root"), F.col("key")))
+    own = F.when(size > 0, F.concat(keyed(size), F.array("pos"))).otherwise(F.array("pos"))
+    body = blocks.join(firsts, "slide_id", "left").select(*node(F.concat(root, F.lit("/block/"), F.col("block_id").cast("string")), F.when(size > 0, at(size)).otherwise(root), size + 1, F.col("pos"), "block", block_label(md, 60), plain_text(md), md, root, own))
     return with_counts(heads.unionByName(drawn).unionByName(body))
 
 
@@ -357,26 +395,42 @@ def sheet_nodes(cells: DataFrame, sheets: DataFrame, names: DataFrame | None = N
     root = F.concat(F.lit("sheet/"), F.col("sheet_id").cast("string"))
     region = F.concat(root, F.lit("/region/"), F.col("region").cast("string"))
     heads = sheets.select(*node(root, None, 0, 0, "sheet", F.col("name"), F.col("name"), None, root))
-    parts = find_regions(cells).select(*node(region, root, 1, F.col("region"), "region", F.col("address"), F.col("address"), None, root))
+    parts = find_regions(cells).select(*node(region, root, 1, F.col("region"), "region", F.col("address"), F.col("address"), None, root, F.array(F.lit(0), F.col("region"))))
     figures = F.when(F.col("type") == "number", F.concat_ws(", ", F.concat(F.lit("count "), F.col("filled").cast("string")), F.concat(F.lit("sum "), F.col("total").cast("string")), F.concat(F.lit("average "), F.col("average").cast("string"))))
     title = F.coalesce("header", column_name(F.col("col")))
-    columns = region_profile(cells).select(*node(F.concat(region, F.lit("/column/"), column_name(F.col("col"))), region, 2, F.col("col"), "column", title, F.concat_ws(": ", "type", figures), None, root))
+    columns = region_profile(cells).select(*node(F.concat(region, F.lit("/column/"), column_name(F.col("col"))), region, 2, F.col("col"), "column", title, F.concat_ws(": ", "type", figures), None, root, F.array(F.lit(0), F.col("region"), F.col("col"))))
     out = heads.unionByName(parts).unionByName(columns)
     if names is not None:
-        out = out.unionByName(names.select(*node(F.concat(root, F.lit("/name/"), F.col("name")), root, 1, 0, "name", F.col("name"), F.col("target"), F.col("target"), root)))
+        no = F.row_number().over(Window.partitionBy("sheet_id").orderBy("name"))
+        out = out.unionByName(names.withColumn("_no", no).select(*node(F.concat(root, F.lit("/name/"), F.col("name")), root, 1, F.col("_no"), "name", F.col("name"), F.col("target"), F.col("target"), root, F.array(F.lit(1), F.col("_no")))))
     if charts is not None:
-        out = out.unionByName(charts.select(*node(F.concat(root, F.lit("/chart/"), F.col("chart_id").cast("string")), root, 1, 0, "chart", F.col("title"), F.concat_ws(" ", "title", "range"), F.col("range"), root)))
+        no = F.row_number().over(Window.partitionBy("sheet_id").orderBy("chart_id"))
+        out = out.unionByName(charts.withColumn("_no", no).select(*node(F.concat(root, F.lit("/chart/"), F.col("chart_id").cast("string")), root, 1, F.col("_no"), "chart", F.col("title"), F.concat_ws(" ", "title", "range"), F.col("range"), root, F.array(F.lit(2), F.col("_no")))))
     return with_counts(out)
 
 
+def with_intervals(nodes: DataFrame) -> DataFrame:
+    """Adds low and high: a node's place in pre-order over all sources, and the last place below it.
+
+    Places are numbered by ranges of (source, order_key), the sizes of subtrees counted from below: each node
+    counts once for every node above it.  Kept as a table, a subtree is one range of it."""
+    placed = positions(nodes, ["source", "order_key", "path"]).withColumnRenamed("position", "low")
+    above = placed.select("source", F.explode(F.transform(F.sequence(F.lit(0), F.size("order_key")), lambda k: F.slice("order_key", F.lit(1), k))).alias("order_key"))
+    sizes = above.groupBy("source", "order_key").agg(F.count("*").alias("_size"))
+    return placed.join(sizes, ["source", "order_key"]).withColumn("high", F.col("low") + F.col("_size") - 1).drop("_size")
+
+
 def subtree(nodes: DataFrame, path: str, depth: int = 6) -> DataFrame:
-    """A node and its descendants down to a depth, level by level (at most `depth` joins)."""
-    level = nodes.filter(F.col("path") == path).select("path")
-    found = level.withColumn("below", F.lit(0))
-    for k in range(1, depth + 1):
-        level = nodes.join(level.select(F.col("path").alias("parent_path")), "parent_path", "left_semi").select("path")
-        found = found.unionByName(level.withColumn("below", F.lit(k)))
-    return nodes.join(found, "path")
+    """A node and its descendants down to a depth, with `below`, the levels between.
+
+    The node is looked up, then its interval is one range filter over `nodes`; they are labelled first if
+    they come without low and high."""
+    labelled = nodes if "low" in nodes.columns else with_intervals(nodes)
+    top = labelled.filter(F.col("path") == path).select("low", "high", "depth").first()
+    low, high, start = top or (0, -1, 0)
+    below = F.col("depth") - start
+    found = labelled.filter(F.col("low").between(low, high)).withColumn("below", below).filter(F.col("below") <= depth)
+    return found.select(*nodes.columns, "below")
 
 
 def cell_node(cells: DataFrame, sheet: str, ref: str) -> DataFrame:
@@ -406,46 +460,49 @@ def resolve(nodes: DataFrame, path: str, depth: int = 1, cells: DataFrame | None
 
 def map_lines(nodes: DataFrame, cap: int = MAP_NODES) -> DataFrame:
     """Per source: indented `- path — summary` lines in tree order, at most `cap` of them."""
-    # documents and slides in the order of their blocks, sheets by address
-    at = F.when(F.col("path").startswith("sheet/"), F.lit(0)).otherwise(F.col("ord"))
-    w = Window.partitionBy("source").orderBy("depth_key", at, "path")
+    w = Window.partitionBy("source").orderBy("order_key", "path")
     line = F.concat(F.repeat(F.lit("  "), F.col("depth")), F.lit("- "), F.col("path"), F.lit(" — "), F.coalesce("summary", F.lit("")))
-    kept = nodes.withColumn("depth_key", F.when(F.col("depth") == 0, 0).otherwise(1)).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= cap)
+    kept = nodes.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= cap)
     packed = kept.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("_n", line.alias("line")))).alias("s"), F.count("*").alias("shown"))
     return packed.select("source", "shown", F.array_join(F.transform("s", lambda x: x["line"]), "\n").alias("map"))
 
 
 def verify(blocks: DataFrame, boxes: DataFrame | None = None, cells: DataFrame | None = None, width: float = 1280.0, height: float = 720.0, slides: DataFrame | None = None, sections: DataFrame | None = None, merges: DataFrame | None = None, names: DataFrame | None = None, charts: DataFrame | None = None) -> DataFrame:
-    """Findings (path, level, message), one frame a rule.
+    """Findings (path, level, message): the rules of blocks in one pass over them, those of boxes in another, one of each other table.
 
     Optional tables: boxes(slide_id, block_id, x, y, w, h), slides(slide_id), sections(doc_id), cells,
     merges(sheet_id, range) of sheets or (doc_id, pos, range) of a document's tables, names(sheet_id, name, target)
     and charts(sheet_id, chart_id, range)."""
     finding = lambda level, message: [F.lit(level).alias("level"), (message if isinstance(message, Column) else F.lit(message)).alias("message")]
     at = F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit("/b/"), F.col("pos").cast("string")).alias("path")
-    found = [level_skips(blocks).select(at, *finding("warn", F.concat(F.lit("heading skips from "), F.col("previous").cast("string"), F.lit(" to "), F.col("level").cast("string"))))]
-    tables = blocks.filter("block_type = 'table'").withColumn("s", table_shape(F.col("md")))
-    found.append(tables.filter("s.rows < 1").select(at, *finding("warn", "empty table")))
-    found.append(tables.filter("NOT s.header").select(at, *finding("info", "table without a header rule")))
-    piped = blocks.filter((F.col("block_type") == "table") & (F.regexp_count("md", F.lit(r"(?m)^[ \t]*\|")) < 2))
-    found.append(piped.select(at, *finding("error", "unreadable table")))
-    drawn = blocks.filter(F.col("md").rlike(r"^```chart")).withColumn("_c", F.try_parse_json(F.regexp_extract("md", r"(?s)^```chart[^\n]*\n(.*?)\n?```", 1)))
-    found.append(drawn.filter("_c IS NULL").select(at, *finding("error", "unreadable chart")))
+    # all rules of a block in one pass: what each finds goes into an array
+    mine, level = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1), heading_level(F.col("md"))
+    marked = blocks.withColumn("level", level).withColumn("previous", F.last(F.when(F.col("level") > 0, F.col("level")), ignorenulls=True).over(mine)).withColumn("s", F.when(F.col("block_type") == "table", table_shape(F.col("md"))))
+    chart = F.regexp_extract("md", r"(?s)^```chart[^\n]*\n(.*?)\n?```", 1)
+    rules = [
+        ((F.col("level") > 0) & (F.col("level") > F.col("previous") + 1), "warn", F.concat(F.lit("heading skips from "), F.col("previous").cast("string"), F.lit(" to "), F.col("level").cast("string"))),
+        (F.col("s.rows") < 1, "warn", F.lit("empty table")),
+        (~F.col("s.header"), "info", F.lit("table without a header rule")),
+        ((F.col("block_type") == "table") & (F.regexp_count("md", F.lit(r"(?m)^[ \t]*\|")) < 2), "error", F.lit("unreadable table")),
+        (F.col("md").rlike(r"^```chart") & F.try_parse_json(chart).isNull(), "error", F.lit("unreadable chart")),
+    ]
+    hits = F.filter(F.array(*[F.when(rule, F.struct(F.lit(level).alias("level"), message.alias("message"))) for rule, level, message in rules]), lambda x: x.isNotNull())
+    found = [marked.select(at, F.explode(hits).alias("h")).select("path", "h.level", "h.message")]
     if sections is not None:
         there = blocks.select("doc_id").distinct()
         found.append(sections.join(there, "doc_id", "left_anti").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), *finding("warn", "empty section")))
     if boxes is not None:
         path = F.concat(F.lit("slide/"), F.col("slide_id").cast("string"), F.lit("/"), F.col("block_id").cast("string")).alias("path")
         off = (F.col("x") >= width) | (F.col("y") >= height) | (F.col("x") + F.col("w") <= 0) | (F.col("y") + F.col("h") <= 0)
-        found.append(boxes.filter(off).select(path, *finding("warn", "off the canvas")))
-        found.append(boxes.filter("w <= 0 OR h <= 0").select(path, *finding("warn", "no size")))
+        hits = F.filter(F.array(F.when(off, F.lit("off the canvas")), F.when((F.col("w") <= 0) | (F.col("h") <= 0), F.lit("no size"))), lambda x: x.isNotNull())
+        found.append(boxes.select(path, F.explode(hits).alias("hit")).select("path", *finding("warn", F.col("hit"))))
         if slides is not None:
             empty = slides.join(boxes.select("slide_id").distinct(), "slide_id", "left_anti")
             found.append(empty.select(F.concat(F.lit("slide/"), F.col("slide_id").cast("string")).alias("path"), *finding("warn", "empty slide")))
     if merges is not None:
         area = parse_area(F.col("range"))
         if "pos" in merges.columns:
-            shaped = merges.join(tables.select("doc_id", "pos", "s"), ["doc_id", "pos"]).withColumn("a", area)
+            shaped = merges.join(marked.filter("block_type = 'table'").select("doc_id", "pos", "s"), ["doc_id", "pos"]).withColumn("a", area)
             outside = F.col("a").isNull() | (F.col("a.r1") > F.col("s.rows") + F.col("s.header").cast("int")) | (F.col("a.c1") > F.col("s.columns"))
             found.append(shaped.filter(outside).select(at, *finding("error", F.concat(F.lit("merge outside the table: "), F.coalesce("range", F.lit(""))))))
         else:
@@ -507,6 +564,37 @@ def joined_sections(nodes: DataFrame, sections: Sequence[tuple[str, DataFrame]],
     return out.select("source", F.concat_ws("\n\n", *parts).alias("digest"))
 
 
+#: What a digest calls the kinds of blocks, and a block or slide that holds nothing.
+KIND_LABELS = {"text": "텍스트", "image": "이미지", "shape": "도형", "table": "표", "chart": "차트"}
+EMPTY_BLOCK, EMPTY_SLIDE = "_(빈 요소)_", "_빈 슬라이드_"
+
+
+def slide_digest(slides: DataFrame, blocks: DataFrame, findings: DataFrame | None = None, cap: int = 50, width: float = 1280.0, height: float = 720.0, tolerance: float = 40.0) -> DataFrame:
+    """One retrieval text per slide: title, map, blocks in reading order, statistics, findings.
+
+    slides(slide_id, title, layout, notes), blocks(slide_id, block_id, pos, kind, md, x, y, w, h, group array<string>) and, if
+    there are shapes or charts, `shape` (its label) and `content` (a chart's description and table).  A block
+    says its kind, where it stands in words and what it holds; the layout, the number of blocks and the notes
+    stand above them."""
+    root = F.concat(F.lit("slide/"), F.col("slide_id").cast("string"))
+    nodes = slide_nodes(slides, blocks)
+    ordered = reading_order(blocks, "slide_id", "block_id", tolerance).select(F.col("slide_id").alias("_s"), F.col("block_id").alias("_b"), "place")
+    placed = blocks.join(ordered, F.col("slide_id").eqNullSafe(F.col("_s")) & F.col("block_id").eqNullSafe(F.col("_b"))).drop("_s", "_b")
+    label = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in KIND_LABELS.items() for x in pair]), F.col("kind")), F.col("kind"))
+    label = F.when((F.col("kind") == "shape") & F.col("shape").isNotNull(), F.concat(label, F.lit("("), F.col("shape"), F.lit(")"))).otherwise(label) if "shape" in blocks.columns else label
+    said = F.trim(F.coalesce("md", F.lit("")))
+    said = F.coalesce(F.col("content"), said) if "content" in blocks.columns else said
+    where = position_phrase(F.col("x"), F.col("y"), F.col("w"), F.col("h"), width, height)
+    text = F.concat(F.lit("### "), (F.col("place") + 1).cast("string"), F.lit(") "), F.concat_ws(" — ", label, where), F.lit("\n\n"), F.when(said == "", F.lit(EMPTY_BLOCK)).otherwise(said))
+    body = placed.groupBy(root.alias("source")).agg(F.array_sort(F.collect_list(F.struct("place", text.alias("t")))).alias("s"), F.count("*").alias("n"), F.sum(count_words(F.col("md"))).alias("words"))
+    heads = slides.select(root.alias("source"), "layout", F.trim(F.regexp_replace(F.coalesce("notes", F.lit("")), r"\s+", " ")).alias("notes")).join(body, "source", "left")
+    about = F.concat_ws("\n", F.concat(F.lit("- layout: "), F.col("layout")), F.concat(F.lit("- blocks: "), F.coalesce("n", F.lit(0)).cast("string")), F.when(F.col("notes") != "", F.concat(F.lit("- notes: "), F.col("notes"))))
+    whole = F.concat(about, F.lit("\n\n"), F.coalesce(F.array_join(F.transform("s", lambda x: x["t"]), "\n\n"), F.lit(EMPTY_SLIDE)))
+    stats = heads.select("source", F.format_string("blocks %d, words %d, notes %d", F.coalesce("n", F.lit(0)), F.coalesce("words", F.lit(0)), (F.col("notes") != "").cast("int")).alias("text"))
+    sections = [("map", map_lines(nodes).select("source", F.col("map").alias("text"))), ("slide", heads.select("source", whole.alias("text"))), ("statistics", stats)]
+    return joined_sections(nodes, sections, findings, cap)
+
+
 def sheet_digest(cells: DataFrame, sheets: DataFrame, names: DataFrame | None = None, charts: DataFrame | None = None, findings: DataFrame | None = None, cap: int = 50) -> DataFrame:
     """One retrieval text per sheet: title, map, column profile, records, formulas, charts, names, statistics, findings."""
     nodes = sheet_nodes(cells, sheets, names, charts)

@@ -9,6 +9,8 @@ only the last value before each range is carried over.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,8 +26,9 @@ def folded(df: DataFrame, column: str) -> Column:
 def first_rows(table: DataFrame, key: str, order_by: str, value: str, into: str, last: bool = False) -> DataFrame:
     """(_key, into): the value of the first (or last) row of each folded key, reading these columns only.
 
-    Aggregated before the shuffle, so a hot key is no hot task."""
-    chosen = (F.max_by if last else F.min_by)(F.struct(F.col(value).alias("v")), F.col(order_by))
+    Of rows of equal `order_by` the smallest value counts (or, if `last`, the largest).  Aggregated before
+    the shuffle, so a hot key is no hot task."""
+    chosen = (F.max_by if last else F.min_by)(F.struct(F.col(value).alias("v")), F.struct(order_by, value))
     return table.groupBy(folded(table, key).alias("_key")).agg(chosen["v"].alias(into))
 
 
@@ -62,9 +65,19 @@ def carried(ranges: DataFrame, by: Sequence[str], value: Column, into: str, adde
     return per.withColumn(into, before).withColumn("_spans", spans).filter("_spans").select("_part", *by, into)
 
 
+def with_carried(ranges: DataFrame, over: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The ranges with what `carried` gives; missing keys are equal to each other."""
+    apart = over.select(F.col("_part").alias("_p0"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(by)], *[c for c in over.columns if c not in ("_part", *by)])
+    same = F.col("_part") == F.col("_p0")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_c{i}"))
+    return ranges.join(F.broadcast(apart), same, "left").drop("_p0", *[f"_c{i}" for i in range(len(by))])
+
+
 def nearest(df: DataFrame, key: str, table: DataFrame, table_key: str, value: str, into: str, side: str = "below", by: Sequence[str] = ()) -> DataFrame:
     """Value of the table row whose key is the largest not above (`below`) or the smallest not below
-    (`above`), within the columns `by` if given; equal table keys give the smallest value.
+    (`above`), within the columns `by` if given; equal table keys give the smallest value.  Missing values of
+    `by` are a group like any other, a missing key finds nothing.
 
     Keys are ordered in their own type: whole numbers of any size, times and texts (folded) alike.
     Both sides are laid out in ranges of (by, key), so neither a hot key nor the lack of one puts
@@ -82,7 +95,7 @@ def nearest(df: DataFrame, key: str, table: DataFrame, table_key: str, value: st
     ranges = in_ranges(both, [*by, order])
     over = carried(ranges, by, (F.max_by if below else F.min_by)("_has", F.when(F.col("_side") == 0, F.col("_o"))), "_before")
     w = Window.partitionBy("_part", *by).orderBy(order, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    out = ranges.join(F.broadcast(over), ["_part", *by], "left").withColumn("_f", F.coalesce(F.last("_has", ignorenulls=True).over(w), F.col("_before")))
+    out = with_carried(ranges, over, by).withColumn("_f", F.coalesce(F.last("_has", ignorenulls=True).over(w), F.col("_before")))
     return out.filter("_side = 1").select(*df.columns, F.when(F.col("_o").isNotNull(), F.col("_f._v")).alias(into))
 
 
@@ -122,6 +135,35 @@ def match_position(df: DataFrame, key: str, vector: DataFrame, value: str, posit
     return nearest(df, key, running, "_k", "_p", into, "below" if kind == 1 else "above")
 
 
+#: Length of the pieces by which patterns and keys meet.
+GRAM = 3
+
+
+def wildcard_pairs(df: DataFrame, key: str, values: DataFrame, text: str) -> DataFrame:
+    """(_key, columns of `values`): each distinct pattern of `df` (`*` any text, `?` one character, no case) with the texts it fits.
+
+    A pattern with a literal run of GRAM characters meets only the texts that hold its rarest such piece, by an
+    equi-join on pieces; the regular expression is tried on those.  Patterns of shorter runs are
+    compared with every text: the one case in which nothing tells them apart."""
+    special = F.regexp_replace(F.col("_key"), r"([\\\[\]{}().+^$|])", r"\\$1")
+    pattern = F.concat(F.lit("(?is)^"), F.regexp_replace(F.regexp_replace(special, r"\*", ".*"), r"\?", "."), F.lit("$"))
+    pieces = lambda x: F.when(F.length(x) >= GRAM, F.transform(F.sequence(F.lit(1), F.length(x) - GRAM + 1), lambda i: F.substr(x, i, F.lit(GRAM)))).otherwise(F.array().cast("array<string>"))
+    low = F.lower(F.col("_key"))
+    grams = F.array_distinct(F.flatten(F.transform(F.split(low, r"[*?]+"), pieces)))
+    keys = pinned(df.filter(F.col(key).isNotNull()).select(F.col(key).alias("_key")).distinct().select("_key", pattern.alias("_pattern"), grams.alias("_grams")))
+    texts = values.filter(F.col(text).isNotNull())
+    spread = texts.withColumn("_gram", F.explode(F.array_distinct(pieces(F.lower(F.col(text))))))
+    wanted = keys.select("_key", F.explode("_grams").alias("_gram"))
+    frequency = spread.join(wanted.select("_gram").distinct(), "_gram", "left_semi").groupBy("_gram").agg(F.count("*").alias("_n"))
+    # a piece that no text holds tells that the pattern fits none
+    rarest = wanted.join(frequency, "_gram", "left").groupBy("_key").agg(F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram"))
+    found = spread.join(rarest.join(keys.select("_key", "_pattern"), "_key"), "_gram").drop("_gram")
+    bare = keys.filter(F.size("_grams") == 0).select("_key", "_pattern")
+    if not bare.isEmpty():
+        found = found.unionByName(texts.join(bare, F.regexp_like(F.col(text), F.col("_pattern"))).select(*found.columns))
+    return found.filter(F.regexp_like(F.col(text), F.col("_pattern"))).drop("_pattern")
+
+
 def xlookup(df: DataFrame, key: str, table: DataFrame, table_key: str, value: str, order_by: str, into: str, mode: int = 0, if_missing: object = None, last: bool = False) -> DataFrame:
     """Modes: 0 exact, -1 exact or next smaller, 1 exact or next larger, 2 wildcard (the key is a pattern)."""
     if mode == 0:
@@ -129,11 +171,8 @@ def xlookup(df: DataFrame, key: str, table: DataFrame, table_key: str, value: st
     elif mode in (-1, 1):
         out = nearest(df, key, table, table_key, value, into, "below" if mode == -1 else "above")
     else:
-        special = F.regexp_replace(F.col(key), r"([\\\[\]{}().+^$|])", r"\\$1")
-        pattern = F.concat(F.lit("(?i)^"), F.regexp_replace(F.regexp_replace(special, r"\*", ".*"), r"\?", "."), F.lit("$"))
-        keys = df.select(F.col(key).alias("_key"), pattern.alias("_pattern")).distinct()
-        values = table.groupBy(table_key).agg((F.max if last else F.min)(F.struct(F.col(order_by).alias("o"), F.col(value).alias("v"))).alias("_row"))
-        hits = values.join(keys, F.regexp_like(F.col(table_key), F.col("_pattern"))).groupBy("_key").agg((F.max if last else F.min)("_row").alias("_row"))
+        hits = wildcard_pairs(df, key, table.groupBy(table_key).agg((F.max if last else F.min)(F.struct(F.col(order_by).alias("o"), F.col(value).alias("v"))).alias("_row")), table_key)
+        hits = hits.groupBy("_key").agg((F.max if last else F.min)("_row").alias("_row"))
         out = df.join(hits.select("_key", F.col("_row.v").alias(into)), F.col(key) == F.col("_key"), "left").drop("_key")
     return out if if_missing is None else out.withColumn(into, F.coalesce(F.col(into), F.lit(if_missing)))
 
@@ -154,10 +193,14 @@ def index_match(df: DataFrame, key: str, table: DataFrame, table_key: str, colum
 
 
 def diff_rows(before: DataFrame, after: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """Keys whose values differ or that exist on one side: change is added, removed or changed."""
-    a = before.select(*keys, F.struct(*values).alias("_old"), F.lit(True).alias("_a"))
-    b = after.select(*keys, F.struct(*values).alias("_new"), F.lit(True).alias("_b"))
-    both = a.join(b, list(keys), "full_outer").filter(~(F.col("_old").eqNullSafe(F.col("_new"))) | F.col("_a").isNull() | F.col("_b").isNull())
+    """Keys whose values differ or that exist on one side: change is added, removed or changed.
+
+    Missing keys are equal to each other."""
+    a = before.select(*[F.col(k).alias(f"_a{i}") for i, k in enumerate(keys)], F.struct(*values).alias("_old"), F.lit(True).alias("_a"))
+    b = after.select(*[F.col(k).alias(f"_b{i}") for i, k in enumerate(keys)], F.struct(*values).alias("_new"), F.lit(True).alias("_b"))
+    same = reduce(and_, [F.col(f"_a{i}").eqNullSafe(F.col(f"_b{i}")) for i in range(len(keys))])
+    both = a.join(b, same, "full_outer").filter(~(F.col("_old").eqNullSafe(F.col("_new"))) | F.col("_a").isNull() | F.col("_b").isNull())
+    both = both.select("*", *[F.when(F.col("_a").isNull(), F.col(f"_b{i}")).otherwise(F.col(f"_a{i}")).alias(k) for i, k in enumerate(keys)])
     change = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").otherwise("changed")
     return both.select(*keys, change.alias("change"), F.col("_old").alias("old"), F.col("_new").alias("new"))
 
@@ -187,8 +230,41 @@ def merge_cover(merges: DataFrame) -> DataFrame:
     return rows.select("sheet_id", "row", "col", F.col("r0").alias("anchor_row"), F.col("c0").alias("anchor_col"), ((F.col("row") != F.col("r0")) | (F.col("col") != F.col("c0"))).alias("hidden"))
 
 
-def resolve_names(names: DataFrame, cells: DataFrame) -> DataFrame:
-    """names(sheet_id, name, r0, c0, r1, c1) -> one row a named cell with its value."""
+def resolve_names(names: DataFrame, cells: DataFrame, blanks: bool = True) -> DataFrame:
+    """names(sheet_id, name, r0, c0, r1, c1) -> one row a named cell with its value.
+
+    Without `blanks` the cells that exist only, met by tiles: for names of whole columns or sheets."""
+    if not blanks:
+        met = in_areas(names.select("sheet_id", "name", "r0", "c0", "r1", "c1"), cells.select("sheet_id", "row", "col", "v_num", "v_str", "t"), ["sheet_id"])
+        return met.select("sheet_id", "name", "row", "col", "v_num", "v_str", "t")
     area = names.withColumn("row", F.explode(F.sequence("r0", "r1"))).withColumn("col", F.explode(F.sequence("c0", "c1")))
     return area.select("sheet_id", "name", "row", "col").join(cells.select("sheet_id", "row", "col", "v_num", "v_str", "t"), ["sheet_id", "row", "col"], "left")
 
+
+def merged_cells(merges: DataFrame, cells: DataFrame) -> DataFrame:
+    """Existing cells under merges(sheet_id, r0, c0, r1, c1), with the anchor: `merge_cover` without the blank ones, met by tiles."""
+    turned = merges.select("sheet_id", F.least("r0", "r1").alias("r0"), F.least("c0", "c1").alias("c0"), F.greatest("r0", "r1").alias("r1"), F.greatest("c0", "c1").alias("c1"))
+    met = in_areas(turned, cells.select("sheet_id", "row", "col"), ["sheet_id"])
+    return met.select("sheet_id", "row", "col", F.col("r0").alias("anchor_row"), F.col("c0").alias("anchor_col"), ((F.col("row") != F.col("r0")) | (F.col("col") != F.col("c0"))).alias("hidden"))
+
+
+#: Powers of two of the sides of tiles: rows and columns.
+ROW_BITS, COL_BITS = (4, 8, 12, 16, 20), (2, 5, 8, 11, 14)
+
+
+def in_areas(areas: DataFrame, cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """areas(*keys, r0, c0, r1, c1, ...) with the cells(*keys, row, col, ...) that lie in them: a range join by tiles.
+
+    An area takes the smallest tiles that are no smaller than it, so it touches four at most, however large it
+    is; a cell has one tile of each size that some area takes (25 sizes at most).  They meet by an
+    equi-join on keys and tile, and the bounds are tested inside.  Ends may come in either order."""
+    bits = lambda size, steps: F.coalesce(*[F.when(size <= (1 << b), F.lit(b)) for b in steps], F.lit(steps[-1]))
+    ends = {"_r0": F.least("r0", "r1"), "_r1": F.greatest("r0", "r1"), "_c0": F.least("c0", "c1"), "_c1": F.greatest("c0", "c1")}
+    sized = areas.withColumns(ends).withColumns({"_rb": bits(F.col("_r1") - F.col("_r0") + 1, ROW_BITS), "_cb": bits(F.col("_c1") - F.col("_c0") + 1, COL_BITS)})
+    tile = lambda x, b: F.expr(f"shiftright(CAST({x} AS BIGINT), {b})")
+    span = lambda a, b, n: F.explode(F.sequence(tile(a, n), tile(b, n)))
+    tiled = sized.withColumn("_rt", span("_r0", "_r1", "_rb")).withColumn("_ct", span("_c0", "_c1", "_cb"))
+    sizes = sized.select("_rb", "_cb").distinct().agg(F.collect_set(F.struct("_rb", "_cb")).alias("_sizes"))
+    placed = cells.withColumn("_size", F.explode(sizes.scalar())).withColumns({"_rb": F.col("_size._rb"), "_cb": F.col("_size._cb")}).withColumns({"_rt": tile("row", "_rb"), "_ct": tile("col", "_cb")}).drop("_size")
+    met = tiled.join(placed, [*keys, "_rb", "_cb", "_rt", "_ct"])
+    return met.filter(F.col("row").between(F.col("_r0"), F.col("_r1")) & F.col("col").between(F.col("_c0"), F.col("_c1"))).drop(*ends, "_rb", "_cb", "_rt", "_ct")

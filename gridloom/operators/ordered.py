@@ -8,21 +8,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.typed import mixed_key
-from .lookups import carried, in_ranges
+from .lookups import carried, in_ranges, with_carried
 
 
-def _below(df: DataFrame, column: str, by: Sequence[str], ascending: bool) -> DataFrame:
-    """(*by, column, _before): rows of better values within `by`, one row a value.
+def cumulated(counts: DataFrame, by: Sequence[str], order: Column) -> DataFrame:
+    """Rows of counts `_n` with `_before`: the sum of those ahead within `by`, in an order without ties.
 
-    Values are counted first and summed up by ranges of (by, value), so no task sees all rows
-    of a group; blanks have no place."""
-    counts = df.filter(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("_n"))
-    order = F.asc(column) if ascending else F.desc(column)
+    Summed up by ranges of (by, order), so no task sees a whole group; missing values of `by` are a group."""
     ranges = in_ranges(counts, [*by, order])
     over = carried(ranges, by, F.sum("_n"), "_over", added=True)
     inner = F.sum("_n").over(Window.partitionBy("_part", *by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
     zero = F.lit(0)
-    return ranges.join(F.broadcast(over), ["_part", *by], "left").select(*by, column, (F.coalesce(inner, zero) + F.coalesce("_over", zero)).alias("_before"))
+    return with_carried(ranges, over, by).withColumn("_before", F.coalesce(inner, zero) + F.coalesce("_over", zero)).drop("_part", "_over")
+
+
+def _below(df: DataFrame, column: str, by: Sequence[str], ascending: bool) -> DataFrame:
+    """(*by, column, _before): rows of better values within `by`, one row a value; blanks have no place."""
+    counts = df.filter(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("_n"))
+    return cumulated(counts, by, F.asc(column) if ascending else F.desc(column)).select(*by, column, "_before")
 
 
 def rank_eq(df: DataFrame, column: str, by: Sequence[str], ascending: bool = False, into: str = "rank") -> DataFrame:

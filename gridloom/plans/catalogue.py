@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregation, lookup, more, scalar, sheet, stored  # noqa: F401
+from . import aggregation, lookup, more, scalar, sheet, stored, structures  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 

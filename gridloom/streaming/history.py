@@ -147,3 +147,10 @@ def restore(trail: DataFrame, current: DataFrame, project: int, version_no: int)
     chosen = trail.filter((F.col("project") == project) & (F.col("version_no") == version_no)).select("project", "content")
     now = current.filter(F.col("project") == project).select("project", "content")
     return now.withColumn("step", F.lit(1)).unionByName(chosen.withColumn("step", F.lit(2)))
+
+
+def restore_all(trail: DataFrame, current: DataFrame, version_no: int) -> DataFrame:
+    """The same for every project that has a version of this number."""
+    chosen = trail.filter(F.col("version_no") == version_no).select("project", "content")
+    now = current.select("project", "content").join(chosen.select("project"), "project", "left_semi")
+    return now.withColumn("step", F.lit(1)).unionByName(chosen.withColumn("step", F.lit(2)))
