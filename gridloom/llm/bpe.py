@@ -7,6 +7,10 @@ lowest-ranked, leftmost pair of every word that still has one) and puts the ids
 documents together.  Memory does not grow with the input, and a lost executor costs
 only its own blocks.  Decoding concatenates the binary pieces of the ids.
 
+The classes of characters are tiktoken's own: the JVM's regular expressions know the letters and
+digits of an older Unicode.  A text that holds a character of which the two disagree is put together
+again from its pieces, the rest of the text included, and cut by tiktoken's table.
+
 The merges were first written as Spark higher-order functions against a literal rank
 table; README.md has the figures that led to this form.
 
@@ -22,10 +26,13 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,6 +58,45 @@ def default_ranks() -> tuple[dict[bytes, int], str]:
     return load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
 
 
+@dataclass
+class Classes:
+    """What tiktoken's regular expressions take each code point for, and where the JVM's differ."""
+
+    stand_in: np.ndarray  # by code point: an ASCII character of the same class; ASCII stands for itself
+    odd: np.ndarray  # by code point: whether the JVM's class is another
+    first: int  # least first byte of an odd character
+
+    def recut(self, text: bytes, pattern: regex.Pattern) -> list[bytes]:
+        """Words of a text: the pattern is run over the stand-ins, of which every engine thinks alike."""
+        points = np.frombuffer(text.decode().encode("utf-32-le"), np.uint32)
+        sizes = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        found = pattern.finditer(self.stand_in[points].tobytes().decode("ascii"))
+        return [text[ends[a] : ends[b]] for a, b in (m.span() for m in found)]
+
+    def has_odd(self, text: bytes) -> bool:
+        return bool(self.odd[np.frombuffer(text.decode().encode("utf-32-le"), np.uint32)].any())
+
+
+def classes_of(spark: SparkSession) -> Classes:
+    """Both tables, by running each engine's classes once over all code points."""
+    every = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    text = "".join(map(chr, every))
+    single = {bytes([b]): b for b in range(256)}
+    stand_in, odd = np.full(0x110000, ord("!"), np.uint8), np.zeros(0x110000, bool)
+    # a letter that begins no contraction, a digit, and a blank other than the space
+    for pattern, mark in ((r"\p{L}", "b"), (r"\p{N}", "0"), (r"\s", "\t")):
+        found = bytes(tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks=single, special_tokens={}).encode_ordinary(text)).decode()
+        others = spark._jvm.java.util.regex.Pattern.compile(f"(?U)[^{pattern}]").matcher(text).replaceAll("")
+        mine, theirs = np.zeros((2, 0x110000), bool)
+        mine[[ord(c) for c in found]], theirs[[ord(c) for c in others]] = True, True
+        stand_in[mine] = ord(mark)
+        odd |= mine != theirs
+    stand_in[:0x80] = np.arange(0x80)
+    least = int(odd.argmax())
+    return Classes(stand_in, odd, chr(least).encode()[0] if odd.any() else 256)
+
+
 class Merges:
     """The rank map as arrays: pair of ranks -> rank of the joined piece."""
 
@@ -208,18 +254,43 @@ def _blocks(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[list[pa.Reco
         yield held
 
 
-def _encoder(merges: Merges, keep: int, names: list[str], finish=lambda ids, offsets, _: [pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))]):
+def settled(lists: pa.ListArray, classes: Classes, pattern: regex.Pattern) -> pa.ListArray:
+    """The JVM's words of each text, cut anew where a text holds a character the JVM takes for another."""
+    words = lists.flatten().cast(pa.binary())
+    ends, raw = binary_parts(words)
+    if not len(raw) or raw.max() < classes.first:
+        return pa.ListArray.from_arrays(pa.array(np.asarray(lists.offsets) - lists.offsets[0].as_py(), pa.int32()), words)
+    bounds = np.asarray(lists.offsets).astype(np.int64)
+    bounds -= bounds[0]
+    high = np.concatenate([[0], np.cumsum(raw >= classes.first)])
+    suspects = np.flatnonzero(high[ends[bounds[1:]]] > high[ends[bounds[:-1]]])
+    anew = {}
+    for i in suspects.tolist():
+        text = raw[ends[bounds[i]] : ends[bounds[i + 1]]].tobytes()
+        if classes.has_odd(text):
+            anew[i] = classes.recut(text, pattern)
+    if not anew:
+        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), words)
+    pieces, sizes, done = [], np.diff(bounds), 0
+    for i, own in anew.items():
+        pieces += [words.slice(bounds[done], bounds[i] - bounds[done]), pa.array(own, pa.binary())]
+        sizes[i], done = len(own), i + 1
+    pieces.append(words.slice(bounds[done]))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.concat_arrays(pieces))
+
+
+def _encoder(merges: Merges, keep: int, names: list[str], classes: Classes, pattern: str, finish=lambda ids, offsets, _: [pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))]):
     """Arrow step: `keep` columns and a column of word lists -> the kept columns and what `finish` makes of the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = regex.compile(pattern)
         for held in _blocks(batches, keep):
-            lists = [b.column(keep) for b in held]
-            coded = pc.dictionary_encode(pa.concat_arrays([x.flatten().cast(pa.binary()) for x in lists]))
+            lists = [settled(b.column(keep), classes, cut) for b in held]
+            coded = pc.dictionary_encode(pa.concat_arrays([x.flatten() for x in lists]))
             values, sizes = merges.encode_words(coded.dictionary)
             starts, each, done = np.cumsum(sizes) - sizes, np.asarray(coded.indices), 0
             for batch, x in zip(held, lists):
                 ends = np.asarray(x.offsets).astype(np.int64)
-                ends = ends - ends[0]
                 mine = each[done : done + ends[-1]]
                 done += ends[-1]
                 bounds = np.concatenate([[0], np.cumsum(sizes[mine])])[ends].astype(np.int32)
@@ -238,7 +309,7 @@ def encode(df: DataFrame, text: str, keep: Sequence[str], ranks: dict[bytes, int
     """Columns `keep` plus `into` array<int>: the ids of each whole text, without special tokens."""
     cut = _cut(df, text, keep, pattern)
     schema = T.StructType([*cut.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    out = cut.mapInArrow(_encoder(Merges(ranks), len(keep), schema.names), schema)
+    out = cut.mapInArrow(_encoder(Merges(ranks), len(keep), schema.names, classes_of(df.sparkSession), pattern), schema)
     return out.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keep)], F.col("ids").alias(into))
 
 
@@ -275,7 +346,7 @@ def encoded_digests(df: DataFrame, text: str = "text", keep: Sequence[str] = ("d
 
     cut = _cut(df, text, keep, pattern)
     schema = T.StructType([*cut.schema.fields[:-1], *T.StructType.fromDDL(made).fields])
-    out = cut.mapInArrow(_encoder(Merges(ranks), len(keep), schema.names, finish), schema)
+    out = cut.mapInArrow(_encoder(Merges(ranks), len(keep), schema.names, classes_of(df.sparkSession), pattern, finish), schema)
     return out.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keep)], "n_tokens", "ids_sha256", "decoded_sha256")
 
 
