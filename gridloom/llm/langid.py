@@ -5,9 +5,10 @@ per language, so that AND-ing an n-gram's cells gives at once all languages that
 it.  A text's n-grams are counted by mask; the popcount of each language is corrected
 for that language's false-positive rate, and the largest decides.
 
-Learning reads a bounded sample of whole labelled documents (SAMPLE per language, about) and
-keeps the GRAMS most frequent n-grams of each language, so the filter is bounded by the
-number of languages.  Scoring is one scan over whole texts.
+Learning reads a bounded sample of whole labelled documents (about SAMPLE per language, and of more
+than four languages about 4 * SAMPLE in all) and keeps every n-gram of it.  The filter has as many
+cells as the language of most n-grams needs for a false-positive rate of FALSE, known before it is
+built.  Scoring is one scan over whole texts.
 
 Rules: a null text or one without a letter is `und` with score 0; a text with letters
 but without any known n-gram gets the first learned language in name order and score
@@ -19,22 +20,23 @@ like a new column are replaced.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import crc_part, table, with_text_columns
 
-#: Sampled documents, and n-grams in the filter, per language.
-SAMPLE, GRAMS = 2_000, 6_000
+#: Sampled documents per language, and the highest false-positive rate of a language.
+SAMPLE, FALSE = 2_000, 0.01
 GRAM, HASHES = 4, 3
-#: Languages that may be learned; the filter has CELLS bits for each, so more are refused.
+#: Languages that may be learned; the filter has a bit a cell for each, so more are refused.
 LANGS = 1_000
-CELLS = 1 << 18
 NOT_LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -63,33 +65,36 @@ def has_letter(text: bytes | None) -> bool:
     return not text.isascii() and any(c.isalpha() for c in text.decode("utf-8", "replace") if c > "\x7f") or text.upper() != text.lower()
 
 
-def cells_of(codes: np.ndarray) -> list[np.ndarray]:
-    """The HASHES cells of each code: multiplicative hashing, high bits."""
+def cells_of(codes: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The HASHES cells of each code among 2^bits: multiplicative hashing, high bits."""
     odd = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)[:HASHES]
-    return [((codes * np.uint64(m)) >> np.uint64(46)).astype(np.int64) for m in odd]
+    return [((codes * np.uint64(m)) >> np.uint64(64 - bits)).astype(np.int64) for m in odd]
 
 
 @dataclass
 class Filter:
     langs: list[str]
-    cells: np.ndarray  # CELLS x words of 8 languages
+    bits: int  # 2^bits cells
+    cells: np.ndarray  # cells x words of 8 languages
     false: np.ndarray  # false-positive rate of each language
 
     @classmethod
     def build(cls, grams: dict[str, np.ndarray]) -> Filter:
         langs = sorted(grams)
-        cells = np.zeros((CELLS, max(1, -(-len(langs) // 8))), np.uint8)
+        needed = max((len(x) for x in grams.values()), default=0) * HASHES / -math.log(1 - FALSE ** (1 / HASHES))
+        bits = max(10, math.ceil(math.log2(max(needed, 1))))
+        cells = np.zeros((1 << bits, max(1, -(-len(langs) // 8))), np.uint8)
         for i, lang in enumerate(langs):
-            for at in cells_of(grams[lang]):
+            for at in cells_of(grams[lang], bits):
                 cells[at, i // 8] |= np.uint8(1 << i % 8)
         filled = np.array([(cells[:, i // 8] >> (i % 8) & 1).mean() for i in range(len(langs))])
-        return cls(langs, cells, filled**HASHES)
+        return cls(langs, bits, cells, filled**HASHES)
 
     def counts(self, text: bytes | None) -> tuple[np.ndarray, int]:
         """Corrected number of the text's n-grams in each language, and the number of n-grams."""
         codes = grams_of(text)
         found = np.zeros(len(self.langs))
-        at = cells_of(codes)
+        at = cells_of(codes, self.bits)
         for word in range(self.cells.shape[1]):
             slices = self.cells[:, word]
             mask = slices[at[0]]
@@ -109,25 +114,26 @@ class Filter:
         return self.langs[best], float(counts[best] / total) if total else 1 / len(self.langs)
 
 
-def fit(documents: DataFrame, sample: int = SAMPLE, grams: int = GRAMS) -> Filter:
-    """Learn the filter from text and lang of about `sample` documents per language."""
+def fit(documents: DataFrame, sample: int = SAMPLE) -> Filter:
+    """Learn the filter from text and lang of about `sample` documents per language, four times as many in all."""
     rows = documents.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (crc_part("doc_id", 4) != 2))
     # counted without reading texts; a row a language, so that the counts may go to all tasks
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGS + 1).collect()
     if len(sizes) > LANGS:
         raise ValueError(f"more than {LANGS} languages: the filter would not stay bounded")
     counted = documents.sparkSession.createDataFrame([(r["lang"], r["n"]) for r in sizes], "lang string, n bigint")
+    sample = min(sample, max(1, 4 * sample // max(1, len(sizes))))
     chance = F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1_000_000))
     chosen = rows.select("doc_id", "lang", "text").join(F.broadcast(counted), "lang").filter(F.col("text").isNotNull() & (chance < F.lit(1_000_000.0) * sample / F.col("n"))).select("lang", "text")
 
-    def count(batches):
+    def distinct(batches):
         held: dict[str, list[np.ndarray]] = {}
         size = 0
 
         def out():
             for lang, parts in held.items():
-                codes, counts = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes.view(np.int64)), pa.array(counts.astype(np.int64))], names=["lang", "code", "n"])
+                codes = np.unique(np.concatenate(parts))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes.view(np.int64))], names=["lang", "code"])
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
@@ -138,16 +144,12 @@ def fit(documents: DataFrame, sample: int = SAMPLE, grams: int = GRAMS) -> Filte
                     held, size = {}, 0
         yield from out()
 
-    counted = chosen.mapInArrow(count, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    # the most frequent grams of each language, first within hash parts so that no language is ranked in one task
-    parts = counted.withColumn("part", F.pmod(F.hash("code"), F.lit(32)))
-    order = [F.desc("n"), "code"]
-    first = parts.withColumn("r", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).filter(F.col("r") <= grams)
-    kept = first.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("r") <= grams).select("lang", "code")
-    found: dict[str, list[int]] = {}
-    for row in kept.collect():
-        found.setdefault(row["lang"], []).append(row["code"])
-    return Filter.build({lang: np.array(codes, np.int64).view(np.uint64) for lang, codes in found.items()})
+    # bounded by the sample; a code takes eight bytes on its way to the driver
+    made = chosen.mapInArrow(distinct, "lang string, code bigint").distinct().toArrow()
+    langs, codes = made.column("lang").combine_chunks(), made.column("code").to_numpy()
+    coded = pc.dictionary_encode(langs)
+    numbers = np.asarray(coded.indices)
+    return Filter.build({lang: codes[numbers == i].view(np.uint64) for i, lang in enumerate(coded.dictionary.to_pylist())})
 
 
 def identify(documents: DataFrame, model: Filter, text: str = "text", keep: Sequence[str] | None = ("doc_id",)) -> DataFrame:

@@ -12,10 +12,11 @@ Queries and vectors are dealt to blocks by a hash of the row and met block by bl
 best k of each block are merged per query.
 
 Rules: components are floor(scale * x); vectors that are null or hold a null, NaN or
-infinity take no part, as queries or candidates; vectors of unequal length are padded
+infinity take no part, as queries or candidates, nor do those with a component beyond the range of long;
+scores are exact whole numbers of any size, and one beyond the range of long is ranked by its value but shown as NULL; vectors of unequal length are padded
 with zeros; rows with a null id take no part as queries (no id to report) nor as
 candidates.  Repeated ids are rows of their own, but a query is never paired with a
-row of its own id.  An empty table gives no rows.
+row of its own id.  Other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,12 +33,14 @@ PIVOTS = 24
 PIVOT_POOL = 1_024
 ROWS, QUERIES = 16_384, 2_048
 STEP = 512  # candidates evaluated at first
+#: More than any score of components within long, so that sums with it are positive.
+OFFSET = 1 << 160
 
 
 def integer_vectors(df: DataFrame, id_column: str, vector: str, scale: int) -> DataFrame:
     """(id, v array<bigint>) of the rows that take part."""
     parts = F.transform(F.col(vector), lambda x: x.cast("double"))
-    ok = F.col(id_column).isNotNull() & F.col(vector).isNotNull() & F.forall(parts, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    ok = F.col(id_column).isNotNull() & F.col(vector).isNotNull() & F.forall(parts, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x * scale) < F.lit(2.0**63)))
     return df.filter(F.coalesce(ok, F.lit(False))).select(F.col(id_column).cast("bigint").alias("id"), F.transform(parts, lambda x: F.floor(x * scale).cast("bigint")).alias("v"))
 
 
@@ -147,10 +150,12 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 5, pivots: np.ndarray |
 
     def meet(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         found = search_block(q, x, k) if len(q) and len(x) else []
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
+        shown = pd.array([s if -(2**63) <= s < 2**63 else None for *_, s in found], dtype="Int64")
+        # texts of one length that sort like the scores
+        return pd.DataFrame({"query_id": np.array([a for a, *_ in found], np.int64), "vec_id": np.array([b for _, b, _ in found], np.int64), "score": shown, "place": [f"{s + OFFSET:050d}" for *_, s in found]})
 
-    near = left.cogroup(right).applyInPandas(meet, "query_id bigint, vec_id bigint, score bigint")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    near = left.cogroup(right).applyInPandas(meet, "query_id bigint, vec_id bigint, score bigint, place string")
+    best = Window.partitionBy("query_id").orderBy(F.desc("place"), "vec_id")
     return near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

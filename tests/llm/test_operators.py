@@ -73,6 +73,21 @@ def test_top_k_large_components(spark):
     assert got == [(2, 2**62 + 3), (1, 2**62 + 2)]
 
 
+def test_top_k_beyond_long(spark, monkeypatch):
+    """Scores beyond long are ranked by value and shown as NULL; components beyond long take no part; repeated rows stay."""
+    monkeypatch.setattr(topk, "ROWS", 2)
+    rows = [(1, [1e12, 1.0]), (2, [1e12, 2.0]), (3, [-1e12, 0.0]), (4, [1.0, 1.0]), (5, [1e300, 0.0]), (6, [4e16, 0.0]), (7, [1e12, 1.0]), (7, [1e12, 1.0])]
+    ints = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("v", F.lit(1)), "vec_id", "embedding", 256)
+    kept = [(r.id, list(r.v)) for r in ints.collect()]
+    assert sorted(i for i, _ in kept) == [1, 2, 3, 4, 7, 7]
+    got = collections.defaultdict(list)
+    for r in topk.top_k(ints, ints, 5).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    shown = lambda s: s if -(2**63) <= s < 2**63 else None
+    for q in (1, 2, 3, 4):
+        assert got[q] == [(i, shown(s)) for i, s in brute_top(kept, [(q, dict(kept)[q])], 5)[q]]
+
+
 # 2 ---------------------------------------------------------------------------------
 
 
@@ -109,7 +124,7 @@ def test_language(spark, documents):
 def test_language_filter_counts():
     grams = {"a": np.arange(1000, dtype=np.uint64), "b": np.arange(500, 2000, dtype=np.uint64)}
     made = langid.Filter.build(grams)
-    at = langid.cells_of(np.array([700, 20], np.uint64))
+    at = langid.cells_of(np.array([700, 20], np.uint64), made.bits)
     mask = np.bitwise_and.reduce([made.cells[x, 0] for x in at])
     assert mask[0] == 3 and mask[1] & 1
 

@@ -1,5 +1,6 @@
 """Co-training and language identification against plain restatements."""
 
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -102,14 +103,15 @@ def test_languages_against_brute_force(spark):
     for r in rows:
         if r.text is not None and r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
             counts[r.lang].update(plain_grams(r.text))
-    grams = 300
-    signed = lambda c: c - 2**64 if c >= 2**63 else c
-    chosen = {lang: [c for c, _ in sorted(n.items(), key=lambda x: (-x[1], signed(x[0])))[:grams]] for lang, n in counts.items()}
     odd = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
-    cells = lambda code: [(code * m & (2**64 - 1)) >> 46 for m in odd]
-    bits = {lang: {x for c in codes for x in cells(c)} for lang, codes in chosen.items()}
-    false = {lang: (len(x) / langid.CELLS) ** 3 for lang, x in bits.items()}
-    got = {r.doc_id: r for r in langid.identify(docs, langid.fit(docs, grams=grams)).collect()}
+    model = langid.fit(docs)
+    # every n-gram is in, in the least power of two of cells that keeps the rate
+    most = max(len(n) for n in counts.values())
+    assert 2 ** (model.bits - 1) < most * 3 / -math.log(1 - langid.FALSE ** (1 / 3)) <= 2**model.bits and max(model.false) <= langid.FALSE
+    cells = lambda code: [(code * m & (2**64 - 1)) >> 64 - model.bits for m in odd]
+    bits = {lang: {x for c in codes for x in cells(c)} for lang, codes in counts.items()}
+    false = {lang: (len(x) / 2**model.bits) ** 3 for lang, x in bits.items()}
+    got = {r.doc_id: r for r in langid.identify(docs, model).collect()}
     for r in rows[:80]:
         codes = plain_grams(r.text or "")
         found = {lang: max(0.0, (sum(all(x in bits[lang] for x in cells(c)) for c in codes) - false[lang] * len(codes)) / (1 - false[lang])) for lang in sorted(bits)}
