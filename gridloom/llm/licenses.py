@@ -25,8 +25,12 @@ from .shared import named, table
 
 #: Up to this many known digests (some 100 bytes each) are broadcast.
 FEW = 20_000
-#: A line that states whose copyright it is: no part of a licence's text.
-COPYRIGHT_LINE = r"(?md)^[ \t#*/;-]*(?:(?:copyright[ \t]*(?:\(c\)|©|[0-9]{4}|by )|\(c\)|©)[^\n]*|all rights reserved[. \t]*\r?)$"
+#: A line that states whose copyright it is: no part of a licence's text.  It begins with a mark, a year or `by` after the
+#: word, or with the word in its usual spelling and a name; words by which licence texts themselves go on are no names.
+OPENING, NO_NAME = r"[ \t#*/;-]*", r"(?:Holder|Owner|Licen[cs]e|Law|Act|Notice|Statement)s?\b"
+MARKED = r"(?i:(?:portions[ \t]+)?copyright[ \t]*(?:\(c\)|©|,?[ \t]*[0-9]{4}|by )|\(c\)|©)"
+OWNED = r"(?:Portions[ \t]+)?Copyright[ \t]+"
+COPYRIGHT_LINE = rf"(?md)^{OPENING}(?:(?:{MARKED}|{OWNED}(?!{NO_NAME})\p{{Lu}})[^\n]*|(?i:all rights reserved)[. \t]*\r?)$"
 NOT_WORD = r"[^\p{L}\p{N}]+"
 #: Words and pairs of words that count as equal, after public matching guidelines for licence texts.
 SPELLINGS = {
@@ -146,7 +150,7 @@ def words_made_equal(text: Column) -> Column:
 
 def canonical(text: Column) -> Column:
     """The canonical form of a whole text."""
-    return words_made_equal(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, ""))
+    return words_made_equal(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), COPYRIGHT_LINE, "")))
 
 
 def digests(spark: SparkSession, licenses: dict[str, Sequence[str]], known: dict[str, str] | None = None) -> DataFrame:
@@ -197,8 +201,9 @@ def _sql_words(text: str) -> str:
 
 
 def _sql_canonical(text: str) -> str:
-    owner = r"^[ \t#*/;-]*(copyright[ \t]*(\(c\)|©|[0-9]{4}|by )|\(c\)|©)"
-    lines = f"list_filter(string_split(lower(coalesce({text}, '')), chr(10)), lambda l: NOT regexp_matches(l, '{owner}') AND NOT regexp_full_match(l, '[ \\t#*/;-]*all rights reserved[. \\t]*\\r?'))"
+    owned = f"regexp_matches(l, '^{OPENING}{OWNED}\\p{{Lu}}') AND NOT regexp_matches(l, '^{OPENING}{OWNED}{NO_NAME}')"
+    owner = f"regexp_matches(l, '^{OPENING}{MARKED}') OR ({owned}) OR regexp_full_match(l, '{OPENING}(?i:all rights reserved)[. \\t]*\\r?')"
+    lines = f"list_transform(list_filter(string_split(coalesce({text}, ''), chr(10)), lambda l: NOT ({owner})), lambda l: lower(l))"
     return _sql_words(f"array_to_string({lines}, chr(10))")
 
 

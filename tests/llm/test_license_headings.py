@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import licenses
 
-HEADINGS = ["Copyright (c) 2020 A\nCopyright 2021 B\n", "Copyright (c) 2020 A\nAll rights reserved.\n\n", "Copyright (c) 2020 A\r\nCopyright (c) 2021 B\r\nAll rights reserved.\r\n\r\n", "(c) A\n© B\n * copyright by C\n\n"]
+HEADINGS = ["Copyright (c) 2020 A\nCopyright 2021 B\n", "Copyright (c) 2020 A\nAll rights reserved.\n\n", "Copyright (c) 2020 A\r\nCopyright (c) 2021 B\r\nAll rights reserved.\r\n\r\n", "(c) A\n© B\n * copyright by C\n\n", "Copyright The Foo Authors\n", "Copyright Foo Inc. 2020\nCopyright, 2020 A\n", "  Portions Copyright (c) 2020 A\nPortions Copyright Émile B.\r\n\n"]
 TEXTS = {"MIT": licenses.MIT, "BSD-2-Clause": licenses.BSD_START + licenses.BSD_END, "BSD-3-Clause": licenses.BSD_START + licenses.BSD_NAMES + licenses.BSD_END, "BSL-1.0": licenses.BOOST, "Unlicense": licenses.UNLICENSE}
 LONG = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
 
@@ -17,7 +17,7 @@ def planted():
     """(text, licence, notices): texts under headings and other spellings, near misses, and lines that name a licence."""
     rows = [(h + t, name, []) for h in HEADINGS for name, t in TEXTS.items()] + [(t + "\n" + h, name, []) for h in HEADINGS for name, t in TEXTS.items()]
     rows += [(licenses.MIT.upper().replace(",", " ,").replace("SUBLICENSE", "SUBLICENCE").replace("COPYRIGHT HOLDERS", "COPYRIGHT OWNERS"), "MIT", [])]
-    rows += [(licenses.MIT[:-9], None, []), (licenses.MIT + " per cents", None, []), ("Copyright 2020 X\n" * 3, None, []), (None, None, []), ("", None, []), ("!!", None, []), ("\r", None, [])]
+    rows += [(licenses.MIT[:-9], None, []), (licenses.MIT + " per cents", None, []), ("Copyright 2020 X\n" * 3, None, []), ("Copyright Holders\n" + licenses.MIT, None, []), ("copyright foo\n" + licenses.MIT, None, []), (None, None, []), ("", None, []), ("!!", None, []), ("\r", None, [])]
     rows += [("some text\nReleased under the MIT licence\nLICENSED UNDER CC BY-NC 4.0.\r\nmore", None, ["CC-BY-NC-4.0", "MIT"]), ("Licensed under the Apache License, Version 2.0.\nx\nLicensed under the Apache License, Version 2.0", None, ["Apache-2.0"])]
     rows += [("not Released under the MIT License.", None, []), ("superlicence licence licences licence", None, []), ("é" * 200_000 + "\nSPDX-License-Identifier: MIT", None, ["MIT"])]
     return rows
