@@ -89,10 +89,14 @@ def selection_stats(cells: DataFrame, area: str) -> DataFrame:
     return x.groupBy(*SHEET).agg(F.count_if(filled()).alias("filled"), F.count("v_num").alias("numbers"), F.coalesce(F.sum("v_num"), F.lit(0.0)).alias("total"), F.avg("v_num").alias("average"))
 
 
+def _used() -> Column:
+    """Whether a cell has a value, a formula or a style."""
+    return filled() | F.col("f").isNotNull() | (F.size(F.coalesce("style", F.create_map().cast("map<string,string>"))) > 0)
+
+
 def used_range(cells: DataFrame) -> DataFrame:
     """Smallest rectangle of cells with a value, a formula or a style, per sheet."""
-    used = cells.filter(filled() | F.col("f").isNotNull() | (F.size(F.coalesce("style", F.create_map().cast("map<string,string>"))) > 0))
-    return used.groupBy(*SHEET).agg(F.min("row").alias("r0"), F.min("col").alias("c0"), F.max("row").alias("r1"), F.max("col").alias("c1"))
+    return cells.filter(_used()).groupBy(*SHEET).agg(F.min("row").alias("r0"), F.min("col").alias("c0"), F.max("row").alias("r1"), F.max("col").alias("c1"))
 
 
 def find_regions(cells: DataFrame) -> DataFrame:
@@ -107,14 +111,33 @@ def find_regions(cells: DataFrame) -> DataFrame:
     return bands.join(cols, SHEET).withColumn("region", no).select(*SHEET, "region", "r0", "c0", "r1", "c1", area.alias("address"))
 
 
-def header_rows(cells: DataFrame, sheets: DataFrame) -> DataFrame:
-    """Last frozen row, else the first used row, kept inside the used range."""
-    used = used_range(cells)
+def _adds() -> Column:
+    """Whether a cell marks its row as one that adds up others: a label in column 1, or a formula over its own column."""
+    label = (F.col("col") == 1) & F.lower(F.trim(shown())).isin(*TOTAL_LABELS)
+    own = column_name(F.col("col"))
+    calls = F.regexp_extract_all(F.upper(F.col("f")), F.lit(r"\b(?:SUM|AVERAGE|COUNT|MAX|MIN)\(\$?([A-Z]{1,3})\$?[0-9]+:\$?[A-Z]{1,3}\$?[0-9]+\)"), F.lit(0))
+    over = F.exists(calls, lambda x: (F.regexp_extract(x, r"\(\$?([A-Z]{1,3})", 1) == own) & (F.regexp_extract(x, r":\$?([A-Z]{1,3})", 1) == own))
+    return F.coalesce(label, F.lit(False)) | F.coalesce(over, F.lit(False))
+
+
+def sheet_rows(cells: DataFrame) -> DataFrame:
+    """One row a sheet's row, in one pass over the cells: whether it is used, holds values, and adds up others."""
+    some = lambda c: F.bool_or(F.coalesce(c, F.lit(False)))
+    return cells.groupBy(*SHEET, "row").agg(some(_used()).alias("used"), some(filled()).alias("full"), some(_adds()).alias("adds"))
+
+
+def _header_rows(rows: DataFrame, sheets: DataFrame) -> DataFrame:
+    used = rows.filter("used").groupBy(*SHEET).agg(F.min("row").alias("r0"), F.max("row").alias("r1"))
     frozen = sheets.select("sheet_id", "frozen_rows")
     pick = F.when(F.coalesce(F.col("frozen_rows"), F.lit(0)) > 0, F.least(F.greatest(F.col("frozen_rows"), F.col("r0")), F.col("r1"))).otherwise(F.col("r0"))
     return used.join(frozen, "sheet_id", "left").select(*SHEET, pick.alias("header_row"), "r1")
 
 
+def header_rows(cells: DataFrame, sheets: DataFrame) -> DataFrame:
+    """Last frozen row, else the first used row, kept inside the used range."""
+    return _header_rows(sheet_rows(cells), sheets)
+
+
 def looks_like_header(cells: DataFrame, first_row: int = 1) -> DataFrame:
     """Per sheet: every filled column has text over numbers, or a bold first row stands over a plain second."""
     top, rest = F.col("row") == first_row, F.col("row") > first_row
@@ -128,44 +151,39 @@ def looks_like_header(cells: DataFrame, first_row: int = 1) -> DataFrame:
 
 def total_rows(cells: DataFrame) -> DataFrame:
     """Rows that add up others: the label in column 1 says so, or a formula aggregates its own column."""
-    label = (F.col("col") == 1) & F.lower(F.trim(shown())).isin(*TOTAL_LABELS)
-    own = column_name(F.col("col"))
-    calls = F.regexp_extract_all(F.upper(F.col("f")), F.lit(r"\b(?:SUM|AVERAGE|COUNT|MAX|MIN)\(\$?([A-Z]{1,3})\$?[0-9]+:\$?[A-Z]{1,3}\$?[0-9]+\)"), F.lit(0))
-    over = F.exists(calls, lambda x: (F.regexp_extract(x, r"\(\$?([A-Z]{1,3})", 1) == own) & (F.regexp_extract(x, r":\$?([A-Z]{1,3})", 1) == own))
-    return cells.filter(F.coalesce(label, F.lit(False)) | F.coalesce(over, F.lit(False))).select(*SHEET, "row").distinct()
+    return cells.filter(_adds()).select(*SHEET, "row").distinct()
 
 
-def table_extent(cells: DataFrame, headers: DataFrame) -> DataFrame:
-    """Last row of the leading table: before the first blank row below the header."""
-    rows = cells.filter(filled()).select(*SHEET, "row").distinct().join(headers.select(*SHEET, "header_row"), SHEET).filter("row >= header_row")
+def _scope(rows: DataFrame, sheets: DataFrame) -> DataFrame:
+    heads = _header_rows(rows, sheets)
+    below = rows.join(heads, SHEET).filter("row >= header_row")
+    # rows with values up to the first blank row below the header
     run = F.col("row") - F.col("header_row") - F.row_number().over(Window.partitionBy(*SHEET).orderBy("row")) + 1
-    return rows.withColumn("_gap", run).filter("_gap = 0").groupBy(*SHEET).agg(F.max("row").alias("last_row"))
+    leading = below.filter("full").withColumn("_gap", run).filter("_gap = 0")
+    ends = leading.groupBy(*SHEET, "header_row", "r1").agg(F.max("row").alias("last_row"), F.count_if(F.col("adds") & (F.col("row") > F.col("header_row"))).alias("left_out"))
+    return ends.select(*SHEET, "header_row", (F.col("header_row") + 1).alias("first_row"), "last_row", "left_out", (F.col("r1") > F.col("last_row")).alias("cut_off"))
 
 
 def summary_scope(cells: DataFrame, sheets: DataFrame) -> DataFrame:
     """First and last row that count, how many total rows are left out, and whether values follow below."""
-    heads = header_rows(cells, sheets)
-    ends = table_extent(cells, heads)
-    out = total_rows(cells).join(ends, SHEET).join(heads.select(*SHEET, "header_row"), SHEET).filter("row > header_row AND row <= last_row").groupBy(*SHEET).agg(F.count("*").alias("left_out"))
-    return heads.join(ends, SHEET).join(out, SHEET, "left").select(*SHEET, "header_row", (F.col("header_row") + 1).alias("first_row"), "last_row", F.coalesce("left_out", F.lit(0)).alias("left_out"), (F.col("r1") > F.col("last_row")).alias("cut_off"))
-
-
-def _numbers() -> list[Column]:
-    x = F.when(F.col("t") == "n", F.col("v_num"))
-    return [F.count(x).alias("numbers"), F.sum(x).alias("total"), F.avg(x).alias("average"), F.min(x).alias("smallest"), F.max(x).alias("largest")]
+    return _scope(sheet_rows(cells), sheets)
 
 
 def column_profile(cells: DataFrame, sheets: DataFrame) -> DataFrame:
     """Per column of the leading table without its total rows: header, type, count, sum, average, range.
 
-    Numeric if at least 60 % of the filled cells are plain numbers; dates and errors are not."""
-    scope = summary_scope(cells, sheets)
-    placed = cells.filter(filled()).join(scope, SHEET)
-    heads = placed.filter("row = header_row").select(*SHEET, "col", shown().alias("header"))
-    body = placed.filter("row BETWEEN first_row AND last_row").join(total_rows(cells), [*SHEET, "row"], "left_anti")
-    stats = body.groupBy(*SHEET, "col").agg(F.count("*").alias("filled"), *_numbers())
+    Numeric if at least 60 % of the filled cells are plain numbers; dates and errors are not.  Two passes over the
+    cells: one for their rows, which are kept, and one for header and figures together."""
+    rows = pinned(sheet_rows(cells))
+    placed = cells.filter(filled()).join(_scope(rows, sheets), SHEET).filter("row BETWEEN header_row AND last_row")
+    adding = rows.filter("adds").select(*SHEET, "row", "adds")
+    marked = placed.join(adding, [*SHEET, "row"], "left")
+    body = (F.col("row") >= F.col("first_row")) & F.col("adds").isNull()
+    x = F.when(body & (F.col("t") == "n"), F.col("v_num"))
+    header = F.max(F.when(F.col("row") == F.col("header_row"), shown()))
+    stats = marked.groupBy(*SHEET, "col").agg(header.alias("header"), F.count_if(body).alias("filled"), F.count(x).alias("numbers"), F.sum(x).alias("total"), F.avg(x).alias("average"), F.min(x).alias("smallest"), F.max(x).alias("largest"))
     numeric = F.col("numbers") >= F.col("filled") * NUMERIC_SHARE
-    out = stats.join(heads, [*SHEET, "col"], "left").withColumn("type", F.when(numeric, "number").otherwise("text"))
+    out = stats.filter("filled > 0").withColumn("type", F.when(numeric, "number").otherwise("text"))
     keep = lambda c: F.when(numeric, F.col(c)).alias(c)
     return out.select(*SHEET, "col", "header", "type", "filled", "numbers", *[keep(c) for c in ("total", "average", "smallest", "largest")])
 

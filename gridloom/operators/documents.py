@@ -433,12 +433,16 @@ def subtree(nodes: DataFrame, path: str, depth: int = 6) -> DataFrame:
     return found.select(*nodes.columns, "below")
 
 
-def cell_node(cells: DataFrame, sheet: str, ref: str) -> DataFrame:
-    """The node of one cell: what it shows, and its formula."""
-    here = cells.filter((F.col("sheet_id").cast("string") == sheet) & (F.upper("ref") == ref.upper()))
-    root, said = F.lit(f"sheet/{sheet}"), shown()
+def cell_nodes(cells: DataFrame, asked: DataFrame) -> DataFrame:
+    """The nodes of the cells whose addresses `sheet/<sheet>/cell/<ref>` stand in asked(path): what each shows, and its formula.
+
+    Addresses of other kinds, and cells that are not there, give no row; references compare without case."""
+    pattern = r"^sheet/(.+)/cell/([A-Za-z]{1,3}[0-9]+)$"
+    wanted = asked.select(F.regexp_extract("path", pattern, 1).alias("_sheet"), F.upper(F.regexp_extract("path", pattern, 2)).alias("_ref")).filter("_ref <> ''").distinct()
+    said, root = shown(), F.concat(F.lit("sheet/"), F.col("_sheet"))
     text = F.when(F.col("f").isNotNull(), F.concat(F.lit("`"), F.col("f"), F.lit("` → "), F.coalesce(said, F.lit("")))).when(F.coalesce(said, F.lit("")) == "", F.lit("(빈 값)")).otherwise(said)
-    return here.select(*node(F.lit(f"sheet/{sheet}/cell/{ref.upper()}"), root, 1, 0, "cell", F.lit(ref.upper()), text, F.coalesce(said, F.lit("")), root)).withColumn("child_count", F.lit(0).cast("bigint"))
+    here = cells.join(wanted, (F.col("sheet_id").cast("string") == F.col("_sheet")) & (F.upper("ref") == F.col("_ref")))
+    return here.select(*node(F.concat(root, F.lit("/cell/"), F.col("_ref")), root, 1, 0, "cell", F.col("_ref"), text, F.coalesce(said, F.lit("")), root)).withColumn("child_count", F.lit(0).cast("bigint"))
 
 
 def resolve(nodes: DataFrame, path: str, depth: int = 1, cells: DataFrame | None = None) -> DataFrame:
@@ -449,8 +453,8 @@ def resolve(nodes: DataFrame, path: str, depth: int = 1, cells: DataFrame | None
     if match := re.fullmatch(r"(.*)/#(\d+)", path):
         ranked = nodes.filter(F.col("parent_path") == match[1]).withColumn("_n", F.row_number().over(Window.partitionBy("parent_path").orderBy("ord"))).filter(F.col("_n") == int(match[2]))
         hit = ranked.drop("_n").withColumn("below", F.lit(0))
-    elif cells is not None and (match := re.fullmatch(r"sheet/([^/]+)/cell/([A-Za-z]{1,3}[0-9]+)", path)):
-        hit = cell_node(cells, match[1], match[2]).withColumn("below", F.lit(0))
+    elif cells is not None and re.fullmatch(r"sheet/.+/cell/[A-Za-z]{1,3}[0-9]+", path):
+        hit = cell_nodes(cells, nodes.sparkSession.createDataFrame([(path,)], "path string")).withColumn("below", F.lit(0))
     else:
         hit = subtree(nodes, path, depth)
     asked = nodes.sparkSession.createDataFrame([(path,)], "asked string")

@@ -291,7 +291,7 @@ def parents_of_headings(spark, sf_dir):
 
 def tree(spark, sf_dir):
     docs = titled(spark, sf_dir)
-    blocks = D.split_blocks(docs)
+    blocks = pinned(D.split_blocks(docs))  # the texts are cut once
     return D.build_nodes(docs.select("doc_id", F.concat(F.lit("conversation "), F.col("doc_id")).alias("title")), blocks), blocks
 
 

@@ -264,3 +264,72 @@ def restored_versions(spark, sf_dir):
     kept = trail(spark, sf_dir)
     current = kept.select("project").distinct().withColumn("content", F.lit("now"))
     return T.restore_all(kept, current, 2).select("project", "step", "content")
+
+
+# digests, statistics and addresses of generated texts ---------------------------------------
+
+
+def customer_texts(spark, sf_dir):
+    """A heading and two paragraphs a customer, every third with a list."""
+    c = table(spark, sf_dir, "customer")
+    text = F.concat(F.lit("# "), F.col("c_name"), F.lit("\n\nIn "), F.lower("c_mktsegment"), F.lit(".\n\nBalance **known**.\n\n"), F.when(F.col("c_custkey") % 3 == 0, "- one\n- two\n").otherwise(""))
+    return c.select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit("t "), F.col("c_custkey")).alias("title"), "c_nationkey", text.alias("text"))
+
+
+@query("""SELECT c_nationkey, count(*) * 3 + count_if(c_custkey % 3 = 0) AS blocks, count(*) * 6 + 2 * count_if(c_custkey % 3 = 0) AS words, count(*) AS n_heading, count(*) * 2 AS n_paragraph, count_if(c_custkey % 3 = 0) AS n_list,
+sum(1 + len(c_name) + 2 + len(c_mktsegment) + 1 + 17 + CASE WHEN c_custkey % 3 = 0 THEN 8 ELSE 0 END)::BIGINT AS characters FROM (SELECT * FROM customer) GROUP BY 1""")
+def counted_texts(spark, sf_dir):
+    """Blocks, words and characters of a text a customer, by nation."""
+    docs = customer_texts(spark, sf_dir)
+    stats = D.corpus_stats(D.split_blocks(docs).join(docs.select("doc_id", "c_nationkey"), "doc_id"), ["c_nationkey"])
+    return stats.select("c_nationkey", "blocks", "words", "n_heading", "n_paragraph", "n_list", "characters")
+
+
+@query("""WITH c AS (SELECT *, 'doc/' || c_custkey AS p, replace(lower(c_name), '#', '') AS slug, 'In ' || lower(c_mktsegment) || '.' AS says, c_custkey % 3 = 0 AS listed FROM customer)
+SELECT p AS source, '# t ' || c_custkey || chr(10) || chr(10) || '## map' || chr(10) || '- ' || p || ' — t ' || c_custkey || chr(10) || '  - ' || p || '/h/' || slug || ' — ' || c_name || chr(10) || '    - ' || p || '/b/1 — ' || says || chr(10) || '    - ' || p || '/b/2 — Balance known.'
+  || CASE WHEN listed THEN chr(10) || '    - ' || p || '/b/3 — one two' ELSE '' END || chr(10) || chr(10) || '## body' || chr(10) || '# ' || c_name || chr(10) || chr(10) || says || chr(10) || chr(10) || 'Balance **known**.' || CASE WHEN listed THEN chr(10) || chr(10) || '- one' || chr(10) || '- two' ELSE '' END || chr(10) || chr(10)
+  || '## statistics' || chr(10) || 'blocks ' || (3 + listed::INT) || ', words ' || (6 + 2 * listed::INT) || ', characters ' || (1 + len(c_name) + 2 + len(c_mktsegment) + 1 + 17 + 8 * listed::INT) || ', headings 1' AS digest FROM c""")
+def text_digests(spark, sf_dir):
+    """The retrieval text of each customer's document."""
+    docs = customer_texts(spark, sf_dir)
+    blocks = D.split_blocks(docs)
+    return D.digest(D.build_nodes(docs.select("doc_id", "title"), blocks), blocks)
+
+
+@query("""SELECT conv_id AS doc_id, (2 * n + k)::INTEGER AS pos, CASE WHEN k = 0 THEN CASE WHEN r = 1 THEN role ELSE role || '-' || r END END AS block_id, CASE WHEN k = 0 THEN 'paragraph' ELSE 'list' END AS block_type, CASE WHEN k = 0 THEN 'turn ' || turn ELSE '- ' || role END AS md
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS r, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n FROM conversations), (VALUES (0), (1)) v(k)""")
+def blocks_of_regions(spark, sf_dir):
+    """Anchored regions of two blocks each: the id stays with the first."""
+    turns = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("t"))
+    text = F.array_join(F.transform("t", lambda x: F.concat(F.lit("<!-- block:"), x["role"], F.lit(" -->\nturn "), x["turn"].cast("string"), F.lit("\n\n- "), x["role"], F.lit("\n"))), "\n")
+    return D.region_blocks(D.anchored_regions(turns.select("doc_id", text.alias("text")))).select("doc_id", "pos", "block_id", "block_type", "md")
+
+
+@query(f"""WITH {PART_SQL} SELECT 'sheet/' || sheet_id || '/cell/B4' AS path, 'cell' AS kind, p_size::BIGINT AS shown FROM b WHERE row = 4""")
+def cells_by_address(spark, sf_dir):
+    """The cell B4 of every brand's sheet, asked for by its address."""
+    cells = part_cells(spark, sf_dir)
+    nodes = cells.select("sheet_id").distinct().select(F.concat(F.lit("sheet/"), "sheet_id", F.lit("/cell/b4")).alias("path"))
+    return D.cell_nodes(cells, nodes).select("path", "kind", F.col("content").cast("double").cast("bigint").alias("shown"))
+
+
+@query("""SELECT 'all.grid' AS project, sum(len(n_name) + 1)::BIGINT AS bytes FROM nation""")
+def bytes_of_assets(spark, sf_dir):
+    """Nations' names as files in a project's assets folder."""
+    from ..sources import files as S
+
+    path = folder(spark)
+    table(spark, sf_dir, "nation").select("n_name").write.text(f"{path}/all.grid/assets/deep")
+    listed = S.asset_list(spark, path).filter(F.col("asset").startswith("deep/part-"))
+    return listed.groupBy("project").agg(F.sum("bytes").alias("bytes"))
+
+
+@query("""SELECT v::DOUBLE AS quantity, (SELECT count(*) FROM lineitem WHERE l_quantity = v) AS lines FROM range(1, (SELECT max(l_quantity)::BIGINT + 1 FROM lineitem)) r(v)""")
+def quantities_in_sequence(spark, sf_dir):
+    """How often each whole quantity up to the largest occurs, those of none included."""
+    from ..operators import shape as H
+
+    lines = table(spark, sf_dir, "lineitem")
+    steps = H.sequence_table(spark, int(lines.agg(F.max("l_quantity")).first()[0])).select(F.col("value").alias("quantity"))
+    counts = lines.groupBy(F.col("l_quantity").cast("double").alias("quantity")).agg(F.count("*").alias("lines"))
+    return steps.join(counts, "quantity", "left").select("quantity", F.coalesce("lines", F.lit(0)).alias("lines"))
