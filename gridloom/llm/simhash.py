@@ -233,11 +233,17 @@ def _inside(bits: int):
 
 
 def _across(bits: int):
+    """Rows (chunk, codes, chunk, codes) with those of a second chunk in a row: its tree is built once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, tree, y = None, None, None
         for batch in batches:
-            for left, right in zip(batch.column(0), batch.column(1)):
-                x, y = (np.asarray(c.values).view(np.uint64) for c in (left, right))
-                i, j = near_pairs(Tree(x), Tree(y), bits, False)
+            for left, chunk, right in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3)):
+                if chunk != held:
+                    held, y = chunk, np.asarray(right.values).view(np.uint64).copy()
+                    tree = Tree(y)
+                x = np.asarray(left.values).view(np.uint64)
+                i, j = near_pairs(Tree(x), tree, bits, False)
                 yield _links(np.concatenate([x, y]), i, j + len(x))
 
     return run
@@ -253,11 +259,14 @@ def near_links(codes: DataFrame, bits: int = 4) -> DataFrame:
     chunks = materialise(ordered.mapInArrow(_chunks, "band int, value bigint, codes array<bigint>, mask bigint, pattern bigint").withColumn("chunk", F.monotonically_increasing_id()))
     inside = chunks.filter(F.size("codes") > 1).select("codes").mapInArrow(_inside(bits), "a bigint, b bigint")
     many = chunks.groupBy("band", "value").agg(F.count("*").alias("n")).filter("n > 1").select("band", "value")
-    split = chunks.join(many, ["band", "value"], "left_semi")
-    left, right = (split.select("band", "value", *[F.col(c).alias(f"{c}_{side}") for c in ("codes", "mask", "pattern", "chunk")]) for side in "xy")
+    # chunks of one value are compared by the patterns they share; only pairs that may hold neighbours fetch their codes
+    split = chunks.select("band", "value", "mask", "pattern", "chunk").join(many, ["band", "value"], "left_semi")
+    left, right = (split.select("band", "value", *[F.col(c).alias(f"{c}_{side}") for c in ("mask", "pattern", "chunk")]) for side in "xy")
     shared = F.col("mask_x").bitwiseAND(F.col("mask_y"))
-    pairs = left.join(right, ["band", "value"]).filter((F.col("chunk_x") < F.col("chunk_y")) & (F.bit_count(F.col("pattern_x").bitwiseXOR(F.col("pattern_y")).bitwiseAND(shared)) <= bits))
-    across = pairs.select("codes_x", "codes_y").mapInArrow(_across(bits), "a bigint, b bigint")
+    pairs = left.join(right, ["band", "value"]).filter((F.col("chunk_x") < F.col("chunk_y")) & (F.bit_count(F.col("pattern_x").bitwiseXOR(F.col("pattern_y")).bitwiseAND(shared)) <= bits)).select("chunk_x", "chunk_y")
+    codes_of = lambda side: chunks.select(F.col("chunk").alias(f"chunk_{side}"), F.col("codes").alias(f"codes_{side}"))
+    met = pairs.join(codes_of("x"), "chunk_x").join(codes_of("y"), "chunk_y").sortWithinPartitions("chunk_y")
+    across = met.select("chunk_x", "codes_x", "chunk_y", "codes_y").mapInArrow(_across(bits), "a bigint, b bigint")
     return inside.unionByName(across)
 
 
