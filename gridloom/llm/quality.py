@@ -125,6 +125,13 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of policy v2 costs alone, over the ledger of all documents."""
+    from .shared import table
+
+    return ablations(ledger(table(spark, sf_dir, "documents")), "v2")
+
+
 WORD_SQL = r"[^\x20\x09-\x0D]+"
 OP2_SQL = rf"""
 WITH w AS (
@@ -154,3 +161,8 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
        failed_rules::BIGINT AS failed_rules
 FROM f
 """
+_EACH = ", ".join(f"('{r}', {mask_of([r])})" for r in POLICIES["v2"])
+OP2_ABLATIONS_SQL = f"""
+WITH masks AS (SELECT failed_rules & {mask_of(POLICIES["v2"])} AS bits FROM ({OP2_SQL})), r(rule, bit) AS (VALUES {_EACH})
+SELECT rule, count_if(bits & bit <> 0)::BIGINT AS n_failed, count_if(bits = bit)::BIGINT AS n_failed_alone, count_if(bits & ~bit = 0)::BIGINT AS n_kept_without FROM masks, r GROUP BY rule
+"""

@@ -142,8 +142,8 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 5, pivots: np.ndarray |
     blocks, parts = max(1, -(-made.count() // ROWS)), max(1, -(-asked.count() // QUERIES))
 
     def dealt(df: DataFrame, own: int, other: int, own_name: str, other_name: str) -> DataFrame:
-        """Each row to one block of its own side and to all blocks of the other."""
-        return df.withColumn(own_name, F.pmod(F.xxhash64("id", "v"), F.lit(own)).cast("int")).withColumn(other_name, F.explode(F.sequence(F.lit(0), F.lit(other - 1))))
+        """Each row to one block of its own side and to all blocks of the other; equal rows are dealt by their place in the written table."""
+        return df.withColumn(own_name, F.pmod(F.xxhash64("id", "v", F.monotonically_increasing_id()), F.lit(own)).cast("int")).withColumn(other_name, F.explode(F.sequence(F.lit(0), F.lit(other - 1))))
 
     left = dealt(asked, parts, blocks, "part", "block").groupBy("block", "part")
     right = dealt(made, blocks, parts, "block", "part").groupBy("block", "part")
