@@ -333,3 +333,20 @@ def quantities_in_sequence(spark, sf_dir):
     steps = H.sequence_table(spark, int(lines.agg(F.max("l_quantity")).first()[0])).select(F.col("value").alias("quantity"))
     counts = lines.groupBy(F.col("l_quantity").cast("double").alias("quantity")).agg(F.count("*").alias("lines"))
     return steps.join(counts, "quantity", "left").select("quantity", F.coalesce("lines", F.lit(0)).alias("lines"))
+
+
+@query("""WITH n AS (SELECT r_name AS s, n_name, row_number() OVER (PARTITION BY r_regionkey ORDER BY n_nationkey) + 1 AS row, count(*) OVER (PARTITION BY r_regionkey) AS size FROM nation JOIN region ON r_regionkey = n_regionkey)
+SELECT 'sheet/' || s AS source, '# ' || s || chr(10) || chr(10) || '## map' || chr(10) || '- sheet/' || s || ' — ' || s || chr(10) || '  - sheet/' || s || '/region/1 — A1:A' || (max(size) + 1) || chr(10) || '    - sheet/' || s || '/region/1/column/A — text' || chr(10) || '  - sheet/' || s || '/name/all — A1:A9' || chr(10) || chr(10)
+  || '## profile' || chr(10) || '- name: text, filled ' || max(size) || chr(10) || chr(10) || '## records' || chr(10) || string_agg(row || '행: name=' || replace(n_name, '_', '\\_'), chr(10) ORDER BY row) || chr(10) || chr(10)
+  || '## names' || chr(10) || '- all A1:A9' || chr(10) || chr(10) || '## statistics' || chr(10) || 'cells ' || (max(size) + 1) || ', formulas 0' AS digest FROM n GROUP BY s""")
+def sheet_digests(spark, sf_dir):
+    """The retrieval text of a sheet a region, with the names of its nations."""
+    named = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    row = F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")) + 1
+    body = named.select(F.col("r_name").alias("sheet_id"), row.alias("row"), F.col("n_name").alias("v_str"))
+    heads = named.select(F.col("r_name").alias("sheet_id")).distinct().select("sheet_id", F.lit(1).alias("row"), F.lit("name").alias("v_str"))
+    blank = lambda kind: F.lit(None).cast(kind)
+    cells = body.unionByName(heads).withColumns({"project_id": F.lit("p"), "col": F.lit(1), "ref": F.concat(F.lit("A"), "row"), "f": blank("string"), "v_num": blank("double"), "v_bool": blank("boolean"), "t": F.lit("s"), "fmt": blank("string"), "style": blank("map<string,string>")})
+    sheets = heads.select("sheet_id", F.col("sheet_id").alias("name"), F.lit(0).alias("frozen_rows"))
+    names = heads.select("sheet_id", F.lit("all").alias("name"), F.lit("A1:A9").alias("target"))
+    return D.sheet_digest(cells, sheets, names)
