@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.keys import join_alike
 from ..functions.typed import to_number
 from . import orderstats
 
@@ -132,7 +133,7 @@ def harmean(x: Column) -> Column:
 def avedev(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     """Mean distance from the mean: two passes joined by group."""
     means = df.groupBy(*by).agg(F.avg(column).alias("_mean"))
-    joined = df.join(means, list(by)) if by else df.withColumn("_mean", means.scalar())
+    joined = join_alike(df, means, by) if by else df.withColumn("_mean", means.scalar())
     return joined.groupBy(*by).agg(F.avg(F.abs(F.col(column) - F.col("_mean"))).alias("avedev"))
 
 
@@ -246,9 +247,10 @@ def textjoin(x: str, order_by: str, separator: str = ",", skip_blank: bool = Tru
 
 
 def npv(df: DataFrame, rate: float, amount: str, order_by: str, by: Sequence[str]) -> DataFrame:
-    """Sum of amounts, the i-th in order divided by (1 + rate)^i."""
-    w = Window.partitionBy(*by).orderBy(order_by)
-    placed = df.filter(F.col(amount).isNotNull()).withColumn("_i", F.row_number().over(w))
+    """Sum of amounts, the i-th in order divided by (1 + rate)^i; of equal `order_by` the smaller amount comes first.
+
+    Places are counted by ranges, so a group of any size is spread over tasks."""
+    placed = orderstats.numbered(df.filter(F.col(amount).isNotNull()).select(*by, order_by, amount), by, [order_by, amount], "_i")
     return placed.groupBy(*by).agg(F.sum(F.col(amount) / F.pow(F.lit(1.0 + rate), F.col("_i"))).alias("npv"))
 
 
@@ -275,5 +277,5 @@ def fold_series(df: DataFrame, series: str, order_by: str, value: str, by: Seque
     numbered = ranked.withColumn("_no", F.row_number().over(Window.orderBy("_first", series)))  # keep + 1 rows at most
     many = ranked.agg(F.count("*") > keep)
     kept = numbered.withColumn("_many", many.scalar()).filter(~F.col("_many") | (F.col("_no") < keep)).select(series, F.lit(True).alias("_kept"))
-    named = df.join(F.broadcast(kept), series, "left").withColumn(series, F.when(F.col("_kept"), F.col(series)).otherwise(F.lit(rest)))
+    named = join_alike(df, F.broadcast(kept), [series]).withColumn(series, F.when(F.col("_kept"), F.col(series)).otherwise(F.lit(rest)))
     return named.groupBy(*by, series).agg(F.sum(F.coalesce(F.col(value), F.lit(0.0))).alias(value))

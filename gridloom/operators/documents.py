@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.keys import join_alike
 from .cells import column_name, column_profile, filled, find_regions, parse_ref, records, region_profile, shown
 from .lookups import positions
 from .ordered import slug_dedupe
@@ -540,9 +541,9 @@ def corpus_stats(blocks: DataFrame, by: Sequence[str], slides: DataFrame | None
     )
     if slides is not None:
         noted = F.count_if(F.trim(F.coalesce("note", F.lit(""))) != "")
-        out = out.join(slides.groupBy(*by).agg(F.count("*").alias("slides"), noted.alias("noted_slides")), list(by), "full_outer")
+        out = join_alike(out, slides.groupBy(*by).agg(F.count("*").alias("slides"), noted.alias("noted_slides")), by, "full_outer")
     if cells is not None:
-        out = out.join(cells.groupBy(*by).agg(F.count_if(filled()).alias("cells"), F.count("f").alias("formulas")), list(by), "full_outer")
+        out = join_alike(out, cells.groupBy(*by).agg(F.count_if(filled()).alias("cells"), F.count("f").alias("formulas")), by, "full_outer")
     return out.select(*by, *[F.coalesce(c, F.lit(0)).alias(c) for c in out.columns if c not in by])
 
 

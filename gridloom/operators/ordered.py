@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.keys import join_alike
 from ..functions.typed import mixed_key
 from .lookups import carried, in_ranges, with_carried
 
@@ -29,9 +30,9 @@ def _below(df: DataFrame, column: str, by: Sequence[str], ascending: bool) -> Da
 
 
 def rank_eq(df: DataFrame, column: str, by: Sequence[str], ascending: bool = False, into: str = "rank") -> DataFrame:
-    """1 + number of better values, within `by`; NULL for a blank or a blank key."""
+    """1 + number of better values, within `by`; NULL for a blank."""
     ranked = _below(df, column, by, ascending).select(*by, column, (F.col("_before") + 1).cast("int").alias(into))
-    return df.join(ranked, [*by, column], "left").select(*df.columns, into)
+    return join_alike(df, ranked, [*by, column]).select(*df.columns, into)
 
 
 def nth(df: DataFrame, column: str, k: int, by: Sequence[str], largest: bool = True) -> DataFrame:
@@ -47,9 +48,9 @@ def percent_rank(df: DataFrame, column: str, by: Sequence[str], into: str = "per
     """Values below, over n - 1, blanks left out; 0 for a value alone."""
     share = F.when(F.col("_size") > 1, F.col("_before") / (F.col("_size") - 1)).otherwise(F.lit(0.0))
     below, size = _below(df, column, by, True), F.count(column).alias("_size")
-    sized = below.join(df.groupBy(*by).agg(size), list(by)) if by else below.withColumn("_size", df.agg(size).scalar())
+    sized = join_alike(below, df.groupBy(*by).agg(size), by) if by else below.withColumn("_size", df.agg(size).scalar())
     ranked = sized.select(*by, column, share.alias(into))
-    return df.join(ranked, [*by, column], "left").select(*df.columns, into)
+    return join_alike(df, ranked, [*by, column]).select(*df.columns, into)
 
 
 def extend_series(df: DataFrame, value: str, order_by: str, by: Sequence[str], n: int) -> DataFrame:
@@ -106,7 +107,7 @@ def cap_rows(df: DataFrame, by: Sequence[str], n: int, order_by: str) -> DataFra
     w = Window.partitionBy(*by).orderBy(order_by)
     kept = df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
     sizes = df.groupBy(*by).agg(F.greatest(F.count("*") - n, F.lit(0)).alias("left_out"))
-    return kept.join(sizes, list(by))
+    return join_alike(kept, sizes, by)
 
 
 def unique_values(df: DataFrame, key: Column, order_by: str) -> DataFrame:

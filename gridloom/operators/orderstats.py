@@ -9,10 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.keys import join_alike
 from ..functions.lineage import pinned
+from .lookups import carried, in_ranges, with_carried
 from .ordered import cumulated
 
 
@@ -25,11 +27,15 @@ def spans(df: DataFrame, column: str, by: Sequence[str]) -> DataFrame:
     sizes = placed.groupBy(*by).agg(F.sum("_n").alias("_size"))
     if not by:
         return placed.withColumn("_size", sizes.scalar())
-    apart = sizes.select("_size", *[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)])
-    same = F.lit(True)
-    for i, c in enumerate(by):
-        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
-    return placed.join(apart, same).drop(*[f"_g{i}" for i in range(len(by))])
+    return join_alike(placed, sizes, by)
+
+
+def numbered(df: DataFrame, by: Sequence[str], order_by: Sequence[str], into: str) -> DataFrame:
+    """Adds the place of each row within `by`, from 1 on: counted inside ranges of (by, order_by) and carried over between them."""
+    ranges = in_ranges(df, [*by, *order_by])
+    over = carried(ranges, by, F.count("*"), "_over", added=True)
+    inner = F.row_number().over(Window.partitionBy("_part", *by).orderBy(*order_by))
+    return with_carried(ranges, over, by).withColumn(into, F.coalesce("_over", F.lit(0)) + inner).drop("_part", "_over")
 
 
 def at(place: Column, column: str) -> Column:

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.keys import join_alike
 from ..functions.typed import infer
 
 COMPARE = {
@@ -105,7 +106,7 @@ def flag_ranked(df: DataFrame, column: str, kind: str, n: int = 10, by: Sequence
     x = F.col(column)
     if kind in ("duplicate", "unique"):
         counts = df.filter(x.isNotNull()).groupBy(*by, column).agg(F.count("*").alias("_n"))
-        joined = df.join(counts, [*by, column], "left")
+        joined = join_alike(df, counts, [*by, column])
         test = F.col("_n") > 1 if kind == "duplicate" else F.col("_n") == 1
         return joined.withColumn(into, F.coalesce(test, F.lit(False))).drop("_n").select(*df.columns, into)
     if kind in ("above", "below"):
@@ -119,14 +120,14 @@ def flag_ranked(df: DataFrame, column: str, kind: str, n: int = 10, by: Sequence
             ranked = df.filter(x.isNotNull()).orderBy(order).limit(n)
         bound = ranked.groupBy(*by).agg((F.min(column) if kind == "top" else F.max(column)).alias("_bound"))
         test = x >= F.col("_bound") if kind == "top" else x <= F.col("_bound")
-    joined = df.join(bound, list(by), "left") if by else df.withColumn("_bound", bound.scalar())
+    joined = join_alike(df, bound, by) if by else df.withColumn("_bound", bound.scalar())
     return joined.withColumn(into, F.coalesce(test, F.lit(False))).select(*df.columns, into)
 
 
 def color_scale(df: DataFrame, column: str, stops: Sequence[str], by: Sequence[str] = (), into: str = "color") -> DataFrame:
     """Hex colour by position between the smallest and the largest value; 2 or 3 stops; a flat range sits in the middle."""
     ends = df.groupBy(*by).agg(F.min(column).cast("double").alias("_lo"), F.max(column).cast("double").alias("_hi"))
-    joined = df.join(ends, list(by), "left") if by else df.withColumns({c: ends.select(c).scalar() for c in ("_lo", "_hi")})
+    joined = join_alike(df, ends, by) if by else df.withColumns({c: ends.select(c).scalar() for c in ("_lo", "_hi")})
     at = F.when(F.col("_hi") == F.col("_lo"), F.lit(0.5)).otherwise((F.col(column) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))
     parts = [[int(s.lstrip("#")[k : k + 2], 16) for k in (0, 2, 4)] for s in stops]
 

@@ -132,9 +132,9 @@ def items_of_projects(spark, sf_dir):
     return S.resolve_items(listed, files).select("project_id", "md_path", "item_no")
 
 
-@query("""SELECT o_custkey, quantile_disc(o_totalprice, 0.5) > 0 AS positive FROM orders GROUP BY 1""")
+@query("""SELECT o_custkey, quantile_disc(o_totalprice, 0.5) AS middle FROM orders GROUP BY 1""")
 def approximate_medians(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg((A.percentile(F.col("o_totalprice"), 0.5, 1000) > 0).alias("positive"))
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(A.percentile(F.col("o_totalprice"), 0.5, 100_000).alias("middle"))
 
 
 @query("""SELECT p_brand, round(x, 2) AS chart_step FROM (SELECT p_brand, CASE WHEN raw / u <= 1 THEN 1 WHEN raw / u <= 2 THEN 2 WHEN raw / u <= 5 THEN 5 ELSE 10 END * u AS x FROM (SELECT p_brand, raw, power(10, floor(log10(raw))) AS u FROM (SELECT p_brand, sum(p_retailprice) / 5 AS raw FROM part GROUP BY 1)))""")

@@ -6,11 +6,15 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import errors as E
+from ..functions.keys import join_alike
 from ..operators import aggregates as A
 from ..operators import cells as K
+from ..operators import charts as C
 from ..operators import documents as D
 from ..operators import lookups as J
+from ..operators import ordered as O
 from ..operators import orderstats as Q
+from ..operators import rules as R
 from ..streaming import history as T
 from .registry import query, table
 from .sheet import PART_SQL, TRAIL_SQL, part_cells
@@ -227,6 +231,31 @@ def value_questions(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", E.is_blank(x).alias("blank"), E.is_na(x).alias("na"), E.is_err(x).alias("err"), E.is_error(x).alias("any_error"), E.type_number(tag).alias("type"))
 
 
+@query("""WITH c AS (SELECT c_custkey, CASE WHEN c_nationkey < 12 THEN NULL ELSE c_mktsegment END AS segment, c_acctbal AS x FROM customer), r AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY c_custkey) AS i, rank() OVER (PARTITION BY segment ORDER BY x DESC) AS rank, count(*) OVER (PARTITION BY segment) AS size, avg(x) OVER (PARTITION BY segment) AS mean FROM c)
+SELECT c_custkey, segment, rank::INTEGER AS rank, x > mean AS above, round((SELECT avg(abs(q.x - q.mean)) FROM r q WHERE q.segment IS NOT DISTINCT FROM r.segment), 6) AS avedev, size - 3 AS left_out FROM r WHERE i <= 3""")
+def groups_without_key(spark, sf_dir):
+    """Ranks, bounds, deviations and caps of groups, the largest of which has no key."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_nationkey") >= 12, F.col("c_mktsegment")).alias("segment"), F.col("c_acctbal").alias("x"))
+    ranked = R.flag_ranked(O.rank_eq(c, "x", ["segment"]), "x", "above", by=["segment"], into="above")
+    capped = O.cap_rows(ranked, ["segment"], 3, "c_custkey")
+    spread = A.avedev(c, "x", ["segment"]).withColumn("avedev", F.round("avedev", 6))
+    return join_alike(capped, spread, ["segment"]).select("c_custkey", "segment", "rank", "above", "avedev", "left_out")
+
+
+@query("""WITH l AS (SELECT l_linestatus, l_extendedprice AS x, row_number() OVER (PARTITION BY l_linestatus ORDER BY l_orderkey * 10 + l_linenumber, l_extendedprice) AS i FROM lineitem)
+SELECT l_linestatus, round(sum(x / pow(1.0001::DOUBLE, i)), 2) AS npv FROM l GROUP BY 1""")
+def npv_of_large_groups(spark, sf_dir):
+    """Two cash flows of tens of thousands of amounts."""
+    lines = table(spark, sf_dir, "lineitem").select("l_linestatus", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"), F.col("l_extendedprice").alias("x"))
+    return A.npv(lines, 0.0001, "x", "at", ["l_linestatus"]).withColumn("npv", F.round("npv", 2))
+
+
+@query(f"""WITH {PART_SQL} SELECT sheet_id, p_name AS label, v.name, CASE v.name WHEN 'size' THEN p_size ELSE p_retailprice END AS value FROM b, (VALUES ('size'), ('price')) v(name)""")
+def series_of_whole_sheets(spark, sf_dir):
+    """Charts over the whole of three columns."""
+    return C.chart_data(part_cells(spark, sf_dir), "A1:C1048576").select("sheet_id", "label", "name", "value")
+
+
 # history on streams -------------------------------------------------------------------------
 
 
