@@ -305,7 +305,7 @@ def customer_texts(spark, sf_dir):
     return c.select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit("t "), F.col("c_custkey")).alias("title"), "c_nationkey", text.alias("text"))
 
 
-@query("""SELECT c_nationkey, count(*) * 3 + count_if(c_custkey % 3 = 0) AS blocks, count(*) * 6 + 2 * count_if(c_custkey % 3 = 0) AS words, count(*) AS n_heading, count(*) * 2 AS n_paragraph, count_if(c_custkey % 3 = 0) AS n_list,
+@query("""SELECT c_nationkey, (count(*) * 3 + count_if(c_custkey % 3 = 0))::BIGINT AS blocks, (count(*) * 6 + 2 * count_if(c_custkey % 3 = 0))::BIGINT AS words, count(*) AS n_heading, count(*) * 2 AS n_paragraph, count_if(c_custkey % 3 = 0)::BIGINT AS n_list,
 sum(1 + len(c_name) + 2 + len(c_mktsegment) + 1 + 17 + CASE WHEN c_custkey % 3 = 0 THEN 8 ELSE 0 END)::BIGINT AS characters FROM (SELECT * FROM customer) GROUP BY 1""")
 def counted_texts(spark, sf_dir):
     """Blocks, words and characters of a text a customer, by nation."""
