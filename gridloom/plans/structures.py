@@ -192,13 +192,12 @@ def divisors_of_large_groups(spark, sf_dir):
 # missing keys and patterns ----------------------------------------------------------------
 
 
-@query("""WITH e AS (SELECT event_id, CASE WHEN event_type = 'click' THEN NULL ELSE event_type END AS kind FROM events)
-SELECT event_id, (SELECT max(t.event_id) FROM e t WHERE t.kind IS NOT DISTINCT FROM e.kind AND t.event_id <= e.event_id AND t.event_id % 50 = 0) AS last FROM e""")
+@query("""SELECT event_id, lag(event_id) OVER (PARTITION BY nullif(event_type, 'click') ORDER BY event_id) AS last FROM events""")
 def nearest_of_missing_groups(spark, sf_dir):
-    """The last fiftieth event of the same kind, clicks having none: a missing group is one like any other."""
+    """The event before of the same kind, clicks having none: a missing group is one like any other."""
     events = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_type") != "click", F.col("event_type")).alias("kind"))
-    marks = events.filter("event_id % 50 = 0").select("kind", F.col("event_id").alias("at"))
-    return J.nearest(events, "event_id", marks, "at", "at", "last", "below", ["kind"]).select("event_id", "last")
+    asked, marks = events.withColumn("until", F.col("event_id") - 1), events.select("kind", F.col("event_id").alias("at"))
+    return J.nearest(asked, "until", marks, "at", "at", "last", "below", ["kind"]).select("event_id", "last")
 
 
 @query("""WITH b AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN c_custkey END AS k, c_nationkey AS n, count(*) AS v FROM customer GROUP BY 1, 2), a AS (SELECT k, n, CASE WHEN n % 5 = 0 THEN v + 1 ELSE v END AS v FROM b WHERE n <> 7)
