@@ -12,7 +12,8 @@ built.  Scoring is one scan over whole texts.
 
 Rules: a null text or one without a letter is `und` with score 0; a text with letters
 but without any known n-gram gets the first learned language in name order and score
-1 / languages; of equal counts the first in name order wins.  Rows with null lang, text or
+1 / languages; of equal counts (to a millionth) the language of more learnable documents wins, then the
+first in name order: short texts often hold only n-grams that every language has.  Rows with null lang, text or
 doc_id are not learned from.  More than LANGS languages are refused.  Repeated rows are
 scored alike; an empty table gives no rows; other columns play no part, and kept ones named
 like a new column are replaced.
@@ -21,7 +22,7 @@ like a new column are replaced.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -77,9 +78,10 @@ class Filter:
     bits: int  # 2^bits cells
     cells: np.ndarray  # cells x words of 8 languages
     false: np.ndarray  # false-positive rate of each language
+    sizes: np.ndarray  # learnable documents of each language: decides between equal counts
 
     @classmethod
-    def build(cls, grams: dict[str, np.ndarray]) -> Filter:
+    def build(cls, grams: dict[str, np.ndarray], sizes: Mapping[str, int] | None = None) -> Filter:
         langs = sorted(grams)
         needed = max((len(x) for x in grams.values()), default=0) * HASHES / -math.log(1 - FALSE ** (1 / HASHES))
         bits = max(10, math.ceil(math.log2(max(needed, 1))))
@@ -88,7 +90,7 @@ class Filter:
             for at in cells_of(grams[lang], bits):
                 cells[at, i // 8] |= np.uint8(1 << i % 8)
         filled = np.array([(cells[:, i // 8] >> (i % 8) & 1).mean() for i in range(len(langs))])
-        return cls(langs, bits, cells, filled**HASHES)
+        return cls(langs, bits, cells, filled**HASHES, np.array([(sizes or {}).get(x, 0) for x in langs], np.int64))
 
     def counts(self, text: bytes | None) -> tuple[np.ndarray, int]:
         """Corrected number of the text's n-grams in each language, and the number of n-grams."""
@@ -110,8 +112,11 @@ class Filter:
             return "und", 0.0
         counts, _ = self.counts(text)
         total = counts.sum()
-        best = int(np.argmax(counts))
-        return self.langs[best], float(counts[best] / total) if total else 1 / len(self.langs)
+        if not total:
+            return self.langs[0], 1 / len(self.langs)
+        whole = np.rint(counts * 1e6)
+        best = int(np.lexsort((np.arange(len(whole)), -self.sizes, -whole))[0])
+        return self.langs[best], float(counts[best] / total)
 
 
 def fit(documents: DataFrame, sample: int = SAMPLE) -> Filter:
@@ -149,7 +154,7 @@ def fit(documents: DataFrame, sample: int = SAMPLE) -> Filter:
     langs, codes = made.column("lang").combine_chunks(), made.column("code").to_numpy()
     coded = pc.dictionary_encode(langs)
     numbers = np.asarray(coded.indices)
-    return Filter.build({lang: codes[numbers == i].view(np.uint64) for i, lang in enumerate(coded.dictionary.to_pylist())})
+    return Filter.build({lang: codes[numbers == i].view(np.uint64) for i, lang in enumerate(coded.dictionary.to_pylist())}, {r["lang"]: r["n"] for r in sizes})
 
 
 def identify(documents: DataFrame, model: Filter, text: str = "text", keep: Sequence[str] | None = ("doc_id",)) -> DataFrame:
