@@ -139,18 +139,32 @@ NOTICES = {
 }
 
 
+#: One look for all spellings that are replaced, between the double blanks of `words_made_equal`.
+ANY_SPELLING = f" (?:{'|'.join(old.replace(' ', '  ') for old in SPELLINGS)}) "
+
+
 def words_made_equal(text: Column) -> Column:
-    """Words set apart by one blank each, spellings made equal; words are whole words only."""
+    """Words set apart by one blank each, spellings made equal; words are whole words only.
+
+    Texts without any such spelling are told by one expression and left as they are."""
+
+    def respelled(x: Column) -> Column:
+        out = x
+        for old, new in SPELLINGS.items():
+            out = F.replace(out, F.lit(f" {old.replace(' ', '  ')} "), F.lit(f" {new.replace(' ', '  ')} "))
+        return F.when(x.rlike(ANY_SPELLING), out).otherwise(x)
+
     # two blanks between words while replacing, so that neighbouring words do not share one
-    out = F.concat(F.lit(" "), F.trim(F.regexp_replace(text, NOT_WORD, "  ")), F.lit(" "))
-    for old, new in SPELLINGS.items():
-        out = F.replace(out, F.lit(f" {old.replace(' ', '  ')} "), F.lit(f" {new.replace(' ', '  ')} "))
-    return F.trim(F.replace(out, F.lit("  "), F.lit(" ")))
+    spaced = F.concat(F.lit(" "), F.trim(F.regexp_replace(text, NOT_WORD, "  ")), F.lit(" "))
+    return F.trim(F.replace(F.get(F.transform(F.array(spaced), respelled), F.lit(0)), F.lit("  "), F.lit(" ")))
 
 
 def canonical(text: Column) -> Column:
-    """The canonical form of a whole text."""
-    return words_made_equal(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), COPYRIGHT_LINE, "")))
+    """The canonical form of a whole text; one without the words of a copyright line has none to look for."""
+    given = F.coalesce(text, F.lit(""))
+    low = F.lower(given)
+    may = low.contains("copyright") | low.contains("(c)") | low.contains("©") | low.contains("all rights reserved")
+    return words_made_equal(F.when(may, F.lower(F.regexp_replace(given, COPYRIGHT_LINE, ""))).otherwise(low))
 
 
 def digests(spark: SparkSession, licenses: dict[str, Sequence[str]], known: dict[str, str] | None = None) -> DataFrame:
