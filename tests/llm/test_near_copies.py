@@ -17,8 +17,10 @@ def jaccard(a, b):
 
 
 @pytest.mark.parametrize("parts", [4, 40])
-def test_near_copies(spark, parts):
+def test_near_copies(spark, parts, monkeypatch):
     """One edit in texts of 80 words gives a similarity of 0.87, far from 4 bits; half a text in common stays."""
+    if parts > 4:  # texts looked up by shuffle
+        monkeypatch.setattr(nearcopies, "FEW", 0)
     random.seed(3)
     texts = []
     for g in range(60):
