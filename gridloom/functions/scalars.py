@@ -304,7 +304,15 @@ def decimal(text: Column, radix: int) -> Column:
 
 
 def round_half_away(x: Column, digits: int = 0) -> Column:
-    return F.round(x.cast("double"), digits)
+    """Rounded in the arithmetic of doubles, as SQL rounds them: shifted by the digits, rounded to a whole number, shifted back.
+
+    A number below 0 keeps its minus where it is rounded to 0."""
+    x = x.cast("double")
+    if digits < 0:
+        return F.round(x, digits)
+    k = float(10**digits)
+    size = F.round(F.abs(x) * k) / k
+    return F.when(F.abs(x) * k < float("inf"), F.when(x < 0, -size).otherwise(size)).otherwise(x)
 
 
 def _scaled(x: Column, digits: int, of) -> Column:

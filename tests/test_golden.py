@@ -161,3 +161,13 @@ def test_extend_series(spark):
     rows = spark.createDataFrame([("one", 1, "ID-008"), ("two", 1, "a"), ("two", 2, "b")], "k string, o int, v string")
     got = {(r.k, r.step_no): r.v for r in O.extend_series(rows, "v", "o", ["k"], 2).collect()}
     assert got == {("one", 1): "ID-009", ("one", 2): "ID-010", ("two", 1): "a", ("two", 2): "b"}
+
+
+def test_rounding_of_formats_follows_sql(spark, duck):
+    """Percentages whose double lies at or beside a half, and prices of three decimals."""
+    rows = [(2985.0,), (6295.0,), (-905.0,), (5.0,), (-0.4,), (1.005,), (2.675,), (-1.005,), (1e300,), (None,)]
+    df = spark.createDataFrame(rows, "x double")
+    got = [tuple(r) for r in df.select(X.text(F.col("x") / 10000, "0.0%"), X.fixed(F.col("x")), X.fixed(F.col("x"), 0)).collect()]
+    sql = "SELECT format('{:.1f}%', round(?::DOUBLE / 10000 * 100, 1)), format('{:,.2f}', round(?::DOUBLE, 2)), format('{:,.0f}', round(?::DOUBLE, 0))"
+    assert got[:8] == [duck.execute(sql, [x, x, x]).fetchone() for (x,) in rows[:8]]
+    assert got[8][1].startswith("1,000,000,000") and got[9] == (None, None, None)
