@@ -135,33 +135,57 @@ def match_position(df: DataFrame, key: str, vector: DataFrame, value: str, posit
     return nearest(df, key, running, "_k", "_p", into, "below" if kind == 1 else "above")
 
 
-#: Length of the pieces by which patterns and keys meet.
-GRAM = 3
+#: Lengths of the pieces by which patterns and texts meet; a run of a pattern is cut into the longest that fits.
+GRAM, SIZES = 3, (3, 6, 12, 24, 48)
+#: Up to this many distinct patterns are sent to every task.
+FEW = 100_000
+
+
+def met(left: DataFrame, right: DataFrame, on: str, few: bool, how: str = "inner") -> DataFrame:
+    """A join that never broadcasts `left`, whose rows were multiplied behind the planner's back, and `right` only if it is few rows."""
+    return left.join(F.broadcast(right), on, how) if few else left.hint("merge").join(right, on, how)
 
 
 def wildcard_pairs(df: DataFrame, key: str, values: DataFrame, text: str) -> DataFrame:
     """(_key, columns of `values`): each distinct pattern of `df` (`*` any text, `?` one character, no case) with the texts it fits.
 
-    A pattern with a literal run of GRAM characters meets only the texts that hold its rarest such piece, by an
-    equi-join on pieces; the regular expression is tried on those.  Patterns of shorter runs are
+    A pattern with a literal run of GRAM characters meets only the texts that hold its rarest piece and end as it
+    does, by an equi-join on both; the regular expression is tried on those.  Patterns of shorter runs are
     compared with every text: the one case in which nothing tells them apart."""
     special = F.regexp_replace(F.col("_key"), r"([\\\[\]{}().+^$|])", r"\\$1")
-    pattern = F.concat(F.lit("(?is)^"), F.regexp_replace(F.regexp_replace(special, r"\*", ".*"), r"\?", "."), F.lit("$"))
-    pieces = lambda x: F.when(F.length(x) >= GRAM, F.transform(F.sequence(F.lit(1), F.length(x) - GRAM + 1), lambda i: F.substr(x, i, F.lit(GRAM)))).otherwise(F.array().cast("array<string>"))
-    low = F.lower(F.col("_key"))
-    grams = F.array_distinct(F.flatten(F.transform(F.split(low, r"[*?]+"), pieces)))
-    keys = pinned(df.filter(F.col(key).isNotNull()).select(F.col(key).alias("_key")).distinct().select("_key", pattern.alias("_pattern"), grams.alias("_grams")))
-    texts = values.filter(F.col(text).isNotNull())
-    spread = texts.withColumn("_gram", F.explode(F.array_distinct(pieces(F.lower(F.col(text))))))
-    wanted = keys.select("_key", F.explode("_grams").alias("_gram"))
-    frequency = spread.join(wanted.select("_gram").distinct(), "_gram", "left_semi").groupBy("_gram").agg(F.count("*").alias("_n"))
+    pattern = F.concat(F.lit("(?is)^"), F.regexp_replace(F.regexp_replace(special, r"\*", ".*"), r"\?", "."), F.lit(r"\z"))
+    cut = lambda x, size: F.transform(F.sequence(F.lit(1), F.length(x) - size + 1), lambda i: F.substr(x, i, size))
+    # a piece is named by its length, that of the ending, and the ending before itself
+    ending = lambda size, n, x: F.concat_ws("/", size.cast("string"), n.cast("string"), F.right(x, n))
+    runs = F.split(F.lower(F.col("_key")), r"[*?]+")
+    last = F.element_at(runs, -1)
+    end = F.least(F.length(last), F.lit(GRAM))
+    size = lambda x: F.coalesce(*[F.when(F.length(x) >= n, F.lit(n)) for n in reversed(SIZES)])
+    asks = F.array_distinct(F.flatten(F.transform(F.filter(runs, lambda x: F.length(x) >= GRAM), lambda x: F.transform(cut(x, size(x)), lambda y: F.struct(size(x).alias("size"), end.alias("end"), F.concat(ending(size(x), end, last), y).alias("gram"))))))
+    keys = pinned(df.filter(F.col(key).isNotNull()).select(F.col(key).alias("_key")).distinct().select("_key", pattern.alias("_pattern"), asks.alias("_asks")))
+    few = keys.count() <= FEW
+    # copies of a text are met once
+    texts = pinned(values.filter(F.col(text).isNotNull()).select(F.col(text).alias("_text")).distinct())
+
+    def spread(shapes: DataFrame) -> DataFrame:
+        """Texts by their pieces of the lengths that patterns ask for."""
+        low, s = F.lower("_text"), F.col("_shape")
+        held = texts.withColumn("_shape", F.explode(shapes.agg(F.collect_set(F.struct("_ask.size", "_ask.end"))).scalar())).filter((F.length(low) >= s["size"]) & (F.length(low) >= s["end"]))
+        begun = held.select("_text", low.alias("_low"), s["size"].alias("_size"), ending(s["size"], s["end"], low).alias("_ending"))
+        return begun.select("_text", "_ending", F.explode(F.array_distinct(cut(F.col("_low"), F.col("_size")))).alias("_piece")).select("_text", F.concat("_ending", "_piece").alias("_gram"))
+
+    wanted = keys.select("_key", F.explode("_asks").alias("_ask")).withColumn("_gram", F.col("_ask.gram"))
+    frequency = met(spread(wanted), wanted.select("_gram").distinct(), "_gram", few, "left_semi").groupBy("_gram").agg(F.count("*").alias("_n"))
     # a piece that no text holds tells that the pattern fits none
-    rarest = wanted.join(frequency, "_gram", "left").groupBy("_key").agg(F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram"))
-    found = spread.join(rarest.join(keys.select("_key", "_pattern"), "_key"), "_gram").drop("_gram")
-    bare = keys.filter(F.size("_grams") == 0).select("_key", "_pattern")
-    if not bare.isEmpty():
-        found = found.unionByName(texts.join(bare, F.regexp_like(F.col(text), F.col("_pattern"))).select(*found.columns))
-    return found.filter(F.regexp_like(F.col(text), F.col("_pattern"))).drop("_pattern")
+    rarest = pinned(met(wanted, frequency, "_gram", few, "left").groupBy("_key").agg(F.min_by("_ask", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_ask")))
+    chosen = met(rarest, keys.select("_key", "_pattern"), "_key", few).withColumn("_gram", F.col("_ask.gram")).select("_gram", "_key", "_pattern")
+    found = met(spread(rarest), chosen, "_gram", few).drop("_gram")
+    bare = keys.filter(F.size("_asks") == 0).select("_key", "_pattern")
+    fits = F.regexp_like(F.col("_text"), F.col("_pattern"))
+    if n := bare.count():
+        pairs = texts.join(F.broadcast(bare), fits) if n <= FEW else texts.hint("shuffle_replicate_nl").join(bare, fits)
+        found = found.unionByName(pairs.select(*found.columns))
+    return met(found.filter(fits).select("_key", "_text"), values.withColumn("_text", F.col(text)), "_text", False).drop("_text")
 
 
 def xlookup(df: DataFrame, key: str, table: DataFrame, table_key: str, value: str, order_by: str, into: str, mode: int = 0, if_missing: object = None, last: bool = False) -> DataFrame:

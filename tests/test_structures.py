@@ -192,3 +192,21 @@ def test_wildcards(fixed):
 def test_no_query_twice():
     """New structures have queries with SQL."""
     assert {"sheet_intervals", "slide_digests", "edges_by_tiles", "streamed_updates", "streamed_versions"} <= set(catalogue.oracle_sql())
+
+
+def test_wildcards_of_many_copies(fixed):
+    """Patterns with a common piece meet texts by their whole run and their ending, copies once; no table of pieces is broadcast."""
+    texts = fixed.range(6_000).select(F.col("id").alias("o"), F.format_string("Customer#%09d", F.col("id") % 3_000).alias("t"))
+    texts = texts.unionByName(fixed.createDataFrame([(-1, "Customer#000000001\n")], "o long, t string"))  # ends in a line feed, not in 01
+    asked = fixed.createDataFrame([(f"*stomer#0000000*{i:02}",) for i in range(100)] + [("*STOMER#00000?999",), ("stomer*01",), ("*01\n",)], "p string")
+    pairs = J.wildcard_pairs(asked, "p", texts, "t")
+    tree = plan(pairs)
+    assert "BroadcastNestedLoopJoin" not in tree and "CartesianProduct" not in tree
+    got = {r["_key"]: r["n"] for r in pairs.groupBy("_key").agg(F.count("*").alias("n")).collect()}
+    assert got == {**{f"*stomer#0000000*{i:02}": 2 for i in range(100)}, "*STOMER#00000?999": 6, "*01\n": 1}
+    lines = tree.split("\n")
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            depth = lambda x: len(x) - len(x.lstrip(" :+-*(0123456789)"))
+            below = next((j for j in range(i + 1, len(lines)) if depth(lines[j]) <= depth(line)), len(lines))
+            assert not any("Generate explode(array_distinct" in x for x in lines[i:below])
