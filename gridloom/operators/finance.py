@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _growth(rate: Column, n: Column) -> Column:
@@ -73,57 +77,101 @@ def depreciation_schedule(assets: DataFrame) -> DataFrame:
     )
 
 
-def solve_rate(flows: list[float], low: float = -0.999999, high: float = 10.0) -> float | None:
-    """Rate at which the flows from time 0 discount to 0: Newton steps kept inside a bracket that bisection narrows."""
-    value = lambda r: sum(v / (1 + r) ** i for i, v in enumerate(flows))
-    a, b = low, high
-    fa, fb = value(a), value(b)
-    if not (fa < 0 < fb or fb < 0 < fa):
-        return a if fa == 0 else b if fb == 0 else None
-    r = 0.1
+def _values(flows: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Worth of each row of flows at its rate, and the slope: discounted to the first flow, or below a rate of 0
+    compounded to the last one, which has the same sign and root and does not overflow."""
+    below = r < 0
+    x = np.where(below, 1 + r, 1 / (1 + r))
+    f, d = np.zeros(len(r)), np.zeros(len(r))
+    for k in range(flows.shape[1]):
+        d = d * x + f
+        f = f * x + np.where(below, flows[:, k], flows[:, -1 - k])
+    return f, np.where(below, d, -d * x * x)
+
+
+def _rates(flows: np.ndarray, low: float, high: float) -> np.ndarray:
+    """Rates of series of one length, a row each: Newton steps kept inside a bracket that bisection narrows; NaN where there is none."""
+    a, b = np.full(len(flows), low), np.full(len(flows), high)
+    fa, fb = (np.sign(_values(flows, x)[0]) for x in (a, b))
+    out = np.where(fa == 0, a, np.where(fb == 0, b, np.nan))
+    live = np.flatnonzero(fa * fb < 0)
+    r = np.full(len(flows), 0.1)
     for _ in range(200):
-        f = value(r)
-        if abs(f) < 1e-12:
-            break
-        if (f < 0) == (fa < 0):
-            a, fa = r, f
-        else:
-            b = r
-        slope = -sum(i * v / (1 + r) ** (i + 1) for i, v in enumerate(flows))
-        step = r - f / slope if slope else a
-        new = step if a < step < b else (a + b) / 2
-        if abs(new - r) < 1e-14:
+        if not len(live):
             break
-        r = new
-    return r
+        f, slope = _values(flows[live], r[live])
+        same = np.sign(f) == fa[live]
+        a[live[same]], b[live[~same]] = r[live[same]], r[live[~same]]
+        step = r[live] - f / slope
+        new = np.where((a[live] < step) & (step < b[live]), step, (a[live] + b[live]) / 2)
+        ended = (f == 0) | (np.abs(new - r[live]) < 1e-13)
+        r[live] = np.where(f == 0, r[live], new)
+        out[live] = r[live]
+        live = live[~ended]
+    return out
+
+
+def solve_rates(series: Sequence[Sequence[float]], low: float = -0.999999, high: float = 10.0) -> np.ndarray:
+    """The rate at which each series of flows from time 0 on discounts to 0, those of a length at once."""
+    sizes = np.array([len(x) for x in series], dtype=int)
+    out = np.full(len(sizes), np.nan)
+    with np.errstate(all="ignore"):
+        for n in np.unique(sizes[sizes > 0]):
+            at = np.flatnonzero(sizes == n)
+            out[at] = _rates(np.array([series[i] for i in at], dtype=float), low, high)
+    return out
 
 
-def cashflow_returns(flows: DataFrame, by: str, order_by: str, amount: str) -> DataFrame:
-    """Internal rate of return per series; NULL (#NUM!) where there is none.  One series is one group."""
+def solve_rate(flows: list[float], low: float = -0.999999, high: float = 10.0) -> float | None:
+    found = solve_rates([flows], low, high)[0]
+    return None if np.isnan(found) else float(found)
 
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        values = rows.sort_values(order_by)[amount].dropna().tolist()
-        return pd.DataFrame({by: [rows[by].iloc[0]], "irr": [solve_rate(values) if values else None]}).astype({"irr": "float64"})
 
-    return flows.select(by, order_by, amount).groupBy(by).applyInPandas(solve, f"{by} {dict(flows.dtypes)[by]}, irr double")
+@F.pandas_udf(T.DoubleType())
+def _irr(series: pd.Series) -> pd.Series:
+    return pd.Series(solve_rates(series.tolist()))
 
 
-def rate(nper: Column, payment: Column, present: Column, future: Column | float = 0.0, due: Column | int = 0, low: float = -0.999999, high: float = 10.0) -> Column:
-    """Rate a period at which a loan of `present` is paid by `nper` payments; NULL (#NUM!) where none lies in low .. high.
+def cashflow_returns(flows: DataFrame, by: str, order_by: str, amount: str) -> DataFrame:
+    """Internal rate of return per series; NULL (#NUM!) where there is none.  One series is one group.
+
+    Spark gathers each series in order as an array; a batch of arrays is solved at once."""
+    x, at = F.col(amount).cast("double"), F.col(order_by)
+    held = F.when(x.isNotNull() & ~F.isnan(x), F.struct(at.isNull().alias("last"), at.alias("at"), x.alias("x")))
+    gathered = flows.groupBy(by).agg(F.array_sort(F.collect_list(held)).alias("_s"))
+    return gathered.select(by, _irr(F.transform("_s", lambda s: s["x"])).alias("irr"))
 
-    Bisection folded over a fixed number of halvings, in native expressions."""
-    future, due = (x if isinstance(x, Column) else F.lit(float(x)) for x in (future, due))
 
-    def value(r: Column) -> Column:
-        grown = F.pow(1 + r, nper)
-        annuity = F.when(F.abs(r) < 1e-12, nper.cast("double")).otherwise((grown - 1) / F.when(F.abs(r) < 1e-12, F.lit(1.0)).otherwise(r))
-        return present * grown + payment * (1 + r * due) * annuity + future
+def rate(nper: Column, payment: Column, present: Column, future: Column | float = 0.0, due: Column | int = 0, low: float = -0.999999, high: float = 10.0) -> Column:
+    """Rate a period at which a loan of `present` is paid by `nper` payments; NULL (#NUM!) where none lies in low .. high.
 
-    a, b = F.lit(low), F.lit(high)
-    middle = lambda s: (s["a"] + s["b"]) / 2
-    halve = lambda s, _: F.when(F.signum(value(middle(s))) == F.signum(value(s["a"])), F.struct(middle(s).alias("a"), s["b"].alias("b"))).otherwise(F.struct(s["a"].alias("a"), middle(s).alias("b")))
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(80)), F.struct(a.alias("a"), b.alias("b")), halve, middle)
-    return F.when(F.signum(value(a)) * F.signum(value(b)) <= 0, found)
+    Bisection of a whole batch of rows at once, until no middle lies between the ends."""
+
+    @F.pandas_udf(T.DoubleType())
+    def solve(nper: pd.Series, payment: pd.Series, present: pd.Series, future: pd.Series, due: pd.Series) -> pd.Series:
+        n, paid, pv, fv, at_start = (x.to_numpy(dtype=float, na_value=np.nan) for x in (nper, payment, present, future, due))
+
+        def value(r: np.ndarray) -> np.ndarray:
+            # above a rate of 0 in present money, which has the same sign and does not overflow
+            grown, flat = (1 + r) ** -np.abs(n), np.abs(r) < 1e-12
+            back, r1 = (1 + r) ** n, np.where(flat, 1.0, r)
+            later = pv * back + paid * (1 + r * at_start) * np.where(flat, n, (back - 1) / r1) + fv
+            now = pv + paid * (1 + r * at_start) * np.where(flat, n, (1 - grown) / r1) + fv * grown
+            return np.sign(np.where((r > 0) & (n > 0), now, later))
+
+        with np.errstate(all="ignore"):
+            a, b = np.full(len(n), low), np.full(len(n), high)
+            first = value(a)
+            there = first * value(b) <= 0
+            for _ in range(80):
+                middle = (a + b) / 2
+                same = value(middle) == first
+                if not ((a < middle) & (middle < b)).any():
+                    break
+                a, b = np.where(same, middle, a), np.where(same, b, middle)
+        return pd.Series(np.where(there, (a + b) / 2, np.nan))
+
+    return solve(*[(x if isinstance(x, Column) else F.lit(float(x))).cast("double") for x in (nper, payment, present, future, due)])
 
 
 def business_calendar(spark: SparkSession, first: str, last: str, holidays: DataFrame | None = None) -> DataFrame:

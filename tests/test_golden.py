@@ -171,3 +171,13 @@ def test_rounding_of_formats_follows_sql(spark, duck):
     sql = "SELECT format('{:.1f}%', round(?::DOUBLE / 10000 * 100, 1)), format('{:,.2f}', round(?::DOUBLE, 2)), format('{:,.0f}', round(?::DOUBLE, 0))"
     assert got[:8] == [duck.execute(sql, [x, x, x]).fetchone() for (x,) in rows[:8]]
     assert got[8][1].startswith("1,000,000,000") and got[9] == (None, None, None)
+
+
+def test_rates_of_long_series(spark):
+    """Hundreds of periods overflow neither end of the bracket; equal to a closed form."""
+    rows = [(1, t, -1000.0 if t == 0 else 1000 * 0.01 / (1 - 1.01**-400)) for t in range(401)] + [(2, 0, 5.0), (3, 0, None), (4, 1, -1.0), (4, 0, -100.0), (4, 2, 110.0), (4, 3, None), (None, 0, -10.0), (None, 1, 11.0)]
+    rates = {r.id: r.irr for r in N.cashflow_returns(spark.createDataFrame(rows, "id long, t long, v double"), "id", "t", "v").collect()}
+    assert rates[1] == pytest.approx(0.01, abs=1e-10) and rates[2] is None and rates[3] is None and rates[None] == pytest.approx(0.1, abs=1e-12)
+    assert -100 - 1 / (1 + rates[4]) + 110 / (1 + rates[4]) ** 2 == pytest.approx(0, abs=1e-9)
+    loans = spark.createDataFrame([(360.0, -1000 * 0.005 / (1 - 1.005**-360)), (None, 1.0), (360.0, 5.0)], "n double, pay double")
+    assert [r[0] if r[0] is None else round(r[0], 10) for r in loans.select(N.rate(F.col("n"), F.col("pay"), F.lit(1000.0))).collect()] == [0.005, None, None]
