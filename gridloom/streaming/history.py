@@ -11,13 +11,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: Seconds between kept versions, versions kept.
 LEAST_SECONDS, VERSIONS = 120, 30
 ACCEPT = "event_id long, project long, saved_at timestamp, outcome string"
-TRAIL = "project long, event_id long, saved_at timestamp, content string"
+KEPT = "project long, event_id long, saved_us long, content string"
 
 
 def accept_step(version: pd.Timestamp | None, rows: pd.DataFrame) -> tuple[pd.Timestamp | None, list[tuple]]:
@@ -31,7 +30,7 @@ def accept_step(version: pd.Timestamp | None, rows: pd.DataFrame) -> tuple[pd.Ti
     return version, out
 
 
-def fold_projects(saves: DataFrame, step, start: tuple, schema: str) -> DataFrame:
+def fold_projects(saves: DataFrame, step, start: tuple, schema: str, time: str = "saved_at") -> DataFrame:
     """Run a step function over each project's saves in time order, batch by batch.
 
     Rows are sorted within partitions and read as a stream with the state of one project at
@@ -49,7 +48,7 @@ def fold_projects(saves: DataFrame, step, start: tuple, schema: str) -> DataFram
                 out += made
             yield pd.DataFrame(out, columns=names)
 
-    return saves.repartition("project").sortWithinPartitions("project", "saved_at", "event_id").mapInPandas(run, schema)
+    return saves.repartition("project").sortWithinPartitions("project", time, "event_id").mapInPandas(run, schema)
 
 
 def accept_saves(saves: DataFrame) -> DataFrame:
@@ -74,19 +73,33 @@ def accept_stream(saves: DataFrame) -> DataFrame:
 
 def keep_step(kept: tuple | None, current: tuple | None, rows: pd.DataFrame) -> tuple[tuple | None, tuple | None, list[tuple]]:
     """Before a save, the state about to be replaced is kept if it differs from the last kept one,
-    whose own save lies long enough back; a forced save keeps it whatever the clock says."""
+    whose own save lies long enough back; a forced save keeps it whatever the clock says.
+
+    Times are whole microseconds (saved_us); where one is missing only a forced save keeps."""
     out = []
-    for r in rows.sort_values(["saved_at", "event_id"]).itertuples(index=False):
-        if current is not None and (kept is None or current[2] != kept[2] and (bool(r.forced) or (r.saved_at - kept[1]).total_seconds() >= LEAST_SECONDS)):
-            kept = current
-            out.append((r.project, *kept))
-        current = (r.event_id, r.saved_at, r.content)
+    columns = (rows[c].tolist() for c in ("project", "saved_us", "event_id", "content", "forced"))
+    saves = [(p, None if us != us or us is None else int(us), *rest) for p, us, *rest in zip(*columns)]
+    for project, us, event, content, forced in sorted(saves, key=lambda s: (s[1] is None, s[1], s[2])):
+        if current is not None:
+            late = us is not None and kept is not None and kept[1] is not None and us - kept[1] >= LEAST_SECONDS * 1_000_000
+            if kept is None or current[2] != kept[2] and (bool(forced) or late):
+                kept = current
+                out.append((project, *kept))
+        current = (event, us, content)
     return kept, current, out
 
 
+def _in_micros(saves: DataFrame) -> DataFrame:
+    return saves.select("project", "event_id", F.unix_micros("saved_at").alias("saved_us"), "content", "forced")
+
+
+def _in_time(versions: DataFrame) -> DataFrame:
+    return versions.select(*[F.timestamp_micros("saved_us").alias("saved_at") if c == "saved_us" else c for c in versions.columns])
+
+
 def snapshot_trail(saves: DataFrame, versions: int = VERSIONS) -> DataFrame:
     """saves(event_id, project, saved_at, content, forced) -> kept versions, the newest `versions` of each project."""
-    kept = fold_projects(saves, keep_step, (None, None), TRAIL)
+    kept = _in_time(fold_projects(_in_micros(saves), keep_step, (None, None), KEPT, "saved_us"))
     newest = Window.partitionBy("project").orderBy(F.desc("saved_at"), F.desc("event_id"))
     return kept.withColumn("version_no", F.row_number().over(newest)).filter(F.col("version_no") <= versions)
 
@@ -94,41 +107,24 @@ def snapshot_trail(saves: DataFrame, versions: int = VERSIONS) -> DataFrame:
 def snapshot_stream(saves: DataFrame, versions: int = VERSIONS) -> DataFrame:
     """Versions as they are kept (change `kept`) and as they leave the newest `versions` of their project (change `dropped`).
 
-    The state of a project is the current save and a list of its kept versions, never longer than
-    `versions`; what is kept and not dropped is what `snapshot_trail` gives.  Needs the RocksDB state
-    store, which the session is set to."""
-    saves.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return saves.groupBy("project").transformWithStateInPandas(KeptVersions(versions), f"{TRAIL}, change string", "append", "none")
-
+    The state of a project is a list of its kept versions, oldest first and never longer than `versions`, with
+    the current save behind them; what is kept and not dropped is what `snapshot_trail` gives.  States pass to and from Python
+    by the batch.  They are held in the RocksDB state store, which the session is set to."""
+    names = [*[x.split()[0] for x in KEPT.split(", ")], "change"]
 
-class KeptVersions(StatefulProcessor):
-    """The versions of one project: a list, oldest first, and the save that is current."""
-
-    SAVE = "event_id long, saved_at timestamp, content string"
-
-    def __init__(self, versions: int) -> None:
-        self.versions = versions
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getListState("kept", self.SAVE)
-        self.current = handle.getValueState("current", self.SAVE)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        read = lambda s: (s[0], pd.Timestamp(s[1]), s[2])
-        kept = [read(s) for s in self.kept.get()]
-        current = read(self.current.get()) if self.current.exists() else None
-        _, current, made = keep_step(kept[-1] if kept else None, current, pd.concat(list(rows), ignore_index=True))
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = list(zip(*state.get)) if state.exists else []
+        kept, current = held[:-1], held[-1] if held else None
+        _, current, made = keep_step(kept[-1] if kept else None, current, pd.concat(list(batches), ignore_index=True))
         kept += [m[1:] for m in made]
-        gone, kept = kept[: max(0, len(kept) - self.versions)], kept[max(0, len(kept) - self.versions) :]
-        flat = lambda s: (int(s[0]), s[1].to_pydatetime(), s[2])
-        if made:
-            self.kept.put([flat(s) for s in kept])
-        self.current.update(flat(current))
-        out = [(*m, "kept") for m in made] + [(key[0], *s, "dropped") for s in gone]
-        yield pd.DataFrame(out, columns=["project", "event_id", "saved_at", "content", "change"])
-
-    def close(self) -> None:
-        pass
+        cut = max(0, len(kept) - versions)
+        gone, kept = kept[:cut], [*kept[cut:], current]
+        state.update(tuple(list(x) for x in zip(*kept)))
+        yield pd.DataFrame([(*m, "kept") for m in made] + [(key[0], *s, "dropped") for s in gone], columns=names)
+
+    saves.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    state = "ids array<bigint>, saved_us array<bigint>, contents array<string>"
+    return _in_time(_in_micros(saves).groupBy("project").applyInPandasWithState(step, f"{KEPT}, change string", state, "append", GroupStateTimeout.NoTimeout))
 
 
 def version_at(trail: DataFrame, project: int, at: str) -> DataFrame:

@@ -132,3 +132,17 @@ def test_versions_leave_the_stream(spark, tmp_path):
     want = [(r.project, r.event_id) for r in T.snapshot_trail(batch).collect()]
     assert of("kept") - of("dropped") == set(want) and len(set(want)) == len(want)
     assert of("dropped") and sum(p == 0 for p, _ in want) == T.VERSIONS
+
+
+def test_states_of_versions_pass_by_the_batch(spark, tmp_path):
+    """The stream of versions exchanges states with Python in Arrow batches, not value by value; over two batches it gives what the batch form does."""
+    rows = [(p * 1000 + i, p, f"2024-01-01 00:{i % 60:02}:{i // 60:02}", f"c{i % 7}", i % 3 == 0) for p in (1, 2) for i in range(90)]
+    saves = spark.createDataFrame(rows, "event_id long, project long, at string, content string, forced boolean").selectExpr("event_id", "project", "CAST(at AS timestamp) AS saved_at", "content", "forced")
+    early, late = saves.filter("saved_at < '2024-01-01 00:30:00'"), saves.filter("saved_at >= '2024-01-01 00:30:00'")
+    for part in (early, late):
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    made = T.snapshot_stream(spark.readStream.schema(saves.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"), 5)
+    assert "TransformWithState" not in made._jdf.queryExecution().analyzed().toString()
+    made.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    seen = spark.read.schema(made.schema).parquet(f"{tmp_path}/out").groupBy("project", "event_id", "saved_at").agg(F.bool_or(F.col("change") == "dropped").alias("gone")).filter("NOT gone")
+    assert {(r.project, r.event_id, r.saved_at) for r in seen.collect()} == {(r.project, r.event_id, r.saved_at) for r in T.snapshot_trail(saves, 5).collect()}
