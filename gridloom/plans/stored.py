@@ -106,7 +106,7 @@ count(*) OVER (PARTITION BY p_brand) AS numbers, (sum(CASE WHEN p_partkey % 3 =
 FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS row FROM part) WHERE p_partkey % 5 > 0""")
 def streamed_updates(spark, sf_dir):
     """All parts' sizes as cells, then every third changed, every fifth deleted and every seventh sent again as it was
-    long ago, a file a batch: stored cells with the count and sum of their sheet's profile."""
+    long ago, the files of a change a batch: stored cells with the count and sum of their sheet's profile."""
     path = folder(spark)
     row = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
     cells = table(spark, sf_dir, "part").select(F.lit("p").alias("project_id"), F.col("p_brand").alias("sheet_id"), row.cast("bigint").alias("row"), F.lit(2).alias("col"), F.col("p_size").cast("double").alias("v_num"), F.lit(1).alias("version"), F.lit(False).alias("deleted"), "p_partkey")
@@ -118,7 +118,9 @@ def streamed_updates(spark, sf_dir):
     ]
     for part in changes:
         part.drop("p_partkey").write.mode("append").parquet(f"{path}/in")
-    stream = spark.readStream.schema(cells.drop("p_partkey").schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    # a batch rewrites the buckets it touches, so the number of batches does not grow with that of the files
+    files = spark.read.parquet(f"{path}/in").select(F.input_file_name()).distinct().count()
+    stream = spark.readStream.schema(cells.drop("p_partkey").schema).option("maxFilesPerTrigger", -(-files // len(changes))).parquet(f"{path}/in")
     profile = lambda c: c.groupBy("project_id", "sheet_id").agg(F.count("v_num").alias("numbers"), F.sum("v_num").alias("total"))
     store.stream_cells(stream, profile, f"{path}/out", f"{path}/state", ["version"], 8).awaitTermination()
     sheets = store.stored(spark, f"{path}/out", "profiles").select("project_id", "sheet_id", "numbers", "total")
