@@ -73,9 +73,20 @@ def split_markdown(text: str | None) -> list[tuple[str, str]]:
     return out
 
 
+#: Texts whose pieces a Python worker holds at a time, however many rows a batch has.
+SLICE = 256
+
+
+def by_slices(batches: Iterator[pd.Series], cut) -> Iterator[pd.Series]:
+    """`cut` of each text, given back slice by slice."""
+    for texts in batches:
+        for at in range(0, max(len(texts), 1), SLICE):
+            yield texts.iloc[at : at + SLICE].map(cut)
+
+
 @F.pandas_udf(BLOCKS)
-def _blocks(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda x: [{"block_type": k, "md": m} for k, m in split_markdown(x)])
+def _blocks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    return by_slices(batches, lambda x: [{"block_type": k, "md": m} for k, m in split_markdown(x)])
 
 
 def split_blocks(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -106,8 +117,8 @@ def cut_regions(text: str | None) -> list[dict]:
 
 
 @F.pandas_udf(REGIONS)
-def _regions(texts: pd.Series) -> pd.Series:
-    return texts.map(cut_regions)
+def _regions(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    return by_slices(batches, cut_regions)
 
 
 def anchored_regions(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:

@@ -146,3 +146,32 @@ def test_states_of_versions_pass_by_the_batch(spark, tmp_path):
     made.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
     seen = spark.read.schema(made.schema).parquet(f"{tmp_path}/out").groupBy("project", "event_id", "saved_at").agg(F.bool_or(F.col("change") == "dropped").alias("gone")).filter("NOT gone")
     assert {(r.project, r.event_id, r.saved_at) for r in seen.collect()} == {(r.project, r.event_id, r.saved_at) for r in T.snapshot_trail(saves, 5).collect()}
+
+
+def test_batches_do_not_grow_with_files(spark, monkeypatch):
+    """Changes of many files each are merged a change at a time."""
+    from conftest import SF
+
+    from gridloom.plans import catalogue
+
+    batches, merge = [], store.merge_batch
+    monkeypatch.setattr(store, "merge_batch", lambda changes, number, *rest: (batches.append(number), merge(changes, number, *rest))[1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        catalogue.queries()["streamed_updates"](spark, SF)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert 1 <= len(batches) <= 4
+
+
+def test_blocks_are_given_back_in_slices(spark):
+    """A batch of texts is not held as blocks all at once, and each text keeps its own blocks."""
+    import pandas as pd
+
+    from gridloom.operators import documents as D
+
+    sizes = [len(x) for x in D.by_slices(iter([pd.Series(["a"] * 10_000), pd.Series([], dtype=object)]), lambda x: [x])]
+    assert max(sizes) <= D.SLICE and sum(sizes) == 10_000
+    docs = spark.range(0, 3_000, 1, 2).select(F.col("id").alias("doc_id"), F.concat(F.lit("p"), "id", F.lit("\n\nq"), "id").alias("text"))
+    got = D.split_blocks(docs).filter(F.col("md") != F.concat(F.when(F.col("pos") == 0, "p").otherwise("q"), "doc_id"))
+    assert got.isEmpty() and D.split_blocks(docs).count() == 6_000
