@@ -111,6 +111,15 @@ def find_regions(cells: DataFrame) -> DataFrame:
     return bands.join(cols, SHEET).withColumn("region", no).select(*SHEET, "region", "r0", "c0", "r1", "c1", area.alias("address"))
 
 
+def region_rows(cells: DataFrame) -> DataFrame:
+    """The rows with values, each with the number of its region and the region's first row: cells find theirs by row, whatever the number of regions."""
+    rows = cells.filter(filled()).select(*SHEET, "row").distinct()
+    island = F.col("row") - F.row_number().over(Window.partitionBy(*SHEET).orderBy("row"))
+    first = F.min("row").over(Window.partitionBy(*SHEET, "_i"))
+    # islands ascend with the rows of a sheet
+    return rows.withColumn("_i", island).select(*SHEET, "row", F.dense_rank().over(Window.partitionBy(*SHEET).orderBy("_i")).alias("region"), first.alias("r0"))
+
+
 def _adds() -> Column:
     """Whether a cell marks its row as one that adds up others: a label in column 1, or a formula over its own column."""
     label = (F.col("col") == 1) & F.lower(F.trim(shown())).isin(*TOTAL_LABELS)
@@ -190,8 +199,7 @@ def column_profile(cells: DataFrame, sheets: DataFrame) -> DataFrame:
 
 def region_profile(cells: DataFrame) -> DataFrame:
     """The same per region with four types: empty, number (no text at all), text, mixed."""
-    regions = find_regions(cells).select(*SHEET, "region", "r0", "r1")
-    placed = cells.filter(filled()).join(regions, SHEET).filter("row BETWEEN r0 AND r1")
+    placed = cells.filter(filled()).join(region_rows(cells), [*SHEET, "row"])
     heads = placed.filter("row = r0").select(*SHEET, "region", "col", shown().alias("header"))
     number = F.col("t").isin("n", "d")
     stats = placed.filter("row > r0").groupBy(*SHEET, "region", "col").agg(F.count("*").alias("filled"), F.count_if(number).alias("n"), F.count_if(F.col("t") == "s").alias("texts"), F.sum(F.when(number, F.col("v_num"))).alias("total"), F.avg(F.when(number, F.col("v_num"))).alias("average"), F.min(F.when(number, F.col("v_num"))).alias("smallest"), F.max(F.when(number, F.col("v_num"))).alias("largest"))

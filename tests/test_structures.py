@@ -210,3 +210,15 @@ def test_wildcards_of_many_copies(fixed):
             depth = lambda x: len(x) - len(x.lstrip(" :+-*(0123456789)"))
             below = next((j for j in range(i + 1, len(lines)) if depth(lines[j]) <= depth(line)), len(lines))
             assert not any("Generate explode(array_distinct" in x for x in lines[i:below])
+
+
+def test_cells_find_their_region_by_row(spark):
+    """The rows of find_regions' bands, one region a row; no join of a sheet's cells with all its regions."""
+    from gridloom.operators import cells as K
+    from gridloom.plans.sheet import part_cells
+
+    cells = part_cells(spark, SF)
+    bands = {(r.sheet_id, n): (r.region, r.r0) for r in K.find_regions(cells).collect() for n in range(r.r0, r.r1 + 1)}
+    assert {(r.sheet_id, r.row): (r.region, r.r0) for r in K.region_rows(cells).collect()} == bands
+    plan = K.region_profile(cells)._jdf.queryExecution().optimizedPlan().toString()
+    assert "row#" in plan and not [x for x in plan.splitlines() if "Join" in x and ">= r0" in x]
