@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import named
+from .shared import give_back, named
 
 #: Documents are taken until their words reach this many bytes.
 BLOCK_BYTES = 8 << 20
@@ -78,20 +78,27 @@ class Classes:
         return bool(self.odd[np.frombuffer(text.decode().encode("utf-32-le"), np.uint32)].any())
 
 
+#: Code points whose classes are asked for at once, which bounds what either engine holds of them.
+POINTS = 0x4000
+
+
 def classes_of(spark: SparkSession) -> Classes:
-    """Both tables, by running each engine's classes once over all code points."""
-    every = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    text = "".join(map(chr, every))
+    """Both tables, by running each engine's classes over all code points, POINTS at a time."""
     single = {bytes([b]): b for b in range(256)}
     stand_in, odd = np.full(0x110000, ord("!"), np.uint8), np.zeros(0x110000, bool)
     # a letter that begins no contraction, a digit, and a blank other than the space
     for pattern, mark in ((r"\p{L}", "b"), (r"\p{N}", "0"), (r"\s", "\t")):
-        found = bytes(tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks=single, special_tokens={}).encode_ordinary(text)).decode()
-        others = spark._jvm.java.util.regex.Pattern.compile(f"(?U)[^{pattern}]").matcher(text).replaceAll("")
-        mine, theirs = np.zeros((2, 0x110000), bool)
-        mine[[ord(c) for c in found]], theirs[[ord(c) for c in others]] = True, True
-        stand_in[mine] = ord(mark)
-        odd |= mine != theirs
+        mine, theirs = tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks=single, special_tokens={}), spark._jvm.java.util.regex.Pattern.compile(f"(?U)[^{pattern}]")
+        for first in range(0, 0x110000, POINTS):
+            points = np.arange(first, first + POINTS, dtype=np.uint32)
+            text = points[(points < 0xD800) | (points >= 0xE000)].tobytes().decode("utf-32-le")
+            if not text:
+                continue
+            is_mine, is_theirs = np.zeros((2, POINTS), bool)
+            for held, found in ((is_mine, bytes(mine.encode_ordinary(text)).decode()), (is_theirs, theirs.matcher(text).replaceAll(""))):
+                held[np.frombuffer(found.encode("utf-32-le"), np.uint32) - first] = True
+            stand_in[first : first + POINTS][is_mine] = ord(mark)
+            odd[first : first + POINTS] |= is_mine != is_theirs
     stand_in[:0x80] = np.arange(0x80)
     least = int(odd.argmax())
     return Classes(stand_in, odd, chr(least).encode()[0] if odd.any() else 256)
@@ -347,6 +354,7 @@ def encoded_digests(df: DataFrame, text: str = "text", keep: Sequence[str] = ("d
     cut = _cut(df, text, keep, pattern)
     schema = T.StructType([*cut.schema.fields[:-1], *T.StructType.fromDDL(made).fields])
     out = cut.mapInArrow(_encoder(Merges(ranks), len(keep), schema.names, classes_of(df.sparkSession), pattern, finish), schema)
+    give_back()
     return out.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keep)], "n_tokens", "ids_sha256", "decoded_sha256")
 
 

@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import crc_part, sampled, set_apart, table, with_text_columns
+from .shared import crc_part, give_back, sampled, set_apart, table, with_text_columns
 
 #: Labelled documents in the index, at most (about).
 EXAMPLES = 4_000
@@ -234,7 +234,10 @@ def labelled(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES)
 def fit(documents: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
     """Learn from a bounded sample of labelled rows, which is gathered here."""
     rows = labelled(documents, labels, examples).withColumn("text", F.col("text").cast("binary")).collect()
-    return fit_rows([(r["doc_id"], r["toxic"], r["text"] and bytes(r["text"])) for r in rows])
+    model = fit_rows([(r["doc_id"], r["toxic"], r["text"] and bytes(r["text"])) for r in rows])
+    del rows
+    give_back()
+    return model
 
 
 def score(documents: DataFrame, model: Model, text: str = "text", keep: Sequence[str] | None = ("doc_id",), prefix: str = "") -> DataFrame:

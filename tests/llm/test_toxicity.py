@@ -2,15 +2,17 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
-from gridloom.llm import queries, toxicity
+from gridloom.llm import queries, shared, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [None, "", " ", "a", "word " * 30_000, "x" * 50_000, "ÀÉ ñandú 漢字 🙂 <|endoftext|>", "12 34 !!", "same text here for all", "same text here for all"]
@@ -136,3 +138,16 @@ def test_edges(spark):
     assert toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).filter("predicted <> 0").count() == 0
     assert toxicity.score(docs, toxicity.fit(docs, labels.filter("toxic = 1"))).filter("predicted <> 1").count() == 0
     assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+def test_fit_gives_memory_back(spark):
+    """After a fit on a few thousand texts the driver's Python keeps little more than the model."""
+    own = lambda: sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1e3
+    word = lambda i: F.translate(F.pmod(F.xxhash64("doc_id", i), F.lit(100_000)).cast("string"), "0123456789", "abcdefghij")
+    ids = spark.range(5_000).withColumnRenamed("id", "doc_id")
+    docs, labels = ids.withColumn("text", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(800)), word), " ")), ids.withColumn("toxic", (F.col("doc_id") % 2).cast("int"))
+    toxicity.fit(docs.limit(100), labels)
+    shared.give_back()
+    before = own()
+    model = toxicity.fit(docs, labels)
+    assert len(model.ids) > 3_000 and own() - before < 110

@@ -1,6 +1,7 @@
 """Words are cut by tiktoken's classes of characters: every code point, alone and before contractions."""
 
 import hashlib
+import tracemalloc
 
 import numpy as np
 import tiktoken
@@ -33,3 +34,14 @@ def test_ids_beside_plain_texts(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
     got = {r.doc_id: r.ids for r in bpe.encode(df, "text", ["doc_id"], ranks, pattern).collect()}
     assert got == {i: encoding.encode_ordinary(t or "") for i, t in enumerate(texts)}
+
+
+def test_tables_take_little_of_the_driver(spark):
+    """The tables are 2 MB; all code points are never held at once as numbers or as one text."""
+    tracemalloc.start()
+    try:
+        classes = bpe.classes_of(spark)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 8e6 and int(classes.odd.sum()) == 9_917
