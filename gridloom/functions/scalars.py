@@ -5,6 +5,8 @@ Positions are 1-based and count code points; a result outside a function's domai
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -98,29 +100,50 @@ def hyperlink(url: Column, label: Column | None = None) -> Column:
 # formats ---------------------------------------------------------------------------
 
 
+#: Below the first of these a double's nearest decimal names its digits up to the cent, below the second it may have a fraction, below the third its digits fit a decimal.
+CENTS, FRACTIONS, DIGITS = 2.0**46, 2.0**53, 2.0**120
+
+
+def _shown(x: Column, decimals: int) -> Column:
+    """A rounded double with commas, by its exact digits, as SQL writes it: -0.00, nan, inf and -inf too.
+
+    From DIGITS (1.3e36) on, zeros follow the 17 digits that name the double."""
+    size = F.abs(x)
+    rest = size % 1.0
+    whole = size - rest
+    high = F.floor(whole / 2.0**60)
+    few = min(max(decimals, 0), 6)  # a number of CENTS or more has no more digits than these
+    cents = F.floor(size).cast("decimal(20,0)") + (F.rint(rest * 10.0**few) / 10.0**few).cast("decimal(8,6)")
+    large = high.cast("decimal(19,0)") * F.lit(Decimal(2**60)) + F.floor(whole - high.cast("double") * 2.0**60).cast("decimal(19,0)")
+    exact = F.when(size < FRACTIONS, F.format_number(cents, decimals)).otherwise(F.format_number(large, decimals))
+    minus = F.when(x < 0, F.lit("-")).otherwise(F.lit(""))
+    special = F.when(F.isnan(x), F.lit("nan")).when(size == float("inf"), F.concat(minus, F.lit("inf")))
+    return special.when((size >= CENTS) & (size < DIGITS), F.concat(minus, exact)).otherwise(F.format_number(x, decimals))
+
+
 def fixed(x: Column, decimals: int = 2, commas: bool = True) -> Column:
-    shown = F.format_number(round_half_away(x, decimals), decimals)
+    shown = _shown(round_half_away(x, decimals), decimals)
     return shown if commas else F.replace(shown, F.lit(","), F.lit(""))
 
 
 def dollar(x: Column, decimals: int = 2) -> Column:
     """Negative amounts in brackets."""
-    shown = F.concat(F.lit("$"), F.format_number(F.abs(round_half_away(x, decimals)), decimals))
+    shown = F.concat(F.lit("$"), _shown(F.abs(round_half_away(x, decimals)), decimals))
     return F.when(round_half_away(x, decimals) < 0, F.concat(F.lit("("), shown, F.lit(")"))).otherwise(shown)
 
 
 def text(x: Column, pattern: str) -> Column:
     """A fixed list of patterns: 0, 0.00, #,##0, #,##0.00, 0%, 0.0%, 0.00%, yyyy-mm-dd and money signs before numbers.
 
-    A number below 0 keeps its minus where it is rounded to 0."""
+    A number below 0 keeps its minus where it is rounded to 0, and so does a zero below 0."""
     if pattern.startswith("yyyy"):
         return F.date_format(x, pattern.replace("mm", "MM"))
     sign = pattern[0] if pattern[0] in "₩$€£¥" else ""
     bare = pattern.removeprefix(sign)
     decimals = len(bare.rstrip("%").partition(".")[2])
     value = x * 100 if bare.endswith("%") else x
-    shown = F.concat(fixed(F.abs(value), decimals, "," in bare), F.lit("%" if bare.endswith("%") else ""))
-    return F.concat(F.when(x < 0, F.lit(f"-{sign}")).otherwise(F.lit(sign)), shown)
+    shown = F.concat(fixed(value, decimals, "," in bare), F.lit("%" if bare.endswith("%") else ""))
+    return F.when(shown.startswith("-"), F.concat(F.lit(f"-{sign}"), shown.substr(2, 1_000))).otherwise(F.concat(F.lit(sign), shown)) if sign else shown
 
 
 def format_stat(x: Column, is_percent: Column | bool = False) -> Column:
@@ -306,13 +329,13 @@ def decimal(text: Column, radix: int) -> Column:
 def round_half_away(x: Column, digits: int = 0) -> Column:
     """Rounded in the arithmetic of doubles, as SQL rounds them: shifted by the digits, rounded to a whole number, shifted back.
 
-    A number below 0 keeps its minus where it is rounded to 0."""
+    A number below 0 keeps its minus where it is rounded to 0, and so does a zero below 0."""
     x = x.cast("double")
     if digits < 0:
         return F.round(x, digits)
     k = float(10**digits)
-    size = F.round(F.abs(x) * k) / k
-    return F.when(F.abs(x) * k < float("inf"), F.when(x < 0, -size).otherwise(size)).otherwise(x)
+    # the sign of a zero is a zero of that sign
+    return F.when(F.abs(x) * k < float("inf"), F.round(F.abs(x) * k) / k * F.signum(x)).otherwise(x)
 
 
 def _scaled(x: Column, digits: int, of) -> Column:

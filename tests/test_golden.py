@@ -181,3 +181,15 @@ def test_rates_of_long_series(spark):
     assert -100 - 1 / (1 + rates[4]) + 110 / (1 + rates[4]) ** 2 == pytest.approx(0, abs=1e-9)
     loans = spark.createDataFrame([(360.0, -1000 * 0.005 / (1 - 1.005**-360)), (None, 1.0), (360.0, 5.0)], "n double, pay double")
     assert [r[0] if r[0] is None else round(r[0], 10) for r in loans.select(N.rate(F.col("n"), F.col("pay"), F.lit(1000.0))).collect()] == [0.005, None, None]
+
+
+def test_odd_numbers_of_formats_follow_sql(spark, duck):
+    """Zeros below 0, as rounding makes them, numbers that are none and more digits than name a double."""
+    odd = [0.0, -0.0, -5e-324, -0.004, float("nan"), float("inf"), float("-inf"), 2.0**46 + 0.109375, -(2.0**46) - 0.890625, 1e15 + 0.125, 2.0**53 + 2, -(2.0**63), 1e23, -9.9e35]
+    df = spark.createDataFrame([(x,) for x in odd], "x double")
+    x = F.col("x")
+    got = [tuple(r) for r in df.select(X.fixed(x), X.dollar(x), X.text(x, "#,##0"), X.text(x / 10000, "0.0%"), X.text(x, "$0.00")).collect()]
+    sql = """SELECT format('{:,.2f}', round(x, 2)), CASE WHEN round(x, 2) < 0 THEN format('(${:,.2f})', abs(round(x, 2))) ELSE format('${:,.2f}', abs(round(x, 2))) END,
+    format('{:,.0f}', round(x, 0)), format('{:.1f}%', round(x / 10000 * 100, 1)), regexp_replace(format('{:.2f}', round(x, 2)), '^(-?)', '\\1$') FROM (SELECT ?::DOUBLE AS x)"""
+    assert got == [duck.execute(sql, [x]).fetchone() for x in odd]
+    assert got[1] == ("-0.00", "$0.00", "-0", "-0.0%", "-$0.00") and got[4][0] == "nan"
