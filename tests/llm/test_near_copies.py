@@ -130,3 +130,30 @@ def test_bands_alone_find_nothing(spark, monkeypatch, common):
             texts.append(" ".join(copy[: random.randrange(len(copy) * 4 // 5, len(copy)) + 1]))
     docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], DOCS)
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == brute_first(texts)
+
+
+def equal_by_xxhash64():
+    """Two texts of 16 bytes, alike in nothing, whose xxhash64 is the same: the second eight bytes make up for the first."""
+    p1, p2, p4, p5, all64 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5, 2**64 - 1
+    turn = lambda x, n: (x << n | x >> (64 - n)) & all64
+    lane = lambda b: turn(int.from_bytes(b, "little") * p2 & all64, 31) * p1 & all64
+    after = lambda b: (turn((42 + p5 + 16) ^ lane(b), 27) * p1 + p4) & all64
+    first, rest = b"one two ", b"and more"
+    for i in range(10**6):
+        other = b"x%06d " % i
+        need = after(other) ^ after(first) ^ lane(rest)
+        made = (turn(need * pow(p1, -1, 2**64) & all64, 33) * pow(p2, -1, 2**64) & all64).to_bytes(8, "little")
+        if all(0x21 <= c <= 0x7E for c in made):
+            return (first + rest).decode(), (other + made).decode()
+
+
+def test_texts_of_equal_hash(spark, monkeypatch):
+    """A hash of a text doesn't stand for the text: texts of one hash are two texts."""
+    a, b = equal_by_xxhash64()
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate([a, b, a, "another text of some words"])], DOCS)
+    assert docs.select(corpus_pipeline.F.xxhash64("text").alias("h")).distinct().count() == 2
+    assert sorted((r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == [(0, a), (1, b), (3, "another text of some words")]
+    # numbers that meet are given out again
+    node_of, used = nearcopies.node_of, []
+    monkeypatch.setattr(nearcopies, "node_of", lambda digest, salt: used.append(salt) or (node_of(digest, salt) % 2 if salt < 1 else node_of(digest, salt)))
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == [0, 1, 3] and max(used) == 1
